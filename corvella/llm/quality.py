@@ -31,7 +31,7 @@ THRESHOLD = 0.3
 
 _CLASS = np.full(256, 15, np.int64)
 _CLASS[128:] = 1
-for _i, _c in enumerate(("abcdefghijklmnopqrstuvwxyz", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r\t\v\f", ".", ",", "!?", "|", "#&$%*", "@", ":/\;=", "\"'()[]{}", "<>")):
+for _i, _c in enumerate(("abcdefghijklmnopqrstuvwxyz", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r\t\v\f", ".", ",", "!?", "|", "#&$%*", "@", ":/\\;=", "\"'()[]{}", "<>")):
     _CLASS[list(_c.encode())] = _i
 FEATURES = 16 + 256 + 2
 

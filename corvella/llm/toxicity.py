@@ -2,7 +2,7 @@
 
 Tokens are runs of letters. Training tokens are labelled from the documents' labels:
 a token of a toxic document is toxic if its word is found mostly in toxic documents,
-and in several. A two-state chain (word, shape, neighbours; transitions) is fitted to
+and in a share FREQUENT of them. A two-state chain (word, shape, neighbours; transitions) is fitted to
 these labels by its likelihood; forward-backward marginals give each token's chance of
 being toxic, a document's marginals are pooled and calibrated to a document score, and
 runs of likely tokens are the offending spans. Fitted on at most SAMPLE labelled
@@ -31,6 +31,8 @@ SHAPES = 4
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
 SPAN = 0.5
+#: Share of the toxic training documents that hold a toxic word at least; rarer ones come from copies of a few documents.
+FREQUENT = 0.01
 
 _GAP = np.ones(256, bool)
 _GAP[128:] = False
@@ -199,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     seen = np.unique(of * WORDS + word)
     bad = np.bincount(seen[y[seen // WORDS] == 1] % WORDS, minlength=WORDS)
     every = np.bincount(seen % WORDS, minlength=WORDS)
-    toxic = (bad >= 3) & (2 * (bad - 1) > every)
+    toxic = (bad >= np.maximum(3, FREQUENT * y.sum())) & (2 * bad > every)
     tag = (toxic[word] & (y[of] == 1)).astype(np.int64)
     # texts without any such word have nothing to teach beyond the first thousands
     with_tag = np.bincount(of, toxic[word], minlength=len(y)) > 0
