@@ -32,7 +32,7 @@ FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
 SPAN = 0.5
 #: Share of the toxic training documents that hold a toxic word at least; rarer ones come from copies of a few documents.
-FREQUENT = 0.01
+FREQUENT = 0.03
 
 _GAP = np.ones(256, bool)
 _GAP[128:] = False
