@@ -142,15 +142,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lut: np.ndarray = _BYTES) -> np.ndarray:
-    """64-bit hash of each span of bytes, the same wherever the span stands."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    size = 1 << max(10, int(len(data)).bit_length())
-    up, down = _powers(size)
+def span_hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray, lut: np.ndarray = _BYTES):
+    """64-bit hash of each span of bytes, the same wherever the span stands; for several ends, one array for each."""
+    up, down = _powers(1 << max(10, len(data).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(lut[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    out = [mix((total[e] - total[starts]) * down[starts] + (e - starts).astype(np.uint64)) for e in ends]
+    return out[0] if len(out) == 1 else out
 
 
 def text_of(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:

@@ -34,8 +34,8 @@ from corvella.llm.common import _BASE, _BYTES, _powers, flat, slices, span_hashe
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longer words go the plain way, one by one.
 LONGEST = 64
-CACHE = 1 << 20
-SLICE = 1 << 22
+CACHE = 1 << 19
+SLICE = 1 << 21
 _MARK = "▁"
 _NEVER = 1 << 30
 NORMAL, UNKNOWN, BYTE = 1, 2, 6

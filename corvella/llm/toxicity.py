@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Tokens are runs of letters. Training tokens are labelled from the documents' labels:
-a token of a toxic document is toxic if its word is found mostly in toxic documents,
-and in a share FREQUENT of them. A two-state chain (word, shape, neighbours; transitions) is fitted to
+a token of a toxic document is toxic if its word or its beginning is found
+mostly in toxic documents, and in a share FREQUENT of them. A two-state chain (word, its
+beginnings, shape, neighbours; transitions) is fitted to
 these labels by its likelihood; forward-backward marginals give each token's chance of
 being toxic, a document's marginals are pooled and calibrated to a document score, and
 runs of likely tokens are the offending spans. Fitted on at most SAMPLE labelled
@@ -28,11 +29,13 @@ SAMPLE = 12000
 WINDOW = 64
 WORDS, CONTEXT = 1 << 18, 1 << 14
 SHAPES = 4
+#: Numbers of first bytes of a word that are features beside the word.
+HEADS = (4, 5, 6, 7)
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
 SPAN = 0.5
 #: Share of the toxic training documents that hold a toxic word at least; rarer ones come from copies of a few documents.
-FREQUENT = 0.03
+FREQUENT = 0.01
 
 _GAP = np.ones(256, bool)
 _GAP[128:] = False
@@ -41,13 +44,18 @@ _LOWER = _lut(9)
 _LOWER[65:91] = _LOWER[97:123]
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) & (WORDS - 1)
+
+
 class Tokens:
-    """Tokens of a slice of texts: place, text, word bucket, shape."""
+    """Tokens of a slice of texts: place, text, buckets of the word and of its first bytes, shape."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.starts, self.ends, self.of = word_bounds(data, offsets, _GAP)
-        h = span_hashes(data, self.starts, self.ends, _LOWER)
-        self.word = (h >> np.uint64(40)).astype(np.int64) & (WORDS - 1)
+        heads = [np.minimum(self.ends, self.starts + n) for n in HEADS]
+        h = span_hashes(data, self.starts, self.ends, *heads, lut=_LOWER)
+        self.word, self.parts = _bucket(h[0]), [_bucket(x + np.uint64(i + 1)) for i, x in enumerate(h[1:])]
         upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
         n = upper[self.ends] - upper[self.starts]
         self.shape = np.where(n == 0, 0, np.where(n == self.ends - self.starts, np.where(n > 1, 3, 1), np.where(n == 1, 1, 2)))
@@ -68,17 +76,20 @@ class Field:
     """Weights are those of state 1 against state 0."""
 
     def __init__(self):
+        self.heads = np.zeros((len(HEADS), WORDS))
         self.word, self.before, self.after = np.zeros(WORDS), np.zeros(CONTEXT), np.zeros(CONTEXT)
         self.shape, self.bias, self.move = np.zeros(SHAPES), np.array([-5.0]), np.array([[0.0, 0.0], [0.0, 0.0]])
         self.calibration, self.prior = np.array([-3.0, 0.0, 0.0]), None
 
     def shrink(self) -> Field:
-        for k in ("word", "before", "after"):
+        for k in ("word", "heads", "before", "after"):
             setattr(self, k, getattr(self, k).astype(np.float32))
         return self
 
-    def emission(self, word: np.ndarray, shape: np.ndarray, of: np.ndarray) -> np.ndarray:
+    def emission(self, word: np.ndarray, parts: list[np.ndarray], shape: np.ndarray, of: np.ndarray) -> np.ndarray:
         e = self.word[word] + self.shape[shape] + self.bias[0]
+        for head, part in zip(self.heads, parts, strict=True):
+            e += head[part]
         if len(word) > 1:
             same = of[1:] == of[:-1]
             e[1:] += np.where(same, self.before[word[:-1] % CONTEXT], 0)
@@ -124,37 +135,37 @@ class Field:
                 b0, b1 = np.where(live, c0 / s, b0), np.where(live, c1 / s, b1)
         return out[col, row], log_z, moves
 
-    def fit(self, word: np.ndarray, shape: np.ndarray, of: np.ndarray, tag: np.ndarray, rounds: int = 40) -> Field:
-        """Adagrad-like full-batch ascent of the likelihood, in parts of whole texts."""
+    def fit(self, word: np.ndarray, parts: list[np.ndarray], shape: np.ndarray, of: np.ndarray, tag: np.ndarray, rounds: int = 50) -> Field:
+        """Full-batch ascent of the likelihood, some thousand texts at a time."""
         row, col = chains(of)
-        parts = np.searchsorted(of, np.arange(0, (of[-1] if len(of) else 0) + 2000, 2000)) if len(of) else [0]
-        parts = np.unique([*parts, len(of)])
-        names = ("word", "before", "after", "shape", "bias", "move")
-        adam = Adam([getattr(self, k) for k in names], 0.25)
+        edges = np.unique([*np.searchsorted(of, np.arange(0, (of[-1] if len(of) else 0) + 1, 2000)), len(of)])
+        names = ("word", "heads", "before", "after", "shape", "bias", "move")
+        adam = Adam([getattr(self, k) for k in names])
         for r in range(rounds):
-            adam.rate = 0.25 * (1 - r / rounds) + 0.02
-            grads = [np.zeros_like(getattr(self, k)) for k in names]
-            for lo, hi in zip(parts[:-1], parts[1:], strict=True):
-                w, s, o, y = word[lo:hi], shape[lo:hi], of[lo:hi], tag[lo:hi]
-                p, _, moves = self.forward_backward(self.emission(w, s, o), row[lo:hi] - row[lo], col[lo:hi], True)
+            adam.rate = 0.6 * (1 - r / rounds) + 0.02
+            grads = [0.05 * getattr(self, k) for k in names]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                w, s, o, y, heads = word[lo:hi], shape[lo:hi], of[lo:hi], tag[lo:hi], [x[lo:hi] for x in parts]
+                p, _, moves = self.forward_backward(self.emission(w, heads, s, o), row[lo:hi] - row[lo], col[lo:hi], True)
                 d = p - y
                 grads[0] += np.bincount(w, d, minlength=WORDS)
+                for g, x in zip(grads[1], heads, strict=True):
+                    g += np.bincount(x, d, minlength=WORDS)
                 same = o[1:] == o[:-1]
-                grads[1] += np.bincount(w[:-1][same] % CONTEXT, d[1:][same], minlength=CONTEXT)
-                grads[2] += np.bincount(w[1:][same] % CONTEXT, d[:-1][same], minlength=CONTEXT)
-                grads[3] += np.bincount(s, d, minlength=SHAPES)
-                grads[4] += d.sum()
-                on = (row[lo:hi][1:] == row[lo:hi][:-1])
-                grads[5] += moves - np.bincount(2 * y[:-1][on] + y[1:][on], minlength=4).reshape(2, 2)
-            grads = [g + 0.05 * getattr(self, k) for g, k in zip(grads, names, strict=True)]
-            for i in (1, 2):
-                grads[i] += 0.5 * getattr(self, names[i])
+                grads[2] += np.bincount(w[:-1][same] % CONTEXT, d[1:][same], minlength=CONTEXT)
+                grads[3] += np.bincount(w[1:][same] % CONTEXT, d[:-1][same], minlength=CONTEXT)
+                grads[4] += np.bincount(s, d, minlength=SHAPES)
+                grads[5] += d.sum()
+                on = row[lo:hi][1:] == row[lo:hi][:-1]
+                grads[6] += moves - np.bincount(2 * y[:-1][on] + y[1:][on], minlength=4).reshape(2, 2)
+            for i, k in ((2, "before"), (3, "after")):
+                grads[i] += 0.5 * getattr(self, k)
             adam.step(grads)
         return self
 
     def marginals(self, t: Tokens) -> np.ndarray:
         row, col = chains(t.of)
-        return self.forward_backward(self.emission(t.word, t.shape, t.of), row, col)[0] if len(row) else np.zeros(0)
+        return self.forward_backward(self.emission(t.word, t.parts, t.shape, t.of), row, col)[0] if len(row) else np.zeros(0)
 
 
 def pooled(p: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -179,45 +190,55 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in slices(offsets, SLICE):
             own = offsets[lo : hi + 1]
             t = Tokens(data[own[0] : own[-1]], own - own[0])
-            code = (t.word * SHAPES + t.shape).astype(np.int32)
-            at = np.searchsorted(t.of, np.arange(hi - lo + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(code))], names=["doc_id", "label", "code"])
+            at = pa.array(np.searchsorted(t.of, np.arange(hi - lo + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array((x * SHAPES + t.shape).astype(np.int32))) for x in (t.word, *t.parts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *lists], names=["doc_id", "label", *_CODES])
+
+
+_CODES = ("word", *(f"head{n}" for n in HEADS))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     ids = labelled(labels, "toxic", sample, fold(F.col("doc_id"), FOLDS) != HELD)
-    t = sampled(docs, ids).select("doc_id", "text", "label").mapInArrow(_tokens, "doc_id long, label int, code array<int>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").combine_chunks()
+    schema = "doc_id long, label int" + "".join(f", {c} array<int>" for c in _CODES)
+    t = sampled(docs, ids).select("doc_id", "text", "label").mapInArrow(_tokens, schema).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").combine_chunks()
     y = t["label"].to_numpy() if t.num_rows else np.zeros(0)
     field = Field()
     if len(np.unique(y)) < 2:
         field.prior = float(y.mean()) if len(y) else 0.0
         return field.shrink()
-    column = t["code"].combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    at = np.asarray(column.offsets)
-    code = np.asarray(column.flatten()).astype(np.int64)
+    columns = [t[c].combine_chunks() for c in _CODES]
+    columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    at = np.asarray(columns[0].offsets)
     of = np.repeat(np.arange(len(y)), np.diff(at))
-    word, shape = code // SHAPES, code % SHAPES
-    seen = np.unique(of * WORDS + word)
-    bad = np.bincount(seen[y[seen // WORDS] == 1] % WORDS, minlength=WORDS)
-    every = np.bincount(seen % WORDS, minlength=WORDS)
-    toxic = (bad >= np.maximum(3, FREQUENT * y.sum())) & (2 * bad > every)
-    tag = (toxic[word] & (y[of] == 1)).astype(np.int64)
-    # texts without any such word have nothing to teach beyond the first thousands
-    with_tag = np.bincount(of, toxic[word], minlength=len(y)) > 0
-    use = with_tag | (np.cumsum(~with_tag) <= 2000)
-    chosen = use[of]
-    field.fit(word[chosen], shape[chosen], np.cumsum(use)[of[chosen]] - 1, tag[chosen])
+    codes = [np.asarray(c.flatten()).astype(np.int64) for c in columns]
+    shape, (word, *parts) = codes[0] % SHAPES, [c // SHAPES for c in codes]
+    marked = np.zeros(len(of), bool)
+    for x in (word, *parts):
+        marked |= _telling(of, x, y)[x]
+    tag = (marked & (y[of] == 1)).astype(np.int64)
+    # of the texts without any such word, the first thousands teach as much as all
+    with_mark = np.bincount(of, marked, minlength=len(y)) > 0
+    use = with_mark | (np.cumsum(~with_mark) <= 2000)
+    on = use[of]
+    field.fit(word[on], [x[on] for x in parts], shape[on], np.cumsum(use)[of[on]] - 1, tag[on])
     p = np.zeros(len(of))
     for lo in range(0, len(y), 500):
         a, b = at[lo], at[min(lo + 500, len(y))]
         if b > a:
             row, col = chains(of[a:b])
-            p[a:b] = field.forward_backward(field.emission(word[a:b], shape[a:b], of[a:b]), row, col)[0]
+            p[a:b] = field.forward_backward(field.emission(word[a:b], [x[a:b] for x in parts], shape[a:b], of[a:b]), row, col)[0]
     field.calibration = _logistic(pooled(p, of, len(y)), y)
     return field.shrink()
 
 
+def _telling(of: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Buckets found mostly in toxic documents, and in a share FREQUENT of these."""
+    seen = np.unique(of * WORDS + bucket)
+    bad = np.bincount(seen[y[seen // WORDS] == 1] % WORDS, minlength=WORDS)
+    return (bad >= np.maximum(3, FREQUENT * y.sum())) & (bad > 0.6 * np.bincount(seen % WORDS, minlength=WORDS))
+
+
 def _spans(data: np.ndarray, offsets: np.ndarray, t: Tokens, p: np.ndarray) -> list[str]:
     """start:end in code points of the runs of likely tokens of each text."""
     out: list[list[str]] = [[] for _ in range(len(offsets) - 1)]
