@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from corvella.llm.common import SLICE, Adam, _lut, fold, labelled, sampled, sigmoid, slices, span_hashes, text_of, word_bounds
 
-SAMPLE = 12000
+SAMPLE = 4000
 WINDOW = 64
 WORDS, CONTEXT = 1 << 18, 1 << 14
 SHAPES = 4
