@@ -27,7 +27,7 @@ from corvella.llm.common import SLICE, Adam, _lut, fold, labelled, sampled, sigm
 
 SAMPLE = 4000
 WINDOW = 64
-WORDS, CONTEXT = 1 << 18, 1 << 14
+WORDS, CONTEXT = 1 << 17, 1 << 14
 SHAPES = 4
 #: Numbers of first bytes of a word that are features beside the word.
 HEADS = (4, 5, 6, 7)
@@ -211,11 +211,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
     at = np.asarray(columns[0].offsets)
     of = np.repeat(np.arange(len(y)), np.diff(at))
-    codes = [np.asarray(c.flatten()).astype(np.int64) for c in columns]
+    codes = [np.asarray(c.flatten()) for c in columns]
+    del t, columns
     shape, (word, *parts) = codes[0] % SHAPES, [c // SHAPES for c in codes]
     marked = np.zeros(len(of), bool)
     for x in (word, *parts):
         marked |= _telling(of, x, y)[x]
+    del codes
     tag = (marked & (y[of] == 1)).astype(np.int64)
     # of the texts without any such word, the first thousands teach as much as all
     with_mark = np.bincount(of, marked, minlength=len(y)) > 0
