@@ -6,20 +6,31 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the array code handles at once; a single longer text is handled whole.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch between the JVM and Python, so that a batch of long texts stays small.
+BATCH_ROWS = 2000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows; a lower setting stays. Results don't depend on it."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 # ---------------------------------------------------------------- staged tables
 
 
@@ -120,13 +131,17 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=4)
+_tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse."""
-    inverse = pow(int(_BASE), -1, 1 << 64)
-    up, down = np.full(n, _BASE), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """At least n powers of an odd base modulo 2**64, and of its inverse; one table for each process."""
+    if len(_tables[0]) < n:
+        for i, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
+            t = np.full(n, base, np.uint64)
+            t[0] = 1
+            _tables[i] = np.multiply.accumulate(t)
+    return _tables[0], _tables[1]
 
 
 def _lut(seed: int) -> np.ndarray:
@@ -144,7 +159,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray, lut: np.ndarray = _BYTES):
     """64-bit hash of each span of bytes, the same wherever the span stands; for several ends, one array for each."""
-    up, down = _powers(1 << max(10, len(data).bit_length()))
+    up, down = _powers(1 << max(20, len(data).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(lut[data] * up[: len(data)], out=total[1:])
     out = [mix((total[e] - total[starts]) * down[starts] + (e - starts).astype(np.uint64)) for e in ends]

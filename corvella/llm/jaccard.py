@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvella.llm.common import Scratch, by_group, group_starts, local_roots, mix, slices, span_hashes, text_of, word_bounds
+from corvella.llm.common import Scratch, by_group, group_starts, local_roots, mix, slices, span_hashes, text_of, word_bounds, bounded
 from corvella.llm.components import components
 
 WORDS = 5
@@ -257,7 +257,7 @@ def classes(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (smallest id reachable by links), n_links (other documents linked directly, copies included)."""
     s = scratch or Scratch(docs.sparkSession)
     spark = docs.sparkSession
-    signed = s.stage(docs.select("doc_id", "text").mapInArrow(_sign, SIGNED))
+    signed = s.stage(bounded(docs).select("doc_id", "text").mapInArrow(_sign, SIGNED))
     full = signed.filter("doc_id IS NOT NULL AND n > 0")
     reps = s.stage(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id"), F.count("*").alias("times"), F.first("tokens").alias("tokens"), F.first("small").alias("small")))
 

@@ -29,13 +29,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from corvella.llm.common import _BASE, _BYTES, _powers, flat, slices, span_hashes
+from corvella.llm.common import _BASE, _BYTES, _powers, flat, slices, span_hashes, bounded
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longer words go the plain way, one by one.
 LONGEST = 64
 CACHE = 1 << 19
-SLICE = 1 << 21
+SLICE = 1 << 20
 _MARK = "▁"
 _NEVER = 1 << 30
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
@@ -161,7 +161,7 @@ class PieceModel:
 
     @staticmethod
     def raw(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        up, down = _powers(1 << max(10, len(data).bit_length()))
+        up, down = _powers(1 << max(20, len(data).bit_length()))
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
         return (total[ends] - total[starts]) * down[starts]
@@ -474,7 +474,7 @@ def _encode(model: PieceModel):
 
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, ids, n_ids, and whether decoding gives the text back, for each row."""
-    return docs.select("doc_id", "text").mapInArrow(_encode(load(path)), f"doc_id long, {ENCODED}")
+    return bounded(docs).select("doc_id", "text").mapInArrow(_encode(load(path)), f"doc_id long, {ENCODED}")
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -492,4 +492,4 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
             texts = [None if x else data[a:b].tobytes().decode("utf-8", "replace") for x, a, b in zip(none, ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return bounded(encoded).select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

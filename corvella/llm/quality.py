@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvella.llm.common import SLICE, Adam, fold, labelled, sampled, sigmoid, slices, text_of
+from corvella.llm.common import SLICE, Adam, fold, labelled, sampled, sigmoid, slices, text_of, bounded
 
 PASSAGE = 1024
 SAMPLE = 8000
@@ -147,7 +147,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids = labelled(labels, "quality", sample, fold(F.col("doc_id"), FOLDS) != 0)
-    t = sampled(docs, ids).select("doc_id", "text", "label").mapInArrow(_features, "doc_id long, label int, x binary").toArrow()
+    t = sampled(bounded(docs), ids).select("doc_id", "text", "label").mapInArrow(_features, "doc_id long, label int, x binary").toArrow()
     if not t.num_rows:
         return Model().fit(np.zeros((0, FEATURES)), np.zeros(0), np.zeros(0))
     x = np.frombuffer(b"".join(t["x"].to_pylist()), np.float16).reshape(-1, FEATURES).astype(np.float32)
