@@ -302,7 +302,9 @@ def deduplicate(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One document of each class, the one with the smallest id; a repeated id stays once. Documents without words, and rows without id, stay."""
     s = scratch or Scratch(docs.sparkSession)
     kept = s.stage(classes(docs, s).filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("_rows")))
-    wide = docs.join(kept.hint("merge"), "doc_id")  # as many ids as documents: never a broadcast, at any size
-    once = wide.filter("_rows = 1").select(*docs.columns)
-    many = wide.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
+    own = [F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(docs.columns)]
+    back = [F.col(f"_in{i}").alias(c) for i, c in enumerate(docs.columns)]
+    wide = docs.select("doc_id", *own).join(kept.hint("merge"), "doc_id")  # as many ids as documents: never a broadcast, at any size
+    once = wide.filter("_rows = 1").select(*back)
+    many = wide.filter("_rows > 1").dropDuplicates(["doc_id"]).select(*back)
     return once.unionByName(many).unionByName(docs.filter("doc_id IS NULL"))

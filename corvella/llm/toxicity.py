@@ -2,7 +2,7 @@
 
 Tokens are runs of letters. Training tokens are labelled from the documents' labels:
 a token of a toxic document is toxic if its word or its beginning is found
-mostly in toxic documents, and in a share FREQUENT of them. A two-state chain (word, its
+mostly in toxic documents, after words as many as FREQUENT of these. A two-state chain (word, its
 beginnings, shape, neighbours; transitions) is fitted to
 these labels by its likelihood; forward-backward marginals give each token's chance of
 being toxic, a document's marginals are pooled and calibrated to a document score, and
@@ -34,7 +34,7 @@ HEADS = (4, 5, 6, 7)
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
 SPAN = 0.5
-#: Share of the toxic training documents that hold a toxic word at least; rarer ones come from copies of a few documents.
+#: Different words before a toxic word at least, by the number of toxic training documents; others come from copies of a few documents.
 FREQUENT = 0.01
 
 _GAP = np.ones(256, bool)
@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     shape, (word, *parts) = codes[0] % SHAPES, [c // SHAPES for c in codes]
     marked = np.zeros(len(of), bool)
     for x in (word, *parts):
-        marked |= _telling(of, x, y)[x]
+        marked |= _telling(of, x.astype(np.int64), word, y)[x]
     del codes
     tag = (marked & (y[of] == 1)).astype(np.int64)
     # of the texts without any such word, the first thousands teach as much as all
@@ -234,11 +234,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     return field.shrink()
 
 
-def _telling(of: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Buckets found mostly in toxic documents, and in a share FREQUENT of these."""
-    seen = np.unique(of * WORDS + bucket)
-    bad = np.bincount(seen[y[seen // WORDS] == 1] % WORDS, minlength=WORDS)
-    return (bad >= np.maximum(3, FREQUENT * y.sum())) & (bad > 0.6 * np.bincount(seen % WORDS, minlength=WORDS))
+def _telling(of: np.ndarray, bucket: np.ndarray, word: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Buckets found mostly in toxic documents, and there after many different words, as no phrase is that only copies of a few documents share."""
+    before = np.full(len(word), WORDS)
+    before[1:] = np.where(of[1:] == of[:-1], word[:-1], WORDS)
+    pair = bucket * (WORDS + 1) + before
+    count = lambda x: np.bincount(np.unique(x) // (WORDS + 1), minlength=WORDS)
+    bad = count(pair[y[of] == 1])
+    return (bad >= np.maximum(3, FREQUENT * y.sum())) & (bad > 0.7 * (bad + count(pair[y[of] == 0])))
 
 
 def _spans(data: np.ndarray, offsets: np.ndarray, t: Tokens, p: np.ndarray) -> list[str]:
