@@ -9,8 +9,8 @@ SCHEMA_VERSION = "1.0.0"
 #: Columns of a stored chunk, in storage order.
 CHUNKS = T.StructType(
     [
-        T.StructField("id", T.StringType(), False),
-        T.StructField("vector", T.ArrayType(T.FloatType(), False)),
+        T.StructField("id", T.StringType()),
+        T.StructField("vector", T.ArrayType(T.FloatType())),
         T.StructField("content", T.StringType()),
         T.StructField("filePath", T.StringType()),
         T.StructField("startLine", T.IntegerType()),
