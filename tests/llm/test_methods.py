@@ -8,7 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from conftest import words
+from made import words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import same
