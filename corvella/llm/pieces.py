@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by batched numpy Viterbi.
 
 Texts are cut where a space follows another character; pieces never cross such a
-place. Equal words are encoded once; words of equal length advance together, one byte
-at a time: the hash of every substring that ends there is probed in the sorted piece
+place. Equal words are encoded once; words are sorted by length and those of equal or
+next length advance together, one byte at a time: the hash of every substring that ends there is probed in the sorted piece
 keys, and the best piece's length and id are stored as backpointers.
 
 A unigram model's best is the largest sum of scores. A byte-pair model has no such sum:
@@ -34,8 +34,10 @@ from corvella.llm.common import _BASE, _BYTES, _powers, flat, slices, span_hashe
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longer words go the plain way, one by one.
 LONGEST = 64
-CACHE = 1 << 19
+CACHE = 1 << 20
 SLICE = 1 << 20
+#: Words that advance together.
+ROWS = 8192
 _MARK = "▁"
 _NEVER = 1 << 30
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
@@ -157,7 +159,8 @@ class PieceModel:
         self.may[(key >> np.uint64(44)).astype(np.int64)] = True
         self.longest = int(self.length.max())
         self.lengths = np.zeros(self.longest + 1, bool)
-        self.lengths[self.length[ids]] = True
+        self.lengths[[len(t) for t in text if t.strip(b" ")]] = True
+        self.longest = int(np.flatnonzero(self.lengths)[-1])
 
     @staticmethod
     def raw(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -230,10 +233,10 @@ class Encoder:
             live, a, b, limit = live[on], a[on], b[on], limit[on]
         return out
 
-    # -- words of equal length
+    # -- words of about equal length
 
-    def words(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of m words of n bytes → ids, word by word, and the number of each word's ids."""
+    def words(self, w: np.ndarray, size_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of m words, filled up with zeros to n bytes → ids, word by word, and the number of each word's ids."""
         m, (count, n) = self.m, w.shape
         up, down = _powers(1 << 10)
         total = np.zeros((n + 1, count), np.uint64)
@@ -246,7 +249,7 @@ class Encoder:
         best[0] = 0
         lowest = m.score[m.kind == NORMAL].min() - 10
         for i in range(1, n + 1):
-            todo = np.flatnonzero(lead[i])
+            todo = np.flatnonzero(lead[i] & (size_of >= i))
             for size in range(min(i, m.longest), 0, -1):
                 if not len(todo):
                     break
@@ -271,7 +274,7 @@ class Encoder:
                 if not m.unigram:
                     todo = todo[best[i, todo] == -np.inf]
             for size in range(1, min(i, 4) + 1):  # a character without piece
-                rows = np.flatnonzero(lead[i] & lead[i - size] & (best[i - size] > -np.inf) & (lead[i - size + 1 : i].sum(0) == 0 if size > 1 else True))
+                rows = np.flatnonzero(lead[i] & (size_of >= i) & lead[i - size] & (best[i - size] > -np.inf) & (lead[i - size + 1 : i].sum(0) == 0 if size > 1 else True))
                 if len(rows):
                     alone = m.find((total[i, rows] - total[i - size, rows]) * down[i - size], size) < 0
                     rows = rows[alone]
@@ -280,7 +283,7 @@ class Encoder:
                     rows = rows[ok]
                     best[i, rows], last[i, rows], back[i, rows] = s[ok], m.size, size
         ids, owner, byte_at = [], [], []
-        at, live = np.full(count, n), np.arange(count)
+        at, live = size_of.copy(), np.arange(count)
         while len(live):
             ids.append(last[at[live], live])
             owner.append(live)
@@ -292,16 +295,16 @@ class Encoder:
         ids, owner, byte_at = ids[order], owner[order], byte_at[order]
         odd = ids == m.size
         if odd.any():
-            ids, owner = self._bytes(ids, owner, back, w, byte_at, odd)
+            ids, owner = self._bytes(ids, owner, w, size_of, byte_at, odd)
         return ids.astype(np.int32), np.bincount(owner, minlength=count)
 
-    def _bytes(self, ids, owner, back, w, at, odd):
+    def _bytes(self, ids, owner, w, size_of, at, odd):
         """Characters without piece as their bytes."""
         m = self.m
         if m.bytes[0] < 0:
             return np.where(odd, m.unknown, ids), owner
         nxt = np.append(at[1:], 0)
-        end = np.where(np.append(owner[1:] == owner[:-1], False), nxt, w.shape[1])
+        end = np.where(np.append(owner[1:] == owner[:-1], False), nxt, size_of[owner])
         times = np.where(odd, end - at, 1)
         rep = np.repeat(np.arange(len(ids)), times)
         inside = np.arange(len(rep)) - np.repeat(np.cumsum(times) - times, times)
@@ -375,12 +378,12 @@ class Encoder:
         new = np.flatnonzero(self.known[at] != u) if len(self.known) else np.arange(len(u))
         if len(new):
             order, ids, counts = self._fresh(data, starts[new], ends[new])
-            keys = np.concatenate([self.known, u[new][order]])
-            places = np.concatenate([self.place, len(self.ends) - 1 + np.arange(len(new))])
+            place = np.empty(len(new), np.int64)
+            place[order] = len(self.ends) - 1 + np.arange(len(new))
+            into = np.searchsorted(self.known, u[new])  # both are sorted, so they merge in one pass
+            self.known, self.place = np.insert(self.known, into, u[new]), np.insert(self.place, into, place)
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
             self.flat_store = np.concatenate([self.flat_store, ids])
-            sort = np.argsort(keys)
-            self.known, self.place = keys[sort], places[sort]
             at = np.searchsorted(self.known, u)
         return self.place[at]
 
@@ -390,14 +393,17 @@ class Encoder:
         spaces = np.concatenate([[0], np.cumsum(data == 32)])
         odd = (spaces[ends] - spaces[starts] > 1) | (size > LONGEST)
         order, ids, counts = [], [], []
-        for n in np.unique(size[~odd]):
-            rows = np.flatnonzero((size == n) & ~odd)
-            for lo in range(0, len(rows), 16384):
-                part = rows[lo : lo + 16384]
-                a, b = self.words(data[starts[part][:, None] + np.arange(n)])
-                order.append(part)
-                ids.append(a)
-                counts.append(b)
+        plain = np.flatnonzero(~odd)
+        plain = plain[np.argsort(size[plain], kind="stable")]
+        for lo in range(0, len(plain), ROWS):
+            part = plain[lo : lo + ROWS]
+            column = np.arange(size[part[-1]])
+            w = data[np.minimum(starts[part][:, None] + column, len(data) - 1)]
+            w[column >= size[part][:, None]] = 0
+            a, b = self.words(w, size[part])
+            order.append(part)
+            ids.append(a)
+            counts.append(b)
         for r in np.flatnonzero(odd):
             x = self.plain(data[starts[r] : ends[r]].tobytes())
             order.append(np.array([r]))
