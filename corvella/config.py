@@ -9,8 +9,8 @@ from typing import Any
 
 # Defaults and allowed ranges of the configuration format.
 DEFAULTS: dict[str, Any] = {
-    "lancedb": {"persistPath": "~/.codebase-memory/lancedb"},
-    "embedding": {"modelName": "Xenova/all-MiniLM-L6-v2", "cachePath": "~/.codebase-memory/models"},
+    "lancedb": {"persistPath": "~/.corvella/store"},
+    "embedding": {"modelName": "Xenova/all-MiniLM-L6-v2", "cachePath": "~/.corvella/models"},
     "server": {"port": 8008, "host": "localhost"},
     "ingestion": {"batchSize": 100, "maxFileSize": 1048576, "maxChunkTokens": 512, "chunkOverlapTokens": 50},
     "search": {"defaultMaxResults": 50, "cacheTimeoutSeconds": 60},
