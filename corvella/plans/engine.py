@@ -15,6 +15,7 @@ from corvella.operators import search as search_ops
 from corvella.operators.chunker import ChunkFile
 from corvella.operators.embed import HashEmbedder, embed_column, embed_text
 from corvella.sources import codetree
+from corvella.sources.scratch import staged
 from corvella.sources.store import NotFound, Store, now_iso
 
 
@@ -123,15 +124,19 @@ class Engine:
 
 
 def gapless(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """Numbers from 0 in the given order: rows are sorted by range, numbered in their partition, and each partition's offset added.
+    """Numbers from 0 in the given order, which must tell all rows apart.
 
-    The offsets have a row for each partition; no task holds more than its own range.
+    Rows are sorted by range and written once with their partition and place in it; the
+    offsets, a row for each partition, and the rows themselves are both read from there.
+    Planned twice, the ranges would not be the same: their bounds are sampled, and
+    partitions are merged by size at run time.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
-    offsets = sizes.withColumn("_from", F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).select("_part", "_from")
-    return ranged.withColumn("_row", inside).join(F.broadcast(offsets), "_part").withColumn(out, F.col("_from") + F.col("_row") - 1).drop("_part", "_row", "_from")
+    placed = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).alias("_part")
+    sizes = placed.groupBy(part).agg(F.count("*").alias("_size"))
+    offsets = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_from"))
+    numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return numbered.withColumn(out, F.col("_from") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_from")
 
 
 __all__ = ["Engine", "NotFound", "gapless"]

@@ -1,16 +1,17 @@
 """Codebases as versioned Parquet snapshots.
 
-root/chunks/cb=<table>/v=<n>/ holds version n of a codebase, root/files/... its file
-manifest, root/_manifest.json the current versions. Every change reads version n,
-writes n+1, swaps the manifest in one rename and then removes n, so that a failed
-write leaves the old version in place.
+root/chunks/cb=<table>/v=<n>-<writer>/ holds version n of a codebase, root/files/... its file
+manifest, root/_versions/<i>.json the versions current after change i. Every change
+reads version n, writes n+1 and then makes the next file of _versions in one rename,
+so that a failed write leaves the old version in place and of two writers at once the
+later one fails. Version n stays for those who are reading it until n+2 is written.
+The root may be on any file system that Spark reads.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,36 +19,49 @@ from pyspark.sql import functions as F
 
 from corvella.functions.names import table_of
 from corvella.schema import CHUNKS, FILES
+from corvella.sources.files import Files
+
+
+KEPT_VERSIONS = 10
 
 
 class NotFound(LookupError):
     """No such codebase."""
 
 
+class Conflict(RuntimeError):
+    """Another writer changed the store at the same time."""
+
+
 def now_iso() -> str:
     return datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
+        self.spark, self.root, self.fs = spark, root.rstrip("/"), Files(spark)
+        self.fs.make(f"{self.root}/_versions")
+
+    def _latest(self) -> tuple[int, dict]:
+        """Number of the last change (-1: none yet) and the versions after it."""
+        names = [x for x in self.fs.names(f"{self.root}/_versions") if x.endswith(".json") and x[:-5].isdigit()]
+        if not names:
+            return -1, {}
+        text = self.fs.read(f"{self.root}/_versions/{names[-1]}")
+        return int(names[-1][:-5]), json.loads(text or "{}")
 
     def _manifest(self) -> dict:
-        try:
-            with open(os.path.join(self.root, "_manifest.json"), encoding="utf-8") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {}
+        return self._latest()[1]
 
-    def _swap(self, manifest: dict) -> None:
-        path = os.path.join(self.root, "_manifest.json")
-        with open(path + ".new", "w", encoding="utf-8") as f:
-            json.dump(manifest, f, indent=1, sort_keys=True)
-        os.replace(path + ".new", path)
+    def _swap(self, change: int, manifest: dict) -> None:
+        name = lambda i: f"{self.root}/_versions/{i:012d}.json"
+        if not self.fs.create(name(change), json.dumps(manifest, indent=1, sort_keys=True)):
+            raise Conflict(f"change {change} of {self.root} was made by another writer")
+        if change >= KEPT_VERSIONS:
+            self.fs.remove(name(change - KEPT_VERSIONS))
 
-    def _dir(self, kind: str, table: str, version: int) -> str:
-        return os.path.join(self.root, kind, f"cb={table}", f"v={version}")
+    def _dir(self, kind: str, table: str, version: str) -> str:
+        return f"{self.root}/{kind}/cb={table}/v={version}"
 
     def tables(self) -> list[str]:
         return sorted(self._manifest())
@@ -70,37 +84,34 @@ class Store:
         chosen = [t for t in sorted(manifest) if name is None or t == table_of(name)]
         if not chosen:
             return self.spark.createDataFrame([], CHUNKS).withColumn("cb", F.lit(""))
-        read = self.spark.read.schema(CHUNKS)
-        out = None
-        for t in chosen:
-            one = read.parquet(self._dir("chunks", t, manifest[t]["version"])).withColumn("cb", F.lit(t))
-            out = one if out is None else out.unionByName(one)
-        return out
+        dirs = [self._dir("chunks", t, manifest[t]["dir"]) for t in chosen]
+        return self.spark.read.schema(CHUNKS).option("basePath", f"{self.root}/chunks").parquet(*dirs).drop("v")
 
     def files(self, name: str) -> DataFrame:
         x = self.info(name)
-        return self.spark.read.schema(FILES).parquet(self._dir("files", table_of(name), x["version"]))
+        return self.spark.read.schema(FILES).parquet(self._dir("files", table_of(name), x["dir"]))
 
     def count(self, name: str) -> int:
         return self.chunks(name).count()
 
     def replace(self, name: str, chunks: DataFrame, files: DataFrame | None = None, path: str | None = None) -> None:
         """The next version of a codebase; it may read the present one."""
-        manifest, table = self._manifest(), table_of(name)
+        (change, manifest), table = self._latest(), table_of(name)
         old = manifest.get(table)
         if old and old["name"] != name:
             raise ValueError(f"{name!r} and {old['name']!r} share the table {table}")
-        version = old["version"] + 1 if old else 0
+        number = old["version"] + 1 if old else 0
+        version = f"{number}-{uuid.uuid4().hex[:8]}"  # of two writers, each has a folder of its own
         chunks = chunks.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in chunks.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in CHUNKS])
         chunks.write.mode("overwrite").parquet(self._dir("chunks", table, version))
         if files is None:
             files = self.files(name) if old else self.spark.createDataFrame([], FILES)
         files.select(*FILES.names).write.mode("overwrite").parquet(self._dir("files", table, version))
-        manifest[table] = {"name": name, "version": version, "path": path if path is not None else (old or {}).get("path", "")}
-        self._swap(manifest)
-        if old:
+        manifest[table] = {"name": name, "version": number, "dir": version, "before": old and old["dir"], "path": path if path is not None else (old or {}).get("path", "")}
+        self._swap(change + 1, manifest)
+        if old and old["before"]:
             for kind in ("chunks", "files"):
-                shutil.rmtree(self._dir(kind, table, old["version"]), ignore_errors=True)
+                self.fs.remove(self._dir(kind, table, old["before"]))
 
     def append(self, name: str, chunks: DataFrame) -> None:
         """Appends to a codebase, or creates it."""
@@ -109,23 +120,19 @@ class Store:
         both = self.chunks(name).drop("cb").unionByName(chunks, allowMissingColumns=True)
         return self.replace(name, both)
 
-    def _without(self, name: str, gone) -> int:
+    def _without(self, name: str, gone, files: DataFrame | None = None) -> int:
         self.info(name)
         chunks = self.chunks(name).drop("cb")
         n = chunks.filter(gone).count()
         if n:
-            self.replace(name, chunks.filter(~F.coalesce(gone, F.lit(False))))
+            self.replace(name, chunks.filter(~F.coalesce(gone, F.lit(False))), files)
         return n
 
     def delete_file(self, name: str, path: str) -> int:
         """Number of chunks deleted. Paths are relative and have no '..'."""
         if not path or ".." in path or path.startswith("/"):
             raise ValueError(f"not a relative file path: {path!r}")
-        n = self._without(name, F.col("filePath") == F.lit(path))
-        left = self.files(name).filter(F.col("filePath") != F.lit(path))
-        if n:
-            self.replace(name, self.chunks(name).drop("cb"), left)
-        return n
+        return self._without(name, F.col("filePath") == F.lit(path), self.files(name).filter(F.col("filePath") != F.lit(path)))
 
     def delete_files(self, name: str, paths: DataFrame) -> int:
         """paths: one column filePath; one anti join, whatever their number."""
@@ -140,11 +147,11 @@ class Store:
 
     def drop(self, name: str) -> None:
         self.info(name)
-        manifest = self._manifest()
+        change, manifest = self._latest()
         del manifest[table_of(name)]
-        self._swap(manifest)
+        self._swap(change + 1, manifest)
         for kind in ("chunks", "files"):
-            shutil.rmtree(os.path.join(self.root, kind, f"cb={table_of(name)}"), ignore_errors=True)
+            self.fs.remove(f"{self.root}/{kind}/cb={table_of(name)}")
 
     def rename(self, old: str, new: str) -> int:
         """Number of chunks. A codebase without chunks is dropped and not created anew."""

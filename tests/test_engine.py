@@ -4,7 +4,8 @@ import pytest
 
 from corvella.config import DEFAULTS, ConfigError, load
 from corvella.operators.search import Cache
-from corvella.plans.engine import Engine, NotFound
+from corvella.plans.engine import Engine, NotFound, gapless
+from corvella.sources.store import Conflict, Store
 from corvella.streaming.progress import Jobs, changed_files
 
 TS = "// Checks a password.\nfunction authenticate(user: string, password: string): boolean {\n  return user === password;\n}\n\nexport class Database {\n  connect(): void {\n    open();\n  }\n}\n"
@@ -98,6 +99,42 @@ def test_failed_ingest_keeps_the_old(spark, tree, tmp_path):
     assert [r[0] is None for r in df.select(embed_column(df.t)).collect()] == [False, True, True]
 
 
+def test_row_numbers_survive_merged_partitions(spark):
+    """Wide and narrow readers of one numbering merge partitions at different sizes; bounds of the ranges are sampled."""
+    keys = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        df = spark.range(0, 200_000, numPartitions=16).selectExpr("xxhash64(id) a", "sha2(cast(id as string), 512) wide")
+        got = gapless(df, ["a"], "n").selectExpr("count(wide) c", "count(distinct n) d", "min(n) lo", "max(n) hi").first()
+        assert tuple(got) == (200_000, 200_000, 0, 199_999)
+        ordered = gapless(df, ["a"], "n").selectExpr("a", "lag(a) over (order by n) before").filter("a <= before").count()
+        assert ordered == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_of_two_writers_the_later_fails(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([("1", "x", "a.py")], "id string, content string, filePath string")
+    store.replace("a", rows)
+    store.append("a", rows)
+    assert store.count("a") == 2 and store.chunks("a").columns[-1] == "cb"
+    late = store._latest()
+    store.replace("b", rows)
+    store._latest = lambda: late
+    for name in ("a", "c"):
+        with pytest.raises(Conflict):
+            store.replace(name, rows)
+    del store._latest
+    assert store.names() == ["a", "b"] and store.chunks().count() == 3
+    reader = store.chunks("a")
+    store.append("a", rows)
+    assert reader.count() == 2 and store.count("a") == 3
+
+
 def test_config(tmp_path):
     assert load(env={}) ["search"] == DEFAULTS["search"]
     p = tmp_path / "c.json"
