@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 import json
+import logging
 import os
 from typing import Any
 
@@ -31,6 +32,8 @@ ENVIRONMENT = {
     "SEARCH_CACHE_TIMEOUT_SECONDS": ("search", "cacheTimeoutSeconds", int),
     "LOG_LEVEL": ("logging", "level", str),
 }
+#: Read where no file is named; it may be missing, and a broken one is a warning only.
+DEFAULT_FILE = "~/.corvella/config.json"
 LEVELS = ("debug", "info", "warn", "error")
 
 
@@ -70,15 +73,27 @@ def validate(config: dict) -> dict:
     return config
 
 
+def _read(path: str) -> dict:
+    with open(os.path.expanduser(path), encoding="utf-8") as f:
+        try:
+            out = json.load(f)
+        except json.JSONDecodeError as e:
+            raise ConfigError(f"{path} is not JSON: {e}") from e
+    if not isinstance(out, dict):
+        raise ConfigError(f"{path} must hold an object")
+    return out
+
+
 def load(path: str | None = None, env: dict[str, str] | None = None) -> dict:
     """An explicit file must exist. Every environment key changes its own setting only."""
     config = copy.deepcopy(DEFAULTS)
     if path is not None:
-        with open(os.path.expanduser(path), encoding="utf-8") as f:
-            try:
-                _merge(config, json.load(f))
-            except json.JSONDecodeError as e:
-                raise ConfigError(f"{path} is not JSON: {e}") from e
+        _merge(config, _read(path))
+    elif os.path.exists(os.path.expanduser(DEFAULT_FILE)):
+        try:
+            config = validate(_merge(copy.deepcopy(DEFAULTS), _read(DEFAULT_FILE)))
+        except (OSError, ConfigError) as e:
+            logging.getLogger("corvella").warning("%s was not used: %s", DEFAULT_FILE, e)
     for name, (section, key, kind) in ENVIRONMENT.items():
         if value := (os.environ if env is None else env).get(name):
             try:

@@ -48,6 +48,19 @@ LIBRARY_DIRECTORIES = (
 )
 
 
+def supported_extensions() -> list[str]:
+    return list(LANGUAGES)
+
+
+def languages() -> list[str]:
+    """Each once, in the order of the extensions."""
+    return list(dict.fromkeys(LANGUAGES.values()))
+
+
+def grammar(language: str) -> str | None:
+    return GRAMMARS.get(language)
+
+
 def extension(path: Column) -> Column:
     """Lower-case suffix of the last path part, '' where there is none."""
     return F.lower(F.regexp_extract(path, r"[^/\\](\.[^./\\]*)$", 1))

@@ -76,9 +76,22 @@ def scan_statistics(files: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(by))
 
 
+def _extension() -> Column:
+    return F.when(F.col("extension") == "", "(no extension)").otherwise(F.col("extension")).alias("extension")
+
+
 def unsupported_by_extension(files: DataFrame) -> DataFrame:
-    ext = F.when(F.col("extension") == "", "(no extension)").otherwise(F.col("extension")).alias("extension")
-    return files.filter(~F.col("supported")).groupBy(ext).agg(F.count("*").alias("files"))
+    return files.filter(~F.col("supported")).groupBy(_extension()).agg(F.count("*").alias("files"))
+
+
+def unsupported_files(files: DataFrame, path: str = "relativePath") -> DataFrame:
+    """(extension, path) of each unsupported file, sorted: a group is a range of rows, of any size."""
+    return files.filter(~F.col("supported")).select(_extension(), path).orderBy("extension", path)
+
+
+def files_by_language(files: DataFrame, path: str = "relativePath") -> DataFrame:
+    """(language, path) of each file with a language, sorted: a group is a range of rows, of any size."""
+    return files.filter(F.col("language").isNotNull()).select("language", path).orderBy("language", path)
 
 
 def ingest_language_stats(files: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +20,13 @@ from corvella.sources.scratch import staged
 from corvella.sources.store import NotFound, Store, now_iso
 
 
+Tell = Callable[[str, int, int], None]
+
+
+def _silent(phase: str, current: int, total: int) -> None:
+    pass
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, config: dict | None = None, embedder=HashEmbedder):
         self.spark, self.config, self.embedder = spark, config or DEFAULTS, embedder
@@ -49,28 +57,34 @@ class Engine:
     def scan(self, path: str, respect_gitignore: bool = True) -> DataFrame:
         return codetree.scan(self.spark, path, respect_gitignore, True, self.config["ingestion"]["maxFileSize"])
 
-    def ingest(self, path: str, name: str, respect_gitignore: bool = True) -> dict[str, Any]:
-        """Replaces the codebase when everything is written; a failure leaves the old one."""
+    def ingest(self, path: str, name: str, respect_gitignore: bool = True, tell: Tell = _silent) -> dict[str, Any]:
+        """Replaces the codebase when everything is written; a failure leaves the old one. tell(phase, current, total) follows it."""
         began, name, timestamp = time.monotonic(), normalise(name), now_iso()
+        tell("Scanning", 0, 3)
         files = self.scan(path, respect_gitignore)
         previous = self.store.count(name) if self.store.exists(name) else 0
+        tell("Chunking and embedding", 1, 3)
         self.store.replace(name, self.chunk_rows(files, name, path, timestamp), self._manifest(files), path)
         self.cache.clear()
+        tell("Counting", 2, 3)
         stored, manifest = self.store.chunks(name), self.store.files(name)
         counts = catalog.scan_statistics(files.drop("content")).first().asDict() | codetree.scan_counts(path, respect_gitignore)
         languages = [r.asDict() for r in catalog.ingest_language_stats(manifest, stored).collect()]
+        tell("Complete", 3, 3)
         return counts | {"chunkCount": sum(x["chunkCount"] for x in languages), "previousChunkCount": previous, "languages": languages, "durationMs": round(1000 * (time.monotonic() - began))}
 
-    def rescan(self, name: str, path: str | None = None) -> dict[str, Any]:
+    def rescan(self, name: str, path: str | None = None, tell: Tell = _silent) -> dict[str, Any]:
         """Reads again what changed; gitignore rules always hold here."""
         began, info, timestamp = time.monotonic(), self.store.info(name), now_iso()
         path = path or info["path"]
+        tell("Comparing", 0, 2)
         files, kept = self.scan(path), self.store.chunks(name).drop("cb")
         changes = rescan.diff(self.store.files(name), self._manifest(files))
         counts = rescan.counters(changes).first().asDict()
         if counts["filesAdded"] + counts["filesModified"] + counts["filesDeleted"]:
             gone = changes.filter(F.col("kind").isin("modified", "deleted")).select("filePath")
             new = changes.filter(F.col("kind").isin("added", "modified")).select(F.col("filePath").alias("relativePath"))
+            tell("Chunking and embedding", 1, 2)
             counts["chunksDeleted"] = kept.join(gone, "filePath", "left_semi").count()
             added = self.chunk_rows(files.join(new, "relativePath", "left_semi"), name, path, timestamp)
             both = kept.join(gone, "filePath", "left_anti").unionByName(added, allowMissingColumns=True)
@@ -79,6 +93,7 @@ class Engine:
         else:
             counts |= {"chunksAdded": 0, "chunksDeleted": 0}
         self.cache.clear()
+        tell("Complete", 2, 2)
         return counts | {"durationMs": round(1000 * (time.monotonic() - began))}
 
     def search(self, query: str, codebase: str | None = None, language: str | None = None, max_results: int = 0, exclude_tests: bool = False, exclude_libraries: bool = False) -> dict[str, Any]:

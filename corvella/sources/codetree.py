@@ -115,3 +115,11 @@ def scan_counts(root: str, respect_gitignore: bool = True, skip_hidden: bool = T
     for _ in walk(root, respect_gitignore, skip_hidden, counts):
         pass
     return counts
+
+
+def folders(path: str) -> dict:
+    """Folders directly below a folder, by name without regard to case; hidden ones and links are left out. The parent of the root is null."""
+    path = os.path.abspath(path)
+    names = sorted((e.name for e in os.scandir(path) if e.is_dir(follow_symlinks=False) and not e.name.startswith(".")), key=lambda n: (n.casefold(), n.swapcase()))
+    up = os.path.dirname(path)
+    return {"currentPath": path, "parentPath": up if up != path else None, "directories": [{"name": n, "path": os.path.join(path, n)} for n in names]}
