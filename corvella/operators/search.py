@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +41,81 @@ def nearest_to_row(df: DataFrame, key: str, value, k: int, vector: str = "vector
     return nearest(joined, F.col("_query"), k, vector, (key,), metric).drop("_query")
 
 
+#: Queries of a block, whose vectors go to every task, and rows that meet them at once.
+QUERIES, ROWS = 2048, 2048
+
+
+def _comparable(vector: str) -> Column:
+    v = F.col(vector)
+    return F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), -1)
+
+
+def _best(keys: np.ndarray, queries: np.ndarray, k: int):
+    """Each task's k nearest rows of every query of a block.
+
+    A matrix product tells which rows can be among them; their distances are then summed
+    component by component, so that equal vectors have equal distances.
+    """
+    square = (queries * queries).sum(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, ids, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        bound = np.full(len(keys), np.inf)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                part = whole.slice(lo, ROWS)
+                part = part.filter(pa.array(np.diff(np.asarray(part.column(1).offsets)) == queries.shape[1]))
+                if not part.num_rows:
+                    continue
+                x, own = _matrix(part.column(1)), part.column(0).to_numpy()
+                norm = (x * x).sum(1)
+                near = square[:, None] - 2 * queries @ x.T + norm
+                slack = 1e-9 * (square[:, None] + norm)
+                top = np.minimum(bound, np.partition(near + slack, k - 1, axis=1)[:, k - 1]) if len(own) >= k else bound
+                i, j = np.nonzero(near - slack <= top[:, None])
+                exact = np.concatenate([np.cumsum((queries[i[a : a + ROWS]] - x[j[a : a + ROWS]]) ** 2, axis=1)[:, -1] for a in range(0, len(i), ROWS)] or [np.zeros(0)])
+                q, ids, d = np.concatenate([q, i]), np.concatenate([ids, own[j]]), np.concatenate([d, exact])
+                order = np.lexsort((ids, d, q))
+                rank = np.arange(len(order)) - np.searchsorted(q[order], q[order], "left")
+                keep = order[rank < k]
+                q, ids, d = q[keep], ids[keep], d[keep]
+                full = np.flatnonzero(np.bincount(q, minlength=len(keys)) == k)
+                bound[full] = d[np.searchsorted(q, full, "right") - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[q]), pa.array(ids), pa.array(d)], names=["_query", "_row", "d"])
+
+    return run
+
+
 def nearest_batch(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "qid", query_vector: str = "query") -> DataFrame:
-    """k nearest rows of each query. The queries are a stated set; each task keeps k rows of a query before the shuffle."""
-    d = df.join(queries, how="cross").withColumn("d", vectors.squared_l2(F.col(vector), F.col(query_vector)))
-    w = Window.partitionBy(query_key).orderBy("d", key)
-    return d.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
+    """query_key, key, d and rk (from 1) of the k nearest rows of each query, ties to the smaller key; keys are integers.
+
+    Queries are taken in blocks of QUERIES, in the order of their keys, so that what a task
+    holds is bounded; each task returns k rows of a query. Vectors that are null or hold
+    null or non-finite components take no part, nor do those without key; vectors of
+    different lengths aren't compared. Of queries with the same key one is asked.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(key).cast("long").alias("_row"), F.col(vector).alias("_v")).filter(_comparable("_v") & F.col("_row").isNotNull())
+    asked = queries.select(F.col(query_key).cast("long").alias("_query"), F.col(query_vector).alias("_v")).filter(_comparable("_v") & F.col("_query").isNotNull()).dropDuplicates(["_query"])
+    found, after = spark.createDataFrame([], "_query long, _row long, d double"), None
+    while True:
+        block = (asked if after is None else asked.filter(F.col("_query") > after)).orderBy("_query").limit(QUERIES).toArrow().combine_chunks()
+        if block.num_rows:
+            keys, vectors_ = block["_query"].to_numpy(), pa.concat_arrays(block["_v"].chunks)
+            lengths = np.diff(np.asarray(vectors_.offsets))
+            for n in np.unique(lengths):
+                same = lengths == n
+                found = found.unionByName(rows.mapInArrow(_best(keys[same], _matrix(vectors_.filter(pa.array(same))), k), found.schema))
+            after = int(keys[-1])
+        if block.num_rows < QUERIES:
+            break
+    w = Window.partitionBy("_query").orderBy("d", "_row")
+    ranked = found.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
+    return ranked.select(F.col("_query").alias(query_key), F.col("_row").alias(key), "d", "rk")
 
 
 def result(df: DataFrame) -> DataFrame:

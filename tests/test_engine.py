@@ -99,6 +99,30 @@ def test_failed_ingest_keeps_the_old(spark, tree, tmp_path):
     assert [r[0] is None for r in df.select(embed_column(df.t)).collect()] == [False, True, True]
 
 
+def test_nearest_batch_against_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from corvella.operators import search
+
+    monkeypatch.setattr(search, "QUERIES", 7)
+    r = np.random.default_rng(4)
+    x = r.normal(0, 1, (300, 6)).round(1)
+    x[100:140] = x[0]  # ties beyond k
+    data = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    odd = [(900, None), (901, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (902, [float("nan")] * 6), (903, [1.0, 2.0]), (904, [1.0, 2.5]), (None, [0.0] * 6), (905, [])]
+    df = spark.createDataFrame(data + odd, "vec_id long, embedding array<double>").repartition(5)
+    ask = df.filter("vec_id % 10 = 0 OR vec_id > 900").selectExpr("vec_id qid", "embedding query")
+    got = {(a["qid"], a["rk"]): (a["vec_id"], a["d"]) for a in search.nearest_batch(df, ask.union(ask), 4).collect()}
+    want = {}
+    for q in range(0, 300, 10):
+        d = [sum((a - b) ** 2 for a, b in zip(data[q][1], v, strict=True)) for _, v in data]
+        for rk, i in enumerate(sorted(range(300), key=lambda i: (d[i], i))[:4], 1):
+            want[q, rk] = i
+    want |= {(903, 1): 903, (903, 2): 904, (904, 1): 904, (904, 2): 903}
+    assert {k: v[0] for k, v in got.items()} == want
+    assert search.nearest_batch(df, ask.limit(0), 4).count() == 0 and search.nearest_batch(df.limit(0), ask, 4).count() == 0
+
+
 def test_row_numbers_survive_merged_partitions(spark):
     """Wide and narrow readers of one numbering merge partitions at different sizes; bounds of the ranges are sampled."""
     keys = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
