@@ -1,7 +1,7 @@
 """Semantic chunks of source files: classes, functions, methods, interfaces, fields, properties.
 
-Python is read with its own parser; a file it can't parse has no chunks. The brace
-languages are read by a lexer that blanks strings and comments and a scan for
+Python is read with its own parser; a file it can't parse (broken, or of an old
+version) is read by indentation. The brace languages are read by a lexer that blanks strings and comments and a scan for
 declarations over what is left, which copes with malformed code. Nested
 declarations are chunks too, outer ones first.
 """
@@ -9,6 +9,7 @@ declarations are chunks too, outer ones first.
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -59,8 +60,6 @@ class _Source:
         self.breaks = [m.start() for m in re.finditer("\n", text)]
 
     def line(self, at: int) -> int:
-        import bisect
-
         return bisect.bisect_left(self.breaks, at) + 1
 
     def chunk(self, start: int, end: int, kind: str) -> Chunk:
@@ -200,7 +199,8 @@ def _members(src: _Source, language: str) -> list[tuple[int, int, str]]:
 def _python(text: str) -> Iterator[Chunk]:
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        yield from _indented(text)
         return
     rows = text.split("\n")
 
@@ -232,6 +232,50 @@ def _python(text: str) -> Iterator[Chunk]:
     yield from walk(tree, False)
 
 
+_LITERALS = re.compile(r'#[^\n]*|"""(?:\\.|.)*?(?:"""|\Z)|\'\'\'(?:\\.|.)*?(?:\'\'\'|\Z)|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', re.S)
+_HEADER = re.compile(r"(?:async[ \t]+)?(def|class)[ \t]+\w+")
+
+
+def _indented(text: str) -> Iterator[Chunk]:
+    """Definitions by their headers; a body lasts while lines are indented deeper, or blank, or inside brackets, strings and comments."""
+    code = _LITERALS.sub(lambda m: re.sub(r"[^\n]", " " if m[0][0] == "#" else "_", m[0]), text)
+    rows, masked = text.split("\n"), code.split("\n")
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    within = {bisect.bisect_left(breaks, m.start()) + 1 + i for m in _LITERALS.finditer(text) for i in range(m[0].count("\n"))}
+    depth, inside, indent = 0, [], []
+    for at, row in enumerate(masked):
+        inside.append(depth > 0 or at in within)
+        depth = max(0, depth + sum(row.count(c) for c in "([{") - sum(row.count(c) for c in ")]}"))
+        if _HEADER.match(row.lstrip()) and row.rstrip().endswith(":"):
+            depth = 0  # a bracket left open before is a fault of the file
+            inside[-1] = at in within
+        indent.append(len(row) - len(row.lstrip()) if row.strip() else None)
+    open_: list[tuple[int, str]] = []  # indentation and kind of the definitions around
+    for i, row in enumerate(masked):
+        if indent[i] is None or inside[i]:
+            continue
+        while open_ and open_[-1][0] >= indent[i]:
+            open_.pop()
+        if not (m := _HEADER.match(row.lstrip())):
+            continue
+        end = i
+        for j in range(i + 1, len(rows)):
+            if indent[j] is not None:
+                if indent[j] <= indent[i] and not inside[j] and not (j == i + 1 and row.rstrip().endswith("\\")) and not masked[j].lstrip().startswith(")"):
+                    break
+                end = j
+        if end == i and row.rstrip().endswith(":"):  # a header without a body defines nothing
+            continue
+        start = i
+        if i and rows[i - 1].lstrip().startswith("#"):
+            start = i - 1
+        part = rows[start : end + 1]
+        part[0] = part[0].lstrip()
+        kind = "class" if m[1] == "class" else "method" if any(k == "class" for _, k in open_) else "function"
+        open_.append((indent[i], m[1]))
+        yield Chunk("\n".join(part), start + 1, end + 1, kind)
+
+
 def chunks(text: str, language: str) -> list[Chunk]:
     if language == "python":
         return list(_python(text))

@@ -136,3 +136,53 @@ def test_ignore():
     rules = Ignore("# note\n/top.ts\n*.tmp\n!keep.tmp\nbuild/\ndoc/**/x.md\n[ab].js\n")
     for path, want in {"top.ts": True, "d/top.ts": False, "d/a.tmp": True, "keep.tmp": False, "d/build/z.ts": True, "build": False, "doc/q/r/x.md": True, "doc/x.md": True, "a.js": True, "c.js": False}.items():
         assert rules.ignored(path) == want, path
+
+
+def test_python_that_cannot_be_parsed():
+    text = '''import os
+
+# Says it.
+def old(x):
+    print "def no(): in a string", x
+    y = """
+def not_code():
+"""
+    return y
+
+class Thing(object):
+    """Text."""
+    def run(self, a=[1,
+2], b=(3)):
+        def inner():
+            exec "1"
+
+        return inner
+
+    async def later(self):
+        pass
+
+def broken(:
+    pass
+
+print "end"
+'''
+    got = [(c.kind, c.start, c.end, c.content.split("\n")[0]) for c in chunks(text, "python")]
+    assert got == [
+        ("function", 3, 9, "# Says it."),
+        ("class", 11, 21, "class Thing(object):"),
+        ("method", 13, 18, "def run(self, a=[1,"),
+        ("method", 15, 16, "def inner():"),
+        ("method", 20, 21, "async def later(self):"),
+        ("function", 23, 24, "def broken(:"),
+    ]
+    assert chunks("x = (\n", "python") == [] and chunks("\0", "python") == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="defclas x():\n\t \"'#\\[]=", max_size=200))
+def test_any_text_can_be_read_by_indentation(source):
+    from corvella.operators.chunker import _indented
+
+    rows = source.count("\n") + 1
+    for c in _indented(source):
+        assert 1 <= c.start <= c.end <= rows and c.content.count("\n") == c.end - c.start
