@@ -16,7 +16,7 @@ from corvella.operators import search as search_ops
 from corvella.operators.chunker import ChunkFile
 from corvella.operators.embed import HashEmbedder, embed_column, embed_text
 from corvella.sources import codetree
-from corvella.sources.scratch import staged
+from corvella.sources.scratch import Staging
 from corvella.sources.store import NotFound, Store, now_iso
 
 
@@ -33,8 +33,9 @@ class Engine:
         self.store = Store(spark, root)
         self.cache = search_ops.Cache(self.config["search"]["cacheTimeoutSeconds"])
 
-    def chunk_rows(self, files: DataFrame, name: str, path: str, timestamp: str, first: int = 0) -> DataFrame:
-        """files → embedded chunk rows with gapless ids in the order of path and chunk."""
+    def chunk_rows(self, files: DataFrame, name: str, path: str, timestamp: str, first: int = 0, stage: Staging | None = None) -> DataFrame:
+        """files → embedded chunk rows with gapless ids in the order of path and chunk. The chunks are written once before they are numbered, so that code is parsed once."""
+        stage = stage or Staging(self.spark)
         self.spark.udtf.register("chunk_file", ChunkFile)
         c = self.config["ingestion"]
         view = "_corvella_files"
@@ -42,7 +43,7 @@ class Engine:
         rows = self.spark.sql(
             f"SELECT f.relativePath AS filePath, f.language, f.isTestFile, f.isLibraryFile, f.fileHash, c.* FROM {view} f, LATERAL chunk_file(f.content, f.language, {c['maxChunkTokens']}, {c['chunkOverlapTokens']}) c"
         ).filter(F.col("content").rlike(r"\S"))
-        rows = gapless(rows, ["filePath", "ordinal"], "_n")
+        rows = gapless(stage(rows), ["filePath", "ordinal"], "_n", stage)
         return rows.select(
             F.concat(F.lit(f"{name}_{timestamp}_"), (F.col("_n") + first).cast("string")).alias("id"),
             embed_column(F.col("content"), self.embedder).alias("vector"),
@@ -64,7 +65,8 @@ class Engine:
         files = self.scan(path, respect_gitignore)
         previous = self.store.count(name) if self.store.exists(name) else 0
         tell("Chunking and embedding", 1, 3)
-        self.store.replace(name, self.chunk_rows(files, name, path, timestamp), self._manifest(files), path)
+        with Staging(self.spark) as stage:
+            self.store.replace(name, self.chunk_rows(files, name, path, timestamp, stage=stage), self._manifest(files), path)
         self.cache.clear()
         tell("Counting", 2, 3)
         stored, manifest = self.store.chunks(name), self.store.files(name)
@@ -86,9 +88,10 @@ class Engine:
             new = changes.filter(F.col("kind").isin("added", "modified")).select(F.col("filePath").alias("relativePath"))
             tell("Chunking and embedding", 1, 2)
             counts["chunksDeleted"] = kept.join(gone, "filePath", "left_semi").count()
-            added = self.chunk_rows(files.join(new, "relativePath", "left_semi"), name, path, timestamp)
-            both = kept.join(gone, "filePath", "left_anti").unionByName(added, allowMissingColumns=True)
-            self.store.replace(name, both, self._manifest(files), path)
+            with Staging(self.spark) as stage:
+                added = self.chunk_rows(files.join(new, "relativePath", "left_semi"), name, path, timestamp, stage=stage)
+                both = kept.join(gone, "filePath", "left_anti").unionByName(added, allowMissingColumns=True)
+                self.store.replace(name, both, self._manifest(files), path)
             counts["chunksAdded"] = self.store.chunks(name).filter(F.col("ingestionTimestamp") == timestamp).count()
         else:
             counts |= {"chunksAdded": 0, "chunksDeleted": 0}
@@ -138,7 +141,7 @@ class Engine:
         self.store.drop(name)
 
 
-def gapless(df: DataFrame, order: list[str], out: str) -> DataFrame:
+def gapless(df: DataFrame, order: list[str], out: str, stage: Staging | None = None) -> DataFrame:
     """Numbers from 0 in the given order, which must tell all rows apart.
 
     Rows are sorted by range and written once with their partition and place in it; the
@@ -146,7 +149,8 @@ def gapless(df: DataFrame, order: list[str], out: str) -> DataFrame:
     Planned twice, the ranges would not be the same: their bounds are sampled, and
     partitions are merged by size at run time.
     """
-    placed = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    stage = stage or Staging(df.sparkSession)
+    placed = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33).alias("_part")
     sizes = placed.groupBy(part).agg(F.count("*").alias("_size"))
     offsets = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_from"))

@@ -11,6 +11,7 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 from corvella.sources.files import Files
@@ -24,18 +25,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The same rows, read from a table in the shared folder that goes when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corvella-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+class Staging:
+    """Calls write a table and give the same rows read from there; the tables go at the end of a `with`, else of the driver."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+        atexit.register(self.clear)
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None:
-            Files(spark).remove(path)
-    except Exception:  # the session has ended before the driver
-        pass
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/corvella-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+        atexit.unregister(self.clear)
+
+    def clear(self) -> None:
+        if self.spark.sparkContext._jsc is None:  # the session has ended before the driver
+            return
+        try:
+            while self.paths:
+                Files(self.spark).remove(self.paths.pop())
+        except (ConnectionError, Py4JError):
+            pass

@@ -140,6 +140,17 @@ def test_row_numbers_survive_merged_partitions(spark):
             spark.conf.set(k, v)
 
 
+def test_an_ingest_leaves_no_tables_behind(spark, tree, tmp_path):
+    import os
+
+    from corvella.sources.scratch import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    Engine(spark, str(tmp_path / "s")).ingest(str(tree), "a")
+    assert set(os.listdir(folder)) == before
+
+
 def test_of_two_writers_the_later_fails(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     rows = spark.createDataFrame([("1", "x", "a.py")], "id string, content string, filePath string")
