@@ -34,7 +34,7 @@ class Engine:
         self.cache = search_ops.Cache(self.config["search"]["cacheTimeoutSeconds"])
 
     def chunk_rows(self, files: DataFrame, name: str, path: str, timestamp: str, first: int = 0, stage: Staging | None = None) -> DataFrame:
-        """files → embedded chunk rows with gapless ids in the order of path and chunk. The chunks are written once before they are numbered, so that code is parsed once."""
+        """files → embedded chunk rows with gapless ids in the order of path and chunk. Parsed and embedded once, written, then numbered: chunks without an embedding get no id."""
         stage = stage or Staging(self.spark)
         self.spark.udtf.register("chunk_file", ChunkFile)
         c = self.config["ingestion"]
@@ -43,13 +43,13 @@ class Engine:
         rows = self.spark.sql(
             f"SELECT f.relativePath AS filePath, f.language, f.isTestFile, f.isLibraryFile, f.fileHash, c.* FROM {view} f, LATERAL chunk_file(f.content, f.language, {c['maxChunkTokens']}, {c['chunkOverlapTokens']}) c"
         ).filter(F.col("content").rlike(r"\S"))
-        rows = gapless(stage(rows), ["filePath", "ordinal"], "_n", stage)
+        rows = stage(rows.withColumn("vector", embed_column(F.col("content"), self.embedder))).filter(F.col("vector").isNotNull())
+        rows = gapless(rows, ["filePath", "ordinal"], "_n", stage)
         return rows.select(
             F.concat(F.lit(f"{name}_{timestamp}_"), (F.col("_n") + first).cast("string")).alias("id"),
-            embed_column(F.col("content"), self.embedder).alias("vector"),
-            *("content", "filePath", "startLine", "endLine", "language", "chunkType", "isTestFile", "isLibraryFile", "fileHash"),
+            *("vector", "content", "filePath", "startLine", "endLine", "language", "chunkType", "isTestFile", "isLibraryFile", "fileHash"),
             *[F.lit(v).alias(k) for k, v in (("ingestionTimestamp", timestamp), ("_codebaseName", name), ("_path", path), ("_lastIngestion", timestamp))],
-        ).filter(F.col("vector").isNotNull())
+        )
 
     @staticmethod
     def _manifest(files: DataFrame) -> DataFrame:
