@@ -7,6 +7,7 @@ once in each Python worker.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -14,6 +15,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,14 +50,21 @@ class HashEmbedder:
 _made: dict[str, Embedder] = {}
 
 
-def embedder_of(factory: Callable[[], Embedder], key: str = "default") -> Embedder:
+def key_of(factory: Callable[[], Embedder]) -> str:
+    """The same for the same factory in every process; factories that differ have embedders of their own."""
+    return hashlib.md5(cloudpickle.dumps(factory)).hexdigest()
+
+
+def embedder_of(factory: Callable[[], Embedder], key: str | None = None) -> Embedder:
+    key = key or key_of(factory)
     if key not in _made:
         _made[key] = factory()
     return _made[key]
 
 
-def embed_column(text: Column, factory: Callable[[], Embedder] = HashEmbedder, key: str = "default") -> Column:
+def embed_column(text: Column, factory: Callable[[], Embedder] = HashEmbedder, key: str | None = None) -> Column:
     """A failing batch is tried row by row; rows that fail are null and others keep their places."""
+    key = key or key_of(factory)
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -77,7 +86,7 @@ def embed_column(text: Column, factory: Callable[[], Embedder] = HashEmbedder, k
     return run(text)
 
 
-def embed_text(text: str, factory: Callable[[], Embedder] = HashEmbedder, key: str = "default") -> list[float]:
+def embed_text(text: str, factory: Callable[[], Embedder] = HashEmbedder, key: str | None = None) -> list[float]:
     if not text or not text.strip():
         raise ValueError("a blank text has no embedding")
     return [float(x) for x in embedder_of(factory, key).embed([text])[0]]

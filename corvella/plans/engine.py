@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -38,11 +39,12 @@ class Engine:
         stage = stage or Staging(self.spark)
         self.spark.udtf.register("chunk_file", ChunkFile)
         c = self.config["ingestion"]
-        view = "_corvella_files"
+        view = f"_corvella_{uuid.uuid4().hex}"  # jobs may run side by side
         files.filter("supported").createOrReplaceTempView(view)
         rows = self.spark.sql(
             f"SELECT f.relativePath AS filePath, f.language, f.isTestFile, f.isLibraryFile, f.fileHash, c.* FROM {view} f, LATERAL chunk_file(f.content, f.language, {c['maxChunkTokens']}, {c['chunkOverlapTokens']}) c"
         ).filter(F.col("content").rlike(r"\S"))
+        self.spark.catalog.dropTempView(view)
         rows = stage(rows.withColumn("vector", embed_column(F.col("content"), self.embedder))).filter(F.col("vector").isNotNull())
         rows = gapless(rows, ["filePath", "ordinal"], "_n", stage)
         return rows.select(

@@ -140,6 +140,23 @@ def test_row_numbers_survive_merged_partitions(spark):
             spark.conf.set(k, v)
 
 
+def test_engines_keep_to_their_own_embedder(spark, tree, tmp_path):
+    class Constant:
+        dimension, name = 3, "constant"
+
+        def embed(self, texts):
+            import numpy as np
+
+            return np.full((len(texts), 3), 2.0, np.float32)
+
+    one, two = Engine(spark, str(tmp_path / "one")), Engine(spark, str(tmp_path / "two"), embedder=Constant)
+    for engine in (one, two):
+        engine.ingest(str(tree), "a")
+    assert {len(r[0]) for r in one.store.chunks("a").select("vector").collect()} == {384}
+    assert {tuple(r[0]) for r in two.store.chunks("a").select("vector").collect()} == {(2.0, 2.0, 2.0)}
+    assert {r["similarityScore"] for r in two.search("any words")["results"]} == {1.0} and one.search("any words")["results"]
+
+
 def test_an_ingest_leaves_no_tables_behind(spark, tree, tmp_path):
     import os
 
