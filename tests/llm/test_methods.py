@@ -361,6 +361,25 @@ def test_network_finds_planted_keys(spark):
     assert all(out[5000 + i]["n_added"] <= 1 for i in range(20))
 
 
+def test_network_finds_keys_without_other_candidates(spark, monkeypatch):
+    """All runs but the planted keys are short; of many documents only few windows are learned from, the planted keys are not among them."""
+    monkeypatch.setattr(secrets, "FINDINGS", 60)
+    r = random.Random(6)
+    key = lambda: "".join(r.choice("abcdef0123456789ABCDEFGHIJKLMNOP") for _ in range(31)) + "7"
+    short = lambda n: " ".join(r.choice(WORDS_IN_ORDER) for _ in range(n))
+    rows = [(i, f"{short(20)} token = \"{key()}\" {short(20)}") for i in range(300)] + [(1000 + i, short(40)) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    network = secrets.train(docs)
+    assert network.threshold is not None
+    planted = [f"{short(10)} credential {key()} {short(10)}" for _ in range(50)]
+    found = secrets.find(planted + [t for i, t in rows if i >= 1000], network)
+    assert sum(len(s) - len(b) for b, s in found[:50]) >= 45
+    assert sum(len(s) - len(b) for b, s in found[50:]) == 0
+    # with them in the table: scanned as well
+    out = secrets.scan(docs.unionByName(spark.createDataFrame([(5000 + i, t) for i, t in enumerate(planted[:5])], docs.schema)))
+    assert out.filter("doc_id >= 5000 AND n_added = 1").count() >= 4
+
+
 def test_redaction():
     assert secrets.redact_text("a token=xyz b", [(2, 11, "assign"), (8, 11, "hex")]) == "a [SECRET] b"
 
