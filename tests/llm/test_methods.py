@@ -380,6 +380,27 @@ def test_network_finds_keys_without_other_candidates(spark, monkeypatch):
     assert out.filter("doc_id >= 5000 AND n_added = 1").count() >= 4
 
 
+def test_every_run_of_the_least_length_is_a_candidate(spark):
+    for run in ("a1b2c3d4e5f6", "correcthorsebattery", "123456789012", "ab.cd.ef.gh.12", "x" * 5000):
+        assert secrets.candidates(f"of {run} and", []) == [(3, 3 + len(run), "cnn")]
+    assert secrets.candidates("of a1b2c3d4e5f and", []) == []
+    seen = secrets.windows("before ", "".join(chr(33 + i % 90) for i in range(400)), " after")
+    assert all(len(w) == secrets.WIDE for w in seen)
+    whole = "".join(chr(33 + i % 90) for i in range(400))
+    assert all(any(whole[i : i + 32].encode() in w for w in seen) for i in range(400 - 31))
+    r = random.Random(7)
+    key = lambda n: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    line = lambda n: " ".join(r.choice(WORDS_IN_ORDER) + "/some/ordinary/folder" * (i % 9 == 0) for i in range(n))
+    rows = [(i, f"{line(20)} token = \"{key(r.randrange(12, 40))}\" {line(20)}") for i in range(300)]
+    rows += [(1000 + i, line(40)) for i in range(100)]
+    network = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    inside = [f"{line(9)} {'some/ordinary/folder/' * 9}{key(48)}{'/some/ordinary/folder' * 9} {line(9)}" for _ in range(20)]
+    short = [f"{line(20)} {key(14)} {line(20)}" for _ in range(20)]
+    plain = [f"{line(9)} {'some/ordinary/folder/' * 19} {line(9)}" for _ in range(20)]
+    n = [sum(len(s) > len(b) for b, s in secrets.find(texts, network)) for texts in (inside, short, plain)]
+    assert n[0] >= 18 and n[1] >= 18 and n[2] == 0, n
+
+
 def test_redaction():
     assert secrets.redact_text("a token=xyz b", [(2, 11, "assign"), (8, 11, "hex")]) == "a [SECRET] b"
 
