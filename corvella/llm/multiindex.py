@@ -4,9 +4,15 @@ Equal vectors are collapsed to one with a count. Two codebooks, one for each hal
 the dimensions, are learned from a bounded sample (SAMPLE vectors); the pairs of
 their centroids are the cells of a product grid and every vector is filed in its
 nearest cell. A query visits cells by the multi-sequence order: by the sum of its two
-half distances, nearest first. The number of cells visited is the least that reaches
-the target recall on the sample, found by brute force there, with a margin. Pairs
-that meet in a cell are verified by cosine in double precision.
+half distances, nearest first. The number of cells visited is set on QUERIES vectors
+that no codebook was learned from and that are compared with all rows: for each of their near pairs it is told exactly from
+which number of visits on the two meet, and the least power of two counts at which the
+mean recall of a query reaches the target, with a margin of two. Each query weighs the
+same, however many neighbours it has (of those, at most NEIGHBOURS in each block of rows
+are looked at). Where so many visits would file more rows than the comparison of all
+blocks with all others, or where no query has a neighbour, so that no recall can be
+measured, all rows are filed in one cell, which compares them exactly. Pairs that meet
+in a cell are verified by cosine in double precision.
 
 A task compares a cell's filed vectors with the cell's visitors, block against block
 where a cell is large, and returns each vector's number of links and a spanning
@@ -14,9 +20,8 @@ forest. A pair that meets in two cells counts in the smaller one only, which bot
 rows tell from their own list of cells.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
-components link with nothing. Vectors of another length than most of the sample link
-with vectors of the same length only by the brute-force rule that they share no cell,
-so not at all. A null vec_id takes no part; its row has null component and is not
+components link with nothing. Vectors of another length than most of the sample share
+no cell with others, so they link only with equal ones. A null vec_id takes no part; its row has null component and is not
 kept. Repeated rows count as other vectors. Extra columns play no part.
 """
 
@@ -34,6 +39,9 @@ from corvella.llm.components import components
 
 COSINE = 0.9
 SAMPLE = 8192
+#: Vectors whose neighbours among all rows set the number of visits.
+QUERIES = 512
+NEIGHBOURS = 64
 RECALL = 0.99
 BLOCK = 1024
 #: Vectors of a cell on average, from which the size of the codebooks follows.
@@ -76,12 +84,45 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Index:
     """Codebooks and the number of cells to visit."""
 
-    def __init__(self, sample: np.ndarray, rows: int, recall: float = RECALL):
+    def __init__(self, sample: np.ndarray, rows: int):
         self.half = sample.shape[1] // 2
         self.dimension = sample.shape[1]
         k = int(np.clip(np.sqrt(rows / FILED), 1, CENTROIDS))
         self.books = [kmeans(sample[:, : self.half], k), kmeans(sample[:, self.half :], k)]
-        self.visits = self._calibrate(sample, recall)
+        self.rows, self.visits = rows, 1
+
+    @property
+    def cells(self) -> int:
+        return len(self.books[0]) * len(self.books[1])
+
+    def compare_all(self) -> None:
+        """One cell for all rows: its blocks are compared with one another."""
+        self.books, self.visits = [b[:1] for b in self.books], 1
+
+    def needed(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For each row of x and of y, from which number of visits on the two meet: how many cells come no later than the one's own cell in
+        the other's order, the lesser of both ways. Ties count as earlier, so the number is never too small."""
+        own = [[_distances(z[:, h], b).argmin(1) for h, b in zip((slice(None, self.half), slice(self.half, None)), self.books, strict=True)] for z in (x, y)]
+        best = np.full(len(x), self.cells, np.int64)
+        for z, cell in ((x, own[1]), (y, own[0])):
+            d = [_distances(z[:, : self.half], self.books[0]), _distances(z[:, self.half :], self.books[1])]
+            for i in range(len(z)):
+                most = d[0][i, cell[0][i]] + d[1][i, cell[1][i]] + 1e-12
+                best[i] = min(best[i], np.searchsorted(np.sort(d[1][i]), most - d[0][i], "right").sum())
+        return best
+
+    def set_visits(self, pairs: list[tuple[int, int, int]], recall: float = RECALL) -> None:
+        """pairs: (query, power of two from which on a pair meets, weight)."""
+        if not pairs:
+            return self.compare_all()
+        query, power, weight = (np.array(x) for x in zip(*pairs, strict=True))
+        _, at = np.unique(query, return_inverse=True)
+        part = weight / np.bincount(at, weight)[at]
+        met = np.cumsum(np.bincount(power, part)) / (at.max() + 1)
+        self.visits = min(2 << int(np.flatnonzero(met >= recall - 1e-9)[0]), self.cells)
+        # a row is filed `visits` times here, and there in each block as a filed vector and as a visitor
+        if self.visits > 8 and self.visits >= 2 * -(-self.rows // BLOCK):
+            self.compare_all()
 
     def visit(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n nearest cells of each vector in multi-sequence order: among each half's n nearest centroids, the n least sums."""
@@ -96,24 +137,35 @@ class Index:
         first = np.argsort(total, axis=1, kind="stable")[:, :n]
         return (order[0][:, i].astype(np.int64) * k + order[1][:, j])[np.arange(len(x))[:, None], first]
 
-    def _calibrate(self, sample: np.ndarray, recall: float) -> int:
-        cells = len(self.books[0]) * len(self.books[1])
-        pairs = []
-        for lo in range(0, len(sample), 1024):
-            i, j = np.nonzero(sample[lo : lo + 1024] @ sample.T >= COSINE)
-            pairs.append(np.stack([i + lo, j])[:, i + lo < j])
-        pairs = np.concatenate(pairs, axis=1)
-        if pairs.shape[1] > 200_000:
-            pairs = pairs[:, np.random.default_rng(1).choice(pairs.shape[1], 200_000, replace=False)]
-        n = 4
-        while n < min(cells, 128):
-            v = self.visit(sample, n)
-            a, b = v[pairs[0]], v[pairs[1]]
-            met = (a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)
-            if not len(met) or met.mean() >= recall:
-                break
-            n *= 2
-        return min(2 * n, cells)
+
+def _measure(index: Index, ids: np.ndarray, queries: np.ndarray):
+    """(id, times, vector) → (query, power, weight) of pairs of a query and a row that are near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                batch = whole.slice(lo, 2048)
+                batch = batch.filter(pa.array(np.diff(np.asarray(batch.column(2).offsets)) == index.dimension))
+                if not batch.num_rows:
+                    continue
+                x, own = unit(matrix(batch.column(2))), batch.column(0).to_numpy()
+                q, j = np.nonzero((queries @ x.T >= COSINE) & (ids[:, None] != own))
+                first = np.searchsorted(q, q)
+                count = np.bincount(q, minlength=len(ids))
+                # of many neighbours of a query, NEIGHBOURS stand for all, at equal steps
+                step = np.maximum(1, -(-count[q] // NEIGHBOURS))
+                some = (np.arange(len(q)) - first) % step == 0
+                q, j = q[some], j[some]
+                weight = count[q] / np.bincount(q, minlength=len(ids))[q]
+                power = np.ceil(np.log2(np.maximum(index.needed(queries[q], x[j]), 1))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(power), pa.array(weight)], names=["query", "power", "weight"])
+
+    return run
+
+
+def calibrate(index: Index, reps: DataFrame, ids: np.ndarray, queries: np.ndarray) -> None:
+    near = reps.mapInArrow(_measure(index, ids, queries), "query int, power int, weight double").groupBy("query", "power").agg(F.sum("weight").alias("weight"))
+    index.set_visits([tuple(r) for r in near.collect()])
 
 
 def _file(index: Index):
@@ -121,8 +173,9 @@ def _file(index: Index):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2048):
-                batch = whole.slice(lo, 2048)
+            size = max(1, 16384 // index.visits)
+            for lo in range(0, whole.num_rows, size):
+                batch = whole.slice(lo, size)
                 lengths = np.diff(np.asarray(batch.column(2).offsets))
                 batch = batch.filter(pa.array(lengths == index.dimension))
                 if not batch.num_rows:
@@ -131,8 +184,11 @@ def _file(index: Index):
                 cells = index.visit(x, index.visits)
                 n, m = cells.shape
                 at = pa.array(np.repeat(np.arange(n), m))
+                # the list of all cells goes with the filed row only, the others' is empty
+                ends = np.repeat(np.arange(n) * m, m) + np.where(np.tile(np.arange(m) == 0, n), 0, m)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(ends, n * m).astype(np.int32)), pa.array(np.sort(cells, axis=1).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells.ravel()), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.tile(np.arange(m) == 0, n)), batch.column(2).take(at), pa.array(list(np.sort(cells, axis=1)[np.repeat(np.arange(n), m)]), pa.list_(pa.int64())), pa.array(np.repeat(cells[:, 0], m))],
+                    [pa.array(cells.ravel()), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.tile(np.arange(m) == 0, n)), batch.column(2).take(at), lists, pa.array(np.repeat(cells[:, 0], m))],
                     names=["cell", "id", "times", "filed", "vector", "cells", "own"],
                 )
 
@@ -147,7 +203,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, times = (t[c].to_numpy() for c in ("key", "id", "times"))
         filed, own, cell, block, seat = (t[c].to_numpy(zero_copy_only=False) if c == "filed" else t[c].to_numpy() for c in ("filed", "own", "cell", "block", "seat"))
         x = unit(matrix(t["vector"]))
-        cells = matrix(t["cells"])
+        full = np.cumsum(filed) - 1  # rows of `cells`: those of filed vectors
+        cells = matrix(t["cells"].filter(pa.array(filed)))
         edges = group_starts(keys)
         links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
@@ -167,7 +224,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             back = np.zeros(len(i), bool)
             other = np.flatnonzero(~same)
             if len(other):
-                back[other] = (cells[i[other]] == own[j[other]][:, None]).any(1)
+                back[other] = (cells[full[i[other]]] == own[j[other]][:, None]).any(1)
             keep = np.where(same, ids[i] < ids[j], ~back | (c < own[j]))
             i, j = i[keep], j[keep]
             np.add.at(links, i, times[j])
@@ -192,10 +249,14 @@ def near_duplicates(df: DataFrame, scratch: Scratch | None = None, key: str = "v
     count = reps.count()
     if not count:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    sample = reps.orderBy(F.xxhash64(F.lit(4), "id")).limit(SAMPLE).select("vector").toArrow()["vector"]
-    lengths = np.diff(np.asarray(sample.combine_chunks().offsets)) if sample.num_chunks else np.zeros(0)
+    sample = reps.orderBy(F.xxhash64(F.lit(4), "id")).limit(SAMPLE + QUERIES).select("id", "vector").toArrow().combine_chunks()
+    lengths = np.diff(np.asarray(sample["vector"].combine_chunks().offsets))
     dimension = int(np.bincount(lengths).argmax())
-    index = Index(unit(matrix(sample.filter(pa.array(lengths == dimension)))), count)
+    sample = sample.filter(pa.array(lengths == dimension))
+    x = unit(matrix(sample["vector"]))
+    learn = len(x) - min(QUERIES, len(x) // 2)  # the codebooks fit their own vectors better, so the queries are others
+    index = Index(x[:learn], count)
+    calibrate(index, reps, sample["id"].to_numpy()[learn:], x[learn:])
 
     filed = s.stage(reps.mapInArrow(_file(index), FILED_ROWS))
     sizes = filed.groupBy("cell").agg(F.count_if("filed").alias("nf"), F.count("*").alias("nv")).filter("nf > 0 AND nv > 1")

@@ -216,6 +216,42 @@ def test_multiindex_against_brute_force(spark):
     assert np.mean([out[i]["component_id"] == want[i] for i in want]) > 0.97
 
 
+def test_multiindex_visits_follow_all_rows(spark, monkeypatch):
+    """Most near pairs lie in one hot cluster and meet at once; pairs at the limit elsewhere, mostly outside the sample, need more visits."""
+    monkeypatch.setattr(multiindex, "SAMPLE", 96)
+    monkeypatch.setattr(multiindex, "FILED", 0.25)
+    r = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    a = unit(r.normal(size=(3000, 64)))
+    side = r.normal(size=a.shape)
+    side = unit(side - (side * a).sum(1, keepdims=True) * a)
+    x = np.concatenate([a, 0.91 * a + np.sqrt(1 - 0.91**2) * side, unit(r.normal(size=(1, 64)) + 0.005 * r.normal(size=(300, 64)))]).astype(np.float32)
+    u = unit(x.astype(np.float64))
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = np.array([n for _, n in sorted((row["vec_id"], row["n_links"]) for row in multiindex.near_duplicates(df).collect())])
+    want = near.sum(1)
+    assert (got <= want).all() and (got[want > 0] / want[want > 0]).mean() >= 0.98
+
+
+def test_multiindex_needed_visits():
+    r = np.random.default_rng(13)
+    x = multiindex.unit(r.normal(size=(200, 16)))
+    y = multiindex.unit(x + 0.1 * r.normal(size=x.shape))
+    index = multiindex.Index(x, 8 * 12 * 12)
+    need = index.needed(x, y)
+    for n in (1, 2, 5, 17, 144):
+        a, b = index.visit(x, n), index.visit(y, n)
+        met = (a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)
+        assert (met == (need <= n)).all()
+    index.rows = 10**9
+    index.set_visits([(0, 0, 1e6), (1, 6, 1.0)])  # by query, not by pair
+    assert index.visits == 128
+    index.set_visits([])
+    assert index.cells == index.visits == 1
+
+
 def shingle_set(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
