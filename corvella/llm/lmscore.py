@@ -1,13 +1,15 @@
 """Masked pseudo-likelihood scores by a bidirectional window network.
 
-Words are numbered by the counts of the whole corpus: the TOP most frequent have
-classes of their own, every other falls into one of TAIL classes by its hash, and
-within such a class all of its words, whose number is counted over the corpus too, are
-equally likely. A network with one hidden layer predicts each word's class from REACH
-words on both sides. It is trained in numpy by every task on its own partition, over
+The vocabulary is all words of the corpus with their counts. The softmax is factored by
+class: the TOP most frequent words have classes of their own, every other falls into one
+of TAIL classes by its hash, and within such a class a word is as likely as its count in
+the corpus plus one, in proportion. A network with one hidden layer predicts each word's
+class from REACH words on both sides. It is trained in numpy by every task on its own partition, over
 all documents (one position in EVERY, chosen by a hash); the tasks' weights are
 averaged by their number of positions, and the next round goes on from the average. A
-document's score sums the conditional log-probabilities of all of its words.
+document's score sums the conditional log-probabilities of all of its words. The counts
+of the FREQUENT most frequent words go to every task; a text's other words, none of
+which is frequent, meet their counts in a join.
 
 Defined results: null, empty and blank texts have no words, a sum of 0 and a null
 mean. Repeated rows have equal scores. Rows without id are scored and learned from.
@@ -30,6 +32,8 @@ REACH, EMBED, HIDDEN = 2, 16, 32
 EVERY = 16
 ROUNDS = 2
 BATCH = 512
+#: Words whose counts every task holds; those of all others are joined.
+FREQUENT = 100_000
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 400_000
 
@@ -65,13 +69,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """Classes of words, and the log of the number of words in each class."""
+    """Classes of words, the share of each frequent word in its class, and the counts of all words."""
 
-    def __init__(self, top: np.ndarray, types: np.ndarray):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, totals: np.ndarray, table: DataFrame):
+        """words: the frequent ones, by count; totals: of each tail class, its words' counts plus one."""
+        self.table = table
+        top = words[:TOP]
         order = np.argsort(top)
         self.top, self.code = top[order], order.astype(np.int64)
-        self.inside = np.zeros(CLASSES)
-        self.inside[TOP:] = np.log(np.maximum(types, 1))
+        self.whole = np.zeros(CLASSES)
+        self.whole[TOP:] = np.log(np.maximum(totals, 1))
+        order = np.argsort(words)
+        self.frequent, n = words[order], counts[order]
+        self.count = np.where(self.classes(self.frequent) < TOP, 0.0, np.log(n + 1.0)).astype(np.float32)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
 
     def classes(self, h: np.ndarray) -> np.ndarray:
         out = TOP + (h.view(np.uint64) >> np.uint64(20)).astype(np.int64) % TAIL
@@ -80,19 +93,25 @@ class Vocabulary:
             out = np.where(self.top[at] == h, self.code[at], out)
         return out
 
+    def inside(self, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log of each word's share in its class, less the log of the count for words that aren't frequent; and which these are."""
+        at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
+        known = self.frequent[at] == h
+        return np.where(known, self.count[at], 0.0) - self.whole[c], ~known
+
 
 def vocabulary(docs: DataFrame, scratch: Scratch) -> Vocabulary:
     """Exact counts of all words of all documents."""
     counts = scratch.stage(bounded(docs).select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    top = counts.orderBy(F.desc("n"), "word").limit(TOP)
-    words = [r["word"] for r in top.collect()]
+    most = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    words, n = (most[c].to_numpy() for c in ("word", "n"))
     tail = (F.pmod(F.shiftrightunsigned("word", 20), F.lit(TAIL))).cast("int")
-    rest = counts.filter(~F.col("word").isin(words)) if words else counts
-    types = np.zeros(TAIL)
-    for r in rest.groupBy(tail.alias("c")).agg(F.count("*").alias("n")).collect():
-        types[r["c"]] = r["n"]
-    scratch.drop(counts)
-    return Vocabulary(np.array(words, np.int64), types)
+    totals = np.zeros(TAIL)
+    for r in counts.groupBy(tail.alias("c")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
+        totals[r["c"]] = r["n"]
+    # the words with classes of their own are in none of the others
+    np.subtract.at(totals, (words[:TOP].view(np.uint64) >> np.uint64(20)).astype(np.int64) % TAIL, n[:TOP] + 1)
+    return Vocabulary(words, n, totals, counts)
 
 
 SIZES = [(CLASSES + 1, EMBED), (2 * REACH * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
@@ -182,6 +201,7 @@ def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> Network:
 
 
 SCORED = "doc_id long, n_words long, log_probability double, mean_log_probability double"
+PARTLY = "doc_id long, n_words long, part double, rare array<long>"
 
 
 def _score(words: Vocabulary, net: Network):
@@ -189,11 +209,13 @@ def _score(words: Vocabulary, net: Network):
         for batch in batches:
             for lo, hi, h, of in _words(batch):
                 c = words.classes(h)
-                p = net.log_p(Network.context(c, of), c) - words.inside[c]
+                inside, rare = words.inside(h, c) if len(h) else (np.zeros(0), np.zeros(0, bool))
+                p = net.log_p(Network.context(c, of), c) + inside
                 n = np.bincount(of, minlength=hi - lo)
                 total = np.bincount(of, p, minlength=hi - lo) if len(of) else np.zeros(hi - lo)
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(total.astype(np.float64)), mean], names=["doc_id", "n_words", "log_probability", "mean_log_probability"])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(of[rare], minlength=hi - lo))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[rare]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(total.astype(np.float64)), lists], names=["doc_id", "n_words", "part", "rare"])
 
     return run
 
@@ -201,5 +223,12 @@ def _score(words: Vocabulary, net: Network):
 def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One row for each document: number of words, summed and mean conditional log-probability."""
     spark: SparkSession = docs.sparkSession
-    words = vocabulary(docs, scratch or Scratch(spark))
-    return docs.select("doc_id", "text").mapInArrow(_score(words, train(docs, words)), SCORED)
+    s = scratch or Scratch(spark)
+    words = vocabulary(docs, s)
+    partly = s.stage(docs.select("doc_id", "text").mapInArrow(_score(words, train(docs, words)), PARTLY).select(F.monotonically_increasing_id().alias("row"), "*"))
+    each = partly.select("row", F.explode("rare").alias("word")).join(words.table.hint("shuffle_hash"), "word")
+    # log(n + 1) in whole billionths, so that sums don't depend on their order
+    more = each.groupBy("row").agg(F.sum(F.round(F.log(F.col("n") + 1) * 1e9).cast("long")).alias("more"))
+    total = F.col("part") + F.coalesce(F.col("more"), F.lit(0)) / 1e9
+    out = partly.select("row", "doc_id", "n_words", "part").join(more, "row", "left")
+    return out.select("doc_id", "n_words", total.alias("log_probability"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_probability"))

@@ -455,4 +455,27 @@ def test_lm_gradient_and_order(spark):
     assert out[0] > out[100]
 
 
+@pytest.mark.parametrize("frequent", [100, 100_000])
+def test_lm_uses_the_counts_of_all_words(spark, monkeypatch, frequent):
+    """Words beyond the classes of their own: frequent ones are likelier than those that occur once, by their counts."""
+    from corvella.llm import lmscore
+
+    monkeypatch.setattr(lmscore, "FREQUENT", frequent)
+    r = random.Random(2)
+    common_words = [f"common{i}" for i in range(600)]
+    rows = [(i, " ".join(r.choices(common_words, k=100))) for i in range(200)]
+    rows += [(1000 + i, " ".join(f"once{i}x{j}" for j in range(100))) for i in range(10)] + [(2000, None), (2001, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = lmscore.vocabulary(docs, common.Scratch(spark))
+    n = {x["word"]: x["n"] for x in words.table.collect()}
+    h = np.array(list(n), np.int64)
+    inside, rare = words.inside(h, words.classes(h))
+    share = np.exp(inside + np.where(rare, np.log(np.array(list(n.values())) + 1), 0))
+    assert np.bincount(words.classes(h), share, minlength=128) == pytest.approx(np.ones(128))
+    assert rare.sum() == max(0, len(n) - frequent)
+    out = {x["doc_id"]: x["mean_log_probability"] for x in lmscore.score(docs).collect()}
+    assert len(out) == len(rows) and out[2000] is None and out[2001] is None
+    assert min(out[i] for i in range(200)) > max(out[1000 + i] for i in range(10)) + 1
+
+
 WORDS_IN_ORDER = "the quick brown fox jumps over a lazy dog today".split()
