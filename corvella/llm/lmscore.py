@@ -5,8 +5,8 @@ class: the TOP most frequent words have classes of their own, every other falls
 of TAIL classes by its hash, and within such a class a word is as likely as its count in
 the corpus plus one, in proportion. A network with one hidden layer predicts each word's
 class from REACH words on both sides. It is trained in numpy by every task on its own partition, over
-all documents (one position in EVERY, chosen by a hash); the tasks' weights are
-averaged by their number of positions, and the next round goes on from the average. A
+all positions of all documents: each position is learned in one of the ROUNDS rounds,
+by a hash of its document and place. The tasks' weights are averaged by their number of positions, and the next round goes on from the average. A
 document's score sums the conditional log-probabilities of all of its words. The counts
 of the FREQUENT most frequent words go to every task; a text's other words, none of
 which is frequent, meet their counts in a join.
@@ -24,12 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvella.llm.common import SLICE, Adam, Scratch, slices, span_hashes, text_of, word_bounds, bounded
+from corvella.llm.common import SLICE, Adam, Scratch, mix, slices, span_hashes, text_of, word_bounds, bounded
 
 TOP, TAIL = 96, 32
 CLASSES = TOP + TAIL
 REACH, EMBED, HIDDEN = 2, 16, 32
-EVERY = 16
 ROUNDS = 2
 BATCH = 512
 #: Words whose counts every task holds; those of all others are joined.
@@ -157,21 +156,33 @@ class Network:
         for lo in range(0, len(target), BATCH):
             x, y = context[lo : lo + BATCH], target[lo : lo + BATCH]
             e, w1, b1, w2, b2 = self.w
-            v = e[x].reshape(len(x), -1)
-            h = np.tanh(v @ w1 + b1)
-            z = h @ w2 + b2
-            p = np.exp(z - z.max(1, keepdims=True))
+            blocks = w1.reshape(2 * REACH, EMBED, HIDDEN)
+            place = e @ blocks
+            h = np.tanh(sum(place[i][x[:, i]] for i in range(2 * REACH)) + b1)
+            p = h @ w2 + b2
+            p = np.exp(p - p.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(y)), y] -= 1
             p /= len(y)
             dh = (p @ w2.T) * (1 - h * h)
-            dv = (dh @ w1.T).reshape(-1, EMBED)
-            one = np.zeros((CLASSES + 1, EMBED), np.float32)
-            np.add.at(one, x.ravel(), dv)
-            adam.step([one, v.T @ dh, dh.sum(0), h.T @ p, p.sum(0)])
+            one = np.zeros((2 * REACH, len(x), CLASSES + 1), np.float32)
+            one[np.arange(2 * REACH)[:, None], np.arange(len(x)), x.T] = 1
+            dplace = one.transpose(0, 2, 1) @ dh
+            adam.step([(dplace @ blocks.transpose(0, 2, 1)).sum(0), (e.T @ dplace).reshape(w1.shape), dh.sum(0), h.T @ p, p.sum(0)])
+
+
+def turns(h: np.ndarray, of: np.ndarray, rounds: int) -> np.ndarray:
+    """The round in which each position is learned, by a hash of the document's words and the place in it."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    n = np.diff(np.append(start, len(h)))
+    document = np.add.reduceat(h.view(np.uint64), start)
+    place = (np.arange(len(h)) - np.repeat(start, n)).astype(np.uint64)
+    return (mix(mix(np.repeat(document, n)) + place) % np.uint64(rounds)).astype(np.int64)
 
 
-def _train(words: Vocabulary, weights: np.ndarray, turn: int):
+def _train(words: Vocabulary, weights: np.ndarray, turn: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(weights)
         adam, n = Adam(net.w, 0.004 / (turn + 1)), 0
@@ -179,8 +190,7 @@ def _train(words: Vocabulary, weights: np.ndarray, turn: int):
             for _, _, h, of in _words(batch):
                 c = words.classes(h)
                 x = Network.context(c, of)
-                around = np.roll(h, 1) ^ np.roll(h, -1) * np.int64(3) ^ h
-                pick = np.flatnonzero((around.view(np.uint64) >> np.uint64(33)) % np.uint64(EVERY) == np.uint64(turn % EVERY))
+                pick = np.flatnonzero(turns(h, of, rounds) == turn)
                 net.learn(x[pick], c[pick], adam)
                 n += len(pick)
         if n:
@@ -192,7 +202,7 @@ def _train(words: Vocabulary, weights: np.ndarray, turn: int):
 def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> Network:
     weights = Network().flat()
     for turn in range(rounds):
-        parts = docs.select("text").mapInArrow(_train(words, weights, turn), "w array<float>, n long")
+        parts = docs.select("text").mapInArrow(_train(words, weights, turn, rounds), "w array<float>, n long")
         mean = parts.select("n", F.posexplode("w").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).collect()
         if mean:
             weights = np.zeros(len(weights), np.float32)

@@ -478,4 +478,45 @@ def test_lm_uses_the_counts_of_all_words(spark, monkeypatch, frequent):
     assert min(out[i] for i in range(200)) > max(out[1000 + i] for i in range(10)) + 1
 
 
+def test_lm_learns_from_every_position(spark, monkeypatch):
+    """Over the rounds each position once; of a triple that is often repeated, a share in each round."""
+    from corvella.llm import lmscore
+
+    learned = []
+    monkeypatch.setattr(lmscore.Network, "learn", lambda self, x, y, adam: learned.append(np.column_stack([x, y])))
+    texts = [f"{' '.join(WORDS_IN_ORDER)} number{i}" for i in range(200)]
+    words = lmscore.vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"), common.Scratch(spark))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    n = [sum(r["n"][0].as_py() for r in lmscore._train(words, lmscore.Network().flat(), t, lmscore.ROUNDS)([batch])) for t in range(lmscore.ROUNDS)]
+    assert sum(n) == 11 * 200 and min(n) > 900
+    rows = [tuple(x) for part in learned for x in part]
+    assert sorted(rows) == sorted(tuple([*x, c]) for _, _, h, of in lmscore._words(batch) for c in [words.classes(h)] for x, c in zip(lmscore.Network.context(c, of), c, strict=True))
+
+
+def test_lm_gradient_of_all_weights():
+    from corvella.llm import lmscore
+
+    r = np.random.default_rng(3)
+    net = lmscore.Network()
+    net.w = [w.astype(np.float64) for w in net.w]
+    x, y = r.integers(0, 129, (40, 4)), r.integers(0, 128, 40)
+
+    class Keep:
+        def step(self, g):
+            self.g = g
+
+    keep = Keep()
+    net.learn(x, y, keep)
+    for w, g in zip(net.w, keep.g, strict=True):
+        i = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old, loss = w[i], []
+        for d in (1e-4, -1e-4):
+            w[i] = old + d
+            loss.append(-net.log_p(x, y).mean())
+        w[i] = old
+        assert g[i] == pytest.approx((loss[0] - loss[1]) / 2e-4, rel=1e-3)
+
+
 WORDS_IN_ORDER = "the quick brown fox jumps over a lazy dog today".split()
