@@ -297,7 +297,7 @@ def token_chunks(spark, sf_dir):
 
 @query()
 def embed_documents(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", embed_column(F.col("text")).alias("vector"))
+    return table(spark, sf_dir, "documents").select("doc_id", embed_column(F.col("text")).alias("vector"))
 
 
 @query()

@@ -14,3 +14,13 @@ def test_matches_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_documents_are_embedded(spark):
+    from corvella.operators.embed import HashEmbedder
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r["vector"] for r in QUERIES["embed_documents"](spark, SF).collect()}
+    assert got.keys() == {r["doc_id"] for r in docs}
+    for r in docs[:20]:
+        assert abs(sum((a - b) ** 2 for a, b in zip(got[r["doc_id"]], HashEmbedder().embed([r["text"]])[0], strict=True))) < 1e-9
