@@ -18,8 +18,11 @@ from corvella.sources.files import Files
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session. A temporary folder of this machine stands in only where the executors are on it too."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='corvella-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
