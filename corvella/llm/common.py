@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -11,36 +11,47 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from corvella.sources.scratch import shared_folder
+
 #: Bytes of text that the array code handles at once; a single longer text is handled whole.
 SLICE = 1 << 20
+_libc = ctypes.CDLL(None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch between the JVM and Python, so that a batch of long texts stays small.
+#: Rows and bytes of an Arrow batch between the JVM and Python, so that a batch of long texts stays small; a single longer row is a batch.
 BATCH_ROWS = 2000
+BATCH_BYTES = 4 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """Lowers the session's Arrow batches to BATCH_ROWS rows; a lower setting stays. Results don't depend on it."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """Lowers the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES; lower settings stay. Results don't depend on it."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = conf.get(key, "0").lower().removesuffix("b")
+        now = int(now) if now.lstrip("-").isdigit() else int(now[:-1]) << {"k": 10, "m": 20, "g": 30}[now[-1]]
+        if not 0 < now <= most:
+            conf.set(key, str(most))
     return df
 
 
-# ---------------------------------------------------------------- staged tables
+def freed(run):
+    """run, a function over the batches of a partition, that gives freed memory back to the system when it ends: workers stay for later stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(_libc, "malloc_trim"):
+            _libc.malloc_trim(0)
 
+    return whole
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (one machine, tests) a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='corvella-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+
+# ---------------------------------------------------------------- staged tables
 
 
 class Scratch:

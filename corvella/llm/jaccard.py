@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvella.llm.common import Scratch, by_group, group_starts, local_roots, mix, slices, span_hashes, text_of, word_bounds, bounded
+from corvella.llm.common import Scratch, by_group, group_starts, local_roots, mix, slices, span_hashes, text_of, word_bounds, bounded, freed
 from corvella.llm.components import components
 
 WORDS = 5
@@ -257,7 +257,7 @@ def classes(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (smallest id reachable by links), n_links (other documents linked directly, copies included)."""
     s = scratch or Scratch(docs.sparkSession)
     spark = docs.sparkSession
-    signed = s.stage(bounded(docs).select("doc_id", "text").mapInArrow(_sign, SIGNED))
+    signed = s.stage(bounded(docs).select("doc_id", "text").mapInArrow(freed(_sign), SIGNED))
     full = signed.filter("doc_id IS NOT NULL AND n > 0")
     reps = s.stage(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id"), F.count("*").alias("times"), F.first("tokens").alias("tokens"), F.first("small").alias("small")))
 
@@ -281,7 +281,7 @@ def classes(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     for x in leaves[1:]:
         found = found.unionByName(x)
     buckets = blocked(found, "path", "members", "id", PAIRS).join(reps.select("id", "small"), "id")
-    links = buckets.repartition("path").sortWithinPartitions("path").mapInArrow(_likely, "a long, b long").distinct()
+    links = buckets.repartition("path").sortWithinPartitions("path").mapInArrow(freed(_likely), "a long, b long").distinct()
     likely = s.stage(components(s.stage(links), s))
 
     sizes = likely.groupBy("root").agg(F.count("*").alias("members"))
@@ -289,7 +289,7 @@ def classes(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     members = members.dropDuplicates(["id"])
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(members, "id")
     groups = blocked(texts, "path", "members", "id", BLOCK).select("path", "id", "side", "times", "text")
-    checked = s.stage(groups.repartition("path").sortWithinPartitions("path", "id").mapInArrow(_verify, VERIFIED))
+    checked = s.stage(groups.repartition("path").sortWithinPartitions("path", "id").mapInArrow(freed(_verify), VERIFIED))
     roots = components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")), s)
     n = checked.groupBy("id").agg(F.sum("links").alias("links"))
     node = reps.join(n, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp1", "fp2", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("root", "id").alias("class_id"))

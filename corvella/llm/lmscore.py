@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvella.llm.common import SLICE, Adam, Scratch, mix, slices, span_hashes, text_of, word_bounds, bounded
+from corvella.llm.common import SLICE, Adam, Scratch, mix, slices, span_hashes, text_of, word_bounds, bounded, freed
 
 TOP, TAIL = 96, 32
 CLASSES = TOP + TAIL
@@ -101,7 +101,7 @@ class Vocabulary:
 
 def vocabulary(docs: DataFrame, scratch: Scratch) -> Vocabulary:
     """Exact counts of all words of all documents."""
-    counts = scratch.stage(bounded(docs).select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = scratch.stage(bounded(docs).select("text").mapInArrow(freed(_count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     most = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
     words, n = (most[c].to_numpy() for c in ("word", "n"))
     tail = (F.pmod(F.shiftrightunsigned("word", 20), F.lit(TAIL))).cast("int")
@@ -202,7 +202,7 @@ def _train(words: Vocabulary, weights: np.ndarray, turn: int, rounds: int):
 def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> Network:
     weights = Network().flat()
     for turn in range(rounds):
-        parts = docs.select("text").mapInArrow(_train(words, weights, turn, rounds), "w array<float>, n long")
+        parts = docs.select("text").mapInArrow(freed(_train(words, weights, turn, rounds)), "w array<float>, n long")
         mean = parts.select("n", F.posexplode("w").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).collect()
         if mean:
             weights = np.zeros(len(weights), np.float32)
@@ -235,7 +235,7 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     s = scratch or Scratch(spark)
     words = vocabulary(docs, s)
-    partly = s.stage(docs.select("doc_id", "text").mapInArrow(_score(words, train(docs, words)), PARTLY).select(F.monotonically_increasing_id().alias("row"), "*"))
+    partly = s.stage(docs.select("doc_id", "text").mapInArrow(freed(_score(words, train(docs, words))), PARTLY).select(F.monotonically_increasing_id().alias("row"), "*"))
     each = partly.select("row", F.explode("rare").alias("word")).join(words.table.hint("shuffle_hash"), "word")
     # log(n + 1) in whole billionths, so that sums don't depend on their order
     more = each.groupBy("row").agg(F.sum(F.round(F.log(F.col("n") + 1) * 1e9).cast("long")).alias("more"))

@@ -10,11 +10,15 @@ blocks are permuted and each shard takes its quota from the permutation in turn,
 shards draw disjoint blocks; within a shard rows are in the order of a hash.
 
 Tables on the driver have one row for each source and one for each block: at most
-BLOCKS blocks, one more for each source. Nothing else leaves the executors.
+BLOCKS blocks, one more for each source; their join is broadcast up to BROADCAST rows.
+Nothing else leaves the executors. There is a shard for each SHARD_WORDS words of the
+mix, up to SHARDS; its rows are brought together before their shuffle.
 
 Defined results: null texts have size 0. Empty texts and sources without words have
 nothing to take. A null source is a source of its own, after all others. Rows that
-are equal in doc_id, source and text are drawn together. Extra columns pass through.
+are equal in doc_id, source and text, ties of the hash, are drawn together. A very long
+text is drawn whole, as any other. An empty table gives an empty mix. Extra columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvella.llm.common import Scratch
@@ -32,7 +36,11 @@ SHARE = 1.5
 MOST = 2.0
 BLOCKS = 16384
 SOURCES = 1_000_000
-SHARDS = 64
+BROADCAST = 100_000
+#: Words of a shard, and the most shards; of many sources there are fewer, so that the quotas of all shards fit the driver.
+SHARD_WORDS = 1 << 21
+SHARDS = 4096
+QUOTAS = 1 << 24
 SEED = 20
 
 
@@ -78,9 +86,10 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarra
 def _hypergeometric(rng: np.random.Generator, quotas: np.ndarray, n: int) -> np.ndarray:
     """Source by source, so that neither the number of sources nor of blocks is bounded by the generator's own limit."""
     out, rest = np.zeros_like(quotas), int(quotas.sum())
-    for i, q in enumerate(quotas):
+    for i in np.flatnonzero(quotas):
+        q = quotas[i]
         rest -= int(q)
-        if n and q:
+        if n:
             out[i] = rng.hypergeometric(int(q), rest, n) if rest else n
             n -= int(out[i])
     return out
@@ -93,7 +102,7 @@ def _key(source: Column) -> Column:
 class Mix:
     """The plan of a mix: a row for each block with its draws. Built from (source, size, order) rows only."""
 
-    def __init__(self, narrow: DataFrame, scratch: Scratch, weights=WEIGHTS, share=SHARE, most=MOST, shards=SHARDS, seed=SEED):
+    def __init__(self, narrow: DataFrame, scratch: Scratch, weights=WEIGHTS, share=SHARE, most=MOST, shards: int | None = None, seed=SEED):
         spark = narrow.sparkSession
         sums = narrow.groupBy("_key").agg(F.sum("_size").alias("n")).limit(SOURCES + 1).collect()
         if len(sums) > SOURCES:
@@ -105,8 +114,9 @@ class Mix:
         parts = [max(1, -(-n // each)) for n in sizes]
         rows = [(k, n, t, b) for (k, _), n, t, b in zip(sources, sizes, goal, parts, strict=True)]
         self.sources = spark.createDataFrame(rows, "_key string, _source_size long, _target double, _blocks int")
-        if len(rows) <= 100_000:
+        if len(rows) <= BROADCAST:
             self.sources = F.broadcast(self.sources)
+        shards = shards or int(min(SHARDS, max(64, QUOTAS // max(1, len(rows))), max(1, -(-sum(goal) // SHARD_WORDS))))
         self.placed = self.place(narrow)
         blocks = self.placed.groupBy("_key", "_block").agg(F.sum("_size").alias("n")).collect()
         by: dict[str, list[tuple[int, int]]] = {k: [] for k, _ in sources}
@@ -138,7 +148,9 @@ class Mix:
                 out.setdefault((key, block), []).append(int(s))
         cuts = self._cuts(spark, edges)
         rows = [(k, b, s, cuts.get((k, b))) for (k, b), s in out.items()]
-        self.draws = F.broadcast(spark.createDataFrame(rows, "_key string, _block int, _shards array<int>, _cut long"))
+        self.draws = spark.createDataFrame(rows, "_key string, _block int, _shards array<int>, _cut long")
+        if len(rows) <= BROADCAST:
+            self.draws = F.broadcast(self.draws)
 
     def place(self, df: DataFrame) -> DataFrame:
         """Rows with _key and _order get their source's figures and their block."""
@@ -149,9 +161,7 @@ class Mix:
         if not edges:
             return {}
         want = spark.createDataFrame([(k, b, float(r)) for (k, b), r in edges.items()], "_key string, _block int, _rest double")
-        inside = self.placed.join(F.broadcast(want), ["_key", "_block"]).groupBy("_key", "_block", "_rest", "_order").agg(F.sum("_size").alias("n"))
-        from pyspark.sql import Window
-
+        inside = self.placed.join(F.broadcast(want) if len(edges) <= BROADCAST else want, ["_key", "_block"]).groupBy("_key", "_block", "_rest", "_order").agg(F.sum("_size").alias("n"))
         w = Window.partitionBy("_key", "_block").orderBy("_order")
         run = inside.withColumn("upto", F.sum("n").over(w))
         best = run.groupBy("_key", "_block", "_rest").agg(F.min_by("_order", F.struct(F.abs(F.col("upto") - F.col("_rest")), "_order")).alias("cut"), F.min(F.abs(F.col("upto") - F.col("_rest"))).alias("off"))
@@ -162,13 +172,19 @@ class Mix:
         """Adds _shards: the shard of each copy of the document in the mix."""
         s = F.coalesce("_shards", F.array().cast("array<int>"))
         last = F.col("_cut").isNotNull() & (F.col("_order") > F.col("_cut"))
-        taken = F.when(F.col("_size") == 0, F.array().cast("array<int>")).when(last, F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(s)
+        taken = F.when(F.col("_empty"), F.array().cast("array<int>")).when(last, F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(s)
         return placed.join(self.draws, ["_key", "_block"], "left").withColumn("_shards", taken)
 
 
-def _narrow(docs: DataFrame, seed: int, *keep: str) -> DataFrame:
+def _marks(docs: DataFrame, seed: int) -> list[Column]:
+    """Key of the source, hash that orders documents, and whether there is no word to take."""
     order = F.xxhash64(F.lit(seed), "doc_id", "source", F.xxhash64("text"))
-    return docs.select(*keep, _key(F.col("source")).alias("_key"), words(F.col("text")).alias("_size"), order.alias("_order"))
+    empty = F.coalesce(F.octet_length(F.btrim("text", F.lit(" \t\n\v\f\r"))), F.lit(0)) == 0
+    return [_key(F.col("source")).alias("_key"), order.alias("_order"), empty.alias("_empty")]
+
+
+def _narrow(docs: DataFrame, seed: int, *keep: str) -> DataFrame:
+    return docs.select(*keep, words(F.col("text")).alias("_size"), *_marks(docs, seed))
 
 
 def plan_rows(docs: DataFrame, scratch: Scratch | None = None, **kw) -> DataFrame:
@@ -189,14 +205,11 @@ def plan_rows(docs: DataFrame, scratch: Scratch | None = None, **kw) -> DataFram
 
 
 def mix(docs: DataFrame, scratch: Scratch | None = None, shard_column: str | None = None, **kw) -> DataFrame:
-    """The mix itself: the columns of docs, a row for each copy; with shard_column, that column says the copy's shard.
-
-    Write it partitioned by that column after sorting within partitions by a hash for the local shuffle.
-    """
+    """The mix itself: the columns of docs, a row for each copy. Rows of a shard lie together, in the order of a hash of row and shard; with shard_column, that column says the shard."""
     scratch = scratch or Scratch(docs.sparkSession)
     seed, columns = kw.get("seed", SEED), docs.columns
     plan = Mix(scratch.stage(_narrow(docs, seed)), scratch, **kw)
-    wide = docs.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(columns)], _key(F.col("source")).alias("_key"), words(F.col("text")).alias("_size"), F.xxhash64(F.lit(seed), "doc_id", "source", F.xxhash64("text")).alias("_order"))
-    out = plan.copies(plan.place(wide)).withColumn("_shard", F.explode("_shards"))
-    out = out.sortWithinPartitions("_shard", F.xxhash64("_order", "_shard")) if shard_column else out
+    wide = docs.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(columns)], *_marks(docs, seed))
+    out = plan.copies(plan.place(wide)).select(*[f"_in{i}" for i in range(len(columns))], "_order", F.explode("_shards").alias("_shard"))
+    out = out.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64("_order", "_shard"))
     return out.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(columns)], *([F.col("_shard").alias(shard_column)] if shard_column else []))

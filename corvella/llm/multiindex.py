@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvella.llm.common import Scratch, by_group, group_starts, local_roots
+from corvella.llm.common import Scratch, by_group, group_starts, local_roots, freed
 from corvella.llm.components import components
 
 COSINE = 0.9
@@ -164,7 +164,7 @@ def _measure(index: Index, ids: np.ndarray, queries: np.ndarray):
 
 
 def calibrate(index: Index, reps: DataFrame, ids: np.ndarray, queries: np.ndarray) -> None:
-    near = reps.mapInArrow(_measure(index, ids, queries), "query int, power int, weight double").groupBy("query", "power").agg(F.sum("weight").alias("weight"))
+    near = reps.mapInArrow(freed(_measure(index, ids, queries)), "query int, power int, weight double").groupBy("query", "power").agg(F.sum("weight").alias("weight"))
     index.set_visits([tuple(r) for r in near.collect()])
 
 
@@ -258,7 +258,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch | None = None, key: str = "v
     index = Index(x[:learn], count)
     calibrate(index, reps, sample["id"].to_numpy()[learn:], x[learn:])
 
-    filed = s.stage(reps.mapInArrow(_file(index), FILED_ROWS))
+    filed = s.stage(reps.mapInArrow(freed(_file(index)), FILED_ROWS))
     sizes = filed.groupBy("cell").agg(F.count_if("filed").alias("nf"), F.count("*").alias("nv")).filter("nf > 0 AND nv > 1")
     at = filed.join(sizes, "cell")
     bf, bv = F.ceil(F.col("nf") / BLOCK).cast("int"), F.ceil(F.col("nv") / BLOCK).cast("int")
@@ -267,7 +267,7 @@ def near_duplicates(df: DataFrame, scratch: Scratch | None = None, key: str = "v
     as_filed = F.when(F.col("filed"), F.transform(F.sequence(F.lit(0), bv - 1), lambda v: F.struct(F.xxhash64("cell", mine_f, v).alias("key"), F.lit(0).alias("seat")))).otherwise(F.array().cast("array<struct<key:long,seat:int>>"))
     as_visitor = F.transform(F.sequence(F.lit(0), bf - 1), lambda f: F.struct(F.xxhash64("cell", f, mine_v).alias("key"), F.lit(1).alias("seat")))
     seats = at.withColumn("p", F.explode(F.concat(as_filed, as_visitor))).select("p.key", "p.seat", F.lit(0).alias("block"), "cell", "id", "times", "filed", "own", "vector", "cells")
-    met = s.stage(seats.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "id long, links long, root long"))
+    met = s.stage(seats.repartition("key").sortWithinPartitions("key").mapInArrow(freed(_compare), "id long, links long, root long"))
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(met.select(F.col("id").alias("a"), F.col("root").alias("b")), s).withColumnRenamed("node", "id")
     node = reps.join(links, "id", "left").join(roots, "id", "left").select("vector", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from corvella.llm.common import _BASE, _BYTES, _powers, flat, slices, span_hashes, bounded
+from corvella.llm.common import _BASE, _BYTES, _powers, flat, slices, span_hashes, bounded, freed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longer words go the plain way, one by one.
@@ -480,7 +480,7 @@ def _encode(model: PieceModel):
 
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, ids, n_ids, and whether decoding gives the text back, for each row."""
-    return bounded(docs).select("doc_id", "text").mapInArrow(_encode(load(path)), f"doc_id long, {ENCODED}")
+    return bounded(docs).select("doc_id", "text").mapInArrow(freed(_encode(load(path))), f"doc_id long, {ENCODED}")
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -498,4 +498,4 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
             texts = [None if x else data[a:b].tobytes().decode("utf-8", "replace") for x, a, b in zip(none, ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return bounded(encoded).select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return bounded(encoded).select("doc_id", "ids").mapInArrow(freed(run), "doc_id long, text string")

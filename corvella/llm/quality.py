@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvella.llm.common import SLICE, Adam, fold, labelled, sampled, sigmoid, slices, text_of, bounded
+from corvella.llm.common import SLICE, Adam, fold, labelled, sampled, sigmoid, slices, text_of, bounded, freed
 
 PASSAGE = 1024
 SAMPLE = 8000
@@ -147,7 +147,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids = labelled(labels, "quality", sample, fold(F.col("doc_id"), FOLDS) != 0)
-    t = sampled(bounded(docs), ids).select("doc_id", "text", "label").mapInArrow(_features, "doc_id long, label int, x binary").toArrow()
+    t = sampled(bounded(docs), ids).select("doc_id", "text", "label").mapInArrow(freed(_features), "doc_id long, label int, x binary").toArrow()
     if not t.num_rows:
         return Model().fit(np.zeros((0, FEATURES)), np.zeros(0), np.zeros(0))
     x = np.frombuffer(b"".join(t["x"].to_pylist()), np.float16).reshape(-1, FEATURES).astype(np.float32)
@@ -168,7 +168,7 @@ def _score(model: Model):
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for each row."""
-    scored = docs.select("doc_id", "text").mapInArrow(_score(train(docs, labels, sample)), "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(freed(_score(train(docs, labels, sample))), "doc_id long, score double")
     return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -180,4 +180,4 @@ def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         for batch in batches:
             yield batch.filter(pa.array(predict(model, *text_of(batch)) >= THRESHOLD))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(freed(keep), docs.schema)

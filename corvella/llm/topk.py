@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvella.llm.common import Scratch
+from corvella.llm.common import Scratch, freed
 
 K = 5
 BINS = 512
@@ -98,7 +98,7 @@ def _block(rows: DataFrame, own: np.ndarray, queries: np.ndarray, k: int, reach:
     done = np.zeros(len(own), bool)
     while not done.all():
         width = np.maximum(1.0, np.ceil((high - low) / BINS))
-        counted = rows.mapInArrow(_count(queries, own, low, width, k), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        counted = rows.mapInArrow(freed(_count(queries, own, low, width, k)), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
         run = counted.withColumn("upto", F.sum("n").over(down))
         bound = rows.sparkSession.createDataFrame([(int(o), int(n)) for o, n in zip(own, need, strict=True)], "query_id long, need long")
@@ -113,7 +113,7 @@ def _block(rows: DataFrame, own: np.ndarray, queries: np.ndarray, k: int, reach:
             low[i] += at[o] * width[i]
             high[i] = min(high[i], low[i] + width[i]) if at[o] < BINS - 1 else high[i]
             done[i] = width[i] == 1
-    return rows.mapInArrow(_pick(queries, own, low, k), "query_id long, vec_id long, score long")
+    return rows.mapInArrow(freed(_pick(queries, own, low, k)), "query_id long, vec_id long, score long")
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", vector: str = "embedding", scratch: Scratch | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvella.llm.common import SLICE, Adam, _lut, fold, labelled, sampled, sigmoid, slices, span_hashes, text_of, word_bounds, bounded
+from corvella.llm.common import SLICE, Adam, _lut, fold, labelled, sampled, sigmoid, slices, span_hashes, text_of, word_bounds, bounded, freed
 
 SAMPLE = 4000
 WINDOW = 64
@@ -201,7 +201,7 @@ _CODES = ("word", *(f"head{n}" for n in HEADS))
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     ids = labelled(labels, "toxic", sample, fold(F.col("doc_id"), FOLDS) != HELD)
     schema = "doc_id long, label int" + "".join(f", {c} array<int>" for c in _CODES)
-    t = sampled(bounded(docs), ids).select("doc_id", "text", "label").mapInArrow(_tokens, schema).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").combine_chunks()
+    t = sampled(bounded(docs), ids).select("doc_id", "text", "label").mapInArrow(freed(_tokens), schema).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").combine_chunks()
     y = t["label"].to_numpy() if t.num_rows else np.zeros(0)
     field = Field()
     if len(np.unique(y)) < 2:
@@ -279,5 +279,5 @@ def _score(field: Field):
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted and the toxic spans (code points, end exclusive) of each row."""
-    scored = docs.select("doc_id", "text").mapInArrow(_score(train(docs, labels, sample)), "doc_id long, score double, spans string")
+    scored = docs.select("doc_id", "text").mapInArrow(freed(_score(train(docs, labels, sample))), "doc_id long, score double, spans string")
     return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")

@@ -90,6 +90,17 @@ def test_mix_draws_disjoint_blocks(spark):
     assert all(sorted(map(int, filter(None, s.split(",")))) == sorted(got[i]) for i, s in plan.items())
 
 
+def test_a_shard_is_shuffled_in_one_place(spark):
+    docs = table(spark, "documents")
+    out = mixing.mix(docs, shard_column="shard", shards=16).select("doc_id", "shard", F.spark_partition_id().alias("part")).collect()
+    parts, ids = defaultdict(set), defaultdict(list)
+    for r in out:
+        parts[r["shard"]].add(r["part"])
+        ids[r["shard"]].append(r["doc_id"])
+    assert len(parts) == 16 and all(len(p) == 1 for p in parts.values())
+    assert all(sorted(x) != x for x in ids.values() if len(x) > 9)
+
+
 # -- sharding
 
 
