@@ -32,7 +32,7 @@ def bounded(df: DataFrame) -> DataFrame:
     conf = df.sparkSession.conf
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        now = conf.get(key, "0").lower().removesuffix("b")
+        now = conf.get(key).lower().removesuffix("b")
         now = int(now) if now.lstrip("-").isdigit() else int(now[:-1]) << {"k": 10, "m": 20, "g": 30}[now[-1]]
         if not 0 < now <= most:
             conf.set(key, str(most))
