@@ -44,13 +44,17 @@ def freed(run):
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if hasattr(_libc, "malloc_trim"):
-            _libc.malloc_trim(0)
+        release()
 
     return whole
 
 
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 # ---------------------------------------------------------------- staged tables
 
 
