@@ -247,11 +247,13 @@ def labelled(labels: DataFrame, label: str, most: int, learn) -> DataFrame:
     return ids.orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id").limit(most)
 
 
-def sampled(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Whole texts of a bounded list of ids, in the order of the ids."""
+def sampled(docs: DataFrame, ids: DataFrame, longest: int) -> DataFrame:
+    """(doc_id, label, text) of a bounded list of ids: one text each, that with the least hash among its texts of up to `longest` bytes."""
     from pyspark.sql import functions as F
 
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    fits = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
+    own = fits.join(F.broadcast(ids), "doc_id")
+    return own.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 class Adam:

@@ -3,13 +3,15 @@
 A document is a bag of passages of PASSAGE bytes. A passage is encoded by how often
 its characters' classes and pairs of classes occur; a tanh layer, gated attention and
 a logistic output are learned from document labels alone. The score of a document is
-that of its passages' weighted mean. Fitted on at most SAMPLE labelled documents;
-every passage of every document is scored.
+that of its passages' weighted mean. Fitted on at most SAMPLE labelled documents of up
+to LONGEST bytes; every passage of every document is scored.
 
 Defined results: empty and null texts are bags of one empty passage and have the
-score the model gives that. Without labels of both kinds, every score is the share of
-1 among the labels, 0.5 if there are none. Rows without id are scored, never learned.
-Repeated rows have equal scores. Extra columns play no part.
+score the model gives that. Very long texts are scored whole. Without labels of both
+kinds, every score is the share of 1 among the labels, 0.5 if there are none. Rows without
+id are scored, never learned; of several texts of an id the one with the least hash is
+learned, and the highest label counts. Repeated rows and ties have equal scores. An empty
+table gives no rows. Extra columns play no part in a score.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from corvella.llm.common import SLICE, Adam, fold, labelled, sampled, sigmoid, s
 
 PASSAGE = 1024
 SAMPLE = 8000
+#: Bytes of a text that is learned from at most; longer ones are scored only.
+LONGEST = 1 << 20
 HIDDEN, GATE = 24, 12
 FOLDS = 5
 THRESHOLD = 0.3
@@ -147,7 +151,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids = labelled(labels, "quality", sample, fold(F.col("doc_id"), FOLDS) != 0)
-    t = sampled(bounded(docs), ids).select("doc_id", "text", "label").mapInArrow(freed(_features), "doc_id long, label int, x binary").toArrow()
+    t = sampled(bounded(docs), ids, LONGEST).select("doc_id", "text", "label").mapInArrow(freed(_features), "doc_id long, label int, x binary").toArrow()
     if not t.num_rows:
         return Model().fit(np.zeros((0, FEATURES)), np.zeros(0), np.zeros(0))
     x = np.frombuffer(b"".join(t["x"].to_pylist()), np.float16).reshape(-1, FEATURES).astype(np.float32)

@@ -7,11 +7,15 @@ beginnings, shape, neighbours; transitions) is fitted to
 these labels by its likelihood; forward-backward marginals give each token's chance of
 being toxic, a document's marginals are pooled and calibrated to a document score, and
 runs of likely tokens are the offending spans. Fitted on at most SAMPLE labelled
-documents; a document's whole text is tagged, in windows of WINDOW tokens.
-
-Defined results: texts without letters have the calibrated score of no evidence.
-Without labels of both kinds every score is the share of 1, 0 if there are none. Rows
-without id are scored, never learned. Repeated rows have equal scores.
+documents of up to LONGEST bytes; a document's whole text is one chain, whose messages
+pass from each WINDOW tokens to the next.
+
+Defined results: null and empty texts, and others without letters, have the calibrated
+score of no evidence. Without labels of both kinds every score is the share of 1, 0 if
+there are none. Very long texts are tagged whole. Rows without id are scored, never
+learned; of several texts of an id the one with the least hash is learned, and the highest
+label counts. Repeated rows have equal scores, ties are as they fall. An empty table gives
+no rows. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -23,9 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvella.llm.common import SLICE, Adam, _lut, fold, labelled, sampled, sigmoid, slices, span_hashes, text_of, word_bounds, bounded, freed
+from corvella.llm.common import SLICE, Adam, _lut, fold, group_starts, labelled, sampled, sigmoid, slices, span_hashes, text_of, word_bounds, bounded, freed
 
 SAMPLE = 4000
+#: Bytes of a text that is learned from at most; longer ones are scored only.
+LONGEST = 1 << 20
+#: Texts whose messages are in memory at once in training.
+TEXTS = 500
 WINDOW = 64
 WORDS, CONTEXT = 1 << 17, 1 << 14
 SHAPES = 4
@@ -72,6 +80,19 @@ def chains(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(inside % WINDOW == 0) - 1, inside % WINDOW
 
 
+def _places(of: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Number of each window among those of its text."""
+    start = group_starts(row)[:-1]
+    text = of[start]
+    return np.arange(len(text)) - np.searchsorted(text, text, "left")
+
+
+def _steps(place: np.ndarray) -> list[np.ndarray]:
+    """Windows that are the second of their text, the third, and so on."""
+    order = np.argsort(place, kind="stable")
+    return np.split(order, np.searchsorted(place[order], np.arange(1, place.max() + 1)))[1:] if len(place) else []
+
+
 class Field:
     """Weights are those of state 1 against state 0."""
 
@@ -96,49 +117,63 @@ class Field:
             e[:-1] += np.where(same, self.after[word[1:] % CONTEXT], 0)
         return e
 
-    def forward_backward(self, e: np.ndarray, row: np.ndarray, col: np.ndarray, want_moves: bool = False):
-        """Chance of state 1 for each token, the log of the partition function, and expected moves.
+    def forward_backward(self, e: np.ndarray, row: np.ndarray, col: np.ndarray, want_moves: bool = False, place: np.ndarray | None = None):
+        """Chance of state 1 for each token, the log of the partition function of each window's chain up to its end less that up to its start, and expected moves.
 
-        In log odds: a state pair is scaled by its sum at each step, windows advance together."""
+        place: number of each window in its text, whose windows follow one another; each window is a text of its own without it.
+        Windows advance together. A first pass gives each window's messages for both states that may come before it; a scan over the
+        windows of a text links them, so that the chain of a text is whole."""
         n = int(row[-1]) + 1 if len(row) else 0
+        place = np.zeros(n, np.int64) if place is None else place
         grid, full = np.zeros((WINDOW, n)), np.zeros((WINDOW, n), bool)
         grid[col, row], full[col, row] = e, True
         m = np.exp(self.move)
         odds = np.exp(np.clip(grid, -30, 30))
-        a0, a1, log_z = np.empty((WINDOW, n)), np.empty((WINDOW, n)), np.zeros(n)
-        p0, p1 = np.full(n, 1.0), np.zeros(n)
+        begins = place == 0
+        # f[t][i][j]: from state i before the window to state j at t, both i to one scale; before a text's first token stands state 0, for nothing
+        f = np.empty((WINDOW, 2, 2, n))
+        f[0] = [[np.where(begins, 1, m[0, 0]), np.where(begins, 1, m[0, 1]) * odds[0]], [np.where(begins, 0, m[1, 0]), np.where(begins, 0, m[1, 1]) * odds[0]]]
+        scale = np.zeros(n)
         for t in range(WINDOW):
-            live = full[t]
-            if t == 0:
-                q0, q1 = np.ones(n), odds[0].copy()
-            else:
-                q0, q1 = p0 * m[0, 0] + p1 * m[1, 0], (p0 * m[0, 1] + p1 * m[1, 1]) * odds[t]
-            total = q0 + q1
-            q0, q1 = q0 / total, q1 / total
-            if want_moves:
-                log_z += np.where(live, np.log(total), 0)
-            p0, p1 = np.where(live, q0, p0), np.where(live, q1, p1)
-            a0[t], a1[t] = p0, p1
-        b0, b1 = np.ones(n), np.ones(n)
+            if t:
+                live = full[t]
+                f[t, :, 0] = np.where(live, f[t - 1, :, 0] * m[0, 0] + f[t - 1, :, 1] * m[1, 0], f[t - 1, :, 0])
+                f[t, :, 1] = np.where(live, (f[t - 1, :, 0] * m[0, 1] + f[t - 1, :, 1] * m[1, 1]) * odds[t], f[t - 1, :, 1])
+            total = f[t].sum((0, 1))
+            f[t] /= total
+            scale += np.log(total)
+        steps = _steps(place)
+        before = np.stack([np.ones(n), np.zeros(n)])
+        for now in steps:
+            x = np.einsum("in,ijn->jn", before[:, now - 1], f[-1][:, :, now - 1])
+            before[:, now] = x / x.sum(0)
+        a = np.einsum("in,tijn->tjn", before, f)
+        log_z = scale + np.log(a[-1].sum(0))
+        after = np.ones((2, n))
+        for now in steps[::-1]:
+            x = np.einsum("ijn,jn->in", f[-1][:, :, now], after[:, now])
+            after[:, now - 1] = x / x.sum(0)
+        b0, b1 = after
         out, moves = np.empty((WINDOW, n)), np.zeros((2, 2))
         for t in range(WINDOW - 1, -1, -1):
-            g0, g1 = a0[t] * b0, a1[t] * b1
+            g0, g1 = a[t, 0] * b0, a[t, 1] * b1
             out[t] = g1 / (g0 + g1)
+            live, w = full[t], b1 * odds[t]
+            if want_moves:
+                p = a[t - 1] if t else before
+                x = [[p[0] * m[0, 0] * b0, p[0] * m[0, 1] * w], [p[1] * m[1, 0] * b0, p[1] * m[1, 1] * w]]
+                s = np.where(live if t else ~begins, 1 / (x[0][0] + x[0][1] + x[1][0] + x[1][1]), 0)
+                moves += [[(x[i][j] * s).sum() for j in (0, 1)] for i in (0, 1)]
             if t:
-                live, w = full[t], b1 * odds[t]
-                if want_moves:
-                    x = [[a0[t - 1] * m[0, 0] * b0, a0[t - 1] * m[0, 1] * w], [a1[t - 1] * m[1, 0] * b0, a1[t - 1] * m[1, 1] * w]]
-                    s = np.where(live, 1 / (x[0][0] + x[0][1] + x[1][0] + x[1][1]), 0)
-                    moves += [[(x[i][j] * s).sum() for j in (0, 1)] for i in (0, 1)]
                 c0, c1 = m[0, 0] * b0 + m[0, 1] * w, m[1, 0] * b0 + m[1, 1] * w
                 s = c0 + c1
                 b0, b1 = np.where(live, c0 / s, b0), np.where(live, c1 / s, b1)
         return out[col, row], log_z, moves
 
     def fit(self, word: np.ndarray, parts: list[np.ndarray], shape: np.ndarray, of: np.ndarray, tag: np.ndarray, rounds: int = 50) -> Field:
-        """Full-batch ascent of the likelihood, some thousand texts at a time."""
+        """Full-batch ascent of the likelihood over all texts, TEXTS at a time."""
         row, col = chains(of)
-        edges = np.unique([*np.searchsorted(of, np.arange(0, (of[-1] if len(of) else 0) + 1, 2000)), len(of)])
+        edges = np.unique([*np.searchsorted(of, np.arange(0, (of[-1] if len(of) else 0) + 1, TEXTS)), len(of)])
         names = ("word", "heads", "before", "after", "shape", "bias", "move")
         adam = Adam([getattr(self, k) for k in names])
         for r in range(rounds):
@@ -146,7 +181,7 @@ class Field:
             grads = [0.05 * getattr(self, k) for k in names]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 w, s, o, y, heads = word[lo:hi], shape[lo:hi], of[lo:hi], tag[lo:hi], [x[lo:hi] for x in parts]
-                p, _, moves = self.forward_backward(self.emission(w, heads, s, o), row[lo:hi] - row[lo], col[lo:hi], True)
+                p, _, moves = self.forward_backward(self.emission(w, heads, s, o), row[lo:hi] - row[lo], col[lo:hi], True, _places(o, row[lo:hi]))
                 d = p - y
                 grads[0] += np.bincount(w, d, minlength=WORDS)
                 for g, x in zip(grads[1], heads, strict=True):
@@ -156,23 +191,25 @@ class Field:
                 grads[3] += np.bincount(w[1:][same] % CONTEXT, d[:-1][same], minlength=CONTEXT)
                 grads[4] += np.bincount(s, d, minlength=SHAPES)
                 grads[5] += d.sum()
-                on = row[lo:hi][1:] == row[lo:hi][:-1]
-                grads[6] += moves - np.bincount(2 * y[:-1][on] + y[1:][on], minlength=4).reshape(2, 2)
+                grads[6] += moves - np.bincount(2 * y[:-1][same] + y[1:][same], minlength=4).reshape(2, 2)
             for i, k in ((2, "before"), (3, "after")):
                 grads[i] += 0.5 * getattr(self, k)
             adam.step(grads)
         return self
 
     def marginals(self, t: Tokens) -> np.ndarray:
-        row, col = chains(t.of)
-        return self.forward_backward(self.emission(t.word, t.parts, t.shape, t.of), row, col)[0] if len(row) else np.zeros(0)
+        return self.chances(t.word, t.parts, t.shape, t.of)
+
+    def chances(self, word: np.ndarray, parts: list[np.ndarray], shape: np.ndarray, of: np.ndarray) -> np.ndarray:
+        row, col = chains(of)
+        return self.forward_backward(self.emission(word, parts, shape, of), row, col, place=_places(of, row))[0] if len(row) else np.zeros(0)
 
 
 def pooled(p: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """Columns: 1, the chance that any token is toxic, the log of the expected number of toxic tokens."""
-    p = np.where(p > 0.02, np.minimum(p, 1 - 1e-9), 0)  # else the small chances of a long text's tokens add up
-    none = np.bincount(of, np.log1p(-p), minlength=n)
-    return np.stack([np.ones(n), 1 - np.exp(none), np.log1p(np.bincount(of, p, minlength=n))], axis=1)
+    """Columns: 1, the largest marginal, the log of the sum of squared marginals: the small ones of a long text don't add up to a large one."""
+    top = np.zeros(n)
+    np.maximum.at(top, of, p)
+    return np.stack([np.ones(n), top, np.log1p(np.bincount(of, p * p, minlength=n))], axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -201,7 +238,7 @@ _CODES = ("word", *(f"head{n}" for n in HEADS))
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     ids = labelled(labels, "toxic", sample, fold(F.col("doc_id"), FOLDS) != HELD)
     schema = "doc_id long, label int" + "".join(f", {c} array<int>" for c in _CODES)
-    t = sampled(bounded(docs), ids).select("doc_id", "text", "label").mapInArrow(freed(_tokens), schema).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").combine_chunks()
+    t = sampled(bounded(docs), ids, LONGEST).select("doc_id", "text", "label").mapInArrow(freed(_tokens), schema).toArrow().sort_by("doc_id").combine_chunks()
     y = t["label"].to_numpy() if t.num_rows else np.zeros(0)
     field = Field()
     if len(np.unique(y)) < 2:
@@ -219,17 +256,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
         marked |= _telling(of, x.astype(np.int64), word, y)[x]
     del codes
     tag = (marked & (y[of] == 1)).astype(np.int64)
-    # of the texts without any such word, the first thousands teach as much as all
-    with_mark = np.bincount(of, marked, minlength=len(y)) > 0
-    use = with_mark | (np.cumsum(~with_mark) <= 2000)
-    on = use[of]
-    field.fit(word[on], [x[on] for x in parts], shape[on], np.cumsum(use)[of[on]] - 1, tag[on])
+    field.fit(word, parts, shape, of, tag)
     p = np.zeros(len(of))
-    for lo in range(0, len(y), 500):
-        a, b = at[lo], at[min(lo + 500, len(y))]
-        if b > a:
-            row, col = chains(of[a:b])
-            p[a:b] = field.forward_backward(field.emission(word[a:b], [x[a:b] for x in parts], shape[a:b], of[a:b]), row, col)[0]
+    for lo in range(0, len(y), TEXTS):
+        a, b = at[lo], at[min(lo + TEXTS, len(y))]
+        p[a:b] = field.chances(word[a:b], [x[a:b] for x in parts], shape[a:b], of[a:b])
     field.calibration = _logistic(pooled(p, of, len(y)), y)
     return field.shrink()
 
