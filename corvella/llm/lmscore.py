@@ -1,18 +1,25 @@
 """Masked pseudo-likelihood scores by a bidirectional window network.
 
-The vocabulary is all words of the corpus with their counts. The softmax is factored by
-class: the TOP most frequent words have classes of their own, every other falls into one
-of TAIL classes by its hash, and within such a class a word is as likely as its count in
-the corpus plus one, in proportion. A network with one hidden layer predicts each word's
-class from REACH words on both sides. It is trained in numpy by every task on its own partition, over
-all positions of all documents: each position is learned in one of the ROUNDS rounds,
-by a hash of its document and place. The tasks' weights are averaged by their number of positions, and the next round goes on from the average. A
-document's score sums the conditional log-probabilities of all of its words. The counts
-of the FREQUENT most frequent words go to every task; a text's other words, none of
-which is frequent, meet their counts in a join.
+The vocabulary is all words of the corpus with their counts. The softmax has two levels:
+GROUPS groups of EACH units. The OWN most frequent words are units of their own; all
+others share the units of the last group by their hash, and within such a unit a word is
+as likely as its count in the corpus plus one, in proportion. A network with one hidden
+layer predicts a word's group, and its unit in the group, from REACH words on both
+sides; its biases begin at the corpus' own shares. A document's score sums the
+conditional log-probabilities of all of its words. The counts of the FREQUENT most
+frequent words go to every task; a text's other words meet their counts in a join.
+
+Training in numpy: equal texts are one with a count, which weighs its gradients. The
+texts, in parts of PIECE words, are dealt by a hash of their words to trainers of about
+POSITIONS positions each (at most TRAINERS of them). Each learns from its texts in the
+order of that hash, every position in one of the ROUNDS rounds; weights are averaged by
+the number of positions after each. So the model follows from the texts, not from how
+the table is partitioned.
 
 Defined results: null, empty and blank texts have no words, a sum of 0 and a null
-mean. Repeated rows have equal scores. Rows without id are scored and learned from.
+mean. Very long texts are scored and learned from whole. Repeated rows, and ties of equal
+texts, have equal scores. Rows without id are scored and learned from. An empty table
+gives no rows. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -21,20 +28,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvella.llm.common import SLICE, Adam, Scratch, mix, slices, span_hashes, text_of, word_bounds, bounded, freed
+from corvella.llm.common import SLICE, Adam, Scratch, bounded, flat, freed, group_starts, mix, slices, span_hashes, text_of, word_bounds
 
-TOP, TAIL = 96, 32
-CLASSES = TOP + TAIL
+GROUPS, EACH = 32, 128
+UNITS = GROUPS * EACH
+TAIL = EACH
+OWN = UNITS - TAIL
 REACH, EMBED, HIDDEN = 2, 16, 32
 ROUNDS = 2
-BATCH = 512
+BATCH = 4096
+RATE = 0.01
 #: Words whose counts every task holds; those of all others are joined.
 FREQUENT = 100_000
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 400_000
+POSITIONS = 1 << 21
+TRAINERS = 4096
+PIECE = 1 << 16
+#: Parts of the weights, each averaged by a task of its own.
+PARTS = 16
 
 
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -67,36 +82,36 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(parts)], names=["word", "n"])
 
 
+def _tail(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.uint64) >> np.uint64(20)).astype(np.int64) % TAIL
+
+
 class Vocabulary:
-    """Classes of words, the share of each frequent word in its class, and the counts of all words."""
+    """Units of words, the share of each frequent word in its unit, and the counts of all words."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, totals: np.ndarray, table: DataFrame):
-        """words: the frequent ones, by count; totals: of each tail class, its words' counts plus one."""
+        """words: the frequent ones, by count; totals: of each shared unit, its words' counts plus one."""
         self.table = table
-        top = words[:TOP]
-        order = np.argsort(top)
-        self.top, self.code = top[order], order.astype(np.int64)
-        self.whole = np.zeros(CLASSES)
-        self.whole[TOP:] = np.log(np.maximum(totals, 1))
+        self.whole = np.zeros(UNITS)
+        self.whole[OWN:] = np.log(np.maximum(totals, 1))
+        self.mass = np.concatenate([counts[:OWN], np.zeros(OWN - len(counts[:OWN])), totals]) + 1.0
         order = np.argsort(words)
-        self.frequent, n = words[order], counts[order]
-        self.count = np.where(self.classes(self.frequent) < TOP, 0.0, np.log(n + 1.0)).astype(np.float32)
+        own = order < OWN
+        self.frequent = words[order]
+        self.unit = np.where(own, order, OWN + _tail(self.frequent))
+        self.count = np.where(own, 0.0, np.log(counts[order] + 1.0))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "table"}
 
-    def classes(self, h: np.ndarray) -> np.ndarray:
-        out = TOP + (h.view(np.uint64) >> np.uint64(20)).astype(np.int64) % TAIL
-        if len(self.top):
-            at = np.minimum(np.searchsorted(self.top, h), len(self.top) - 1)
-            out = np.where(self.top[at] == h, self.code[at], out)
-        return out
-
-    def inside(self, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log of each word's share in its class, less the log of the count for words that aren't frequent; and which these are."""
-        at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
-        known = self.frequent[at] == h
-        return np.where(known, self.count[at], 0.0) - self.whole[c], ~known
+    def units(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit of each word; log of its share there, less the log of the count for words that aren't frequent; and which these are."""
+        unit, share, rare = OWN + _tail(h), np.zeros(len(h)), np.ones(len(h), bool)
+        if len(self.frequent) and len(h):
+            at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
+            rare = self.frequent[at] != h
+            unit, share = np.where(rare, unit, self.unit[at]), np.where(rare, 0.0, self.count[at])
+        return unit, share - self.whole[unit], rare
 
 
 def vocabulary(docs: DataFrame, scratch: Scratch) -> Vocabulary:
@@ -108,19 +123,38 @@ def vocabulary(docs: DataFrame, scratch: Scratch) -> Vocabulary:
     totals = np.zeros(TAIL)
     for r in counts.groupBy(tail.alias("c")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
         totals[r["c"]] = r["n"]
-    # the words with classes of their own are in none of the others
-    np.subtract.at(totals, (words[:TOP].view(np.uint64) >> np.uint64(20)).astype(np.int64) % TAIL, n[:TOP] + 1)
+    # the words with units of their own are in none of the others
+    np.subtract.at(totals, _tail(words[:OWN]), n[:OWN] + 1)
     return Vocabulary(words, n, totals, counts)
 
 
-SIZES = [(CLASSES + 1, EMBED), (2 * REACH * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+# ---------------------------------------------------------------- the network
+
+SIZES = [(UNITS + 1, EMBED), (2 * REACH * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, HIDDEN, EACH), (GROUPS, EACH)]
+
+
+def _soft(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(1, keepdims=True))
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def _log_soft(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    z = z - z.max(1, keepdims=True)
+    return z[np.arange(len(z)), at] - np.log(np.exp(z).sum(1))
 
 
 class Network:
-    def __init__(self, weights: np.ndarray | None = None):
+    def __init__(self, weights: np.ndarray | None = None, mass: np.ndarray | None = None):
+        """mass: counts of the units, where the biases begin."""
         if weights is None:
             r = np.random.default_rng(1)
-            self.w = [(r.normal(0, 0.1 if i == 0 else 1 / np.sqrt(s[0]), s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for i, s in enumerate(SIZES)]
+            scale = (0.1, 1 / np.sqrt(2 * REACH * EMBED), 0, 0.05, 0, 0.05, 0)
+            self.w = [(r.normal(0, x, s) if x else np.zeros(s)).astype(np.float32) for x, s in zip(scale, SIZES, strict=True)]
+            if mass is not None:
+                each = mass.reshape(GROUPS, EACH)
+                self.w[4][:] = np.log(each.sum(1) / mass.sum())
+                self.w[6][:] = np.log(each / each.sum(1, keepdims=True))
         else:
             ends = np.cumsum([int(np.prod(s)) for s in SIZES])
             self.w = [x.reshape(s).astype(np.float32) for x, s in zip(np.split(weights, ends[:-1]), SIZES, strict=True)]
@@ -130,115 +164,237 @@ class Network:
 
     @staticmethod
     def context(c: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Classes of the words around each word; CLASSES beyond a text's ends."""
-        out = np.full((len(c), 2 * REACH), CLASSES, np.int64)
+        """Units of the words around each word; UNITS beyond a text's ends."""
+        out = np.full((len(c), 2 * REACH), UNITS, np.uint16)
         for i, d in enumerate([d for d in range(-REACH, REACH + 1) if d]):
             if len(c) > abs(d):
                 a, b = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
-                out[a, i] = np.where(of[a] == of[b], c[b], CLASSES)
+                out[a, i] = np.where(of[a] == of[b], c[b], UNITS)
         return out
 
+    def _hidden(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        e, w1, b1 = self.w[:3]
+        seen = e[x].reshape(len(x), -1)
+        return seen, np.tanh(seen @ w1 + b1)
+
     def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        e, w1, b1, w2, b2 = self.w
-        # a word's part in the hidden layer depends on its class and place alone
-        place = [e @ w1[i * EMBED : (i + 1) * EMBED] for i in range(2 * REACH)]
+        _, _, _, w2, b2, w3, b3 = self.w
         out = np.empty(len(target))
-        for lo in range(0, len(target), 8192):
-            x = context[lo : lo + 8192]
-            h = np.tanh(sum(place[i][x[:, i]] for i in range(2 * REACH)) + b1)
-            z = h @ w2 + b2
-            z -= z.max(1, keepdims=True)
-            own = z[np.arange(len(z)), target[lo : lo + 8192]]
-            out[lo : lo + 8192] = own - np.log(np.exp(z).sum(1))
+        for lo in range(0, len(target), 2 * BATCH):
+            group, unit = np.divmod(target[lo : lo + 2 * BATCH].astype(np.int64), EACH)
+            h = self._hidden(context[lo : lo + 2 * BATCH])[1]
+            p = _log_soft(h @ w2 + b2, group)
+            order = np.argsort(group, kind="stable")
+            edges = group_starts(group[order])
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                own = order[a:b]
+                k = group[own[0]]
+                p[own] += _log_soft(h[own] @ w3[k] + b3[k], unit[own])
+            out[lo : lo + 2 * BATCH] = p
         return out
 
-    def learn(self, context: np.ndarray, target: np.ndarray, adam: Adam) -> None:
-        for lo in range(0, len(target), BATCH):
-            x, y = context[lo : lo + BATCH], target[lo : lo + BATCH]
-            e, w1, b1, w2, b2 = self.w
-            blocks = w1.reshape(2 * REACH, EMBED, HIDDEN)
-            place = e @ blocks
-            h = np.tanh(sum(place[i][x[:, i]] for i in range(2 * REACH)) + b1)
-            p = h @ w2 + b2
-            p = np.exp(p - p.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            p /= len(y)
-            dh = (p @ w2.T) * (1 - h * h)
-            one = np.zeros((2 * REACH, len(x), CLASSES + 1), np.float32)
-            one[np.arange(2 * REACH)[:, None], np.arange(len(x)), x.T] = 1
-            dplace = one.transpose(0, 2, 1) @ dh
-            adam.step([(dplace @ blocks.transpose(0, 2, 1)).sum(0), (e.T @ dplace).reshape(w1.shape), dh.sum(0), h.T @ p, p.sum(0)])
-
-
-def turns(h: np.ndarray, of: np.ndarray, rounds: int) -> np.ndarray:
-    """The round in which each position is learned, by a hash of the document's words and the place in it."""
-    if not len(h):
-        return np.zeros(0, np.int64)
-    start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    n = np.diff(np.append(start, len(h)))
-    document = np.add.reduceat(h.view(np.uint64), start)
-    place = (np.arange(len(h)) - np.repeat(start, n)).astype(np.uint64)
-    return (mix(mix(np.repeat(document, n)) + place) % np.uint64(rounds)).astype(np.int64)
-
-
-def _train(words: Vocabulary, weights: np.ndarray, turn: int, rounds: int):
+    def learn(self, x: np.ndarray, y: np.ndarray, adam: Adam, weight: np.ndarray | None = None) -> None:
+        """One step over a batch of positions."""
+        e, w1, _, w2, b2, w3, b3 = self.w
+        weight = (np.ones(len(y)) if weight is None else weight)[:, None].astype(w1.dtype) / len(y)
+        group, unit = np.divmod(y.astype(np.int64), EACH)
+        seen, h = self._hidden(x)
+        p = _soft(h @ w2 + b2)
+        p[np.arange(len(y)), group] -= 1
+        p *= weight
+        dh, d3, db3 = p @ w2.T, np.zeros_like(w3), np.zeros_like(b3)
+        order = np.argsort(group, kind="stable")
+        edges = group_starts(group[order])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            own = order[a:b]
+            k, near = group[own[0]], h[own]
+            q = _soft(near @ w3[k] + b3[k])
+            q[np.arange(b - a), unit[own]] -= 1
+            q *= weight[own]
+            d3[k], db3[k] = near.T @ q, q.sum(0)
+            dh[own] += q @ w3[k].T
+        dh *= 1 - h * h
+        back = (dh @ w1.T).reshape(-1, EMBED)
+        at = x.ravel()
+        order = np.argsort(at, kind="stable")
+        first = group_starts(at[order])[:-1]
+        de = np.zeros_like(e)
+        de[at[order[first]]] = np.add.reduceat(back[order], first, axis=0)
+        adam.step([de, seen.T @ dh, dh.sum(0), h.T @ p, p.sum(0), d3, db3])
+
+
+# ---------------------------------------------------------------- texts as units
+
+CODED = "doc_id long, n_words long, fp long, codes binary, inside double, rare array<long>"
+
+
+def _code(words: Vocabulary):
+    """Units of each text's words, 2 bytes each; a hash of its words; its share inside the units; its words that aren't frequent."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(weights)
-        adam, n = Adam(net.w, 0.004 / (turn + 1)), 0
         for batch in batches:
-            for _, _, h, of in _words(batch):
-                c = words.classes(h)
-                x = Network.context(c, of)
-                pick = np.flatnonzero(turns(h, of, rounds) == turn)
-                net.learn(x[pick], c[pick], adam)
-                n += len(pick)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([net.flat().tolist()], pa.list_(pa.float32())), pa.array([n], pa.int64())], names=["w", "n"])
+            for lo, hi, h, of in _words(batch):
+                unit, inside, rare = words.units(h)
+                n = np.bincount(of, minlength=hi - lo)
+                ends = np.concatenate([[0], np.cumsum(n)])
+                place = (np.arange(len(h)) - ends[of]).astype(np.uint64)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h.view(np.uint64) ^ mix(place + np.uint64(1))))])
+                fp = (total[ends[1:]] - total[ends[:-1]]).view(np.int64)
+                codes = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((2 * ends).astype(np.int32).tobytes()), pa.py_buffer(unit.astype(np.uint16).tobytes())])
+                some = np.concatenate([[0], np.cumsum(np.bincount(of[rare], minlength=hi - lo))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(some), pa.array(h[rare]))
+                share = np.bincount(of, inside, minlength=hi - lo).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(fp), codes, pa.array(share), lists], names=["doc_id", "n_words", "fp", "codes", "inside", "rare"])
 
     return run
 
 
-def train(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> Network:
-    weights = Network().flat()
+def _units(batch: pa.RecordBatch, name: str = "codes") -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, their units one after another, the row of each unit and its place in the row."""
+    data, offsets = flat(batch.column(batch.schema.get_field_index(name)))
+    for lo, hi in slices(offsets, SLICE):
+        own = offsets[lo : hi + 1]
+        c = np.frombuffer(data[own[0] : own[-1]].tobytes(), np.uint16)
+        n = np.diff(own) // 2
+        of = np.repeat(np.arange(hi - lo), n)
+        yield lo, hi, c, of, np.arange(len(c)) - ((own[:-1] - own[0]) // 2)[of]
+
+
+# ---------------------------------------------------------------- training
+
+
+def pieces(coded: DataFrame, trainers: int) -> DataFrame:
+    """trainer, fp, part, start, times and units of the parts of all different texts, with REACH words more on either side."""
+    once = coded.filter("n_words > 0").groupBy("fp", "n_words").agg(F.count("*").alias("times"), F.first("codes").alias("codes"))
+    part = once.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_words - 1) div {PIECE}"))).alias("part"))
+    part = part.select("*", F.greatest(F.col("part") * PIECE - REACH, F.lit(0)).alias("start"))
+    codes = F.substr("codes", (F.col("start") * 2 + 1).cast("int"), (((F.col("part") + 1) * PIECE + REACH - F.col("start")) * 2).cast("int"))
+    return part.select(F.pmod(F.xxhash64("fp", "part"), F.lit(trainers)).cast("int").alias("trainer"), "fp", "part", "start", "times", codes.alias("codes"))
+
+
+def turns(fp: np.ndarray, place: np.ndarray, rounds: int) -> np.ndarray:
+    """The round in which each position is learned, by a hash of the text's words and the place in it."""
+    return (mix(mix(fp.view(np.uint64)) + place.astype(np.uint64)) % np.uint64(rounds)).astype(np.int64)
+
+
+class _Trainer:
+    """Learns from positions as they come, BATCH at a time."""
+
+    def __init__(self, weights: np.ndarray, rate: float):
+        self.net, self.n, self.held, self.size = Network(weights), 0.0, [], 0
+        self.adam = Adam(self.net.w, rate)
+
+    def push(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        self.held.append((x, y, weight))
+        self.size += len(y)
+        self.n += float(weight.sum())
+        if self.size >= BATCH:
+            self._learn(BATCH)
+
+    def _learn(self, least: int) -> None:
+        x, y, weight = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        lo = 0
+        while len(y) - lo >= max(least, 1):
+            self.net.learn(x[lo : lo + BATCH], y[lo : lo + BATCH], self.adam, weight[lo : lo + BATCH])
+            lo += BATCH
+        self.held, self.size = [(x[lo:], y[lo:], weight[lo:])], max(0, len(y) - lo)
+
+    def end(self) -> np.ndarray:
+        if self.size:
+            self._learn(1)
+        return self.net.flat()
+
+
+def _train(weights: np.ndarray, turn: int, rounds: int, copies: float):
+    """Pieces sorted by trainer → PARTS parts of each trainer's weights. copies: mean number of a position's copies."""
+
+    def rows(trainer: int, t: _Trainer) -> pa.RecordBatch:
+        w = [x.astype(np.float32).tobytes() for x in np.array_split(t.end(), PARTS)]
+        return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([trainer] * PARTS, pa.int32()), pa.array([t.n] * PARTS), pa.array(w, pa.binary())], names=["part", "trainer", "n", "w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, t = -1, None
+        for batch in batches:
+            trainer, fp, part, start, times = (batch.column(i).to_numpy() for i in range(5))
+            for lo, hi, c, of, place in _units(batch):
+                x, row = Network.context(c, of), of + lo
+                place = place + start[row]
+                pick = (place >= part[row] * PIECE) & (place < (part[row] + 1) * PIECE) & (turns(fp[row], place, rounds) == turn)
+                edges = group_starts(trainer[lo:hi])
+                for a, b in zip(edges[:-1] + lo, edges[1:] + lo, strict=True):
+                    if trainer[a] != now:
+                        if t is not None:
+                            yield rows(now, t)
+                        now, t = int(trainer[a]), _Trainer(weights, RATE / (turn + 1))
+                    i, j = np.searchsorted(row, (a, b))
+                    own = np.flatnonzero(pick[i:j]) + i
+                    t.push(x[own], c[own], times[row[own]] / copies)
+        if t is not None:
+            yield rows(now, t)
+
+    return run
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the weights by part, in the order of the trainers."""
+    now, n, total = -1, 0.0, None
+    out = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([n]), pa.array([total.tobytes()], pa.binary())], names=["part", "n", "w"])
+    for batch in batches:
+        for part, size, w in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            if part != now:
+                if now >= 0:
+                    yield out()
+                now, n, total = part, 0.0, 0.0
+            n += size
+            total = total + size * np.frombuffer(w.as_buffer(), np.float32).astype(np.float64)
+    if now >= 0:
+        yield out()
+
+
+def train(coded: DataFrame, words: Vocabulary, scratch: Scratch, rounds: int = ROUNDS) -> Network:
+    net = Network(mass=words.mass)
+    total = coded.agg(F.sum("n_words")).first()[0] or 0
+    if not total:
+        return net
+    trainers = min(TRAINERS, -(-total // POSITIONS))
+    part = scratch.stage(pieces(coded, trainers))
+    here = F.octet_length("codes") / 2
+    copies = part.agg((F.sum(here * F.col("times")) / F.sum(here)).alias("c")).first()[0]
+    weights = net.flat()
     for turn in range(rounds):
-        parts = docs.select("text").mapInArrow(freed(_train(words, weights, turn, rounds)), "w array<float>, n long")
-        mean = parts.select("n", F.posexplode("w").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).collect()
-        if mean:
-            weights = np.zeros(len(weights), np.float32)
-            weights[[r["i"] for r in mean]] = [r["x"] for r in mean]
+        own = part.repartition("trainer").sortWithinPartitions("trainer", "fp", "part").mapInArrow(freed(_train(weights, turn, rounds, copies)), "part int, trainer int, n double, w binary")
+        mean = own.repartition("part").sortWithinPartitions("part", "trainer").mapInArrow(freed(_sum), "part int, n double, w binary").collect()
+        mean = [(r["part"], np.frombuffer(r["w"], np.float64), r["n"]) for r in mean]
+        weights = np.concatenate([w / n for _, w, n in sorted(mean, key=lambda x: x[0])]) if mean[0][2] else weights
+    scratch.drop(part)
     return Network(weights)
 
 
-SCORED = "doc_id long, n_words long, log_probability double, mean_log_probability double"
-PARTLY = "doc_id long, n_words long, part double, rare array<long>"
+# ---------------------------------------------------------------- scores
+
+SCORED = "row long, doc_id long, n_words long, part double"
 
 
-def _score(words: Vocabulary, net: Network):
+def _score(net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, h, of in _words(batch):
-                c = words.classes(h)
-                inside, rare = words.inside(h, c) if len(h) else (np.zeros(0), np.zeros(0, bool))
-                p = net.log_p(Network.context(c, of), c) + inside
-                n = np.bincount(of, minlength=hi - lo)
-                total = np.bincount(of, p, minlength=hi - lo) if len(of) else np.zeros(hi - lo)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(of[rare], minlength=hi - lo))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[rare]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(total.astype(np.float64)), lists], names=["doc_id", "n_words", "part", "rare"])
+            inside = batch.column(batch.schema.get_field_index("inside")).to_numpy()
+            for lo, hi, c, of, _ in _units(batch):
+                total = np.bincount(of, net.log_p(Network.context(c, of), c), minlength=hi - lo) + inside[lo:hi]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(total.astype(np.float64))], names=["row", "doc_id", "n_words", "part"])
 
     return run
 
 
 def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One row for each document: number of words, summed and mean conditional log-probability."""
-    spark: SparkSession = docs.sparkSession
-    s = scratch or Scratch(spark)
+    s = scratch or Scratch(docs.sparkSession)
     words = vocabulary(docs, s)
-    partly = s.stage(docs.select("doc_id", "text").mapInArrow(freed(_score(words, train(docs, words))), PARTLY).select(F.monotonically_increasing_id().alias("row"), "*"))
-    each = partly.select("row", F.explode("rare").alias("word")).join(words.table.hint("shuffle_hash"), "word")
+    coded = s.stage(docs.select("doc_id", "text").mapInArrow(freed(_code(words)), CODED).select(F.monotonically_increasing_id().alias("row"), "*"))
+    net = train(coded, words, s)
+    scored = coded.select("row", "doc_id", "n_words", "codes", "inside").mapInArrow(freed(_score(net)), SCORED)
+    each = coded.select("row", F.explode("rare").alias("word")).join(words.table.hint("shuffle_hash"), "word")
     # log(n + 1) in whole billionths, so that sums don't depend on their order
     more = each.groupBy("row").agg(F.sum(F.round(F.log(F.col("n") + 1) * 1e9).cast("long")).alias("more"))
     total = F.col("part") + F.coalesce(F.col("more"), F.lit(0)) / 1e9
-    out = partly.select("row", "doc_id", "n_words", "part").join(more, "row", "left")
-    return out.select("doc_id", "n_words", total.alias("log_probability"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_probability"))
+    return scored.join(more, "row", "left").select("doc_id", "n_words", total.alias("log_probability"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_probability"))

@@ -197,6 +197,53 @@ def test_marginals_are_exact():
     assert moves.sum() == pytest.approx(5)
 
 
+@pytest.mark.parametrize("window", [1, 2, 3, 64])
+def test_chain_crosses_windows(monkeypatch, window):
+    """Marginals, moves and the partition function of texts of several windows, against all labellings of each whole text."""
+    monkeypatch.setattr(toxicity, "WINDOW", window)
+    r = np.random.default_rng(2)
+    f = toxicity.Field()
+    f.move = r.normal(size=(2, 2))
+    of = np.repeat([0, 1, 3, 4], [5, 1, 7, 2])
+    e = r.normal(size=len(of))
+    row, col = toxicity.chains(of)
+    got, log_z, moves = f.forward_backward(e, row, col, True, toxicity._places(of, row))
+    want = np.zeros((2, 2))
+    for c in np.unique(of):
+        own = e[of == c]
+        total, one, pairs = 0.0, np.zeros(len(own)), np.zeros((2, 2))
+        for code in range(1 << len(own)):
+            s = [(code >> i) & 1 for i in range(len(own))]
+            w = np.exp(sum(x for x, y in zip(own, s, strict=True) if y) + sum(f.move[a, b] for a, b in zip(s, s[1:])))
+            total += w
+            one += w * np.array(s)
+            for a, b in zip(s, s[1:]):
+                pairs[a, b] += w
+        assert got[of == c] == pytest.approx(one / total)
+        assert log_z[np.unique(row[of == c])].sum() == pytest.approx(np.log(total))
+        want += pairs / total
+    assert moves == pytest.approx(want)
+
+
+def test_small_marginals_of_a_long_text_stay_small():
+    p = np.concatenate([np.full(20_000, 0.001), [0.9], np.full(3, 0.01)])
+    x = toxicity.pooled(p, np.repeat([0, 1, 2], [20_000, 1, 3]), 4)
+    assert x[0, 2] < 0.03 and x[1, 1] == 0.9 and x[2, 1] == 0.01 and (x[3] == [1, 0, 0]).all()
+
+
+def test_every_text_of_the_sample_is_learned_from(spark, monkeypatch):
+    """Marked or not, and one text of an id with several."""
+    seen = []
+    monkeypatch.setattr(toxicity.Field, "fit", lambda self, word, parts, shape, of, tag: seen.append((len(np.unique(of)), len(of))) or self)
+    rows = [(i, f"plain words of document number {'abcdefghij'[i % 10]} " * 3) for i in range(2500)] + [(3000 + i, "vile " + "abcdefghij"[i % 10] + " words") for i in range(40)]
+    rows += [(0, "another text of the same id")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") >= 3000).cast("int").alias("toxic")).distinct()
+    toxicity.train(docs, labels)
+    n = labels.filter("crc32(cast(doc_id as string)) % 4 <> 2").count()
+    assert seen[0][0] == n > 1500
+
+
 def test_toxic_spans_name_the_words(spark):
     docs = table(spark, "documents")
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -458,7 +505,8 @@ def test_redaction():
 def test_lm_gradient_and_order(spark):
     from corvella.llm import lmscore
 
-    assert lmscore.Network.context(np.array([5, 6, 7]), np.array([0, 0, 1])).tolist() == [[128, 128, 6, 128], [128, 5, 128, 128], [128, 128, 128, 128]]
+    no = lmscore.UNITS
+    assert lmscore.Network.context(np.array([5, 6, 7]), np.array([0, 0, 1])).tolist() == [[no, no, 6, no], [no, 5, no, no], [no, no, no, no]]
     r = random.Random(1)
     fixed = " ".join(WORDS_IN_ORDER * 20)
     rows = [(i, fixed) for i in range(60)] + [(100, " ".join(r.sample(WORDS_IN_ORDER * 20, 200)))]
@@ -472,6 +520,8 @@ def test_lm_uses_the_counts_of_all_words(spark, monkeypatch, frequent):
     from corvella.llm import lmscore
 
     monkeypatch.setattr(lmscore, "FREQUENT", frequent)
+    monkeypatch.setattr(lmscore, "OWN", 96)
+    monkeypatch.setattr(lmscore, "TAIL", lmscore.UNITS - 96)
     r = random.Random(2)
     common_words = [f"common{i}" for i in range(600)]
     rows = [(i, " ".join(r.choices(common_words, k=100))) for i in range(200)]
@@ -480,30 +530,83 @@ def test_lm_uses_the_counts_of_all_words(spark, monkeypatch, frequent):
     words = lmscore.vocabulary(docs, common.Scratch(spark))
     n = {x["word"]: x["n"] for x in words.table.collect()}
     h = np.array(list(n), np.int64)
-    inside, rare = words.inside(h, words.classes(h))
+    unit, inside, rare = words.units(h)
     share = np.exp(inside + np.where(rare, np.log(np.array(list(n.values())) + 1), 0))
-    assert np.bincount(words.classes(h), share, minlength=128) == pytest.approx(np.ones(128))
+    assert np.bincount(unit, share)[np.unique(unit)] == pytest.approx(np.ones(len(np.unique(unit))))
+    assert (np.sort(unit[unit < 96]) == np.arange(96)).all()
     assert rare.sum() == max(0, len(n) - frequent)
     out = {x["doc_id"]: x["mean_log_probability"] for x in lmscore.score(docs).collect()}
     assert len(out) == len(rows) and out[2000] is None and out[2001] is None
     assert min(out[i] for i in range(200)) > max(out[1000 + i] for i in range(10)) + 1
 
 
+def coded(spark, docs):
+    from corvella.llm import lmscore
+
+    words = lmscore.vocabulary(docs, common.Scratch(spark))
+    return words, docs.select("doc_id", "text").mapInArrow(lmscore._code(words), lmscore.CODED)
+
+
 def test_lm_learns_from_every_position(spark, monkeypatch):
-    """Over the rounds each position once; of a triple that is often repeated, a share in each round."""
+    """Over the rounds each position once, with its copies as weight, also where a long text is parted."""
+    import pyarrow as pa
+
     from corvella.llm import lmscore
 
+    monkeypatch.setattr(lmscore, "PIECE", 7)
     learned = []
-    monkeypatch.setattr(lmscore.Network, "learn", lambda self, x, y, adam: learned.append(np.column_stack([x, y])))
-    texts = [f"{' '.join(WORDS_IN_ORDER)} number{i}" for i in range(200)]
-    words = lmscore.vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"), common.Scratch(spark))
-    import pyarrow as pa
+    monkeypatch.setattr(lmscore.Network, "learn", lambda self, x, y, adam, weight: learned.append(np.column_stack([x, y, weight])))
+    texts = [f"{' '.join(WORDS_IN_ORDER)} number{i // 2}" for i in range(200)] + ["one", " ", " ".join(f"w{i}" for i in range(100))]
+    words, rows = coded(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    parts = lmscore.pieces(rows, 3).orderBy("trainer", "fp", "part").toArrow().combine_chunks().to_batches()
+    n = [[r["n"][0].as_py() for r in lmscore._train(lmscore.Network().flat(), t, lmscore.ROUNDS, 1.0)(iter(parts))] for t in range(lmscore.ROUNDS)]
+    assert len(n[0]) == 3 and sum(map(sum, n)) == 11 * 200 + 101 and min(map(sum, n)) > 900
+    got = sorted(tuple(map(int, x)) for part in learned for x in part)
+    want = defaultdict(int)
+    for _, _, h, of in lmscore._words(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])):
+        c = words.units(h)[0]
+        for x, y in zip(lmscore.Network.context(c, of), c, strict=True):
+            want[(*map(int, x), int(y))] += 1
+    total = defaultdict(int)
+    for x in got:
+        total[x[:-1]] += x[-1]
+    assert total == want
+
+
+def test_lm_scores_do_not_follow_the_partitions(spark, monkeypatch):
+    from corvella.llm import lmscore
 
-    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
-    n = [sum(r["n"][0].as_py() for r in lmscore._train(words, lmscore.Network().flat(), t, lmscore.ROUNDS)([batch])) for t in range(lmscore.ROUNDS)]
-    assert sum(n) == 11 * 200 and min(n) > 900
-    rows = [tuple(x) for part in learned for x in part]
-    assert sorted(rows) == sorted(tuple([*x, c]) for _, _, h, of in lmscore._words(batch) for c in [words.classes(h)] for x, c in zip(lmscore.Network.context(c, of), c, strict=True))
+    monkeypatch.setattr(lmscore, "POSITIONS", 1 << 16)
+    docs = table(spark, "documents")
+    a, b = ({r["doc_id"]: r["mean_log_probability"] for r in lmscore.score(d).collect()} for d in (docs, docs.repartition(11).orderBy(F.desc("doc_id"))))
+    assert a.keys() == b.keys() and max(abs(a[i] - b[i]) for i in a if a[i] is not None) < 1e-4
+
+
+def test_lm_scores_against_plain_sums(spark):
+    """Each word's log-probability by the network's definition, one word after another."""
+    from corvella.llm import lmscore
+
+    rows = [(i, f"{' '.join(WORDS_IN_ORDER)} number{i // 2} {'x' * i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    s = common.Scratch(spark)
+    words, c = coded(spark, docs)
+    net = lmscore.train(s.stage(c), words, s)
+    e, w1, b1, w2, b2, w3, b3 = (w.astype(np.float64) for w in net.w)
+    n = defaultdict(int)
+    for _, t in rows:
+        for w in t.split():
+            n[w] += 1
+    unit = {w: int(words.units(lmscore.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)])).view(np.int64))[0][0]) for w in n}
+    got = {r["doc_id"]: r["log_probability"] for r in lmscore.score(docs).collect()}
+    for i, t in rows:
+        u, total = [lmscore.UNITS] * 2 + [unit[w] for w in t.split()] + [lmscore.UNITS] * 2, 0.0
+        for j, w in enumerate(t.split(), 2):
+            h = np.tanh(np.concatenate([e[u[k]] for k in (j - 2, j - 1, j + 1, j + 2)]) @ w1 + b1)
+            g, k = divmod(u[j], lmscore.EACH)
+            z, zz = h @ w2 + b2, h @ w3[g] + b3[g]
+            total += z[g] - np.log(np.exp(z).sum()) + zz[k] - np.log(np.exp(zz).sum())
+            total += np.log((n[w] + 1) / sum(m + 1 for v, m in n.items() if unit[v] == u[j])) if u[j] >= lmscore.OWN else 0
+        assert got[i] == pytest.approx(total, abs=2e-3)
 
 
 def test_lm_gradient_of_all_weights():
@@ -512,20 +615,21 @@ def test_lm_gradient_of_all_weights():
     r = np.random.default_rng(3)
     net = lmscore.Network()
     net.w = [w.astype(np.float64) for w in net.w]
-    x, y = r.integers(0, 129, (40, 4)), r.integers(0, 128, 40)
+    x, y = r.integers(0, lmscore.UNITS + 1, (40, 4)), r.integers(0, lmscore.UNITS, 40)
 
     class Keep:
         def step(self, g):
             self.g = g
 
     keep = Keep()
-    net.learn(x, y, keep)
+    weight = r.uniform(0.5, 3, 40)
+    net.learn(x, y, keep, weight)
     for w, g in zip(net.w, keep.g, strict=True):
         i = np.unravel_index(np.abs(g).argmax(), g.shape)
         old, loss = w[i], []
         for d in (1e-4, -1e-4):
             w[i] = old + d
-            loss.append(-net.log_p(x, y).mean())
+            loss.append(-(net.log_p(x, y) * weight).mean())
         w[i] = old
         assert g[i] == pytest.approx((loss[0] - loss[1]) / 2e-4, rel=1e-3)
 
