@@ -40,11 +40,12 @@ class _Source:
     """A text, its blanked copy, its comments and its brackets."""
 
     def __init__(self, text: str, language: str):
-        self.text, self.comments = text, []
+        self.text, self.comments, self.ends = text, [], []
         out, at = [], 0
         for m in _MASK[language].finditer(text):
             if m[0].startswith(("//", "/*")):
-                self.comments.append((m.start(), m.end()))
+                self.comments.append(m.start())
+                self.ends.append(m.end())
             out += [text[at : m.start()], re.sub(r"[^\n]", " ", m[0]) if m[0].startswith(("//", "/*")) else re.sub(r"[^\n]", "_", m[0])]
             at = m.end()
         self.code = "".join(out) + text[at:]
@@ -64,11 +65,18 @@ class _Source:
 
     def chunk(self, start: int, end: int, kind: str) -> Chunk:
         """With the one comment before it that only white space parts from it."""
-        if before := [c for c in self.comments if c[1] <= start and not self.text[c[1] : start].strip()]:
-            start = before[-1][0]
+        if (i := bisect.bisect_right(self.ends, start) - 1) >= 0 and _before(self.text, start) <= self.ends[i]:
+            start = self.comments[i]
         return Chunk(self.text[start:end], self.line(start), self.line(max(start, end - 1)), kind)
 
 
+def _before(text: str, at: int) -> int:
+    """Where the white space before `at` begins."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
 def _script(src: _Source, language: str) -> list[tuple[int, int, str]]:
     code, found = src.code, []
     statement = lambda at: not re.search(r"(?:[=(,:?&|!\[+]|\breturn|\bnew|=>)\s*$", code[max(0, at - 40) : at])
@@ -77,7 +85,7 @@ def _script(src: _Source, language: str) -> list[tuple[int, int, str]]:
         if statement(m.start()) and brace is not None:
             found.append((m.start(), src.close[brace] + 1, "function"))
     for m in re.finditer(r"\bclass\s+[\w$]+[^{;()]*(?:\([^{]*\)[^{;]*)?\{", code):
-        if statement(m.start()) and not re.search(r"\babstract\s+$", code[: m.start()]) and m.end() - 1 in src.close:
+        if statement(m.start()) and not re.search(r"\babstract\s+$", code[max(0, m.start() - 80) : m.start()]) and m.end() - 1 in src.close:
             found.append((m.start(), src.close[m.end() - 1] + 1, "class"))
     if language == "typescript":
         for m in re.finditer(r"\binterface\s+[\w$]+[^{;=()]*\{", code):
@@ -106,13 +114,13 @@ def _body(src: _Source, at: int) -> int | None:
 
 def _arrow_start(src: _Source, at: int, language: str) -> int | None:
     code = src.code
-    head = code[:at].rstrip()
-    if language == "typescript" and (m := re.search(r"\)\s*:\s*[\w$.<>\[\]| ]+$", head[-200:])):
-        head = code[: len(head) - len(m[0]) + 1]
-    if head.endswith(")") and len(head) - 1 in src.open:
-        start = src.open[len(head) - 1]
-    elif m := re.search(r"[A-Za-z_$][\w$]*$", head[-100:]):
-        start = len(head) - len(m[0])
+    end = _before(code, at)
+    if language == "typescript" and (m := re.search(r"\)\s*:\s*[\w$.<>\[\]| ]+$", code[max(0, end - 200) : end])):
+        end -= len(m[0]) - 1
+    if end - 1 in src.open and code[end - 1] == ")":
+        start = src.open[end - 1]
+    elif m := re.search(r"[A-Za-z_$][\w$]*$", code[max(0, end - 100) : end]):
+        start = end - len(m[0])
     else:
         return None
     if m := re.search(r"\basync\s*$", code[max(0, start - 12) : start]):

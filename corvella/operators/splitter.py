@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql.functions import udtf
 
+from corvella.functions.text import SENTENCES
+
 Counter = Callable[[str], int]
 
 
@@ -34,7 +36,7 @@ def split_words(text: str, most: int, count: Counter = estimate) -> list[str]:
 
 def split_long_line(line: str, most: int, count: Counter = estimate) -> list[str]:
     pieces: list[str] = []
-    for sentence in re.findall(r"[^.!?]+[.!?]+|[^.!?]+$", line) or [line]:
+    for sentence in re.findall(SENTENCES, line) or [line]:
         sentence = sentence.strip()
         pieces += split_words(sentence, most, count) if count(sentence) > most else [sentence]
     return _pack([p for p in pieces if p], most, count, " ")

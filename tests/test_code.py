@@ -186,3 +186,19 @@ def test_any_text_can_be_read_by_indentation(source):
     rows = source.count("\n") + 1
     for c in _indented(source):
         assert 1 <= c.start <= c.end <= rows and c.content.count("\n") == c.end - c.start
+
+
+def test_large_files_take_linear_time():
+    """Commented functions, classes and arrows of a megabyte; braces languages."""
+    import time
+
+    one = "// says what\nfunction name{i}(a, b) {{ return [a].map((x) => x + {i}); }}\n\n/* a class */\nclass Thing{i} {{ method{i}(a) {{ return a; }} }}\n"
+    text = "".join(one.format(i=i) for i in range(1_000_000 // len(one)))
+    began = time.monotonic()
+    found = chunks(text, "javascript")
+    assert time.monotonic() - began < 5
+    assert len(found) == 4 * (1_000_000 // len(one)) and found[0].content.startswith("// says what") and found[0].start == 1
+    java = "".join(f"/* doc */\npublic class A{i} {{ int x = {i}; /** m */ int m(int a) {{ return a; }} }}\n" for i in range(12_000))
+    began = time.monotonic()
+    assert len(chunks(java, "java")) == 36_000
+    assert time.monotonic() - began < 5
