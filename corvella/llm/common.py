@@ -260,13 +260,23 @@ class Adam:
     def __init__(self, weights: list[np.ndarray], rate: float = 0.003):
         self.w, self.rate, self.t = weights, rate, 0
         self.m, self.v = [np.zeros_like(x) for x in weights], [np.zeros_like(x) for x in weights]
+        self.x = [np.zeros_like(x) for x in weights]
 
     def step(self, grads: list[np.ndarray]) -> None:
         self.t += 1
-        for w, g, m, v in zip(self.w, grads, self.m, self.v, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            w -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
+        rate, bias = self.rate / (1 - 0.9**self.t), 1 / (1 - 0.99**self.t)
+        for w, g, m, v, x in zip(self.w, grads, self.m, self.v, self.x, strict=True):
+            m *= 0.9
+            m += np.multiply(g, 0.1, out=x)
+            v *= 0.99
+            np.multiply(g, g, out=x)
+            x *= 0.01
+            v += x
+            np.sqrt(np.multiply(v, bias, out=x), out=x)
+            x += 1e-8
+            np.divide(m, x, out=x)
+            x *= rate
+            w -= x
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -1,11 +1,12 @@
 """Masked pseudo-likelihood scores by a bidirectional window network.
 
 The vocabulary is all words of the corpus with their counts. The softmax has two levels:
-GROUPS groups of EACH units. The OWN most frequent words are units of their own; all
-others share the units of the last group by their hash, and within such a unit a word is
-as likely as its count in the corpus plus one, in proportion. A network with one hidden
-layer predicts a word's group, and its unit in the group, from REACH words on both
-sides; its biases begin at the corpus' own shares. A document's score sums the
+groups of EACH units, and one group of all other words. The OWN most frequent words are
+units of their own; within the group of the others a word is as likely as its count in
+the corpus plus one, in proportion. A network with one hidden layer predicts a word's
+group, and its unit in the group, from REACH words on both sides, where each of the
+other words has one of TAIL places by its hash; its biases begin at the corpus' own
+shares. A document's score sums the
 conditional log-probabilities of all of its words. The counts of the FREQUENT most
 frequent words go to every task; a text's other words meet their counts in a join.
 
@@ -33,10 +34,11 @@ from pyspark.sql import functions as F
 
 from corvella.llm.common import SLICE, Adam, Scratch, bounded, flat, freed, group_starts, mix, slices, span_hashes, text_of, word_bounds
 
+#: The last group is that of all other words.
 GROUPS, EACH = 32, 128
-UNITS = GROUPS * EACH
+OWN = (GROUPS - 1) * EACH
 TAIL = EACH
-OWN = UNITS - TAIL
+UNITS = OWN + TAIL
 REACH, EMBED, HIDDEN = 2, 16, 32
 ROUNDS = 2
 BATCH = 4096
@@ -87,14 +89,13 @@ def _tail(h: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Units of words, the share of each frequent word in its unit, and the counts of all words."""
+    """Units of words, the share of each frequent word among all without a unit of their own, and the counts of all words."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, totals: np.ndarray, table: DataFrame):
-        """words: the frequent ones, by count; totals: of each shared unit, its words' counts plus one."""
+    def __init__(self, words: np.ndarray, counts: np.ndarray, others: int, table: DataFrame):
+        """words: the frequent ones, by count; others: sum of the counts plus one of all words without a unit of their own."""
         self.table = table
-        self.whole = np.zeros(UNITS)
-        self.whole[OWN:] = np.log(np.maximum(totals, 1))
-        self.mass = np.concatenate([counts[:OWN], np.zeros(OWN - len(counts[:OWN])), totals]) + 1.0
+        self.others = float(np.log(max(others, 1)))
+        self.mass = np.concatenate([counts[:OWN] + 1.0, np.ones(OWN - len(counts[:OWN])), [others + 1.0]])
         order = np.argsort(words)
         own = order < OWN
         self.frequent = words[order]
@@ -105,13 +106,13 @@ class Vocabulary:
         return {k: v for k, v in self.__dict__.items() if k != "table"}
 
     def units(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unit of each word; log of its share there, less the log of the count for words that aren't frequent; and which these are."""
+        """Unit of each word; log of its share in its unit, less the log of the count for words that aren't frequent; and which these are."""
         unit, share, rare = OWN + _tail(h), np.zeros(len(h)), np.ones(len(h), bool)
         if len(self.frequent) and len(h):
             at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
             rare = self.frequent[at] != h
             unit, share = np.where(rare, unit, self.unit[at]), np.where(rare, 0.0, self.count[at])
-        return unit, share - self.whole[unit], rare
+        return unit, np.where(unit < OWN, share, share - self.others), rare
 
 
 def vocabulary(docs: DataFrame, scratch: Scratch) -> Vocabulary:
@@ -119,18 +120,27 @@ def vocabulary(docs: DataFrame, scratch: Scratch) -> Vocabulary:
     counts = scratch.stage(bounded(docs).select("text").mapInArrow(freed(_count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     most = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
     words, n = (most[c].to_numpy() for c in ("word", "n"))
-    tail = (F.pmod(F.shiftrightunsigned("word", 20), F.lit(TAIL))).cast("int")
-    totals = np.zeros(TAIL)
-    for r in counts.groupBy(tail.alias("c")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
-        totals[r["c"]] = r["n"]
-    # the words with units of their own are in none of the others
-    np.subtract.at(totals, _tail(words[:OWN]), n[:OWN] + 1)
-    return Vocabulary(words, n, totals, counts)
+    total = counts.agg(F.sum(F.col("n") + 1)).first()[0] or 0
+    return Vocabulary(words, n, total - int((n[:OWN] + 1).sum()), counts)
 
 
 # ---------------------------------------------------------------- the network
 
-SIZES = [(UNITS + 1, EMBED), (2 * REACH * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, HIDDEN, EACH), (GROUPS, EACH)]
+SIZES = [(UNITS + 1, EMBED), (2 * REACH * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS - 1, HIDDEN, EACH), (GROUPS - 1, EACH)]
+
+
+def _place(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group of each unit, and its number there; all units beyond OWN are in the last group."""
+    group, unit = np.divmod(c.astype(np.int64), EACH)
+    return np.minimum(group, GROUPS - 1), unit
+
+
+def _groups(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Positions by group, but for the last one, in which no network decides."""
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    edges = np.searchsorted(group[order], np.arange(GROUPS))
+    for k in np.flatnonzero(edges[1:] > edges[:-1]):
+        yield k, order[edges[k] : edges[k + 1]]
 
 
 def _soft(z: np.ndarray) -> np.ndarray:
@@ -152,8 +162,8 @@ class Network:
             scale = (0.1, 1 / np.sqrt(2 * REACH * EMBED), 0, 0.05, 0, 0.05, 0)
             self.w = [(r.normal(0, x, s) if x else np.zeros(s)).astype(np.float32) for x, s in zip(scale, SIZES, strict=True)]
             if mass is not None:
-                each = mass.reshape(GROUPS, EACH)
-                self.w[4][:] = np.log(each.sum(1) / mass.sum())
+                each = mass[:OWN].reshape(-1, EACH)
+                self.w[4][:] = np.log(np.append(each.sum(1), mass[OWN]) / mass.sum())
                 self.w[6][:] = np.log(each / each.sum(1, keepdims=True))
         else:
             ends = np.cumsum([int(np.prod(s)) for s in SIZES])
@@ -181,14 +191,10 @@ class Network:
         _, _, _, w2, b2, w3, b3 = self.w
         out = np.empty(len(target))
         for lo in range(0, len(target), 2 * BATCH):
-            group, unit = np.divmod(target[lo : lo + 2 * BATCH].astype(np.int64), EACH)
+            group, unit = _place(target[lo : lo + 2 * BATCH])
             h = self._hidden(context[lo : lo + 2 * BATCH])[1]
             p = _log_soft(h @ w2 + b2, group)
-            order = np.argsort(group, kind="stable")
-            edges = group_starts(group[order])
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                own = order[a:b]
-                k = group[own[0]]
+            for k, own in _groups(group):
                 p[own] += _log_soft(h[own] @ w3[k] + b3[k], unit[own])
             out[lo : lo + 2 * BATCH] = p
         return out
@@ -197,19 +203,16 @@ class Network:
         """One step over a batch of positions."""
         e, w1, _, w2, b2, w3, b3 = self.w
         weight = (np.ones(len(y)) if weight is None else weight)[:, None].astype(w1.dtype) / len(y)
-        group, unit = np.divmod(y.astype(np.int64), EACH)
+        group, unit = _place(y)
         seen, h = self._hidden(x)
         p = _soft(h @ w2 + b2)
         p[np.arange(len(y)), group] -= 1
         p *= weight
         dh, d3, db3 = p @ w2.T, np.zeros_like(w3), np.zeros_like(b3)
-        order = np.argsort(group, kind="stable")
-        edges = group_starts(group[order])
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            own = order[a:b]
-            k, near = group[own[0]], h[own]
+        for k, own in _groups(group):
+            near = h[own]
             q = _soft(near @ w3[k] + b3[k])
-            q[np.arange(b - a), unit[own]] -= 1
+            q[np.arange(len(own)), unit[own]] -= 1
             q *= weight[own]
             d3[k], db3[k] = near.T @ q, q.sum(0)
             dh[own] += q @ w3[k].T
@@ -362,7 +365,7 @@ def train(coded: DataFrame, words: Vocabulary, scratch: Scratch, rounds: int = R
     copies = part.agg((F.sum(here * F.col("times")) / F.sum(here)).alias("c")).first()[0]
     weights = net.flat()
     for turn in range(rounds):
-        own = part.repartition("trainer").sortWithinPartitions("trainer", "fp", "part").mapInArrow(freed(_train(weights, turn, rounds, copies)), "part int, trainer int, n double, w binary")
+        own = part.repartitionByRange(trainers, "trainer").sortWithinPartitions("trainer", "fp", "part").mapInArrow(freed(_train(weights, turn, rounds, copies)), "part int, trainer int, n double, w binary")
         mean = own.repartition("part").sortWithinPartitions("part", "trainer").mapInArrow(freed(_sum), "part int, n double, w binary").collect()
         mean = [(r["part"], np.frombuffer(r["w"], np.float64), r["n"]) for r in mean]
         weights = np.concatenate([w / n for _, w, n in sorted(mean, key=lambda x: x[0])]) if mean[0][2] else weights
