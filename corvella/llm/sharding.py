@@ -7,8 +7,14 @@ shard edits the map: slots move to the new shard until all are near the new mean
 no slot moves between old shards. Only SQL functions run here; the map has SLOTS rows
 whatever the input, so its fold in one row and its broadcast are bounded.
 
-Defined results: a null text has no bytes, so its size is 16 and its crc32 null. Null
-ids hash with their text. Repeated rows share a slot and have places of their own.
+Rows equal in id, checksum and size are counted before they are placed, so that a row
+repeated many times is one row in the shuffle; its copies take places one after another.
+
+Defined results: a null text has no bytes, so its size is 16 and its crc32 null; an empty
+one has the size 16 and the crc32 0. Very long texts are one record, as any other. Null
+ids hash with their text. Repeated rows share a slot and have places of their own; ties
+between slots of equal bytes go to the smaller slot first. An empty table has no rows and
+an empty map. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -23,6 +29,11 @@ SHARDS = 40
 OVERHEAD = 16
 
 
+#: Copies of a row that are placed together.
+LOT = 1 << 16
+MAP = "vslot int, shard int, bytes long, rows long, version int"
+
+
 def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long")
 
@@ -32,7 +43,8 @@ def slot_of(*columns: Column, slots: int = SLOTS) -> Column:
 
 
 def slot_sizes(sized: DataFrame) -> DataFrame:
-    return sized.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    """Bytes and rows of each slot; a row of `sized` stands for n equal ones."""
+    return sized.groupBy("vslot").agg(F.sum(F.col("size") * F.col("n")).alias("bytes"), F.sum("n").alias("rows"))
 
 
 def first_map(sizes: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -60,13 +72,13 @@ def add_shard(old: DataFrame) -> DataFrame:
     return at.select((F.col("v") + 1).alias("version"), "vslot", F.when(moved, F.col("last") + 1).otherwise(F.col("shard")).alias("shard"), "bytes", "rows")
 
 
-def write_map(versioned: DataFrame, path: str) -> None:
-    """Keeps every version; a version is written once and never changed."""
-    versioned.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+def write_map(versioned: DataFrame, path: str, version: int) -> None:
+    """Keeps every version; one that exists is refused, so none is ever changed."""
+    versioned.filter(F.col("version") == version).drop("version").coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
 
 
 def read_map(spark, path: str, version: int | None = None) -> DataFrame:
-    maps = spark.read.parquet(path)
+    maps = spark.read.schema(MAP).parquet(path)
     return maps.filter(F.col("version") == version) if version is not None else maps.join(F.broadcast(maps.agg(F.max("version").alias("version"))), "version")
 
 
@@ -75,22 +87,28 @@ def assign(records: DataFrame, versioned: DataFrame, *key: Column, slots: int =
     return records.withColumn("_vslot", slot_of(*key, slots=slots)).join(F.broadcast(versioned.select(F.col("vslot").alias("_vslot"), "shard")), "_vslot", "left").drop("_vslot")
 
 
-def shard_documents(docs: DataFrame, scratch: Scratch | None = None, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """One row for each document: size, crc32, shard, its place in the shard (gapless from 0) and its virtual slot."""
+def shard_documents(docs: DataFrame, scratch: Scratch | None = None, shards: int = SHARDS, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
+    """One row for each document: size, crc32, shard, its place in the shard (gapless from 0) and its virtual slot.
+
+    The map is written to `maps` as version 0 and read from there; without `maps` to a folder of this run."""
     scratch = scratch or Scratch(docs.sparkSession)
+    maps = maps or f"{scratch.root}/map"
     sized = docs.select("doc_id", size_of(F.col("text")).alias("size"), F.crc32("text").alias("text_crc32"), slot_of(F.col("doc_id"), F.xxhash64("text"), slots=slots).alias("vslot"))
-    sized = scratch.stage(sized)
-    before = Window.partitionBy("shard").orderBy("vslot")
-    current = scratch.stage(first_map(slot_sizes(sized), shards).withColumn("from", F.sum("rows").over(before) - F.col("rows")))
-    inside = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
-    placed = sized.withColumn("n", F.row_number().over(inside)).join(F.broadcast(current.select("vslot", "shard", "from")), "vslot")
-    return placed.select(
+    rows = scratch.stage(sized.groupBy("vslot", "doc_id", "text_crc32", "size").agg(F.count("*").alias("n")))
+    write_map(first_map(slot_sizes(rows), shards), maps, 0)
+    before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
+    current = read_map(docs.sparkSession, maps, 0).select("vslot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("from"))
+    earlier = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(F.broadcast(current), "vslot")
+    lots = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {LOT}"))).alias("lot")).repartition("vslot", "doc_id", "lot")
+    each = lots.select("*", F.explode(F.sequence(F.col("lot") * LOT, F.least(F.col("n"), (F.col("lot") + 1) * LOT) - 1)).alias("copy"))
+    return each.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("from") + F.col("n") - 1).alias("slot"),
+        (F.col("from") + F.col("first") + F.col("copy")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         F.col("vslot").alias("virtual_slot"),
     )
