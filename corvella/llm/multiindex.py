@@ -1,8 +1,8 @@
 """Near-duplicate vectors by an inverted multi-index.
 
 Equal vectors are collapsed to one with a count. Two codebooks, one for each half of
-the dimensions, are learned from a bounded sample (SAMPLE vectors); the pairs of
-their centroids are the cells of a product grid and every vector is filed in its
+the dimensions, are learned from a bounded sample (SAMPLE vectors, or 16 for each
+centroid where the books are large); the pairs of their centroids are the cells of a product grid and every vector is filed in its
 nearest cell. A query visits cells by the multi-sequence order: by the sum of its two
 half distances, nearest first. The number of cells visited is set on QUERIES vectors
 that no codebook was learned from and that are compared with all rows: for each of their near pairs it is told exactly from
@@ -19,10 +19,14 @@ where a cell is large, and returns each vector's number of links and a spanning
 forest. A pair that meets in two cells counts in the smaller one only, which both
 rows tell from their own list of cells.
 
+Vectors of different lengths are never compared. The INDEXED most frequent lengths have
+an index each; the vectors of any other length, and those of a length with at most BLOCK
+vectors, are compared with one another exactly.
+
 Defined results: vectors that are null, empty, zero or hold null or non-finite
-components link with nothing. Vectors of another length than most of the sample share
-no cell with others, so they link only with equal ones. A null vec_id takes no part; its row has null component and is not
-kept. Repeated rows count as other vectors. Extra columns play no part.
+components link with nothing. Very long vectors are vectors of their length. A null vec_id
+takes no part; its row has null component and is not kept. Repeated rows count as other
+vectors, ties as links. An empty table gives no rows. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +51,13 @@ RECALL = 0.99
 BLOCK = 1024
 #: Vectors of a cell on average, from which the size of the codebooks follows.
 FILED = 8
-CENTROIDS = 512
+CENTROIDS = 4096
+INDEXED = 8
+
+
+def components_of(df: DataFrame, vector: str) -> str:
+    """Type of the components in the plan: float stays, which doubles hold exactly; all others are doubles."""
+    return "float" if dict(df.dtypes)[vector] == "array<float>" else "double"
 
 
 def valid(vector: str):
@@ -69,7 +80,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = _distances(x, c).argmin(1)
+        near = np.concatenate([_distances(x[lo : lo + 4096], c).argmin(1) for lo in range(0, len(x), 4096)])
         n = np.bincount(near, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, near, x)
@@ -81,13 +92,17 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
 
 
+def centroids(rows: int) -> int:
+    return int(np.clip(np.sqrt(rows / FILED), 1, CENTROIDS))
+
+
 class Index:
     """Codebooks and the number of cells to visit."""
 
     def __init__(self, sample: np.ndarray, rows: int):
         self.half = sample.shape[1] // 2
         self.dimension = sample.shape[1]
-        k = int(np.clip(np.sqrt(rows / FILED), 1, CENTROIDS))
+        k = centroids(rows)
         self.books = [kmeans(sample[:, : self.half], k), kmeans(sample[:, self.half :], k)]
         self.rows, self.visits = rows, 1
 
@@ -168,38 +183,55 @@ def calibrate(index: Index, reps: DataFrame, ids: np.ndarray, queries: np.ndarra
     index.set_visits([tuple(r) for r in near.collect()])
 
 
-def _file(index: Index):
-    """(id, times, vector) → a row for each cell that the vector visits; the first is its own."""
+def _by_length(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    lengths = np.diff(np.asarray(batch.column(column).offsets))
+    for n in np.unique(lengths):
+        yield int(n), batch.filter(pa.array(lengths == n))
+
+
+def _file(indexes: dict[int, Index]):
+    """(id, times, vector) → a row for each cell that the vector visits; the first is its own. All vectors of a length without index are in one cell."""
+    visits = max((x.visits for x in indexes.values()), default=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            size = max(1, 16384 // index.visits)
+            size = max(1, 16384 // visits)
             for lo in range(0, whole.num_rows, size):
-                batch = whole.slice(lo, size)
-                lengths = np.diff(np.asarray(batch.column(2).offsets))
-                batch = batch.filter(pa.array(lengths == index.dimension))
-                if not batch.num_rows:
-                    continue
-                x = unit(matrix(batch.column(2)))
-                cells = index.visit(x, index.visits)
-                n, m = cells.shape
-                at = pa.array(np.repeat(np.arange(n), m))
-                # the list of all cells goes with the filed row only, the others' is empty
-                ends = np.repeat(np.arange(n) * m, m) + np.where(np.tile(np.arange(m) == 0, n), 0, m)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(ends, n * m).astype(np.int32)), pa.array(np.sort(cells, axis=1).ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells.ravel()), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.tile(np.arange(m) == 0, n)), batch.column(2).take(at), lists, pa.array(np.repeat(cells[:, 0], m))],
-                    names=["cell", "id", "times", "filed", "vector", "cells", "own"],
-                )
+                for dimension, batch in _by_length(whole.slice(lo, size), 2):
+                    if index := indexes.get(dimension):
+                        cells = index.visit(unit(matrix(batch.column(2))), index.visits)
+                    else:
+                        cells = np.zeros((batch.num_rows, 1), np.int64)
+                    yield rows(batch, cells + (dimension << 32))
+
+    def rows(batch: pa.RecordBatch, cells: np.ndarray) -> pa.RecordBatch:
+        n, m = cells.shape
+        at = pa.array(np.repeat(np.arange(n), m))
+        # the list of all cells goes with the filed row only, the others' is empty
+        ends = np.repeat(np.arange(n) * m, m) + np.where(np.tile(np.arange(m) == 0, n), 0, m)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(ends, n * m).astype(np.int32)), pa.array(np.sort(cells, axis=1).ravel()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cells.ravel()), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.tile(np.arange(m) == 0, n)), batch.column(2).take(at), lists, pa.array(np.repeat(cells[:, 0], m))],
+            names=["cell", "id", "times", "filed", "vector", "cells", "own"],
+        )
 
     return run
 
 
-FILED_ROWS = "cell long, id long, times long, filed boolean, vector array<float>, cells array<long>, own long"
+FILED_ROWS = "cell long, id long, times long, filed boolean, vector array<{}>, cells array<long>, own long"
+
+
+def _one_length(tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
+    """Vectors of a group have one length; those of several groups may not."""
+    for t in tables:
+        t = t.combine_chunks()
+        lengths = pc.list_value_length(t["vector"]).to_numpy()
+        for n in np.unique(lengths):
+            yield t.filter(pa.array(lengths == n))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in by_group(batches, "key"):
+    for t in _one_length(by_group(batches, "key")):
         keys, ids, times = (t[c].to_numpy() for c in ("key", "id", "times"))
         filed, own, cell, block, seat = (t[c].to_numpy(zero_copy_only=False) if c == "filed" else t[c].to_numpy() for c in ("filed", "own", "cell", "block", "seat"))
         x = unit(matrix(t["vector"]))
@@ -240,25 +272,30 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(root[some])], names=["id", "links", "root"])
 
 
+def fit(reps: DataFrame, count: int) -> Index:
+    """An index of vectors of one length."""
+    most = max(SAMPLE, 16 * centroids(count))
+    sample = reps.orderBy(F.xxhash64(F.lit(4), "id")).limit(most + QUERIES).select("id", "vector").toArrow().combine_chunks()
+    x = unit(matrix(sample["vector"]))
+    learn = len(x) - min(QUERIES, len(x) // 2)  # the codebooks fit their own vectors better, so the queries are others
+    index = Index(x[:learn], count)
+    calibrate(index, reps, sample["id"].to_numpy()[learn:], x[learn:])
+    return index
+
+
 def near_duplicates(df: DataFrame, scratch: Scratch | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """One row for each row of df: vec_id, n_links, component_id, kept."""
-    s = scratch or Scratch(df.sparkSession)
-    rows = df.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"), valid(vector).alias("ok"))
+    s, kind = scratch or Scratch(df.sparkSession), components_of(df, vector)
+    rows = df.select(F.col(key).alias("vec_id"), F.col(vector).cast(f"array<{kind}>").alias("vector"), valid(vector).alias("ok"))
     good = rows.filter(F.col("ok") & F.col("vec_id").isNotNull())
     reps = s.stage(good.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("times")).select("id", "times", "vector"))
-    count = reps.count()
-    if not count:
+    length = F.size("vector")
+    counts = reps.groupBy(length.alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").limit(INDEXED).collect()
+    if not counts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    sample = reps.orderBy(F.xxhash64(F.lit(4), "id")).limit(SAMPLE + QUERIES).select("id", "vector").toArrow().combine_chunks()
-    lengths = np.diff(np.asarray(sample["vector"].combine_chunks().offsets))
-    dimension = int(np.bincount(lengths).argmax())
-    sample = sample.filter(pa.array(lengths == dimension))
-    x = unit(matrix(sample["vector"]))
-    learn = len(x) - min(QUERIES, len(x) // 2)  # the codebooks fit their own vectors better, so the queries are others
-    index = Index(x[:learn], count)
-    calibrate(index, reps, sample["id"].to_numpy()[learn:], x[learn:])
+    indexes = {r["length"]: fit(reps.filter(length == r["length"]), r["n"]) for r in counts if r["n"] > BLOCK}
 
-    filed = s.stage(reps.mapInArrow(freed(_file(index)), FILED_ROWS))
+    filed = s.stage(reps.mapInArrow(freed(_file(indexes)), FILED_ROWS.format(kind)))
     sizes = filed.groupBy("cell").agg(F.count_if("filed").alias("nf"), F.count("*").alias("nv")).filter("nf > 0 AND nv > 1")
     at = filed.join(sizes, "cell")
     bf, bv = F.ceil(F.col("nf") / BLOCK).cast("int"), F.ceil(F.col("nv") / BLOCK).cast("int")
