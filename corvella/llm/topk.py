@@ -13,9 +13,11 @@ The driver holds one number for each query of a block. Bins and returned rows ar
 most k for each query, task and pass, however many rows tie.
 
 Defined results: vectors null, empty, or with null or non-finite components take no
-part, and neither do rows without id. Vectors of different lengths aren't compared.
-A query's own row is left out by id; a repeated row has the same id and is left out
-too. Fewer candidates than k give all of them.
+part, and neither do rows without id. Vectors of different lengths aren't compared, very
+long ones are compared whole. A query's own row is left out; another row with its id is a
+candidate, and if it is a query too, has ranks of its own. Ties go to the smaller id.
+Fewer candidates than k give all of them. An empty table gives no rows. Extra columns
+play no part.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvella.llm.common import Scratch, freed
+from corvella.llm.multiindex import components_of
 
 K = 5
 BINS = 512
@@ -45,17 +48,17 @@ def levels(column: pa.Array) -> np.ndarray:
 
 
 def _scores(batches: Iterator[pa.RecordBatch], queries: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, scores as queries × rows) block by block; a query's own row scores -inf."""
+    """(ids, scores as queries × rows) block by block; own: rows of the queries, sorted; a query's own row scores -inf."""
     for batch in batches:
         for lo in range(0, batch.num_rows, ROWS):
             part = batch.slice(lo, ROWS)
             lengths = np.diff(np.asarray(part.column(1).offsets))
             part = part.filter(pa.array(lengths == queries.shape[1]))
             if part.num_rows:
-                ids = part.column(0).to_numpy()
+                ids, rows = part.column(0).to_numpy(), part.column(2).to_numpy()
                 s = queries @ levels(part.column(1)).T
-                at = np.searchsorted(own, ids)
-                hit = np.flatnonzero((at < len(own)) & (own[np.minimum(at, len(own) - 1)] == ids))
+                at = np.searchsorted(own, rows)
+                hit = np.flatnonzero((at < len(own)) & (own[np.minimum(at, len(own) - 1)] == rows))
                 s[at[hit], hit] = -np.inf
                 yield ids, s
 
@@ -76,7 +79,7 @@ def _count(queries, own, low, width, k):
     return run
 
 
-def _pick(queries, own, kth, k):
+def _pick(queries, own, names, kth, k):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, qs, ss = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for x, s in _scores(batches, queries, own):
@@ -86,12 +89,12 @@ def _pick(queries, own, kth, k):
             rank = np.arange(len(order)) - np.searchsorted(qs[0][order], qs[0][order], "left")
             keep = order[rank < k]
             ids, qs, ss = [ids[0][keep]], [qs[0][keep]], [ss[0][keep]]
-        yield pa.RecordBatch.from_arrays([pa.array(own[qs[0]]), pa.array(ids[0]), pa.array(ss[0].astype(np.int64))], names=["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(names[qs[0]]), pa.array(own[qs[0]]), pa.array(ids[0]), pa.array(ss[0].astype(np.int64))], names=["query_id", "own", "vec_id", "score"])
 
     return run
 
 
-def _block(rows: DataFrame, own: np.ndarray, queries: np.ndarray, k: int, reach: float) -> DataFrame:
+def _block(rows: DataFrame, own: np.ndarray, queries: np.ndarray, ids: np.ndarray, k: int, reach: float) -> DataFrame:
     norm = np.ceil(np.abs(queries).sum(1) * reach) + 1
     low, high = -norm, norm + 1  # integers: scores lie in [low, high)
     need = np.full(len(own), k, np.int64)  # rank inside the interval
@@ -113,36 +116,34 @@ def _block(rows: DataFrame, own: np.ndarray, queries: np.ndarray, k: int, reach:
             low[i] += at[o] * width[i]
             high[i] = min(high[i], low[i] + width[i]) if at[o] < BINS - 1 else high[i]
             done[i] = width[i] == 1
-    return rows.mapInArrow(freed(_pick(queries, own, low, k)), "query_id long, vec_id long, score long")
+    return rows.mapInArrow(freed(_pick(queries, own, ids, low, k)), "query_id long, own long, vec_id long, score long")
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", vector: str = "embedding", scratch: Scratch | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k highest scores; ties to the smaller id."""
     s = scratch or Scratch(df.sparkSession)
-    rows = df.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"), is_query.alias("q")).filter(whole("vector") & F.col("vec_id").isNotNull())
-    asked = rows.filter("q").dropDuplicates(["vec_id"])
-    rows = rows.select("vec_id", "vector")
+    rows = df.select(F.col(key).alias("vec_id"), F.col(vector).cast(f"array<{components_of(df, vector)}>").alias("vector"), is_query.alias("q")).filter(whole("vector") & F.col("vec_id").isNotNull())
+    rows = s.stage(rows.select("vec_id", "vector", F.monotonically_increasing_id().alias("row"), "q"))
+    asked = rows.filter("q")
+    rows = rows.select("vec_id", "vector", "row")
     reach = rows.agg(F.max(F.array_max(F.transform("vector", lambda x: F.abs(F.floor(x.cast("double") * 256)))))).first()[0]
-    found, after = [], None
+    found, after, schema = f"{s.root}/found", None, "query_id long, own long, vec_id long, score long"
+    rows.sparkSession.createDataFrame([], schema).write.parquet(f"{found}/none")
     while True:
-        part = asked if after is None else asked.filter(F.col("vec_id") > after)
-        block = part.orderBy("vec_id").limit(QUERIES).select("vec_id", "vector").toArrow()
+        part = asked if after is None else asked.filter(F.col("row") > after)
+        block = part.orderBy("row").limit(QUERIES).select("vec_id", "row", "vector").toArrow()
         if not block.num_rows:
             break
-        ids = block["vec_id"].to_numpy()
-        after = int(ids[-1])
+        ids, own = block["vec_id"].to_numpy(), block["row"].to_numpy()
+        after = int(own[-1])
         vectors = block["vector"].combine_chunks()
         vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
         lengths = np.diff(np.asarray(vectors.offsets))
         for n in np.unique(lengths):
             same = lengths == n
-            found.append(s.stage(_block(rows, ids[same], levels(vectors.filter(pa.array(same))), k, float(reach))))
+            _block(rows, own[same], levels(vectors.filter(pa.array(same))), ids[same], k, float(reach)).write.parquet(f"{found}/{after}-{n}")
         if block.num_rows < QUERIES:
             break
-    if not found:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = rows.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(found)  # one scan, however many blocks
+    w = Window.partitionBy("own").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
