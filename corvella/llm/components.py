@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating large and small stars.
 
 Each round hangs every node's neighbours on the smallest of them; the number of
-rounds grows with the logarithm of a component's diameter. Links stay distributed:
+rounds grows with the logarithm of a component's diameter. Links not done after `most`
+rounds are an error, never a partial result. Links stay distributed:
 the driver sees a count and a checksum for each round. Hub nodes are joined with
 their links, which AQE splits, and never collected into one row.
 """
@@ -18,7 +19,9 @@ def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", m
     """(node, root) for every node that has a link to another node; root is the smallest node of its component."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     edges, seen = scratch.stage(edges), None
-    for _ in range(most):
+    for turn in range(most + 1):
+        if turn == most:
+            raise RuntimeError(f"components are not complete after {most} rounds")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

@@ -94,7 +94,8 @@ def test_topk(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("q", F.lit(True))
     out = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()]
     mine = sorted(r for r in out if r[0] == 0)
-    assert [r[2] for r in mine] == [1, 2, 50]  # equal scores by id; fewer than five
+    assert [r[2] for r in mine] == [0, 0, 1, 1, 2, 2, 50, 50]  # two rows of one id: each has the other; equal scores by id; fewer than five
+    assert [r[2] for r in sorted(r for r in out if r[0] == 50)] == [0, 0, 1, 2]
     assert {r[0] for r in out} == {0, 50}
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
