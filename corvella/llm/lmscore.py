@@ -39,7 +39,7 @@ GROUPS, EACH = 32, 128
 OWN = (GROUPS - 1) * EACH
 TAIL = EACH
 UNITS = OWN + TAIL
-REACH, EMBED, HIDDEN = 2, 16, 32
+REACH, EMBED, HIDDEN = 2, 12, 24
 ROUNDS = 2
 BATCH = 4096
 RATE = 0.01
@@ -135,23 +135,21 @@ def _place(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(group, GROUPS - 1), unit
 
 
-def _groups(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Positions by group, but for the last one, in which no network decides."""
-    order = np.argsort(group.astype(np.uint8), kind="stable")
-    edges = np.searchsorted(group[order], np.arange(GROUPS))
+def _groups(group: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Each group of sorted positions with its range, but for the last one, in which no network decides."""
+    edges = np.searchsorted(group, np.arange(GROUPS))
     for k in np.flatnonzero(edges[1:] > edges[:-1]):
-        yield k, order[edges[k] : edges[k + 1]]
+        yield k, edges[k], edges[k + 1]
 
 
-def _soft(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    z /= z.sum(1, keepdims=True)
-    return z
-
-
-def _log_soft(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z[np.arange(len(z)), at] - np.log(np.exp(z).sum(1))
+def _exp(h: np.ndarray, w: np.ndarray, b: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the outputs, and their sums."""
+    z = h @ w
+    z += b
+    if not small:
+        z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype)
 
 
 class Network:
@@ -187,35 +185,47 @@ class Network:
         seen = e[x].reshape(len(x), -1)
         return seen, np.tanh(seen @ w1 + b1)
 
+    def _small(self) -> bool:
+        """Whether no output can reach a size at which its exponential overflows; the hidden layer lies within -1 and 1."""
+        _, _, _, w2, b2, w3, b3 = self.w
+        return max(np.abs(w2).sum(0).max() + np.abs(b2).max(), np.abs(w3).sum(1).max() + np.abs(b3).max()) < 60
+
     def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         _, _, _, w2, b2, w3, b3 = self.w
-        out = np.empty(len(target))
+        out, small = np.empty(len(target)), self._small()
         for lo in range(0, len(target), 2 * BATCH):
             group, unit = _place(target[lo : lo + 2 * BATCH])
-            h = self._hidden(context[lo : lo + 2 * BATCH])[1]
-            p = _log_soft(h @ w2 + b2, group)
-            for k, own in _groups(group):
-                p[own] += _log_soft(h[own] @ w3[k] + b3[k], unit[own])
-            out[lo : lo + 2 * BATCH] = p
+            order = np.argsort(group.astype(np.uint8), kind="stable")
+            group, unit = group[order], unit[order]
+            h = self._hidden(context[lo : lo + 2 * BATCH][order])[1]
+            q, total = _exp(h, w2, b2, small)
+            p = q[np.arange(len(q)), group] / total
+            for k, a, b in _groups(group):
+                q, total = _exp(h[a:b], w3[k], b3[k], small)
+                p[a:b] *= q[np.arange(b - a), unit[a:b]] / total
+            out[lo + order] = np.log(np.maximum(p, 1e-37))
         return out
 
     def learn(self, x: np.ndarray, y: np.ndarray, adam: Adam, weight: np.ndarray | None = None) -> None:
         """One step over a batch of positions."""
         e, w1, _, w2, b2, w3, b3 = self.w
-        weight = (np.ones(len(y)) if weight is None else weight)[:, None].astype(w1.dtype) / len(y)
         group, unit = _place(y)
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        x, group, unit = x[order], group[order], unit[order]
+        weight = ((np.ones(len(y)) if weight is None else weight[order]) / len(y)).astype(w1.dtype)
+        small = self._small()
         seen, h = self._hidden(x)
-        p = _soft(h @ w2 + b2)
-        p[np.arange(len(y)), group] -= 1
-        p *= weight
+        p, total = _exp(h, w2, b2, small)
+        p *= (weight / total)[:, None]
+        p[np.arange(len(y)), group] -= weight
         dh, d3, db3 = p @ w2.T, np.zeros_like(w3), np.zeros_like(b3)
-        for k, own in _groups(group):
-            near = h[own]
-            q = _soft(near @ w3[k] + b3[k])
-            q[np.arange(len(own)), unit[own]] -= 1
-            q *= weight[own]
+        for k, lo, hi in _groups(group):
+            near = h[lo:hi]
+            q, total = _exp(near, w3[k], b3[k], small)
+            q *= (weight[lo:hi] / total)[:, None]
+            q[np.arange(hi - lo), unit[lo:hi]] -= weight[lo:hi]
             d3[k], db3[k] = near.T @ q, q.sum(0)
-            dh[own] += q @ w3[k].T
+            dh[lo:hi] += q @ w3[k].T
         dh *= 1 - h * h
         back = (dh @ w1.T).reshape(-1, EMBED)
         at = x.ravel()
