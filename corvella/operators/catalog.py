@@ -10,10 +10,21 @@ def or_unknown(c: str) -> Column:
     return F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit("unknown"))
 
 
+def numbered(c: str = "id") -> Column:
+    """Ids end in a number: their order is by what is before it, then by the number. Ids without one come first, as text."""
+    digits = F.regexp_extract(F.col(c).cast("string"), r"0*(\d*)$", 1)
+    return F.struct(F.regexp_replace(F.col(c).cast("string"), r"\d+$", "").alias("before"), F.length(digits).alias("size"), digits.alias("digits"))
+
+
+def first_by_id(*columns: str) -> Column:
+    """The columns, as a struct, of the row with the first id."""
+    return F.min_by(F.struct(*columns), numbered())
+
+
 def list_codebases(chunks: DataFrame) -> DataFrame:
     full = lambda c: F.when(F.col(c) != "", F.col(c))
     return chunks.groupBy(F.col("_codebaseName").alias("name")).agg(
-        F.min(F.struct("id", "_path"))["_path"].alias("path"),
+        first_by_id("_path")["_path"].alias("path"),
         F.count("*").alias("chunkCount"),
         F.countDistinct(full("filePath")).alias("fileCount"),
         F.max("_lastIngestion").alias("lastIngestion"),
@@ -21,8 +32,17 @@ def list_codebases(chunks: DataFrame) -> DataFrame:
     )
 
 
-def language_stats(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy(or_unknown("language").alias("language")).agg(F.countDistinct(F.coalesce("filePath", F.lit(""))).alias("fileCount"), F.count("*").alias("chunkCount"))
+def samples(chunks: DataFrame) -> DataFrame:
+    """name, the row with the first id, and the number of rows of each codebase."""
+    return chunks.groupBy(F.col("_codebaseName").alias("name")).agg(first_by_id("id", "_codebaseName", "language").alias("sample"), F.count("*").alias("rows"))
+
+
+def languages(chunks: DataFrame) -> DataFrame:
+    return chunks.select("language").distinct()
+
+
+def language_stats(chunks: DataFrame, *within: str) -> DataFrame:
+    return chunks.groupBy(*within, or_unknown("language").alias("language")).agg(F.countDistinct(F.coalesce("filePath", F.lit(""))).alias("fileCount"), F.count("*").alias("chunkCount"))
 
 
 def chunk_type_stats(chunks: DataFrame) -> DataFrame:
@@ -49,13 +69,13 @@ def stats(chunks: DataFrame) -> DataFrame:
 
 
 def list_files(chunks: DataFrame) -> DataFrame:
-    """Roll-up by file; the row with the smallest id gives language and flags, the latest timestamp the hash."""
-    first = F.min(F.struct("id", "language", "isTestFile", "isLibraryFile"))
+    """Roll-up by file; the row with the first id gives language and flags, the latest timestamp the hash."""
+    first = first_by_id("language", "isTestFile", "isLibraryFile")
     latest = F.max(F.struct("ingestionTimestamp", "fileHash"))
     return (
         chunks.filter(F.col("filePath") != "")
         .groupBy("filePath")
-        .agg(F.count("*").alias("chunkCount"), F.sum(F.length("content")).alias("sizeBytes"), first.alias("_first"), latest.alias("_latest"))
+        .agg(F.count("*").alias("chunkCount"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("sizeBytes"), first.alias("_first"), latest.alias("_latest"))
         .select(
             "filePath",
             F.coalesce(F.when(F.col("_first.language") != "", F.col("_first.language")), F.lit("javascript")).alias("language"),

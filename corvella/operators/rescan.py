@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvella.operators.catalog import first_by_id
+
 
 def diff(stored: DataFrame, current: DataFrame, key: str = "filePath", value: str = "fileHash") -> DataFrame:
     """key and kind: added, deleted, modified or unchanged. One full outer join on the key."""
@@ -16,7 +18,7 @@ def diff(stored: DataFrame, current: DataFrame, key: str = "filePath", value: st
 
 def stored_hashes(chunks: DataFrame) -> DataFrame:
     """Hash of each file's first chunk, and its number of chunks."""
-    return chunks.groupBy("filePath").agg(F.min(F.struct("id", "fileHash"))["fileHash"].alias("fileHash"), F.count("*").alias("chunkCount"))
+    return chunks.groupBy("filePath").agg(first_by_id("fileHash")["fileHash"].alias("fileHash"), F.count("*").alias("chunkCount"))
 
 
 def counters(changes: DataFrame) -> DataFrame:

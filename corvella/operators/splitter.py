@@ -6,9 +6,10 @@ import math
 import re
 from collections.abc import Callable, Iterator
 
+from pyspark.sql import Column
 from pyspark.sql.functions import udtf
 
-from corvella.functions.text import SENTENCES
+from corvella.functions.text import SENTENCES, sentences
 
 Counter = Callable[[str], int]
 
@@ -18,6 +19,11 @@ def estimate(text: str) -> int:
     return math.ceil(len(text.encode("utf-16-le", "surrogatepass")) / 8)
 
 
+def split_sentences(text: Column) -> Column:
+    """Sentences of a line as split_long_line() sees them."""
+    return sentences(text)
+
+
 def _pack(parts: list[str], most: int, count: Counter, glue: str) -> list[str]:
     out, now = [], ""
     for part in parts:

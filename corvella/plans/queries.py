@@ -8,6 +8,8 @@ ingestion timestamps, labels are flags, embeddings are the vector table.
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,9 +17,13 @@ from pyspark.sql import functions as F
 
 from corvella.functions import names, paths, text, vectors
 from corvella.operators import catalog, rescan, search
+from corvella.operators.chunker import ChunkFile
 from corvella.operators.embed import embed_column
-from corvella.operators.splitter import SplitChunk
+from corvella.operators.splitter import SplitChunk, split_sentences
 from corvella.plans.engine import gapless
+from corvella.sources import codetree
+from corvella.sources.scratch import Staging, shared_folder
+from corvella.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,6 +44,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def store(spark: SparkSession) -> Store:
+    """An empty store in a folder of its own."""
+    return Store(spark, f"{shared_folder(spark)}/corvella-store-{uuid.uuid4().hex}")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks: one chunk a file, the ingestion named by the language."""
+    name = F.col("doc_id").cast("string")
+    d = table(spark, sf_dir, "documents")
+    return d.select(name.alias("id"), F.col("text").alias("content"), name.alias("filePath"), F.col("lang").alias("language"), F.lit(1).alias("startLine"), F.col("lang").alias("ingestionTimestamp"), F.col("source").alias("_codebaseName"))
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str = "all") -> Store:
+    """A store with the documents as one codebase."""
+    s, chunks = store(spark), _documents(spark, sf_dir)
+    files = chunks.select("filePath", "language", F.md5("content").alias("fileHash"), F.octet_length("content").cast("long").alias("sizeBytes"))
+    s.replace(name, chunks.withColumn("_codebaseName", F.lit(name)), files, "")
+    return s
+
+
 _D = "list_sum(list_transform(list_zip(e.embedding::double[], q.embedding::double[]), lambda x: (x[1]-x[2])*(x[1]-x[2])))"
 _ONE = f"with s as (select e.vec_id, e.label, {_D} d from embeddings e, (select embedding from embeddings where vec_id = 0) q) "
 _PATH = "concat(source, case doc_id % 5 when 0 then '/tests/' when 1 then '/node_modules/' when 2 then '/xvenv/' when 3 then '/__tests__/' else '/src/' end, case doc_id % 3 when 0 then 'latest_foo' when 1 then 'a.test' else 'm' end, case doc_id % 4 when 0 then '.PY' when 1 then '.ts' when 2 then '.md' else '' end)"
@@ -72,9 +98,14 @@ def knn_filtered(spark, sf_dir):
 
 @query(_ONE + ", r as (select *, row_number() over (partition by label order by d, vec_id) rk from s) select label, vec_id from r where rk <= 4 order by d, label, vec_id limit 4")
 def knn_multi_table(spark, sf_dir):
-    per = Window.partitionBy("label").orderBy("d", "vec_id")
-    best = _distances(spark, sf_dir).withColumn("rk", F.row_number().over(per)).filter("rk <= 4")
-    return best.orderBy("d", "label", "vec_id").limit(4).select("label", "vec_id")
+    e, s = table(spark, sf_dir, "embeddings"), store(spark)
+    labels = [r[0] for r in e.select("label").distinct().orderBy("label").collect()]  # the names of the codebases
+    for x in labels:
+        chunks = e.filter(F.col("label") == x).select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("id"), F.col("embedding").alias("vector"), F.col("vec_id").cast("string").alias("filePath"), F.lit(str(x)).alias("_codebaseName"))
+        s.replace(f"{x:06d}", chunks)
+    query = e.filter("vec_id = 0").select("embedding").first()[0]
+    found = search.search(s.chunks(), query, 4)
+    return found.select(F.col("codebaseName").cast("long").alias("label"), F.col("filePath").cast("long").alias("vec_id"))
 
 
 @query(_ONE + "select vec_id, round(sqrt(d), 6) l2, round(sqrt(exp(-d/2)), 6) score from s")
@@ -160,7 +191,7 @@ def line_chunks(spark, sf_dir):
 
 @query("select doc_id, len(regexp_extract_all(text, '[^.!?]+[.!?]+|[^.!?]+$'))::int n, md5(array_to_string(regexp_extract_all(text, '[^.!?]+[.!?]+|[^.!?]+$'), '|')) h from documents")
 def sentence_split(spark, sf_dir):
-    s = text.sentences(F.col("text"))
+    s = split_sentences(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(s).alias("n"), F.md5(F.array_join(s, "|")).alias("h"))
 
 
@@ -190,16 +221,28 @@ def iso_timestamps(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.iso_timestamp(F.col("ts").cast("timestamp")).alias("iso"))
 
 
+def _toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("filePath"))
+
+
 @query("select d.lang, count(*) n from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id and l.toxic = 1) group by 1")
+def delete_files(spark, sf_dir):
+    s = _stored(spark, sf_dir)
+    s.delete_files("all", _toxic(spark, sf_dir))
+    return s.chunks("all").groupBy(F.col("language").alias("lang")).agg(F.count("*").alias("n"))
+
+
+@query("select lang, count(*) n from documents where doc_id <> 7 group by 1")
 def delete_file(spark, sf_dir):
-    gone = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
-    return table(spark, sf_dir, "documents").join(gone, "doc_id", "left_anti").groupBy("lang").agg(F.count("*").alias("n"))
+    s = _stored(spark, sf_dir)
+    s.delete_file("all", "7")
+    return s.files("all").groupBy(F.col("language").alias("lang")).agg(F.count("*").alias("n"))
 
 
 @query("select count(*) n from documents d where exists (select 1 from labels l where l.doc_id = d.doc_id and l.toxic = 1)")
 def chunks_to_delete(spark, sf_dir):
-    gone = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
-    return table(spark, sf_dir, "documents").join(gone, "doc_id", "left_semi").agg(F.count("*").alias("n"))
+    n = _stored(spark, sf_dir).delete_files("all", _toxic(spark, sf_dir))
+    return spark.createDataFrame([(n,)], "n long")
 
 
 @query("select sum(length(text))::bigint a, sum(length(text))::bigint b, sum(strlen(text))::bigint c from documents")
@@ -217,8 +260,8 @@ def flag_filter(spark, sf_dir):
 
 @query("select source, coalesce(lang, 'unknown') as \"language\", count(distinct doc_id) files, count(*) chunks from documents group by 1, 2")
 def stats_by_language(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumnRenamed("lang", "language")
-    return d.groupBy("source", catalog.or_unknown("language").alias("language")).agg(F.countDistinct("doc_id").alias("files"), F.count("*").alias("chunks"))
+    d = _documents(spark, sf_dir)
+    return catalog.language_stats(d, "_codebaseName").select(F.col("_codebaseName").alias("source"), "language", F.col("fileCount").alias("files"), F.col("chunkCount").alias("chunks"))
 
 
 @query("select coalesce(nullif(role, ''), 'unknown') as \"type\", count(*) as \"count\" from conversations group by 1")
@@ -234,15 +277,20 @@ def codebase_totals(spark, sf_dir):
 
 @query("select event_type, count(*) n from events where strftime(ts, '%Y-%m-%d') <> '2024-01-02' group by 1")
 def delete_chunk_set(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.filter((F.col("ts") < F.lit("2024-01-02").cast("timestamp")) | (F.col("ts") >= F.lit("2024-01-03").cast("timestamp"))).groupBy("event_type").agg(F.count("*").alias("n"))
+    s, e = store(spark), table(spark, sf_dir, "events")
+    day = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")
+    s.replace("events", e.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("language"), day.alias("ingestionTimestamp")))
+    s.delete_chunk_set("events", "2024-01-02")
+    return s.chunks("events").groupBy(F.col("language").alias("event_type")).agg(F.count("*").alias("n"))
 
 
 @query("select source, renamed_from, count(*) n from (select case when source = 'src2' then 'renamed' else source end source, case when source = 'src2' then source end renamed_from from documents) group by 1, 2")
 def rename_codebase(spark, sf_dir):
-    hit = F.col("source") == "src2"
-    d = table(spark, sf_dir, "documents").select(F.when(hit, "renamed").otherwise(F.col("source")).alias("source"), F.when(hit, F.col("source")).alias("renamed_from"))
-    return d.groupBy("source", "renamed_from").agg(F.count("*").alias("n"))
+    s, d = store(spark), _documents(spark, sf_dir)
+    s.replace("src2", d.filter("_codebaseName = 'src2'"))
+    s.replace("rest", d.filter("_codebaseName <> 'src2' OR _codebaseName IS NULL"))
+    s.rename("src2", "renamed")
+    return s.chunks().groupBy(F.col("_codebaseName").alias("source"), F.col("_renamedFrom").alias("renamed_from")).agg(F.count("*").alias("n"))
 
 
 @query("select conv_id, turn, concat('conv_2024-01-01T00:00:00.000Z_', row_number() over (order by conv_id, turn) - 1) id from conversations")
@@ -253,12 +301,15 @@ def row_ids(spark, sf_dir):
 
 @query("select count(*) n, count(*) filter (where strlen(html) <= 5000) kept from pages")
 def size_filter(spark, sf_dir):
-    return table(spark, sf_dir, "pages").agg(F.count("*").alias("n"), F.count_if(F.octet_length("html") <= 5000).alias("kept"))
+    files = table(spark, sf_dir, "pages").select(F.octet_length("html").alias("size"))
+    return files.agg(F.count("*").alias("n")).join(F.broadcast(files.filter(codetree.fits(F.col("size"), 5000)).agg(F.count("*").alias("kept"))))
 
 
 @query("select lang, count(*) n from documents group by 1 order by n desc, lang")
 def language_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+    d = _documents(spark, sf_dir)
+    files = d.select("filePath", "language")
+    return catalog.ingest_language_stats(files, d).select(F.col("language").alias("lang"), F.col("chunkCount").alias("n"))
 
 
 @query("select doc_id, md5(text) file_hash from documents")
@@ -268,18 +319,22 @@ def file_hashes(spark, sf_dir):
 
 @query("select source, arg_min(doc_id, doc_id) sample_id, count(*) n from documents group by 1")
 def table_samples(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.min_by("doc_id", "doc_id").alias("sample_id"), F.count("*").alias("n"))
+    return catalog.samples(_documents(spark, sf_dir)).select(F.col("name").alias("source"), F.col("sample.id").cast("long").alias("sample_id"), F.col("rows").alias("n"))
 
 
 @query("select distinct lang from documents")
 def distinct_languages(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("lang").distinct()
+    return catalog.languages(_documents(spark, sf_dir)).select(F.col("language").alias("lang"))
 
 
 @query("select conv_id, turn, role, text from conversations where not regexp_matches(text, '\\S') union all select conv_id, turn, role, text from conversations where regexp_matches(text, '\\S')")
 def blank_split(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return c.filter(text.is_blank(F.col("text"))).unionByName(c.filter(~text.is_blank(F.col("text"))))
+    c, s = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), store(spark)
+    rows = c.select(F.to_json(F.struct("conv_id", "turn")).alias("id"), F.col("text").alias("content"), F.col("role").alias("chunkType"))
+    for name, part in (("blank", rows.filter(text.is_blank(F.col("content")))), ("full", rows.filter(~text.is_blank(F.col("content"))))):
+        s.replace(name, part)
+    key = F.from_json("id", "conv_id long, turn long")
+    return s.chunks().select(key["conv_id"].alias("conv_id"), key["turn"].cast(c.schema["turn"].dataType).alias("turn"), F.col("chunkType").alias("role"), F.col("content").alias("text"))
 
 
 @query("select l_orderkey, l_linenumber, case when l_extendedprice < 60000 then printf('%.1fs', l_extendedprice/1000) else printf('%dm %ds', floor(l_extendedprice/60000)::bigint, floor(l_extendedprice/1000 - 60*floor(l_extendedprice/60000))::bigint) end took from (select l_orderkey, l_linenumber, floor(l_extendedprice) + 0.25 l_extendedprice from lineitem)")
@@ -288,30 +343,101 @@ def durations(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.duration(ms).alias("took"))
 
 
-@query()
+#: Lines of eight words of a document, of 400 characters at most; no line is longer than 512 tokens, so parts hold whole lines.
+_LINES = r"select doc_id, list_transform(range(0, len(w), 8), lambda i: array_to_string(list_slice(w, i + 1, i + 8), ' ')) l from (select doc_id, list_transform(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x[1:400]) w from documents)"
+
+
+@query(
+    f"""with recursive d as ({_LINES}),
+c as (select doc_id, l, list_transform(l, lambda x: ((length(x) + 4) // 4)::bigint) t, ((length(array_to_string(l, chr(10))) + 3) // 4)::bigint whole from d),
+p as (select doc_id, l, t, 0 part, 1 lo, case when whole <= 512 then len(l) else coalesce(list_position(list_transform(range(1, len(l) + 1), lambda i: list_sum(t[1:i]) > 512), true) - 1, len(l)) end hi from c where len(l) > 0
+ union all select doc_id, l, t, part + 1, hi + 1, coalesce(list_position(list_transform(range(hi + 1, len(l) + 1), lambda i: list_sum(t[hi + 1:i]) - t[hi + 1] + ((length(l[hi + 1]) + 3) // 4) > 512), true) + hi - 1, len(l)) from p where hi < len(l))
+select doc_id, part::int part, array_to_string(l[lo:hi], chr(10)) as "content", (case when part > 0 then lo else 1 end)::int as "startLine", hi::int as "endLine", case when lo = 1 and hi = len(l) then 'function' else concat('function_part_', part + 1) end as "chunkType" from p"""
+)
 def token_chunks(spark, sf_dir):
     spark.udtf.register("split_chunk", SplitChunk)
-    table(spark, sf_dir, "documents").createOrReplaceTempView("_corvella_texts")
-    return spark.sql("SELECT d.doc_id, c.* FROM _corvella_texts d, LATERAL split_chunk(d.text, 1, 'function', 512, 50) c")
+    words = F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: F.substring(w, 1, 400))
+    lines = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 8).cast("int")), lambda i: F.array_join(F.slice("w", i * 8 + 1, 8), " "))
+    view = f"_corvella_{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).select("doc_id", F.array_join(lines, "\n").alias("text")).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT d.doc_id, c.* FROM {view} d, LATERAL split_chunk(d.text, 1, 'function', 512, 0) c")
 
 
-@query()
+@query(
+    """select doc_id, case when regexp_matches(text, '\\S') then 384 end::int dimension, regexp_matches(text, '\\S') embedded from documents"""
+)
 def embed_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", embed_column(F.col("text")).alias("vector"))
+    v = table(spark, sf_dir, "documents").select("doc_id", embed_column(F.col("text")).alias("vector"))
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return v.select("doc_id", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dimension"), (F.col("vector").isNotNull() & (F.abs(length - 1) < 1e-3)).alias("embedded"))
+
+
+#: A tree of files with what they give: path, content, extension, language, whether it is a test, a library, supported; None: left out of the scan.
+FIXTURE = (
+    ("src/app.ts", "// starts it\nexport function start(port: number): void {\n  listen(port);\n}\n\ninterface Options {\n  port: number;\n}\n", (".ts", "typescript", False, False, True)),
+    ("src/app.test.ts", "const run = (x) => {\n  return x;\n};\n", (".ts", "typescript", True, False, True)),
+    ("src/Thing.java", "public class Thing {\n  private int size = 1;\n  public int size() {\n    return size;\n  }\n}\n", (".java", "java", False, False, True)),
+    ("src/Thing.cs", "namespace N {\n  public class Thing {\n    public int Size { get; set; }\n    public void Grow(int n) {\n      Size += n;\n    }\n  }\n}\n", (".cs", "csharp", False, False, True)),
+    ("lib/vendor/tool.py", "# a tool\ndef tool(a):\n    return a\n\nclass Box:\n    def open(self):\n        return 1\n", (".py", "python", False, True, True)),
+    ("src/_hidden_by_spark.js", "class A {\n  go(x) {\n    return x;\n  }\n}\n", (".js", "javascript", False, False, True)),
+    ("README.md", "# none\n", (".md", None, False, False, False)),
+    ("notes", "none\n", ("", None, False, False, False)),
+    (".gitignore", "ignored/\n*.log\n", None),
+    (".secret/key.py", "def f():\n    pass\n", None),
+    ("ignored/a.py", "def f():\n    pass\n", None),
+    ("src/a.log", "x\n", None),
+    ("src/large.py", "x = 1\n" * 300, None),
+)
+#: What the fixture's files hold: path, chunk type, first line, last line.
+FOUND = (
+    ("src/app.ts", "function", 2, 4),
+    ("src/app.ts", "interface", 6, 8),
+    ("src/app.test.ts", "function", 1, 3),
+    ("src/Thing.java", "class", 1, 6),
+    ("src/Thing.java", "field", 2, 2),
+    ("src/Thing.java", "method", 3, 5),
+    ("src/Thing.cs", "class", 2, 7),
+    ("src/Thing.cs", "property", 3, 3),
+    ("src/Thing.cs", "method", 4, 6),
+    ("lib/vendor/tool.py", "function", 1, 3),
+    ("lib/vendor/tool.py", "class", 5, 7),
+    ("lib/vendor/tool.py", "method", 6, 7),
+    ("src/_hidden_by_spark.js", "class", 1, 5),
+    ("src/_hidden_by_spark.js", "method", 2, 4),
+)
 
 
-@query()
-def code_tree(spark, sf_dir):
-    from corvella.sources.codetree import scan
+def _sql(x) -> str:
+    return "null" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
 
-    return scan(spark, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).drop("content", "path")
 
+def _values(rows, columns: str) -> str:
+    return f"select * from (values {', '.join('(' + ', '.join(map(_sql, r)) + ')' for r in rows)}) t({columns})"
 
-@query()
-def code_chunks(spark, sf_dir):
-    from corvella.operators.chunker import ChunkFile
-    from corvella.sources.codetree import scan
 
+def _tree(spark: SparkSession) -> DataFrame:
+    """The fixture, written to a folder of this machine, where the source runs too, and scanned up to 1,000 bytes a file."""
+    root = tempfile.mkdtemp(prefix="corvella-tree-")
+    for path, content, _ in FIXTURE:
+        path = os.path.join(root, path)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(content)
+    return codetree.scan(spark, root, max_file_size=1000)
+
+
+@query(
+    "select p as \"relativePath\", strlen(c)::bigint as \"size\", x as \"extension\", l as \"language\", t as \"isTestFile\", b as \"isLibraryFile\", s as \"supported\", md5(c) as \"fileHash\" from ("
+    + _values([(p, c, *x) for p, c, x in FIXTURE if x], "p, c, x, l, t, b, s")
+    + ")"
+)
+def code_tree(spark, sf_dir):
+    return Staging(spark)(_tree(spark)).select("relativePath", "size", "extension", "language", "isTestFile", "isLibraryFile", "supported", "fileHash")
+
+
+@query(_values(FOUND, '"relativePath", "chunkType", "startLine", "endLine"'))
+def code_chunks(spark, sf_dir):
     spark.udtf.register("chunk_file", ChunkFile)
-    scan(spark, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).filter("supported").createOrReplaceTempView("_corvella_code")
-    return spark.sql("SELECT f.relativePath, f.language, c.* FROM _corvella_code f, LATERAL chunk_file(f.content, f.language, 512, 50) c")
+    view = f"_corvella_{uuid.uuid4().hex}"
+    Staging(spark)(_tree(spark)).filter("supported").createOrReplaceTempView(view)
+    return spark.sql(f"SELECT f.relativePath, c.chunkType, c.startLine, c.endLine FROM {view} f, LATERAL chunk_file(f.content, f.language, 512, 50) c")

@@ -1,7 +1,7 @@
 """Directory trees as a Spark source: spark.read.format("codetree").load(root).
 
 Spark's own file listing hides names that begin with `_`; this source hides those
-that begin with `.` only. One partition per top-level entry group, so that large
+that begin with `.` only. A partition for each FILES_PER_PARTITION files, so that large
 trees are read by many tasks; the walk itself reads names and sizes, not contents.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -94,6 +94,11 @@ class CodeTree(DataSource):
         return CodeTreeReader(self.options)
 
 
+def fits(size: Column, most: int) -> Column:
+    """Files of this size are read; the source itself drops the others before it opens them."""
+    return size <= most
+
+
 def scan(spark: SparkSession, root: str, respect_gitignore: bool = True, skip_hidden: bool = True, max_file_size: int = 1048576) -> DataFrame:
     """Files of a tree with extension, language, supported, flags and md5."""
     spark.dataSource.register(CodeTree)
