@@ -14,17 +14,22 @@ forest of the likely pairs is kept. Exact similarities follow within the connect
 groups of likely pairs, block against block over the whole sets; a task returns each
 set's number of links and a spanning forest, never the pairs.
 
-With eight runs of one token or more at the first level, a pair at 0.8 that
-meets small buckets is missed with a chance below 0.2 ** 8.
+The recall is measured in the run: while the sets are made, each is compared exactly with
+those of up to SAMPLED documents, of which no two are similar, and a pair of different
+sets is met if both are in one group of likely pairs. Where the mean over these documents
+is below RECALL, another RUNS runs follow on other paths, with a lower bar for
+likely pairs; after REPEATS of them a warning names the recall.
 
 Defined results: words are runs without white space, as they are; a text of one to
 four words has one set element, the whole run; a null, empty or blank text links with
-nothing. A null doc_id is in no class (class null, no links) but its row is returned.
-Repeated rows count as copies. Extra columns play no part.
+nothing. Very long texts are compared whole. A null doc_id is in no class (class null, no
+links) but its row is returned. Repeated rows count as copies, ties at 0.8 are links. An
+empty table gives no rows. Extra columns play no part.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvella.llm.common import Scratch, by_group, group_starts, local_roots, mix, slices, span_hashes, text_of, word_bounds, bounded, freed
+from corvella.llm.common import Scratch, bounded, by_group, flat, freed, group_starts, local_roots, mix, slices, span_hashes, text_of, word_bounds
 from corvella.llm.components import components
 
 WORDS = 5
@@ -47,6 +52,12 @@ BLOCK = 256
 #: Tokens of 64 that a likely pair shares at least: four standard deviations below 0.8.
 LIKELY = 38
 
+#: Documents that are compared with all others to measure the recall, of up to LONGEST bytes each; the recall to reach; more runs at most.
+SAMPLED = 1024
+LONGEST = 1 << 16
+RECALL = 0.99
+REPEATS = 4
+
 _rng = np.random.default_rng(5)
 _A = _rng.integers(0, 1 << 31, TOKENS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, TOKENS, dtype=np.uint32)
@@ -94,25 +105,60 @@ def minhashes(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 #: tokens: 64 of 4 bytes, for paths; small: the low 2 bytes of each, for comparisons.
-SIGNED = "doc_id long, fp1 long, fp2 long, n int, tokens binary, small binary"
-
-
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = text_of(batch)
-        ids = batch.column(0)
-        for lo, hi in slices(offsets):
-            own = offsets[lo : hi + 1]
-            sets, at = shingles(data[own[0] : own[-1]], own - own[0])
-            total = np.zeros((2, len(sets) + 1), np.uint64)
-            np.cumsum(mix(sets + np.uint64(1)), out=total[0, 1:])
-            np.cumsum(mix(sets ^ np.uint64(0xA5A5A5A55A5A5A5A)), out=total[1, 1:])
-            fp = (total[:, at[1:]] - total[:, at[:-1]]).view(np.int64)
-            tokens = minhashes(sets, at)
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(fp[0]), pa.array(fp[1]), pa.array(np.diff(at).astype(np.int32)), _rows(tokens), _rows(tokens.astype(np.uint16))],
-                names=["doc_id", "fp1", "fp2", "n", "tokens", "small"],
-            )
+SIGNED = "doc_id long, fp1 long, fp2 long, n int, tokens binary, small binary, near array<int>"
+
+
+class Sample:
+    """Sets by shingle: near() gives those that are similar to each of many sets."""
+
+    def __init__(self, sets: np.ndarray, at: np.ndarray):
+        self.size = np.diff(at)
+        owner = np.repeat(np.arange(len(self.size)), self.size)
+        order = np.argsort(sets, kind="stable")
+        self.sets, self.owner = sets[order], owner[order]
+
+    def near(self, sets: np.ndarray, at: np.ndarray) -> pa.Array:
+        n, lo = len(at) - 1, np.searchsorted(self.sets, sets, "left")
+        times = np.searchsorted(self.sets, sets, "right") - lo
+        of = np.repeat(np.arange(n), np.diff(at))
+        hit = np.flatnonzero(times)
+        rows = np.repeat(hit, times[hit])
+        inside = np.arange(len(rows)) - np.repeat(np.cumsum(times[hit]) - times[hit], times[hit])
+        pair, both = np.unique(of[rows] * max(len(self.size), 1) + self.owner[lo[rows] + inside], return_counts=True)
+        i, j = np.divmod(pair, max(len(self.size), 1))
+        ok = both >= SIMILARITY * (np.diff(at)[i] + self.size[j] - both) - 1e-9
+        ends = np.searchsorted(i[ok], np.arange(n + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(j[ok].astype(np.int32)))
+
+
+def _prints(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Two numbers for each set that tell different sets apart."""
+    total = np.zeros((2, len(sets) + 1), np.uint64)
+    np.cumsum(mix(sets + np.uint64(1)), out=total[0, 1:])
+    np.cumsum(mix(sets ^ np.uint64(0xA5A5A5A55A5A5A5A)), out=total[1, 1:])
+    return (total[:, at[1:]] - total[:, at[:-1]]).view(np.int64)
+
+
+def _sign(sample: Sample):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _signed(batch, sample)
+
+    return run
+
+
+def _signed(batch: pa.RecordBatch, sample: Sample) -> Iterator[pa.RecordBatch]:
+    data, offsets = text_of(batch)
+    ids = batch.column(0)
+    for lo, hi in slices(offsets):
+        own = offsets[lo : hi + 1]
+        sets, at = shingles(data[own[0] : own[-1]], own - own[0])
+        fp = _prints(sets, at)
+        tokens = minhashes(sets, at)
+        yield pa.RecordBatch.from_arrays(
+            [ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(fp[0]), pa.array(fp[1]), pa.array(np.diff(at).astype(np.int32)), _rows(tokens), _rows(tokens.astype(np.uint16)), sample.near(sets, at)],
+            names=["doc_id", "fp1", "fp2", "n", "tokens", "small", "near"],
+        )
 
 
 def _rows(x: np.ndarray) -> pa.Array:
@@ -136,17 +182,21 @@ def _children(rows: DataFrame) -> DataFrame:
     return rows.select("path", "id", "tokens", k).select(F.xxhash64("path", "k", _token(F.col("tokens"), F.col("k"))).alias("path"), "id")
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaves → links of a spanning forest of the likely pairs."""
-    for t in by_group(batches, "path"):
-        keys, ids, side = (t[c].to_numpy() for c in ("path", "id", "side"))
-        tokens = np.frombuffer(b"".join(t["small"].to_pylist()), np.uint16).reshape(-1, TOKENS)
-        found = [(i[same], j[same]) for i, j in _pairs(group_starts(keys), side) if (same := (tokens[i] == tokens[j]).sum(1, dtype=np.int16) >= LIKELY).any()]
-        if not found:
-            continue
-        root = local_roots(len(ids), np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
-        hung = np.flatnonzero(root != np.arange(len(ids)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[hung]), pa.array(ids[root[hung]])], names=["a", "b"])
+def _likely(least: int):
+    """Leaves → links of a spanning forest of the pairs that share `least` tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, "path"):
+            keys, ids, side = (t[c].to_numpy() for c in ("path", "id", "side"))
+            tokens = np.frombuffer(b"".join(t["small"].to_pylist()), np.uint16).reshape(-1, TOKENS)
+            found = [(i[same], j[same]) for i, j in _pairs(group_starts(keys), side) if (same := (tokens[i] == tokens[j]).sum(1, dtype=np.int16) >= least).any()]
+            if not found:
+                continue
+            root = local_roots(len(ids), np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
+            hung = np.flatnonzero(root != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hung]), pa.array(ids[root[hung]])], names=["a", "b"])
+
+    return run
 
 
 def _pairs(edges: np.ndarray, side: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -253,15 +303,36 @@ def _linked(sets: np.ndarray, at: np.ndarray, side: np.ndarray) -> tuple[np.ndar
     return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
 
 
-def classes(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id (smallest id reachable by links), n_links (other documents linked directly, copies included)."""
-    s = scratch or Scratch(docs.sparkSession)
-    spark = docs.sparkSession
-    signed = s.stage(bounded(docs).select("doc_id", "text").mapInArrow(freed(_sign), SIGNED))
-    full = signed.filter("doc_id IS NOT NULL AND n > 0")
-    reps = s.stage(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id"), F.count("*").alias("times"), F.first("tokens").alias("tokens"), F.first("small").alias("small")))
-
-    start = reps.select("id", "tokens", F.explode(F.array(*[F.lit(r).cast("long") for r in range(RUNS)])).alias("path"))
+def _sample(docs: DataFrame) -> tuple[Sample, list[tuple[int, int, int]]]:
+    """Sets of up to SAMPLED documents, of which no two are similar, and their prints (number, fp1, fp2)."""
+    some = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") <= LONGEST))
+    t = some.orderBy(F.xxhash64(F.lit(3), "doc_id", F.xxhash64("text")), "doc_id", "text").limit(SAMPLED).select("text").toArrow()
+    sets, at = shingles(*flat(t["text"].cast(pa.string())))
+    near, taken = Sample(sets, at).near(sets, at).to_pylist(), set()
+    for i, x in enumerate(near):
+        if x and not taken.intersection(x):
+            taken.add(i)
+    keep = sorted(taken)
+    size = np.diff(at)[keep]
+    own = np.concatenate([sets[at[i] : at[i + 1]] for i in keep]) if keep else sets[:0]
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return Sample(own, ends), [(j, *map(int, fp)) for j, fp in enumerate(_prints(own, ends).T)]
+
+
+def _recall(signed: DataFrame, reps: DataFrame, likely: DataFrame, known: list[tuple[int, int, int]]) -> float:
+    """Mean share of a sampled document's similar, different sets that are in its group of likely pairs."""
+    place = reps.join(likely.withColumnRenamed("node", "id"), "id", "left").select("fp1", "fp2", F.coalesce("root", "id").alias("group"))
+    own = F.broadcast(signed.sparkSession.createDataFrame(known, "j int, fp1 long, fp2 long")).join(place, ["fp1", "fp2"]).select("j", F.col("group").alias("own"), F.col("fp1").alias("own1"), F.col("fp2").alias("own2"))
+    pairs = signed.filter("doc_id IS NOT NULL AND size(near) > 0").select("fp1", "fp2", F.explode("near").alias("j")).distinct()
+    pairs = pairs.join(F.broadcast(own), "j").filter("fp1 <> own1 OR fp2 <> own2").join(place, ["fp1", "fp2"])
+    met = pairs.groupBy("j").agg(F.avg((F.col("group") == F.col("own")).cast("int")).alias("share"))
+    r = met.agg(F.avg("share")).first()[0]
+    return 1.0 if r is None else r
+
+
+def _links(reps: DataFrame, s: Scratch, turn: int) -> DataFrame:
+    """Links between representatives that are likely pairs, by RUNS runs; another turn samples other paths."""
+    start = reps.select("id", "tokens", F.explode(F.array(*[F.lit(r).cast("long") for r in range(turn * RUNS, (turn + 1) * RUNS)])).alias("path"))
     leaves: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
         rows = s.stage(_children(start).distinct())
@@ -281,8 +352,28 @@ def classes(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     for x in leaves[1:]:
         found = found.unionByName(x)
     buckets = blocked(found, "path", "members", "id", PAIRS).join(reps.select("id", "small"), "id")
-    links = buckets.repartition("path").sortWithinPartitions("path").mapInArrow(freed(_likely), "a long, b long").distinct()
-    likely = s.stage(components(s.stage(links), s))
+    return buckets.repartition("path").sortWithinPartitions("path").mapInArrow(freed(_likely(LIKELY - 4 * turn)), "a long, b long").distinct()
+
+
+def classes(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id, class_id (smallest id reachable by links), n_links (other documents linked directly, copies included)."""
+    s = scratch or Scratch(docs.sparkSession)
+    spark = docs.sparkSession
+    sample, known = _sample(docs)
+    signed = s.stage(bounded(docs).select("doc_id", "text").mapInArrow(freed(_sign(sample)), SIGNED))
+    full = signed.filter("doc_id IS NOT NULL AND n > 0")
+    reps = s.stage(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id"), F.count("*").alias("times"), F.first("tokens").alias("tokens"), F.first("small").alias("small")))
+
+    likely, links = None, None
+    for turn in range(REPEATS + 1):
+        new = _links(reps, s, turn)
+        links = s.stage(new if links is None else links.unionByName(new).distinct())
+        likely = s.stage(components(links, s))
+        recall = _recall(signed, reps, likely, known)
+        if recall >= RECALL:
+            break
+    else:
+        logging.getLogger(__name__).warning("a recall of %.3f of the sampled pairs was reached, the target is %.2f", recall, RECALL)
 
     sizes = likely.groupBy("root").agg(F.count("*").alias("members"))
     members = likely.join(sizes, "root").select(F.col("node").alias("id"), F.col("root").alias("path"), "members").join(reps.select("id", "times"), "id")

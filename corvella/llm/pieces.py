@@ -15,8 +15,10 @@ spaces and very long words are merged one by one, exactly too.
 
 Defined results: a null text has null ids; an empty one has none. Characters without a
 piece become bytes (or the unknown id, where a model has no bytes). Decoding gives the
-text back exactly, for any text without U+2581, which stands for a space. Repeated
-rows give equal ids. Models with a normaliser other than identity are refused.
+text back exactly, for any text without U+2581, which stands for a space. Very long texts
+are encoded whole. Repeated rows give equal ids; of tied merges the leftmost goes first, of
+tied sums the longest piece stays. An empty table gives no rows. Extra columns play no
+part. Models with a normaliser other than identity are refused.
 """
 
 from __future__ import annotations

@@ -403,6 +403,20 @@ def test_jaccard_large_groups_and_shared_passages(spark):
     assert found == all_ and got == want
 
 
+def test_jaccard_runs_go_on_until_the_recall_is_met(spark, monkeypatch):
+    """With a bar for likely pairs that no pair meets at first."""
+    monkeypatch.setattr(jaccard, "LIKELY", 70)
+    r = random.Random(3)
+    rows = []
+    for _ in range(60):
+        w = words(r, 90)
+        rows += [" ".join(w), " ".join([*w[:88], "other", "end"])]
+    docs, turns, links = list(enumerate(rows)), [], jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda reps, s, turn: turns.append(turn) or links(reps, s, turn))
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_jaccard(docs) and turns[0] == 0 and len(turns) > 1
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(r.randrange(2000, 2400), r.randrange(2000, 2400)) for _ in range(180)]
@@ -495,7 +509,7 @@ def test_base_spans_of_any_text(parts):
     assert [f"{k}:{a}:{b}" for a, b, k in secrets.base_spans(text)] == plain_base(text)
 
 
-def test_network_finds_planted_keys(spark):
+def test_network_adds_little_to_paths(spark):
     r = random.Random(5)
     key = lambda: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32))
     rows = [(i, f"{' '.join(words(r, 20))} token = \"{key()}\" {' '.join(words(r, 20))}") for i in range(150)]
@@ -504,7 +518,7 @@ def test_network_finds_planted_keys(spark):
     out = {x["doc_id"]: x for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(out[i]["n_assign"] == 1 for i in range(150))
     assert sum(out[1000 + i]["n_added"] for i in range(150)) < 15
-    # not asked of the planted ones: they were among the negatives of the training sample
+    # what stands after another keyword is a candidate like others: at most itself is added
     assert all(out[5000 + i]["n_added"] <= 1 for i in range(20))
 
 

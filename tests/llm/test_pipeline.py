@@ -35,3 +35,22 @@ def test_stages(spark, tmp_path):
             assert max(docs.groupBy("doc_id").count().toPandas()["count"]) <= 2
         else:
             assert all(r["round_trip"] for r in rows)
+
+
+def _folder(spark, path, docs, labels):
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels.write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_odd_and_empty_tables(spark, tmp_path, odd_docs, no_docs, odd_labels, no_labels):
+    """Nulls, empty and very long texts, repeated rows and clashing names go through all stages; so do empty tables."""
+    ids = {r["doc_id"] for r in odd_docs.collect()}
+    for name, labels in (("labelled", odd_labels), ("none", no_labels)):
+        out = corpus_pipeline.run(spark, _folder(spark, tmp_path / name, odd_docs, labels)).collect()
+        assert {r["doc_id"] for r in out} <= ids
+        assert all(r["round_trip"] or r["doc_id"] == 11 for r in out if r["ids"] is not None)
+    assert {r["doc_id"] for r in out} & {1, 2} == {1}  # without labels nothing is rejected; of two equal texts one stays
+    for name, labels in (("empty", odd_labels), ("both", no_labels)):
+        out = corpus_pipeline.run(spark, _folder(spark, tmp_path / name, no_docs, labels))
+        assert out.count() == 0 and out.columns == ["doc_id", "ids", "n_ids", "round_trip"]
