@@ -40,9 +40,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    """Rows of the last stage; the table between two stages goes when the next one is written."""
+    scratch, docs, last = Scratch(spark), table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = scratch.stage(docs)
+            if last is not None:
+                scratch.drop(last)
+            last = docs
     return docs
