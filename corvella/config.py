@@ -12,6 +12,7 @@ from typing import Any
 DEFAULTS: dict[str, Any] = {
     "lancedb": {"persistPath": "~/.corvella/store"},
     "embedding": {"modelName": "Xenova/all-MiniLM-L6-v2", "cachePath": "~/.corvella/models"},
+    "mcp": {"transport": "stdio"},
     "server": {"port": 8008, "host": "localhost"},
     "ingestion": {"batchSize": 100, "maxFileSize": 1048576, "maxChunkTokens": 512, "chunkOverlapTokens": 50},
     "search": {"defaultMaxResults": 50, "cacheTimeoutSeconds": 60},
@@ -64,6 +65,8 @@ def validate(config: dict) -> dict:
                 raise ConfigError(f"{section}.{key} must not be empty")
     if not 1 <= config["server"]["port"] <= 65535:
         raise ConfigError("server.port must be in 1..65535")
+    if config["mcp"]["transport"] != "stdio":
+        raise ConfigError("mcp.transport must be stdio")
     if any(config["ingestion"][k] < 1 for k in ("batchSize", "maxFileSize", "maxChunkTokens")) or config["ingestion"]["chunkOverlapTokens"] < 0:
         raise ConfigError("ingestion limits must be positive")
     if config["search"]["defaultMaxResults"] < 1 or config["search"]["cacheTimeoutSeconds"] < 0:

@@ -62,8 +62,8 @@ def embedder_of(factory: Callable[[], Embedder], key: str | None = None) -> Embe
     return _made[key]
 
 
-def embed_column(text: Column, factory: Callable[[], Embedder] = HashEmbedder, key: str | None = None) -> Column:
-    """A failing batch is tried row by row; rows that fail are null and others keep their places."""
+def embed_column(text: Column, factory: Callable[[], Embedder] = HashEmbedder, key: str | None = None, batch: int = 100) -> Column:
+    """`batch` texts are embedded at once. A batch that fails is tried row by row; rows that fail are null and others keep their places."""
     key = key or key_of(factory)
 
     @F.pandas_udf("array<float>")
@@ -71,16 +71,18 @@ def embed_column(text: Column, factory: Callable[[], Embedder] = HashEmbedder, k
         model = embedder_of(factory, key)
         for texts in batches:
             out = [None] * len(texts)
-            full = [i for i, t in enumerate(texts) if t is not None and t.strip()]
-            try:
-                for i, v in zip(full, model.embed([texts.iloc[i] for i in full]), strict=True):
-                    out[i] = v
-            except Exception:
-                for i in full:
-                    try:
-                        out[i] = model.embed([texts.iloc[i]])[0]
-                    except Exception:
-                        out[i] = None
+            whole = [i for i, t in enumerate(texts) if t is not None and t.strip()]
+            for lo in range(0, len(whole), batch):
+                full = whole[lo : lo + batch]
+                try:
+                    for i, v in zip(full, model.embed([texts.iloc[i] for i in full]), strict=True):
+                        out[i] = v
+                except Exception:
+                    for i in full:
+                        try:
+                            out[i] = model.embed([texts.iloc[i]])[0]
+                        except Exception:
+                            out[i] = None
             yield pd.Series(out, dtype=object)
 
     return run(text)

@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvella.config import DEFAULTS
+from corvella.config import DEFAULTS, ConfigError
 from corvella.functions.names import normalise
 from corvella.operators import catalog, rescan
 from corvella.operators import search as search_ops
@@ -32,6 +32,8 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, config: dict | None = None, embedder=HashEmbedder):
         self.spark, self.config, self.embedder = spark, config or DEFAULTS, embedder
         self.store = Store(spark, root)
+        if (model := self.config["embedding"]["modelName"]) != DEFAULTS["embedding"]["modelName"] and model != getattr(embedder, "name", None):
+            raise ConfigError(f"embedding.modelName {model!r} isn't served: pass an embedder of that name, or leave the setting at its default for {HashEmbedder.name}")
         self.cache = search_ops.Cache(self.config["search"]["cacheTimeoutSeconds"])
 
     def chunk_rows(self, files: DataFrame, name: str, path: str, timestamp: str, first: int = 0, stage: Staging | None = None) -> DataFrame:
@@ -45,7 +47,7 @@ class Engine:
             f"SELECT f.relativePath AS filePath, f.language, f.isTestFile, f.isLibraryFile, f.fileHash, c.* FROM {view} f, LATERAL chunk_file(f.content, f.language, {c['maxChunkTokens']}, {c['chunkOverlapTokens']}) c"
         ).filter(F.col("content").rlike(r"\S"))
         self.spark.catalog.dropTempView(view)
-        rows = stage(rows.withColumn("vector", embed_column(F.col("content"), self.embedder))).filter(F.col("vector").isNotNull())
+        rows = stage(rows.withColumn("vector", embed_column(F.col("content"), self.embedder, batch=c["batchSize"]))).filter(F.col("vector").isNotNull())
         rows = gapless(rows, ["filePath", "ordinal"], "_n", stage)
         return rows.select(
             F.concat(F.lit(f"{name}_{timestamp}_"), (F.col("_n") + first).cast("string")).alias("id"),

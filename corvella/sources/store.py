@@ -1,10 +1,12 @@
 """Codebases as versioned Parquet snapshots.
 
-root/chunks/cb=<table>/v=<n>-<writer>/ holds version n of a codebase, root/files/... its file
-manifest, root/_versions/<i>.json the versions current after change i. Every change
-reads version n, writes n+1 and then makes the next file of _versions in one rename,
-so that a failed write leaves the old version in place and of two writers at once the
-later one fails. Version n stays for those who are reading it until n+2 is written.
+root/chunks/cb=<table>/v=<n>-<writer>/ holds what version n of a codebase has added, root/files/...
+its file manifest, root/_versions/<i>.json the versions current after change i, each
+with the folders of its chunks. A change writes a folder and then makes the next file of
+_versions in one rename, so that a failed write leaves the old version in place and of
+two writers at once the later one fails. Appended chunks are a folder more, up to FOLDERS,
+when all are written as one; other changes write all chunks anew. The folders that version n
+alone names stay for those who are reading it until n+2 is written.
 The root may be on any file system that Spark reads.
 """
 
@@ -23,6 +25,8 @@ from corvella.sources.files import Files
 
 
 KEPT_VERSIONS = 10
+#: Folders of a codebase's chunks at most.
+FOLDERS = 32
 
 
 class NotFound(LookupError):
@@ -37,6 +41,10 @@ def now_iso() -> str:
     return datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
 
 
+def _folders(codebase: dict) -> list[str]:
+    return codebase.get("chunks") or [codebase["dir"]]
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.fs = spark, root.rstrip("/"), Files(spark)
@@ -84,7 +92,7 @@ class Store:
         chosen = [t for t in sorted(manifest) if name is None or t == table_of(name)]
         if not chosen:
             return self.spark.createDataFrame([], CHUNKS).withColumn("cb", F.lit(""))
-        dirs = [self._dir("chunks", t, manifest[t]["dir"]) for t in chosen]
+        dirs = [self._dir("chunks", t, d) for t in chosen for d in _folders(manifest[t])]
         return self.spark.read.schema(CHUNKS).option("basePath", f"{self.root}/chunks").parquet(*dirs).drop("v")
 
     def files(self, name: str) -> DataFrame:
@@ -96,6 +104,10 @@ class Store:
 
     def replace(self, name: str, chunks: DataFrame, files: DataFrame | None = None, path: str | None = None) -> None:
         """The next version of a codebase; it may read the present one."""
+        self._write(name, chunks, files, path, False)
+
+    def _write(self, name: str, chunks: DataFrame, files: DataFrame | None, path: str | None, beside: bool, drop: str | None = None) -> None:
+        """beside: the present chunks stay; drop: a codebase that goes in the same change."""
         (change, manifest), table = self._latest(), table_of(name)
         old = manifest.get(table)
         if old and old["name"] != name:
@@ -107,16 +119,23 @@ class Store:
         if files is None:
             files = self.files(name) if old else self.spark.createDataFrame([], FILES)
         files.select(*FILES.names).write.mode("overwrite").parquet(self._dir("files", table, version))
-        manifest[table] = {"name": name, "version": number, "dir": version, "before": old and old["dir"], "path": path if path is not None else (old or {}).get("path", "")}
+        now = [*_folders(old), version] if beside else [version]
+        before = [] if not old else [x for x in {*_folders(old), old["dir"]} if x not in now]
+        manifest[table] = {"name": name, "version": number, "dir": version, "chunks": now, "before": sorted(before), "path": path if path is not None else (old or {}).get("path", "")}
+        if drop:
+            del manifest[table_of(drop)]
         self._swap(change + 1, manifest)
-        if old and old["before"]:
-            for kind in ("chunks", "files"):
-                self.fs.remove(self._dir(kind, table, old["before"]))
+        if old:
+            for x in old["before"] or ():
+                self.fs.remove(self._dir("chunks", table, x))
+                self.fs.remove(self._dir("files", table, x))
 
     def append(self, name: str, chunks: DataFrame) -> None:
         """Appends to a codebase, or creates it."""
         if not self.exists(name):
             return self.replace(name, chunks)
+        if len(_folders(self.info(name))) < FOLDERS:
+            return self._write(name, chunks, None, None, True)
         both = self.chunks(name).drop("cb").unionByName(chunks, allowMissingColumns=True)
         return self.replace(name, both)
 
@@ -154,13 +173,16 @@ class Store:
             self.fs.remove(f"{self.root}/{kind}/cb={table_of(name)}")
 
     def rename(self, old: str, new: str) -> int:
-        """Number of chunks. A codebase without chunks is dropped and not created anew."""
+        """Number of chunks; one change, so that readers see the old name or the new. A codebase without chunks is dropped and not created anew."""
         x = self.info(old)
         if self.exists(new):
             raise ValueError(f"codebase {new!r} exists")
         chunks, n = self.chunks(old).drop("cb"), self.count(old)
         if n:
             renamed = chunks.withColumns({"_codebaseName": F.lit(new), "_renamedFrom": F.lit(old), "_renamedAt": F.lit(now_iso())})
-            self.replace(new, renamed, self.files(old), x["path"])
-        self.drop(old)
+            self._write(new, renamed, self.files(old), x["path"], False, old)
+            for kind in ("chunks", "files"):
+                self.fs.remove(f"{self.root}/{kind}/cb={table_of(old)}")
+        else:
+            self.drop(old)
         return n

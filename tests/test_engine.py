@@ -233,3 +233,62 @@ def test_changed_files_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("changed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("changed").count() == 2
+
+
+def test_appends_add_folders(spark, tmp_path, monkeypatch):
+    """An append writes its own rows only; at the bound all become one folder; a rename is one change."""
+    from corvella.sources import store as module
+    from corvella.sources.store import Store
+
+    monkeypatch.setattr(module, "FOLDERS", 3)
+    s = Store(spark, str(tmp_path / "s"))
+    rows = lambda lo, hi: spark.range(lo, hi).selectExpr("cast(id as string) id", "'f' filePath", "'a' _codebaseName")
+    for i in range(5):
+        s.append("a", rows(10 * i, 10 * i + 10))
+        assert sorted(int(r["id"]) for r in s.chunks("a").collect()) == list(range(10 * i + 10))
+        assert len(s.info("a")["chunks"]) == (i + 1 if i < 3 else i - 2)
+    s.delete_file("a", "g")
+    change = s._latest()[0]
+    assert s.rename("a", "b") == 50 and s._latest()[0] == change + 1 and s.names() == ["b"]
+    assert {r["_codebaseName"] for r in s.chunks("b").collect()} == {"b"} and s.count("b") == 50
+
+
+def test_model_names_that_are_not_served_are_refused(spark, tmp_path):
+    import copy
+
+    from corvella.config import DEFAULTS, ConfigError, load
+    from corvella.plans.engine import Engine
+
+    config = copy.deepcopy(DEFAULTS)
+    config["embedding"]["modelName"] = "another"
+    with pytest.raises(ConfigError, match="another"):
+        Engine(spark, str(tmp_path), config)
+    config["embedding"]["modelName"] = "feature-hash"
+    Engine(spark, str(tmp_path), config)
+    path = tmp_path / "c.json"
+    path.write_text('{"mcp": {"transport": "stdio"}}')
+    assert load(str(path), {})["mcp"] == {"transport": "stdio"}
+    path.write_text('{"mcp": {"transport": "other"}}')
+    with pytest.raises(ConfigError):
+        load(str(path), {})
+
+
+def test_embedding_batches(spark):
+    """A text that fails spoils its own batch only, and there only itself."""
+    from pyspark.sql import functions as F
+
+    from corvella.operators.embed import embed_column
+
+    class Picky:
+        dimension, name = 1, "picky"
+
+        def embed(self, texts):
+            import numpy as np
+
+            if len(texts) > 3 or "bad" in texts:
+                raise ValueError
+            return np.array([[float(len(t))] for t in texts], np.float32)
+
+    df = spark.createDataFrame([(i, "bad" if i == 4 else "x" * (i + 1)) for i in range(8)], "i int, t string").coalesce(1)
+    got = {r["i"]: r["v"] for r in df.select("i", embed_column(F.col("t"), Picky, batch=3).alias("v")).collect()}
+    assert got[4] is None and all(got[i] == [i + 1.0] for i in got if i != 4)
