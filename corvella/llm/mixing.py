@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvella.llm.common import Scratch
+from corvella.llm.common import Scratch, bounded
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -184,7 +184,7 @@ def _marks(docs: DataFrame, seed: int) -> list[Column]:
 
 
 def _narrow(docs: DataFrame, seed: int, *keep: str) -> DataFrame:
-    return docs.select(*keep, words(F.col("text")).alias("_size"), *_marks(docs, seed))
+    return bounded(docs).select(*keep, words(F.col("text")).alias("_size"), *_marks(docs, seed))
 
 
 def plan_rows(docs: DataFrame, scratch: Scratch | None = None, **kw) -> DataFrame:
