@@ -70,10 +70,10 @@ class Scratch:
         self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/corvella-{uuid.uuid4().hex}", 0
         atexit.register(self.clear)
 
-    def stage(self, df: DataFrame, *partition_by: str) -> DataFrame:
+    def stage(self, df: DataFrame, *partition_by: str, compression: str | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.root}/t{self.n}"
-        df.write.partitionBy(*partition_by).parquet(path)
+        df.write.partitionBy(*partition_by).parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_at = path
         return out
