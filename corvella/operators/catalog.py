@@ -1,10 +1,34 @@
-"""Listings and statistics; all are aggregates with map-side combine."""
+"""Listings and statistics; all are aggregates with map-side combine.
+
+Those of chunks take the chunks themselves or their partial aggregates (partial()): one
+row for each file, language, kind and ingestion, with the columns of the chunk with the first
+id, and with the counts and sizes of all. They give the same for both.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Columns that all chunks of a row of partial() share.
+WITHIN = ("filePath", "language", "chunkType", "ingestionTimestamp", "_codebaseName", "_path")
+PARTIAL = "filePath string, language string, chunkType string, ingestionTimestamp string, _codebaseName string, _path string, id string, isTestFile boolean, isLibraryFile boolean, fileHash string, _lastIngestion string, chunks long, size long"
+
+
+def partial(chunks: DataFrame) -> DataFrame:
+    """Mergeable aggregates of chunks; a file's rows are as many as its kinds and ingestions."""
+    first = F.min_by(F.struct("id", "isTestFile", "isLibraryFile"), numbered()).alias("_first")
+    rows = chunks.groupBy(*WITHIN).agg(first, F.max("fileHash").alias("fileHash"), F.max("_lastIngestion").alias("_lastIngestion"), F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum(F.length("content")), F.lit(0)).cast("long").alias("size"))
+    return rows.select(*WITHIN, "_first.*", "fileHash", "_lastIngestion", "chunks", "size")
+
+
+def _count(df: DataFrame) -> Column:
+    return F.coalesce(F.sum("chunks"), F.lit(0)) if "chunks" in df.columns else F.count("*")
+
+
+def _size(df: DataFrame) -> Column:
+    return F.coalesce(F.sum("size") if "chunks" in df.columns else F.sum(F.length("content")), F.lit(0))
+
 
 def or_unknown(c: str) -> Column:
     return F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit("unknown"))
@@ -25,7 +49,7 @@ def list_codebases(chunks: DataFrame) -> DataFrame:
     full = lambda c: F.when(F.col(c) != "", F.col(c))
     return chunks.groupBy(F.col("_codebaseName").alias("name")).agg(
         first_by_id("_path")["_path"].alias("path"),
-        F.count("*").alias("chunkCount"),
+        _count(chunks).alias("chunkCount"),
         F.countDistinct(full("filePath")).alias("fileCount"),
         F.max("_lastIngestion").alias("lastIngestion"),
         F.sort_array(F.collect_set(full("language"))).alias("languages"),
@@ -34,7 +58,7 @@ def list_codebases(chunks: DataFrame) -> DataFrame:
 
 def samples(chunks: DataFrame) -> DataFrame:
     """name, the row with the first id, and the number of rows of each codebase."""
-    return chunks.groupBy(F.col("_codebaseName").alias("name")).agg(first_by_id("id", "_codebaseName", "language").alias("sample"), F.count("*").alias("rows"))
+    return chunks.groupBy(F.col("_codebaseName").alias("name")).agg(first_by_id("id", "_codebaseName", "language").alias("sample"), _count(chunks).alias("rows"))
 
 
 def languages(chunks: DataFrame) -> DataFrame:
@@ -42,11 +66,11 @@ def languages(chunks: DataFrame) -> DataFrame:
 
 
 def language_stats(chunks: DataFrame, *within: str) -> DataFrame:
-    return chunks.groupBy(*within, or_unknown("language").alias("language")).agg(F.countDistinct(F.coalesce("filePath", F.lit(""))).alias("fileCount"), F.count("*").alias("chunkCount"))
+    return chunks.groupBy(*within, or_unknown("language").alias("language")).agg(F.countDistinct(F.coalesce("filePath", F.lit(""))).alias("fileCount"), _count(chunks).alias("chunkCount"))
 
 
 def chunk_type_stats(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy(or_unknown("chunkType").alias("type")).agg(F.count("*").alias("count"))
+    return chunks.groupBy(or_unknown("chunkType").alias("type")).agg(_count(chunks).alias("count"))
 
 
 def totals(chunks: DataFrame) -> DataFrame:
@@ -54,10 +78,10 @@ def totals(chunks: DataFrame) -> DataFrame:
     return chunks.agg(
         F.max("_codebaseName").alias("name"),
         F.min(F.when(F.col("_path") != "", F.col("_path"))).alias("path"),
-        F.count("*").alias("chunkCount"),
+        _count(chunks).alias("chunkCount"),
         F.countDistinct(F.coalesce("filePath", F.lit(""))).alias("fileCount"),
         F.max("_lastIngestion").alias("lastIngestion"),
-        F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("sizeBytes"),
+        _size(chunks).alias("sizeBytes"),
     )
 
 
@@ -75,7 +99,7 @@ def list_files(chunks: DataFrame) -> DataFrame:
     return (
         chunks.filter(F.col("filePath") != "")
         .groupBy("filePath")
-        .agg(F.count("*").alias("chunkCount"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("sizeBytes"), first.alias("_first"), latest.alias("_latest"))
+        .agg(_count(chunks).alias("chunkCount"), _size(chunks).alias("sizeBytes"), first.alias("_first"), latest.alias("_latest"))
         .select(
             "filePath",
             F.coalesce(F.when(F.col("_first.language") != "", F.col("_first.language")), F.lit("javascript")).alias("language"),
@@ -90,10 +114,16 @@ def list_files(chunks: DataFrame) -> DataFrame:
 
 
 def scan_statistics(files: DataFrame) -> DataFrame:
-    """One row of counters with the unsupported files by extension."""
-    by = unsupported_by_extension(files).agg(F.map_from_entries(F.collect_list(F.struct("extension", "files"))).alias("unsupportedByExtension"))
-    counts = files.agg(F.count("*").alias("totalFiles"), F.count_if("supported").alias("supportedFiles"), F.count_if(~F.col("supported")).alias("unsupportedFiles"))
-    return counts.join(F.broadcast(by))
+    """One row of counters with the unsupported files by extension; one pass over the files, then one over a row for each extension."""
+    by = files.groupBy(_extension(), "supported").agg(F.count("*").alias("files"))
+    entry = F.when(~F.col("supported"), F.struct("extension", "files"))
+    each = by.agg(
+        F.coalesce(F.sum("files"), F.lit(0)).alias("totalFiles"),
+        F.coalesce(F.sum(F.when(F.col("supported"), F.col("files"))), F.lit(0)).alias("supportedFiles"),
+        F.coalesce(F.sum(F.when(~F.col("supported"), F.col("files"))), F.lit(0)).alias("unsupportedFiles"),
+        F.collect_list(entry).alias("entries"),
+    )
+    return each.select("totalFiles", "supportedFiles", "unsupportedFiles", F.map_from_entries("entries").alias("unsupportedByExtension"))
 
 
 def _extension() -> Column:
@@ -116,5 +146,5 @@ def files_by_language(files: DataFrame, path: str = "relativePath") -> DataFrame
 
 def ingest_language_stats(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """Files without chunks count as files."""
-    per = chunks.groupBy("filePath").agg(F.count("*").alias("n"))
+    per = chunks.groupBy("filePath").agg(_count(chunks).alias("n"))
     return files.filter(F.col("language").isNotNull()).join(per, "filePath", "left").groupBy("language").agg(F.count("*").alias("fileCount"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunkCount")).orderBy(F.desc("chunkCount"), "language")

@@ -19,6 +19,7 @@ from corvella.operators.embed import HashEmbedder, embed_column, embed_text
 from corvella.sources import codetree
 from corvella.sources.scratch import Staging
 from corvella.sources.store import NotFound, Store, now_iso
+from corvella.streaming.progress import Progress
 
 
 Tell = Callable[[str, int, int], None]
@@ -36,13 +37,14 @@ class Engine:
             raise ConfigError(f"embedding.modelName {model!r} isn't served: pass an embedder of that name, or leave the setting at its default for {HashEmbedder.name}")
         self.cache = search_ops.Cache(self.config["search"]["cacheTimeoutSeconds"])
 
-    def chunk_rows(self, files: DataFrame, name: str, path: str, timestamp: str, first: int = 0, stage: Staging | None = None) -> DataFrame:
+    def chunk_rows(self, files: DataFrame, name: str, path: str, timestamp: str, first: int = 0, stage: Staging | None = None, progress: Progress | None = None) -> DataFrame:
         """files → embedded chunk rows with gapless ids in the order of path and chunk. Parsed and embedded once, written, then numbered: chunks without an embedding get no id."""
         stage = stage or Staging(self.spark)
         self.spark.udtf.register("chunk_file", ChunkFile)
         c = self.config["ingestion"]
         view = f"_corvella_{uuid.uuid4().hex}"  # jobs may run side by side
-        files.filter("supported").createOrReplaceTempView(view)
+        supported = files.filter("supported")
+        (progress.counted(supported) if progress else supported).createOrReplaceTempView(view)
         rows = self.spark.sql(
             f"SELECT f.relativePath AS filePath, f.language, f.isTestFile, f.isLibraryFile, f.fileHash, c.* FROM {view} f, LATERAL chunk_file(f.content, f.language, {c['maxChunkTokens']}, {c['chunkOverlapTokens']}) c"
         ).filter(F.col("content").rlike(r"\S"))
@@ -59,48 +61,65 @@ class Engine:
     def _manifest(files: DataFrame) -> DataFrame:
         return files.filter("supported").select(F.col("relativePath").alias("filePath"), "language", "fileHash", F.col("size").alias("sizeBytes"))
 
+    def listing(self, path: str, respect_gitignore: bool = True, stage: Staging | None = None) -> codetree.Listing:
+        """Names, sizes, languages and flags of a tree's files up to the bound of size; no file is opened."""
+        found = codetree.listing(self.spark, path, respect_gitignore, True, stage)
+        fit = found.files.filter(codetree.fits(F.col("size"), self.config["ingestion"]["maxFileSize"]))
+        return codetree.Listing(codetree.described(fit), found.counts, found.n)
+
     def scan(self, path: str, respect_gitignore: bool = True) -> DataFrame:
-        return codetree.scan(self.spark, path, respect_gitignore, True, self.config["ingestion"]["maxFileSize"])
+        """The supported files of a tree with contents and hashes."""
+        found = self.listing(path, respect_gitignore)
+        return codetree.contents(found.files.filter("supported"), path, found.n)
 
     def ingest(self, path: str, name: str, respect_gitignore: bool = True, tell: Tell = _silent) -> dict[str, Any]:
-        """Replaces the codebase when everything is written; a failure leaves the old one. tell(phase, current, total) follows it."""
+        """Replaces the codebase when everything is written; a failure leaves the old one. tell(phase, current, total) follows it.
+
+        The tree is walked once and each supported file read once, into a staged table from which chunks, manifest and counts all come."""
         began, name, timestamp = time.monotonic(), normalise(name), now_iso()
-        tell("Scanning", 0, 3)
-        files = self.scan(path, respect_gitignore)
-        previous = self.store.count(name) if self.store.exists(name) else 0
-        tell("Chunking and embedding", 1, 3)
+        tell("Scanning", 0, 0)
+        previous = self.store.count(name)
         with Staging(self.spark) as stage:
-            self.store.replace(name, self.chunk_rows(files, name, path, timestamp, stage=stage), self._manifest(files), path)
+            found = self.listing(path, respect_gitignore, stage)
+            counts = catalog.scan_statistics(found.files).first().asDict() | found.counts
+            total = counts["supportedFiles"]
+            with Progress(self.spark, "Reading", total, tell) as p:
+                files = stage(p.counted(codetree.contents(found.files.filter("supported"), path, found.n)))
+            with Progress(self.spark, "Chunking and embedding", total, tell) as p:
+                rows = self.chunk_rows(files, name, path, timestamp, stage=stage, progress=p)
+            self.store.replace(name, rows, self._manifest(files), path)
         self.cache.clear()
-        tell("Counting", 2, 3)
-        stored, manifest = self.store.chunks(name), self.store.files(name)
-        counts = catalog.scan_statistics(files.drop("content")).first().asDict() | codetree.scan_counts(path, respect_gitignore)
-        languages = [r.asDict() for r in catalog.ingest_language_stats(manifest, stored).collect()]
-        tell("Complete", 3, 3)
+        languages = [r.asDict() for r in catalog.ingest_language_stats(self.store.files(name), self.store.partials(name)).collect()]
+        tell("Complete", total, total)
         return counts | {"chunkCount": sum(x["chunkCount"] for x in languages), "previousChunkCount": previous, "languages": languages, "durationMs": round(1000 * (time.monotonic() - began))}
 
     def rescan(self, name: str, path: str | None = None, tell: Tell = _silent) -> dict[str, Any]:
-        """Reads again what changed; gitignore rules always hold here."""
+        """Reads again what changed; gitignore rules always hold here.
+
+        Every file is hashed once, without its content leaving the task; the changed ones are then read, and the manifest has the hashes of what was read. Their chunks
+        are appended and those of changed and deleted files named as deleted, in one change of the store: what is unchanged isn't written."""
         began, info, timestamp = time.monotonic(), self.store.info(name), now_iso()
         path = path or info["path"]
-        tell("Comparing", 0, 2)
-        files, kept = self.scan(path), self.store.chunks(name).drop("cb")
-        changes = rescan.diff(self.store.files(name), self._manifest(files))
-        counts = rescan.counters(changes).first().asDict()
-        if counts["filesAdded"] + counts["filesModified"] + counts["filesDeleted"]:
-            gone = changes.filter(F.col("kind").isin("modified", "deleted")).select("filePath")
-            new = changes.filter(F.col("kind").isin("added", "modified")).select(F.col("filePath").alias("relativePath"))
-            tell("Chunking and embedding", 1, 2)
-            counts["chunksDeleted"] = kept.join(gone, "filePath", "left_semi").count()
-            with Staging(self.spark) as stage:
-                added = self.chunk_rows(files.join(new, "relativePath", "left_semi"), name, path, timestamp, stage=stage)
-                both = kept.join(gone, "filePath", "left_anti").unionByName(added, allowMissingColumns=True)
-                self.store.replace(name, both, self._manifest(files), path)
-            counts["chunksAdded"] = self.store.chunks(name).filter(F.col("ingestionTimestamp") == timestamp).count()
-        else:
-            counts |= {"chunksAdded": 0, "chunksDeleted": 0}
+        tell("Scanning", 0, 0)
+        with Staging(self.spark) as stage:
+            found = self.listing(path, True, stage)
+            supported = found.files.filter("supported")
+            with Progress(self.spark, "Comparing", found.n, tell) as p:
+                hashed = stage(p.counted(codetree.contents(supported, path, found.n, keep=False)))
+            changes = stage(rescan.diff(self.store.files(name), self._manifest(hashed)))
+            counts = rescan.counters(changes).first().asDict() | {"chunksAdded": 0, "chunksDeleted": 0}
+            fresh = counts["filesAdded"] + counts["filesModified"]
+            if fresh + counts["filesDeleted"]:
+                gone = changes.filter(F.col("kind").isin("modified", "deleted")).select("filePath")
+                new = changes.filter(F.col("kind").isin("added", "modified")).select(F.col("filePath").alias("relativePath"))
+                with Progress(self.spark, "Reading", fresh, tell) as p:
+                    files = stage(p.counted(codetree.contents(supported.join(new, "relativePath", "left_semi"), path, fresh)))
+                manifest = self._manifest(hashed.join(new, "relativePath", "left_anti")).unionByName(self._manifest(files))
+                with Progress(self.spark, "Chunking and embedding", fresh, tell) as p:
+                    added = self.chunk_rows(files, name, path, timestamp, stage=stage, progress=p) if fresh else None
+                counts["chunksDeleted"], counts["chunksAdded"] = self.store.update(name, gone, added, manifest, path)
         self.cache.clear()
-        tell("Complete", 2, 2)
+        tell("Complete", found.n, found.n)
         return counts | {"durationMs": round(1000 * (time.monotonic() - began))}
 
     def search(self, query: str, codebase: str | None = None, language: str | None = None, max_results: int = 0, exclude_tests: bool = False, exclude_libraries: bool = False) -> dict[str, Any]:
@@ -118,15 +137,15 @@ class Engine:
         return out
 
     def list_codebases(self) -> DataFrame:
-        return catalog.list_codebases(self.store.chunks())
+        return catalog.list_codebases(self.store.partials())
 
     def stats(self, name: str) -> DataFrame:
         self.store.info(name)
-        return catalog.stats(self.store.chunks(name))
+        return catalog.stats(self.store.partials(name))
 
     def list_files(self, name: str) -> DataFrame:
         self.store.info(name)
-        return catalog.list_files(self.store.chunks(name))
+        return catalog.list_files(self.store.partials(name))
 
     def delete_file(self, name: str, path: str) -> int:
         self.cache.clear()

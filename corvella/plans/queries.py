@@ -7,10 +7,9 @@ ingestion timestamps, labels are flags, embeddings are the vector table.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +21,8 @@ from corvella.operators.embed import embed_column
 from corvella.operators.splitter import SplitChunk, split_sentences
 from corvella.plans.engine import gapless
 from corvella.sources import codetree
+from corvella.sources.files import Files
+from corvella.sources.gitignore import Ignore
 from corvella.sources.scratch import Staging, shared_folder
 from corvella.sources.store import Store
 
@@ -44,9 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def store(spark: SparkSession) -> Store:
-    """An empty store in a folder of its own."""
-    return Store(spark, f"{shared_folder(spark)}/corvella-store-{uuid.uuid4().hex}")
+@contextmanager
+def store(spark: SparkSession) -> Iterator[tuple[Store, Staging]]:
+    """An empty store in a folder of its own, which goes at the end; what is returned from it is staged before."""
+    root = f"{shared_folder(spark)}/corvella-store-{uuid.uuid4().hex}"
+    try:
+        yield Store(spark, root), Staging(spark)
+    finally:
+        Files(spark).remove(root)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +62,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(name.alias("id"), F.col("text").alias("content"), name.alias("filePath"), F.col("lang").alias("language"), F.lit(1).alias("startLine"), F.col("lang").alias("ingestionTimestamp"), F.col("source").alias("_codebaseName"))
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str = "all") -> Store:
-    """A store with the documents as one codebase."""
-    s, chunks = store(spark), _documents(spark, sf_dir)
+def _store_documents(s: Store, spark: SparkSession, sf_dir: str, name: str = "all") -> None:
+    """The documents as one codebase."""
+    chunks = _documents(spark, sf_dir)
     files = chunks.select("filePath", "language", F.md5("content").alias("fileHash"), F.octet_length("content").cast("long").alias("sizeBytes"))
     s.replace(name, chunks.withColumn("_codebaseName", F.lit(name)), files, "")
-    return s
 
 
 _D = "list_sum(list_transform(list_zip(e.embedding::double[], q.embedding::double[]), lambda x: (x[1]-x[2])*(x[1]-x[2])))"
@@ -98,14 +103,12 @@ def knn_filtered(spark, sf_dir):
 
 @query(_ONE + ", r as (select *, row_number() over (partition by label order by d, vec_id) rk from s) select label, vec_id from r where rk <= 4 order by d, label, vec_id limit 4")
 def knn_multi_table(spark, sf_dir):
-    e, s = table(spark, sf_dir, "embeddings"), store(spark)
-    labels = [r[0] for r in e.select("label").distinct().orderBy("label").collect()]  # the names of the codebases
-    for x in labels:
-        chunks = e.filter(F.col("label") == x).select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("id"), F.col("embedding").alias("vector"), F.col("vec_id").cast("string").alias("filePath"), F.lit(str(x)).alias("_codebaseName"))
-        s.replace(f"{x:06d}", chunks)
+    e = table(spark, sf_dir, "embeddings")
     query = e.filter("vec_id = 0").select("embedding").first()[0]
-    found = search.search(s.chunks(), query, 4)
-    return found.select(F.col("codebaseName").cast("long").alias("label"), F.col("filePath").cast("long").alias("vec_id"))
+    with store(spark) as (s, stage):
+        s.replace_all(e.select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("id"), F.col("embedding").alias("vector"), F.col("vec_id").cast("string").alias("filePath"), F.lpad(F.col("label").cast("string"), 6, "0").alias("_codebaseName")))
+        found = search.search(s.chunks(), query, 4)
+        return stage(found.select(F.col("codebaseName").cast("long").alias("label"), F.col("filePath").cast("long").alias("vec_id")))
 
 
 @query(_ONE + "select vec_id, round(sqrt(d), 6) l2, round(sqrt(exp(-d/2)), 6) score from s")
@@ -169,12 +172,15 @@ def scan_statistics(spark, sf_dir):
     return catalog.scan_statistics(files).select(F.col("totalFiles").alias("total"), F.col("supportedFiles").alias("supported"), F.col("unsupportedFiles").alias("unsupported"))
 
 
-@query("with s as (select doc_id, md5(lang) h from documents), c as (select doc_id + 100 doc_id, md5(lang) h from documents) select case when s.h is null then 'added' when c.h is null then 'deleted' when s.h <> c.h then 'modified' else 'unchanged' end kind, count(*) n from s full join c using (doc_id) group by 1")
+#: A rescan of the documents: an id divisible by 13 is not there any more, one divisible by 7 has another text, one divisible by 11 was not there before.
+@query("with s as (select doc_id, md5(coalesce(text, '')) h from documents where doc_id % 11 <> 0), c as (select doc_id, md5(case when doc_id % 7 = 0 then concat(coalesce(text, ''), ' edited') else coalesce(text, '') end) h from documents where doc_id % 13 <> 0) select case when s.h is null then 'added' when c.h is null then 'deleted' when s.h <> c.h then 'modified' else 'unchanged' end kind, count(*) n from s full join c using (doc_id) group by 1")
 def rescan_diff(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    stored = d.select(F.col("doc_id").alias("filePath"), F.md5("lang").alias("fileHash"))
-    current = d.select((F.col("doc_id") + 100).alias("filePath"), F.md5("lang").alias("fileHash"))
-    return rescan.diff(stored, current).groupBy("kind").agg(F.count("*").alias("n"))
+    d, t = table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    stored = d.filter("doc_id % 11 <> 0").select(F.col("doc_id").alias("filePath"), text.file_hash(t).alias("fileHash"))
+    current = d.filter("doc_id % 13 <> 0").select(F.col("doc_id").alias("filePath"), text.file_hash(F.when(F.col("doc_id") % 7 == 0, F.concat(t, F.lit(" edited"))).otherwise(t)).alias("fileHash"))
+    changes = rescan.counters(rescan.diff(stored, current))
+    kinds = ("added", "modified", "unchanged", "deleted")
+    return changes.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"files{k.capitalize()}").alias("n")) for k in kinds])).alias("x")).select("x.*").filter("n > 0")
 
 
 @query("select doc_id, ceil(length(text)/4)::bigint tok, ceil(length(text)/4)::bigint tok16 from documents")
@@ -225,26 +231,48 @@ def _toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("filePath"))
 
 
-@query("select d.lang, count(*) n from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id and l.toxic = 1) group by 1")
+@query("select d.lang, count(*) n, sum(length(d.text))::bigint size from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id and l.toxic = 1) group by 1")
 def delete_files(spark, sf_dir):
-    s = _stored(spark, sf_dir)
-    s.delete_files("all", _toxic(spark, sf_dir))
-    return s.chunks("all").groupBy(F.col("language").alias("lang")).agg(F.count("*").alias("n"))
+    with store(spark) as (s, stage):
+        _store_documents(s, spark, sf_dir)
+        s.delete_files("all", _toxic(spark, sf_dir))
+        return stage(s.chunks("all").groupBy(F.col("language").alias("lang")).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("size")))
 
 
-@query("select lang, count(*) n from documents where doc_id <> 7 group by 1")
+@query("select lang, count(*) n, sum(length(text))::bigint size, count(*) files from documents where doc_id <> 7 group by 1")
 def delete_file(spark, sf_dir):
-    s = _stored(spark, sf_dir)
-    s.delete_file("all", "7")
-    return s.files("all").groupBy(F.col("language").alias("lang")).agg(F.count("*").alias("n"))
+    with store(spark) as (s, stage):
+        _store_documents(s, spark, sf_dir)
+        s.delete_file("all", "7")
+        files = s.files("all").groupBy(F.col("language").alias("lang")).agg(F.count("*").alias("files"))
+        chunks = s.chunks("all").groupBy(F.col("language").alias("lang")).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("size"))
+        return stage(chunks.join(files, chunks.lang.eqNullSafe(files.lang)).drop(files.lang))
 
 
 @query("select count(*) n from documents d where exists (select 1 from labels l where l.doc_id = d.doc_id and l.toxic = 1)")
 def chunks_to_delete(spark, sf_dir):
-    n = _stored(spark, sf_dir).delete_files("all", _toxic(spark, sf_dir))
+    with store(spark) as (s, _):
+        _store_documents(s, spark, sf_dir)
+        n = s.delete_files("all", _toxic(spark, sf_dir))
     return spark.createDataFrame([(n,)], "n long")
 
 
+@query("select source, coalesce(lang, 'unknown') as \"language\", count(distinct doc_id) files, count(*) chunks, sum(length(text))::bigint size from documents where doc_id % 9 <> 0 and lang <> 'de' group by 1, 2")
+def stored_statistics(spark, sf_dir):
+    """The store's partial aggregates, after a delete of many files and one of a chunk set; no chunk is read."""
+    d = table(spark, sf_dir, "documents")
+    with store(spark) as (s, stage):
+        s.replace_all(_documents(spark, sf_dir))
+        gone = d.filter("doc_id % 9 = 0").select(F.col("doc_id").cast("string").alias("filePath"))
+        for name in s.names():
+            s.delete_files(name, gone)
+            s.delete_chunk_set(name, "de")
+        p = s.partials()
+        sizes = p.groupBy(F.col("_codebaseName").alias("source"), catalog.or_unknown("language").alias("language")).agg(F.sum("size").alias("size"))
+        counts = catalog.language_stats(p, "_codebaseName").select(F.col("_codebaseName").alias("source"), "language", F.col("fileCount").alias("files"), F.col("chunkCount").alias("chunks"))
+        return stage(counts.join(sizes, ["source", "language"]))
+
+
 @query("select sum(length(text))::bigint a, sum(length(text))::bigint b, sum(strlen(text))::bigint c from documents")
 def size_bytes(spark, sf_dir):
     t = F.col("text")
@@ -277,20 +305,21 @@ def codebase_totals(spark, sf_dir):
 
 @query("select event_type, count(*) n from events where strftime(ts, '%Y-%m-%d') <> '2024-01-02' group by 1")
 def delete_chunk_set(spark, sf_dir):
-    s, e = store(spark), table(spark, sf_dir, "events")
-    day = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")
-    s.replace("events", e.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("language"), day.alias("ingestionTimestamp")))
-    s.delete_chunk_set("events", "2024-01-02")
-    return s.chunks("events").groupBy(F.col("language").alias("event_type")).agg(F.count("*").alias("n"))
+    e, day = table(spark, sf_dir, "events"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")
+    with store(spark) as (s, stage):
+        s.replace("events", e.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("language"), day.alias("ingestionTimestamp")))
+        s.delete_chunk_set("events", "2024-01-02")
+        return stage(s.chunks("events").groupBy(F.col("language").alias("event_type")).agg(F.count("*").alias("n")))
 
 
 @query("select source, renamed_from, count(*) n from (select case when source = 'src2' then 'renamed' else source end source, case when source = 'src2' then source end renamed_from from documents) group by 1, 2")
 def rename_codebase(spark, sf_dir):
-    s, d = store(spark), _documents(spark, sf_dir)
-    s.replace("src2", d.filter("_codebaseName = 'src2'"))
-    s.replace("rest", d.filter("_codebaseName <> 'src2' OR _codebaseName IS NULL"))
-    s.rename("src2", "renamed")
-    return s.chunks().groupBy(F.col("_codebaseName").alias("source"), F.col("_renamedFrom").alias("renamed_from")).agg(F.count("*").alias("n"))
+    d = _documents(spark, sf_dir)
+    with store(spark) as (s, stage):
+        s.replace("src2", d.filter("_codebaseName = 'src2'"))
+        s.replace("rest", d.filter("_codebaseName <> 'src2' OR _codebaseName IS NULL"))
+        s.rename("src2", "renamed")
+        return stage(s.chunks().groupBy(F.col("_codebaseName").alias("source"), F.col("_renamedFrom").alias("renamed_from")).agg(F.count("*").alias("n")))
 
 
 @query("select conv_id, turn, concat('conv_2024-01-01T00:00:00.000Z_', row_number() over (order by conv_id, turn) - 1) id from conversations")
@@ -301,8 +330,8 @@ def row_ids(spark, sf_dir):
 
 @query("select count(*) n, count(*) filter (where strlen(html) <= 5000) kept from pages")
 def size_filter(spark, sf_dir):
-    files = table(spark, sf_dir, "pages").select(F.octet_length("html").alias("size"))
-    return files.agg(F.count("*").alias("n")).join(F.broadcast(files.filter(codetree.fits(F.col("size"), 5000)).agg(F.count("*").alias("kept"))))
+    size = F.octet_length("html")
+    return table(spark, sf_dir, "pages").agg(F.count("*").alias("n"), F.count_if(codetree.fits(size, 5000)).alias("kept"))
 
 
 @query("select lang, count(*) n from documents group by 1 order by n desc, lang")
@@ -329,12 +358,12 @@ def distinct_languages(spark, sf_dir):
 
 @query("select conv_id, turn, role, text from conversations where not regexp_matches(text, '\\S') union all select conv_id, turn, role, text from conversations where regexp_matches(text, '\\S')")
 def blank_split(spark, sf_dir):
-    c, s = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), store(spark)
-    rows = c.select(F.to_json(F.struct("conv_id", "turn")).alias("id"), F.col("text").alias("content"), F.col("role").alias("chunkType"))
-    for name, part in (("blank", rows.filter(text.is_blank(F.col("content")))), ("full", rows.filter(~text.is_blank(F.col("content"))))):
-        s.replace(name, part)
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    name = F.when(text.is_blank(F.col("text")), "blank").otherwise("full")
     key = F.from_json("id", "conv_id long, turn long")
-    return s.chunks().select(key["conv_id"].alias("conv_id"), key["turn"].cast(c.schema["turn"].dataType).alias("turn"), F.col("chunkType").alias("role"), F.col("content").alias("text"))
+    with store(spark) as (s, stage):
+        s.replace_all(c.select(F.to_json(F.struct("conv_id", "turn")).alias("id"), F.col("text").alias("content"), F.col("role").alias("chunkType"), name.alias("_codebaseName")))
+        return stage(s.chunks().select(key["conv_id"].alias("conv_id"), key["turn"].cast(c.schema["turn"].dataType).alias("turn"), F.col("chunkType").alias("role"), F.col("content").alias("text")))
 
 
 @query("select l_orderkey, l_linenumber, case when l_extendedprice < 60000 then printf('%.1fs', l_extendedprice/1000) else printf('%dm %ds', floor(l_extendedprice/60000)::bigint, floor(l_extendedprice/1000 - 60*floor(l_extendedprice/60000))::bigint) end took from (select l_orderkey, l_linenumber, floor(l_extendedprice) + 0.25 l_extendedprice from lineitem)")
@@ -372,72 +401,74 @@ def embed_documents(spark, sf_dir):
     return v.select("doc_id", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dimension"), (F.col("vector").isNotNull() & (F.abs(length - 1) < 1e-3)).alias("embedded"))
 
 
-#: A tree of files with what they give: path, content, extension, language, whether it is a test, a library, supported; None: left out of the scan.
-FIXTURE = (
-    ("src/app.ts", "// starts it\nexport function start(port: number): void {\n  listen(port);\n}\n\ninterface Options {\n  port: number;\n}\n", (".ts", "typescript", False, False, True)),
-    ("src/app.test.ts", "const run = (x) => {\n  return x;\n};\n", (".ts", "typescript", True, False, True)),
-    ("src/Thing.java", "public class Thing {\n  private int size = 1;\n  public int size() {\n    return size;\n  }\n}\n", (".java", "java", False, False, True)),
-    ("src/Thing.cs", "namespace N {\n  public class Thing {\n    public int Size { get; set; }\n    public void Grow(int n) {\n      Size += n;\n    }\n  }\n}\n", (".cs", "csharp", False, False, True)),
-    ("lib/vendor/tool.py", "# a tool\ndef tool(a):\n    return a\n\nclass Box:\n    def open(self):\n        return 1\n", (".py", "python", False, True, True)),
-    ("src/_hidden_by_spark.js", "class A {\n  go(x) {\n    return x;\n  }\n}\n", (".js", "javascript", False, False, True)),
-    ("README.md", "# none\n", (".md", None, False, False, False)),
-    ("notes", "none\n", ("", None, False, False, False)),
-    (".gitignore", "ignored/\n*.log\n", None),
-    (".secret/key.py", "def f():\n    pass\n", None),
-    ("ignored/a.py", "def f():\n    pass\n", None),
-    ("src/a.log", "x\n", None),
-    ("src/large.py", "x = 1\n" * 300, None),
-)
-#: What the fixture's files hold: path, chunk type, first line, last line.
-FOUND = (
-    ("src/app.ts", "function", 2, 4),
-    ("src/app.ts", "interface", 6, 8),
-    ("src/app.test.ts", "function", 1, 3),
-    ("src/Thing.java", "class", 1, 6),
-    ("src/Thing.java", "field", 2, 2),
-    ("src/Thing.java", "method", 3, 5),
-    ("src/Thing.cs", "class", 2, 7),
-    ("src/Thing.cs", "property", 3, 3),
-    ("src/Thing.cs", "method", 4, 6),
-    ("lib/vendor/tool.py", "function", 1, 3),
-    ("lib/vendor/tool.py", "class", 5, 7),
-    ("lib/vendor/tool.py", "method", 6, 7),
-    ("src/_hidden_by_spark.js", "class", 1, 5),
-    ("src/_hidden_by_spark.js", "method", 2, 4),
-)
-
-
-def _sql(x) -> str:
-    return "null" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-
+#: Documents as files: folders by id, of which some are hidden, ignored, tests or libraries, and an extension in some cases.
+_FILE = "concat(case doc_id % 7 when 0 then '.cache/' when 1 then 'src/tests/' when 2 then 'app/node_modules/x/' when 3 then 'ignored/deep/' when 4 then 'src/_own/' when 5 then 'lib/vendor/' else '' end, case doc_id % 4 when 0 then 'test_' else 'm' end, doc_id, case doc_id % 9 when 0 then '.PY' when 1 then '.ts' when 2 then '.log' when 3 then '.java' when 4 then '.cs' when 5 then '.test.js' when 6 then '' when 7 then '.md' else '.tsx' end)"
+_RULES = "# of this tree\nignored/\n*.log\n!m1*.log\n"
 
-def _values(rows, columns: str) -> str:
-    return f"select * from (values {', '.join('(' + ', '.join(map(_sql, r)) + ')' for r in rows)}) t({columns})"
 
-
-def _tree(spark: SparkSession) -> DataFrame:
-    """The fixture, written to a folder of this machine, where the source runs too, and scanned up to 1,000 bytes a file."""
-    root = tempfile.mkdtemp(prefix="corvella-tree-")
-    for path, content, _ in FIXTURE:
-        path = os.path.join(root, path)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(content)
-    return codetree.scan(spark, root, max_file_size=1000)
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    files = table(spark, sf_dir, "documents").select(F.expr(_FILE).alias("relativePath"), F.octet_length(t).cast("long").alias("size"), t.alias("text"))
+    return codetree.described(codetree.visible(files, Ignore(_RULES)).filter(codetree.fits(F.col("size"), 4000)))
 
 
 @query(
-    "select p as \"relativePath\", strlen(c)::bigint as \"size\", x as \"extension\", l as \"language\", t as \"isTestFile\", b as \"isLibraryFile\", s as \"supported\", md5(c) as \"fileHash\" from ("
-    + _values([(p, c, *x) for p, c, x in FIXTURE if x], "p, c, x, l, t, b, s")
-    + ")"
+    f"""with f as (select {_FILE} p, coalesce(text, '') t from documents), v as (select *, lower(regexp_extract(p, '[^/]([.][^./]*)$', 1)) x from f where strlen(t) <= 4000 and not p like '.cache/%' and not p like 'ignored/%' and (not p like '%.log' or regexp_matches(p, '(^|/)m1[^/]*[.]log$')))
+select p as "relativePath", strlen(t)::bigint as "size", x as "extension", case x when '.py' then 'python' when '.ts' then 'typescript' when '.tsx' then 'typescript' when '.js' then 'javascript' when '.java' then 'java' when '.cs' then 'csharp' end as "language", x in ('.py', '.ts', '.tsx', '.js', '.java', '.cs') as "supported",
+ p like '%.test.js' or p like '%/tests/%' or regexp_matches(p, 'test_.*[.](py|java|cs)$', 'i') as "isTestFile", p like '%/node_modules/%' or p like '%/vendor/%' as "isLibraryFile", md5(t) as "fileHash" from v"""
 )
 def code_tree(spark, sf_dir):
-    return Staging(spark)(_tree(spark)).select("relativePath", "size", "extension", "language", "isTestFile", "isLibraryFile", "supported", "fileHash")
+    return _tree(spark, sf_dir).select("relativePath", "size", "extension", "language", "supported", "isTestFile", "isLibraryFile", text.file_hash(F.col("text")).alias("fileHash"))
+
+
+#: A document as a source file: each line of its text, letters and digits only, is a statement in the body of one declaration. Parts: before the lines, after them, and around each.
+_CODE = {
+    "typescript": ("// of {0}\nexport async function f{0}<T,>(a: T): Promise<void> {\n", "}\n\ninterface I{0} {\n  a: string;\n}\n", '  say("{ ', ' }");'),
+    "javascript": ("class C{0} {\n  // runs\n  async *['run'](a) {\n", "  }\n\n  get size() { return 1; }\n}\n", "    say(`}} ", " ${(() => 1)()}`);"),
+    "java": ("package p;\n\npublic enum E{0} {\n  ONE(1) {\n    @Override public int of(int a) {\n", "      return a;\n    }\n  };\n  abstract int of(int a);\n}\n", '      say("', '}");'),
+    "csharp": ("namespace N {\n  public class C{0} {\n    public int Size { get; set; } = 3;\n    public C{0}() { }\n    public int Of(int a) {\n", "      return a;\n    }\n  }\n}\n", '      Say(@"', '{");'),
+    "python": ("# of {0}\nclass C{0}:\n    def run(self, a):\n", "        return a\n\n\ndef f{0}():\n    return 1\n", '        say("', '")'),
+}
+#: Chunks of such a file: kind, first line, and last line less the number of text lines.
+_CHUNKS = {
+    "typescript": (("function", 2, 3), ("interface", 5, 7)),
+    "javascript": (("class", 1, 7), ("method", 2, 4), ("method", 6, 6)),
+    "java": (("method", 5, 7), ("method", 9, 9)),
+    "csharp": (("class", 2, 8), ("property", 3, 3), ("method", 5, 7)),
+    "python": (("class", 1, 4), ("method", 3, 4), ("function", 7, 8)),
+}
+#: Chunks that begin behind the lines of the text, or before them but end there too.
+_AFTER = {("typescript", 5), ("javascript", 6), ("java", 9), ("python", 7)}
+_ABOVE = {("csharp", 3)}
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, language and content of each document's file."""
+    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 \n]", ""), "\n")
+    language = F.element_at(F.array(*[F.lit(x) for x in _CODE]), (F.col("doc_id") % len(_CODE) + 1).cast("int"))
+    content = None
+    for name, (head, tail, before, after) in _CODE.items():
+        own = F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: F.concat(F.lit(before), x, F.lit(after))), "\n"), F.lit("\n" + tail))  # noqa: B023
+        own = F.replace(own, F.lit("{0}"), F.col("doc_id").cast("string"))
+        content = F.when(F.col("language") == name, own) if content is None else content.when(F.col("language") == name, own)
+    return table(spark, sf_dir, "documents").select("doc_id", lines.alias("l"), language.alias("language")).select("doc_id", "language", content.alias("content"))
+
+
+def _chunk_rows() -> str:
+    rows = []
+    for name, found in _CHUNKS.items():
+        for kind, first, last in found:
+            k = 0 if (name, first) in _ABOVE else 1
+            rows.append(f"('{name}', '{kind}', {first}, {1 if (name, first) in _AFTER else 0}, {last}, {k})")
+    return ", ".join(rows)
 
 
-@query(_values(FOUND, '"relativePath", "chunkType", "startLine", "endLine"'))
+@query(
+    f"""with d as (select doc_id, len(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 \n]', '', 'g'), chr(10))) n, (['{"', '".join(_CODE)}'])[doc_id % {len(_CODE)} + 1] lang from documents), c as (select * from (values {_chunk_rows()}) t(lang, kind, a, ka, b, kb))
+select doc_id, kind as "chunkType", (a + ka * n)::int as "startLine", (b + kb * n)::int as "endLine" from d join c using (lang)"""
+)
 def code_chunks(spark, sf_dir):
     spark.udtf.register("chunk_file", ChunkFile)
     view = f"_corvella_{uuid.uuid4().hex}"
-    Staging(spark)(_tree(spark)).filter("supported").createOrReplaceTempView(view)
-    return spark.sql(f"SELECT f.relativePath, c.chunkType, c.startLine, c.endLine FROM {view} f, LATERAL chunk_file(f.content, f.language, 512, 50) c")
+    _sources(spark, sf_dir).select("doc_id", "language", F.encode("content", "UTF-8").alias("content")).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT f.doc_id, c.chunkType, c.startLine, c.endLine FROM {view} f, LATERAL chunk_file(f.content, f.language, 1000000000, 0) c")

@@ -55,3 +55,14 @@ class Files:
     def remove(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)
+
+    def move(self, old: str, new: str) -> None:
+        """One rename; the folder above the new place is made."""
+        fs, p = self._at(new)
+        fs.mkdirs(p.getParent())
+        if not fs.rename(self.jvm.org.apache.hadoop.fs.Path(old), p):
+            raise OSError(f"{old} can't be moved to {new}")
+
+    def escaped(self, value: str) -> str:
+        """A value as Spark writes it in the name of a partition's folder."""
+        return self.jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def _pattern(rule: str) -> str:
     out, i = "", 0
@@ -48,3 +51,16 @@ class Ignore:
             if rule.search(path):
                 out = not keep
         return out
+
+    def matches(self, path: Column) -> Column:
+        """Whether a walk leaves a file out: it, or a folder on its way, is ignored."""
+
+        def one(p: Column) -> Column:
+            out = F.lit(False)
+            for rule, keep in self.rules:
+                out = F.when(p.rlike(rule.pattern), not keep).otherwise(out)
+            return out
+
+        parts = F.split(path, "/")
+        above = F.filter(F.transform(parts, lambda _, i: F.array_join(F.slice(parts, 1, i), "/")), lambda p: p != "")
+        return one(path) | F.exists(above, one)

@@ -46,6 +46,47 @@ class Jobs:
             time.sleep(poll)
 
 
+class Progress:
+    """Tells how many rows have passed a place in the running jobs: tell(phase, done, total), every POLL_S seconds and at the end.
+
+    A row counts in an accumulator of its task, which Spark adds up as tasks end; a retried task counts once more, so
+    what is told never passes the total."""
+
+    def __init__(self, spark, phase: str, total: int, tell: Callable[[str, int, int], None], poll: float = POLL_S):
+        self.phase, self.total, self.tell, self.poll = phase, total, tell, poll
+        self.seen = spark.sparkContext.accumulator(0)
+        self.over = threading.Event()
+
+    def counted(self, df: DataFrame) -> DataFrame:
+        """df itself; its rows are counted as they pass."""
+        seen = self.seen
+
+        def run(batches):
+            for batch in batches:
+                yield batch
+                seen.add(batch.num_rows)
+
+        return df.mapInArrow(run, df.schema)
+
+    def _tell(self) -> None:
+        self.tell(self.phase, min(self.seen.value, self.total), self.total)
+
+    def __enter__(self) -> Progress:
+        self._tell()
+        self.thread = threading.Thread(target=self._follow, daemon=True)
+        self.thread.start()
+        return self
+
+    def _follow(self) -> None:
+        while not self.over.wait(self.poll):
+            self._tell()
+
+    def __exit__(self, *_) -> None:
+        self.over.set()
+        self.thread.join()
+        self._tell()
+
+
 def changed_files(manifest: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Stream of (filePath, fileHash, ts) rows → each version of a file once; state is dropped after the delay."""
     return manifest.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["filePath", "fileHash"])

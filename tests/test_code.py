@@ -202,3 +202,128 @@ def test_large_files_take_linear_time():
     began = time.monotonic()
     assert len(chunks(java, "java")) == 36_000
     assert time.monotonic() - began < 5
+
+
+def names_of(source, language):
+    """(kind, first line of the chunk)."""
+    return [(c.kind, c.content.split("\n")[0].strip()) for c in chunks(source, language)]
+
+
+SCRIPTS = {
+    "class A {\n  ['a' + b](x) { return 1; }\n  async *[Symbol.iterator]() { yield 1; }\n  static get 'q'() { return 2; }\n  #p() {}\n  x = () => 1;\n}\n": ["class A", "['a'", "async *[", "static get", "#p()", "() => 1"],
+    "const s = `a ${list.map((x) => `${x} }`)} function f() {}`;\n": ["(x) =>"],
+    "const f = <T,>(a: T): T => a;\n": ["<T,>(a"],
+    "let g: (a: number) => void = (b) => {};\ntype H = (a: string) => void;\ninterface I { m: () => void; }\n": ["(b) =>", "interface I"],
+    "const o = { run(a) { return a; }, go: (b) => b, 'x y'() {}, async z() {} };\n": ["run(a)", "(b) =>", "'x y'()", "async z"],
+    "const r = /[/\\]}]function x(){/g.test(a / b) ? 1 : 2;\nfunction after() {}\n": ["function after"],
+    "function* gen() {}\nabstract class B { abstract m(): void; n() {} }\nconst C = class { k() {} };\n": ["n()", "k()"],
+    "export default function d() {}\nexport class E extends f(x) implements G<H> { o(): { a: 1 } { return q; } }\n": ["function d", "class E", "o():"],
+    "foo(function () {}, async (a) => { await a; });\nif (a) { b(); } else { c(); }\nswitch (x) { case 1: { y(); } }\n": ["async (a)"],
+    "const a = x\n  .map(y => y + 1)\n  .filter(z => {\n    return z;\n  });\n": ["y => y + 1", "z => {"],
+    "function broken( {\n  return (;\n}\nfunction fine() { return 1; }\n": None,
+}
+
+
+@pytest.mark.parametrize("source", list(SCRIPTS))
+def test_script_declarations(source):
+    got = names_of(source, "typescript")
+    if SCRIPTS[source] is None:
+        assert isinstance(got, list)
+    else:
+        assert [g[1].startswith(w) for g, w in zip(got, SCRIPTS[source], strict=True)] == [True] * len(got), got
+
+
+JAVA = """package p;
+@Deprecated
+public enum Op implements Runnable {
+  ADD("+") {
+    @Override public int of(int a, int b) { return a + b; }
+  },
+  SUB { int of(int a) { class Local { void go() {} } return 1; } };
+  private final String sign = "{";
+  abstract int of(int a, int b);
+  Op(String s) { sign = s; }
+}
+class K<T extends Comparable<T>> {
+  private Runnable r = new Runnable() {
+    int n = 1;
+    public void run() { call(() -> { new Thread() { public void start() {} }; }); }
+  };
+  static { init(); }
+  @Named("a{") Map<String, List<T>> m, q;
+  <U> U cast(Object o) { return (U) o; }
+  K() { super(); }
+  @interface Mark { int value() default 1; }
+  record Point(int x, int y) { int sum() { return x + y; } }
+}
+interface Shape { double area(); default int n() { return 1; } }
+"""
+CSHARP = """using System;
+namespace N.M {
+  [Serializable]
+  public class P<T> : Q where T : class {
+    private int x = 3;
+    public string Name { get; set; } = "a";
+    public int Age => x + 1;
+    public P(int a) : base(a) { }
+    [Obsolete("}")] public async Task<int> Run(int y) { return await Go(() => { return y; }); }
+    void One() => Two();
+    public static P operator +(P a, P b) => a;
+    public interface IIn { int Of(); }
+    public struct S { public int V { get; } }
+    Func<int> f = () => 1;
+    public delegate void D(int a);
+    public int this[int i] { get { return i; } }
+    public event Action Done { add { } remove { } }
+    enum E { A, B }
+  }
+  record R(int A) { public int Twice() { return 2 * A; } }
+}
+"""
+
+
+def test_java_and_csharp_declarations():
+    got = names_of(JAVA, "java")
+    assert got == [
+        ("method", "@Override public int of(int a, int b) { return a + b; }"),
+        ("method", "int of(int a) { class Local { void go() {} } return 1; }"),
+        ("class", "class Local { void go() {} }"),
+        ("method", "void go() {}"),
+        ("field", 'private final String sign = "{";'),
+        ("method", "abstract int of(int a, int b);"),
+        ("class", "class K<T extends Comparable<T>> {"),
+        ("field", "private Runnable r = new Runnable() {"),
+        ("field", "int n = 1;"),
+        ("method", "public void run() { call(() -> { new Thread() { public void start() {} }; }); }"),
+        ("method", "public void start() {}"),
+        ("field", '@Named("a{") Map<String, List<T>> m, q;'),
+        ("method", "<U> U cast(Object o) { return (U) o; }"),
+        ("method", "int sum() { return x + y; }"),
+        ("interface", "interface Shape { double area(); default int n() { return 1; } }"),
+        ("method", "double area();"),
+        ("method", "default int n() { return 1; }"),
+    ]
+    got = names_of(CSHARP, "csharp")
+    assert got == [
+        ("class", "[Serializable]"),
+        ("property", 'public string Name { get; set; } = "a";'),
+        ("property", "public int Age => x + 1;"),
+        ("method", '[Obsolete("}")] public async Task<int> Run(int y) { return await Go(() => { return y; }); }'),
+        ("method", "void One() => Two();"),
+        ("interface", "public interface IIn { int Of(); }"),
+        ("method", "int Of();"),
+        ("property", "public int V { get; }"),
+        ("method", "public int Twice() { return 2 * A; }"),
+    ]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["class ", "A ", "function ", "f", "(", ")", "{", "}", "[", "]", "`", "${", "=>", "=", ":", ";", ",", "<", ">", "/", '"', "'", "\n", "new ", "enum ", "@", "interface ", "//", "/*", "*/", "int "]), max_size=60).map("".join), st.sampled_from(["javascript", "typescript", "java", "csharp"]))
+def test_any_text_has_chunks_inside_it(source, language):
+    for c in chunks(source, language):
+        assert c.content in source and 1 <= c.start <= c.end <= source.count("\n") + 1 and c.content.count("\n") == c.end - c.start
+
+
+def test_deep_brackets():
+    assert chunks("(" * 50_000 + "function f() {}" + ")" * 50_000, "javascript") is not None
+    assert chunks("class A {" * 3000, "java") is not None

@@ -236,9 +236,8 @@ def test_changed_files_stream(spark, tmp_path):
 
 
 def test_appends_add_folders(spark, tmp_path, monkeypatch):
-    """An append writes its own rows only; at the bound all become one folder; a rename is one change."""
+    """An append writes its own rows only; past the bound all become one folder; a rename is one change."""
     from corvella.sources import store as module
-    from corvella.sources.store import Store
 
     monkeypatch.setattr(module, "FOLDERS", 3)
     s = Store(spark, str(tmp_path / "s"))
@@ -246,7 +245,7 @@ def test_appends_add_folders(spark, tmp_path, monkeypatch):
     for i in range(5):
         s.append("a", rows(10 * i, 10 * i + 10))
         assert sorted(int(r["id"]) for r in s.chunks("a").collect()) == list(range(10 * i + 10))
-        assert len(s.info("a")["chunks"]) == (i + 1 if i < 3 else i - 2)
+        assert len(s.info("a")["folders"]) == (i + 1 if i < 3 else i - 2)
     s.delete_file("a", "g")
     change = s._latest()[0]
     assert s.rename("a", "b") == 50 and s._latest()[0] == change + 1 and s.names() == ["b"]
