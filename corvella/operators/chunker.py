@@ -18,7 +18,7 @@ from typing import NamedTuple
 
 from pyspark.sql.functions import udtf
 
-from corvella.operators.splitter import split_chunk
+from corvella.operators.splitter import counter, split_chunk
 
 
 class Chunk(NamedTuple):
@@ -516,13 +516,13 @@ def chunks(text: str, language: str) -> list[Chunk]:
 
 @udtf(returnType="ordinal int, content string, startLine int, endLine int, chunkType string", useArrow=True)
 class ChunkFile:
-    """LATERAL chunk_file(content, language, maxTokens, overlapTokens)."""
+    """LATERAL chunk_file(content, language, maxTokens, overlapTokens[, file of ranks])."""
 
-    def eval(self, content: bytes, language: str, most: int, overlap: int):
+    def eval(self, content: bytes, language: str, most: int, overlap: int, ranks: str = ""):
         if content is None or language is None:
             return
         n = 0
         for c in chunks(bytes(content).decode("utf-8", "replace"), language):
-            for part, start, end, kind in split_chunk(c.content, c.start, c.kind, most, overlap):
+            for part, start, end, kind in split_chunk(c.content, c.start, c.kind, most, overlap, counter(ranks)):
                 yield n, part, start, end, kind
                 n += 1

@@ -8,6 +8,7 @@ once in each Python worker.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -47,6 +48,60 @@ class HashEmbedder:
         return (out / np.where(norm, norm, 1)).astype(np.float32)
 
 
+class ModelEmbedder:
+    """A sentence model of a folder: onnx/model.onnx (or model.onnx) and tokenizer.json. Token vectors are averaged over the text's tokens and brought to length 1.
+
+    A row depends on its own text alone: texts of one number of tokens are run together, so that none is padded."""
+
+    def __init__(self, folder: str, name: str, longest: int = 512):
+        import onnxruntime
+        from tokenizers import Tokenizer
+
+        self.name = name
+        options = onnxruntime.SessionOptions()
+        options.intra_op_num_threads = options.inter_op_num_threads = 1  # tasks are what runs side by side
+        self.session = onnxruntime.InferenceSession(model_file(folder), options)
+        self.tokenizer = Tokenizer.from_file(os.path.join(folder, "tokenizer.json"))
+        self.tokenizer.no_padding()
+        self.tokenizer.enable_truncation(longest)
+        self.inputs = {x.name for x in self.session.get_inputs()}
+        self.dimension = self._run(np.array([self.tokenizer.encode("a").ids or [0]], np.int64)).shape[1]
+
+    def _run(self, ids: np.ndarray) -> np.ndarray:
+        feeds = {"input_ids": ids, "attention_mask": np.ones_like(ids), "token_type_ids": np.zeros_like(ids)}
+        mean = self.session.run(None, {k: v for k, v in feeds.items() if k in self.inputs})[0].astype(np.float64).mean(1)
+        norm = np.linalg.norm(mean, axis=1, keepdims=True)
+        return (mean / np.where(norm, norm, 1)).astype(np.float32)
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        ids = [e.ids or [0] for e in self.tokenizer.encode_batch(list(texts))]
+        out = np.zeros((len(ids), self.dimension), np.float32)
+        for n in {len(x) for x in ids}:
+            own = [i for i, x in enumerate(ids) if len(x) == n]
+            out[own] = self._run(np.array([ids[i] for i in own], np.int64))
+        return out
+
+
+def model_file(folder: str) -> str | None:
+    return next((p for p in (os.path.join(folder, "onnx", "model.onnx"), os.path.join(folder, "model.onnx")) if os.path.isfile(p)), None)
+
+
+class _Served:
+    """Makes the ModelEmbedder of a folder; small, so that it goes to workers, which read the files themselves."""
+
+    def __init__(self, folder: str, name: str):
+        self.folder, self.name = folder, name
+
+    def __call__(self) -> ModelEmbedder:
+        return ModelEmbedder(self.folder, self.name)
+
+
+def served(name: str, cache: str) -> _Served | None:
+    """The model of that name, if its files are below the cache's folder, which all workers must see."""
+    folder = os.path.join(os.path.expanduser(cache), name)
+    return _Served(folder, name) if model_file(folder) and os.path.isfile(os.path.join(folder, "tokenizer.json")) else None
+
+
 _made: dict[str, Embedder] = {}
 
 

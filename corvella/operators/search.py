@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import time
+from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
+from threading import Lock
 
 import numpy as np
 import pyarrow as pa
@@ -139,27 +141,39 @@ def search(chunks: DataFrame, query: Sequence[float], k: int, language: str | No
 
 
 class Cache:
-    """Results by all of their parameters, for ttl seconds."""
+    """Results by all of their parameters, for ttl seconds; of more than `most`, those used longest ago go. A parameter is the version of what was searched, so a
+    change by any engine or process leaves old results unread; engines of one store may share a cache."""
 
-    def __init__(self, ttl: float = 60, clock: Callable[[], float] = time.monotonic):
-        self.ttl, self.clock, self.entries = ttl, clock, {}
+    def __init__(self, ttl: float = 60, clock: Callable[[], float] = time.monotonic, most: int = 1000):
+        self.ttl, self.clock, self.most, self.entries = ttl, clock, most, OrderedDict()
+        self.lock, self.hits, self.misses = Lock(), 0, 0
 
     @staticmethod
     def key(**params) -> str:
         return json.dumps(params, sort_keys=True)
 
     def get(self, key: str):
-        hit = self.entries.get(key)
-        if hit and self.clock() - hit[0] > self.ttl:
-            del self.entries[key]
-            return None
-        return hit and hit[1]
+        with self.lock:
+            hit = self.entries.get(key)
+            if hit and self.clock() - hit[0] > self.ttl:
+                del self.entries[key]
+                hit = None
+            self.hits, self.misses = self.hits + bool(hit), self.misses + (not hit)
+            if not hit:
+                return None
+            self.entries.move_to_end(key)
+            return hit[1]
 
     def put(self, key: str, value) -> None:
-        self.entries[key] = (self.clock(), value)
+        with self.lock:
+            self.entries[key] = (self.clock(), value)
+            self.entries.move_to_end(key)
+            while len(self.entries) > self.most:
+                self.entries.popitem(last=False)
 
     def clear(self) -> None:
-        self.entries.clear()
+        with self.lock:
+            self.entries.clear()
 
     def stats(self) -> dict:
-        return {"size": len(self.entries), "ttl": self.ttl}
+        return {"size": len(self.entries), "ttl": self.ttl, "most": self.most, "hits": self.hits, "misses": self.misses}

@@ -15,7 +15,7 @@ from corvella.functions.names import normalise
 from corvella.operators import catalog, rescan
 from corvella.operators import search as search_ops
 from corvella.operators.chunker import ChunkFile
-from corvella.operators.embed import HashEmbedder, embed_column, embed_text
+from corvella.operators.embed import HashEmbedder, embed_column, embed_text, served
 from corvella.sources import codetree
 from corvella.sources.scratch import Staging
 from corvella.sources.store import NotFound, Store, now_iso
@@ -30,12 +30,17 @@ def _silent(phase: str, current: int, total: int) -> None:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, config: dict | None = None, embedder=HashEmbedder):
-        self.spark, self.config, self.embedder = spark, config or DEFAULTS, embedder
+    """embedder: makes the embedder, in each worker once; left out, it is the model that the configuration names, if its files are below its cachePath, else HashEmbedder.
+    ranks: file of a tokenizer's ranks by which chunks are measured. cache: may be shared by engines of one store."""
+
+    def __init__(self, spark: SparkSession, root: str, config: dict | None = None, embedder=None, ranks: str | None = None, cache: search_ops.Cache | None = None):
+        self.spark, self.config, self.ranks = spark, config or DEFAULTS, (ranks or "").replace("'", "\\'")
         self.store = Store(spark, root)
-        if (model := self.config["embedding"]["modelName"]) != DEFAULTS["embedding"]["modelName"] and model != getattr(embedder, "name", None):
-            raise ConfigError(f"embedding.modelName {model!r} isn't served: pass an embedder of that name, or leave the setting at its default for {HashEmbedder.name}")
-        self.cache = search_ops.Cache(self.config["search"]["cacheTimeoutSeconds"])
+        names = self.config["embedding"]
+        self.embedder = embedder or served(names["modelName"], names["cachePath"]) or HashEmbedder
+        if (model := names["modelName"]) != DEFAULTS["embedding"]["modelName"] and model != getattr(self.embedder, "name", None):
+            raise ConfigError(f"embedding.modelName {model!r} isn't served: put its files below embedding.cachePath, pass an embedder of that name, or leave the setting at its default for {HashEmbedder.name}")
+        self.cache = cache or search_ops.Cache(self.config["search"]["cacheTimeoutSeconds"])
 
     def chunk_rows(self, files: DataFrame, name: str, path: str, timestamp: str, first: int = 0, stage: Staging | None = None, progress: Progress | None = None) -> DataFrame:
         """files → embedded chunk rows with gapless ids in the order of path and chunk. Parsed and embedded once, written, then numbered: chunks without an embedding get no id."""
@@ -46,7 +51,7 @@ class Engine:
         supported = files.filter("supported")
         (progress.counted(supported) if progress else supported).createOrReplaceTempView(view)
         rows = self.spark.sql(
-            f"SELECT f.relativePath AS filePath, f.language, f.isTestFile, f.isLibraryFile, f.fileHash, c.* FROM {view} f, LATERAL chunk_file(f.content, f.language, {c['maxChunkTokens']}, {c['chunkOverlapTokens']}) c"
+            f"SELECT f.relativePath AS filePath, f.language, f.isTestFile, f.isLibraryFile, f.fileHash, c.* FROM {view} f, LATERAL chunk_file(f.content, f.language, {c['maxChunkTokens']}, {c['chunkOverlapTokens']}, '{self.ranks}') c"
         ).filter(F.col("content").rlike(r"\S"))
         self.spark.catalog.dropTempView(view)
         rows = stage(rows.withColumn("vector", embed_column(F.col("content"), self.embedder, batch=c["batchSize"]))).filter(F.col("vector").isNotNull())
@@ -124,7 +129,7 @@ class Engine:
 
     def search(self, query: str, codebase: str | None = None, language: str | None = None, max_results: int = 0, exclude_tests: bool = False, exclude_libraries: bool = False) -> dict[str, Any]:
         began, k = time.monotonic(), max_results or self.config["search"]["defaultMaxResults"]
-        key = self.cache.key(query=query, codebase=codebase, language=language, k=k, tests=exclude_tests, libraries=exclude_libraries)
+        key = self.cache.key(store=self.store.root, change=self.store.change(), model=self.embedder.name, query=query, codebase=codebase, language=language, k=k, tests=exclude_tests, libraries=exclude_libraries)
         if hit := self.cache.get(key):
             return hit
         vector = embed_text(query, self.embedder)

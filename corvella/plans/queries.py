@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvella.functions import names, paths, text, vectors
-from corvella.operators import catalog, rescan, search
+from corvella.operators import catalog, pivots, rescan, search
 from corvella.operators.chunker import ChunkFile
 from corvella.operators.embed import embed_column
 from corvella.operators.splitter import SplitChunk, split_sentences
@@ -96,6 +96,21 @@ def knn_batch(spark, sf_dir):
     return search.nearest_batch(e, q, 5).select("qid", "rk", "vec_id")
 
 
+@query(f"with s as (select q.vec_id qid, e.vec_id vec_id, e.label, {_D} d from embeddings e, embeddings q where q.vec_id in (0, 7, 77)), r as (select *, row_number() over (partition by qid order by d, vec_id)::int rk from s) select qid, rk, vec_id, label, round(sqrt(d), 6) l2 from r where rk <= 10")
+def knn_pruned(spark, sf_dir):
+    """Exact nearest rows by cells around pivots, of three queries."""
+    e, out = table(spark, sf_dir, "embeddings"), None
+    index = pivots.build(e, shared_folder(spark), "embedding", 16)
+    try:
+        for r in e.filter("vec_id in (0, 7, 77)").select("vec_id", "embedding").collect():
+            found = index.search(r["embedding"], 10, ("vec_id",))
+            ranked = found.select(F.lit(r["vec_id"]).alias("qid"), F.row_number().over(Window.orderBy("distance", "vec_id")).alias("rk"), "vec_id", "label", F.round(F.sqrt("distance"), 6).alias("l2"))
+            out = ranked if out is None else out.unionAll(ranked)
+    finally:
+        index.drop()
+    return out
+
+
 @query(_ONE + "select vec_id, round(sqrt(exp(-d/2)), 6) score from s where label = 3 order by d, vec_id limit 5")
 def knn_filtered(spark, sf_dir):
     return _to_first(spark, sf_dir, 5, where=F.col("label") == 3).select("vec_id", F.round("score", 6).alias("score"))

@@ -96,6 +96,10 @@ class Store:
         text = self.fs.read(f"{self.root}/_versions/{names[-1]}")
         return int(names[-1][:-5]), json.loads(text or '{"codebases": {}, "trash": []}')
 
+    def change(self) -> int:
+        """Number of the last change, by whichever writer; -1 if there is none."""
+        return self._latest()[0]
+
     def _codebases(self) -> dict[str, dict]:
         return self._latest()[1]["codebases"]
 

@@ -39,7 +39,7 @@ def test_a_codebase_by_its_operations(spark, tmp_path):
     s = Service(Engine(spark, str(tmp_path / "store")))
     assert s.call("health") == {"status": "ok", "codebases": 0} and s.call("list_codebases") == {"codebases": []}
     state = finished(s, s.call("ingest", {"name": "My Code", "path": str(tree), "respectGitignore": True})["jobId"])
-    assert (state["status"], state["phase"], state["current"], state["result"]["chunkCount"]) == ("completed", "Complete", 3, 2)
+    assert (state["status"], state["phase"], state["current"], state["result"]["chunkCount"]) == ("completed", "Complete", 2, 2)
     assert s.call("list_codebases")["codebases"][0]["name"] == "my-code"
     assert s.call("get_codebase_stats", {"name": "my-code"})["languages"] == [{"language": "javascript", "fileCount": 1, "chunkCount": 1}, {"language": "python", "fileCount": 1, "chunkCount": 1}]
     found = s.call("search_codebases", {"query": "two", "language": "javascript", "maxResults": 5.0})
