@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvella.llm.common import Scratch, bounded, by_group, flat, freed, group_starts, local_roots, mix, slices, span_hashes, text_of, word_bounds
+from corvella.llm.common import Scratch, bounded, by_group, flat, freed, release, group_starts, local_roots, mix, slices, span_hashes, text_of, word_bounds
 from corvella.llm.components import components
 
 WORDS = 5
@@ -361,6 +361,8 @@ def classes(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     spark = docs.sparkSession
     sample, known = _sample(docs)
     signed = s.stage(bounded(docs).select("doc_id", "text").mapInArrow(freed(_sign(sample)), SIGNED))
+    del sample
+    release()  # the driver's copy of the sampled sets
     full = signed.filter("doc_id IS NOT NULL AND n > 0")
     reps = s.stage(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("id"), F.count("*").alias("times"), F.first("tokens").alias("tokens"), F.first("small").alias("small")))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvella.llm.common import SLICE, Adam, fold, labelled, sampled, sigmoid, slices, text_of, bounded, freed
+from corvella.llm.common import SLICE, Adam, bounded, flat, fold, freed, labelled, release, sampled, sigmoid, slices, text_of
 
 PASSAGE = 1024
 SAMPLE = 8000
@@ -173,11 +173,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     t = sampled(bounded(docs), ids, LONGEST).select("doc_id", "text", "label").mapInArrow(freed(_features), "doc_id long, label int, x binary").toArrow()
     if not t.num_rows:
         return Model().fit(np.zeros((0, FEATURES)), np.zeros(0), np.zeros(0))
-    x = np.frombuffer(b"".join(t["x"].to_pylist()), np.float16).reshape(-1, FEATURES).astype(np.float32)
+    data, _ = flat(t["x"])
+    x = data.view(np.float16).reshape(-1, FEATURES).astype(np.float32)
     order = np.lexsort((*x.T[:4], t["doc_id"].to_numpy()))
     doc, y = t["doc_id"].to_numpy()[order], t["label"].to_numpy()[order]
     _, first, of = np.unique(doc, return_index=True, return_inverse=True)
-    return Model().fit(x[order], of, y[first].astype(np.float64))
+    x = x[order]
+    del t, data
+    model = Model().fit(x, of, y[first].astype(np.float64))
+    del x
+    release()  # the driver goes on with other stages
+    return model
 
 
 def _score(model: Model):
