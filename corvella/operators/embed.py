@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
-import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,21 +30,91 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+#: Hash of a token: the sum of its bytes times powers of BASE modulo PRIME.
+BASE, PRIME = 31, (1 << 31) - 1
+WORD, TRIGRAM = 10, 3
+#: Bytes of text whose tokens are held at once; a longer text is held whole.
+SLICE = 1 << 21
+_CLASS = np.zeros(256, np.int8)  # 0: between words, 1: small letter, 2: capital, 3: digit, 4: part of a character beyond ASCII
+_CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 4
+_GROUP = np.array([0, 1, 1, 2, 3])
+_LOWER = np.arange(256)
+_LOWER[65:91] += 32
+
+
+@cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """2**bits powers of BASE and of its inverse modulo PRIME, by doubling."""
+    out = []
+    for base in (BASE, pow(BASE, -1, PRIME)):
+        t = np.ones(1, np.int64)
+        while len(t) < 1 << bits:
+            t = np.concatenate([t, t * pow(base, len(t), PRIME) % PRIME])
+        out.append(t)
+    return out[0], out[1]
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, weight) of the words of each text and of the trigrams of the words in ASCII.
+
+    A word is a run of letters, of digits, or of characters beyond ASCII; letters are parted
+    before a capital that follows a small one, and before the last of several capitals if a small one follows."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    c = _CLASS[data]
+    group = _GROUP[c]
+    cut = np.ones(len(data) + 1, bool)
+    cut[1:-1] = (group[1:] != group[:-1]) | ((c[:-1] == 1) & (c[1:] == 2))
+    begins = np.zeros(len(data) + 1, bool)
+    begins[offsets] = True
+    cut[1:-2] |= (c[:-2] == 2) & (c[1:-1] == 2) & (c[2:] == 1) & ~begins[2:-1]
+    cut |= begins
+    edges = np.flatnonzero(cut)
+    starts, ends = edges[:-1], edges[1:]
+    full = c[starts] > 0
+    starts, ends = starts[full], ends[full]
+    small = _LOWER[data]
+    up, down = _powers(max(10, len(data).bit_length()))
+    total = np.concatenate([[0], np.cumsum(small * up[: len(data)])])
+    word = (total[ends] - total[starts]) % PRIME * down[starts] % PRIME
+    of = np.searchsorted(offsets, starts, "right") - 1
+    n = np.where(c[starts] < 4, np.maximum(ends - starts - 2, 0), 0)  # trigrams of each word
+    at = np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
+    three = (small[at] + BASE * small[at + 1] + BASE * BASE * small[at + 2]) % PRIME
+    return np.concatenate([of, np.repeat(of, n)]), np.concatenate([word, three]), np.repeat([WORD, TRIGRAM], [len(word), len(three)])
+
+
+def hash_counts(texts: list[str] | pa.Array, dimension: int = DIMENSION) -> np.ndarray:
+    """Signed weights of each text's tokens by their hash, whole numbers; a null text has none."""
+    column = pa.array(texts, pa.large_string()).fill_null("")
+    out = np.zeros((len(column), dimension), np.int64)
+    if not len(column):
+        return out
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE, "right")) - 1)
+        of, h, weight = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        sign = 1 - 2 * (h // dimension % 2)
+        out[lo:hi] = np.bincount(of * dimension + h % dimension, sign * weight, (hi - lo) * dimension).reshape(-1, dimension)
+        lo = hi
+    return out
+
+
 class HashEmbedder:
+    """Hashed words and letter trigrams, brought to length 1; a text without any lies along the first dimension."""
+
     name = "feature-hash"
 
     def __init__(self, dimension: int = DIMENSION):
         self.dimension = dimension
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimension), np.float64)
-        for row, text in zip(out, texts, strict=True):
-            words = [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_a-zA-Z]+", text)]
-            for token, weight in [(w, 1.0) for w in words] + [(w[i : i + 3], 0.3) for w in words for i in range(len(w) - 2)]:
-                h = zlib.crc32(token.encode())
-                row[h % self.dimension] += weight if h >> 31 else -weight
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        out[:, 0] += (norm[:, 0] == 0)
+        out = hash_counts(texts, self.dimension).astype(np.float64)
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        out[:, 0] += norm[:, 0] == 0
         return (out / np.where(norm, norm, 1)).astype(np.float32)
 
 
@@ -96,9 +166,9 @@ class _Served:
         return ModelEmbedder(self.folder, self.name)
 
 
-def served(name: str, cache: str) -> _Served | None:
-    """The model of that name, if its files are below the cache's folder, which all workers must see."""
-    folder = os.path.join(os.path.expanduser(cache), name)
+def served(name: str, folder: str) -> _Served | None:
+    """The model of that name, if its files are below the folder, which all workers must see."""
+    folder = os.path.join(os.path.expanduser(folder), name)
     return _Served(folder, name) if model_file(folder) and os.path.isfile(os.path.join(folder, "tokenizer.json")) else None
 
 
@@ -143,6 +213,17 @@ def embed_column(text: Column, factory: Callable[[], Embedder] = HashEmbedder, k
     return run(text)
 
 
+def hash_counts_column(text: Column, dimension: int = DIMENSION) -> Column:
+    """The whole numbers that HashEmbedder brings to length 1."""
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(list(hash_counts(texts.tolist(), dimension).astype(np.int32)), dtype=object)
+
+    return run(text)
+
+
 def embed_text(text: str, factory: Callable[[], Embedder] = HashEmbedder, key: str | None = None) -> list[float]:
     if not text or not text.strip():
         raise ValueError("a blank text has no embedding")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corvella.functions import names, paths, text, vectors
 from corvella.operators import catalog, pivots, rescan, search
 from corvella.operators.chunker import ChunkFile
-from corvella.operators.embed import embed_column
+from corvella.operators.embed import embed_column, hash_counts_column
 from corvella.operators.splitter import SplitChunk, split_sentences
 from corvella.plans.engine import gapless
 from corvella.sources import codetree
@@ -408,12 +408,22 @@ def token_chunks(spark, sf_dir):
 
 
 @query(
-    """select doc_id, case when regexp_matches(text, '\\S') then 384 end::int dimension, regexp_matches(text, '\\S') embedded from documents"""
+    r"""with d as (select doc_id, coalesce(text, '') t from documents),
+w as (select doc_id, unnest(regexp_extract_all(translate(regexp_replace(regexp_replace(t, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+|[0-9]+|[^\x00-\x7F]+')) w from d),
+b as (select doc_id, w, case when w[1] <= '~' then list_transform(string_split(reverse(w), ''), lambda c: unicode(c)::bigint) else list_reverse(list_transform(range(0, strlen(w)), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::bigint)) end c from w),
+h as (select doc_id, list_reduce(c, lambda a, x: (a * 31 + x) % 2147483647) h, 10 weight from b
+ union all select doc_id, unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: unicode(w[i]) + 31 * unicode(w[i + 1]) + 961 * unicode(w[i + 2]))) h, 3 weight from b where w[1] <= '~'),
+v as (select doc_id, h % 384 k, sum(case when h // 384 % 2 = 0 then weight else -weight end)::bigint x from h group by 1, 2),
+g as (select doc_id, md5(string_agg(k || ':' || x, ',' order by k)) digest from v where x <> 0 group by 1)
+select doc_id, case when regexp_matches(text, '\S') then 384 end::int dimension, regexp_matches(text, '\S') embedded, coalesce(digest, md5('')) digest from documents left join g using (doc_id)"""
 )
 def embed_documents(spark, sf_dir):
-    v = table(spark, sf_dir, "documents").select("doc_id", embed_column(F.col("text")).alias("vector"))
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return v.select("doc_id", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dimension"), (F.col("vector").isNotNull() & (F.abs(length - 1) < 1e-3)).alias("embedded"))
+    """Length and direction of each vector, and a digest of the whole numbers that it is made of."""
+    d = table(spark, sf_dir, "documents").select("doc_id", embed_column(F.col("text")).alias("vector"), hash_counts_column(F.col("text")).alias("raw"))
+    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    same = F.forall(F.zip_with("vector", "raw", lambda x, y: F.abs(x - F.when(norm > 0, y / norm).otherwise(x)) < 1e-6), lambda x: x)
+    numbers = F.filter(F.transform("raw", lambda x, i: F.when(x != 0, F.concat_ws(":", i.cast("string"), x.cast("string")))), lambda x: x.isNotNull())
+    return d.select("doc_id", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dimension"), F.coalesce(F.col("vector").isNotNull() & same, F.lit(False)).alias("embedded"), F.md5(F.array_join(numbers, ",")).alias("digest"))
 
 
 #: Documents as files: folders by id, of which some are hidden, ignored, tests or libraries, and an extension in some cases.

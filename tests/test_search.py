@@ -189,3 +189,35 @@ def test_a_served_model(spark, model, tmp_path):
     with pytest.raises(ConfigError, match="own/none"):
         Engine(spark, str(tmp_path / "s"), config)
     assert served("own/none", str(cache)) is None
+
+
+# -- the hashing embedder
+
+
+def plain_counts(text, dimension):
+    text = re.sub(r"([A-Z])([A-Z][a-z])", r"\1 \2", re.sub(r"([a-z])([A-Z])", r"\1 \2", text))
+    out = [0] * dimension
+    for w in re.findall(r"[A-Za-z]+|[0-9]+|[^\x00-\x7f]+", text):
+        b = (w.lower() if w.isascii() else w).encode()
+        for t, weight in [(b, 10)] + [(b[i : i + 3], 3) for i in range(len(b) - 2) if w.isascii()]:
+            h = sum(x * pow(31, i, 2**31 - 1) for i, x in enumerate(t)) % (2**31 - 1)
+            out[h % dimension] += -weight if h // dimension % 2 else weight
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(st.text(st.sampled_from("abzABZ019 _-.é日İ\n"), max_size=40), min_size=1, max_size=5))
+def test_hash_counts(texts):
+    from corvella.operators import embed
+
+    assert embed.hash_counts(texts, 50).tolist() == [plain_counts(t, 50) for t in texts]
+
+
+def test_hash_counts_of_slices_and_long_words(monkeypatch):
+    from corvella.operators import embed
+
+    texts = ["HTTPServer parseXMLFile x1y2", None, "", "z" * 5000, "naïve café", "aB" * 700]
+    want = [plain_counts(t or "", 384) for t in texts]
+    for size in (1, 20, 1 << 21):
+        monkeypatch.setattr(embed, "SLICE", size)
+        assert embed.hash_counts(texts).tolist() == want
