@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvella.config import DEFAULTS, ConfigError
+from corvella.functions import text
 from corvella.functions.names import normalise
 from corvella.operators import catalog, rescan
 from corvella.operators import search as search_ops
 from corvella.operators.chunker import ChunkFile
 from corvella.operators.embed import HashEmbedder, embed_column, embed_text, served
 from corvella.sources import codetree
+from corvella.sources.gitignore import Ignore
 from corvella.sources.scratch import Staging
 from corvella.sources.store import NotFound, Store, now_iso
 from corvella.streaming.progress import Progress
@@ -77,33 +79,52 @@ class Engine:
         found = self.listing(path, respect_gitignore)
         return codetree.contents(found.files.filter("supported"), path, found.n)
 
+    @staticmethod
+    def _described(files: DataFrame, most: int, rules: Ignore | None) -> DataFrame:
+        """A table of files as a listing with content and hash."""
+        sized = files.select("relativePath", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("size"), F.col("content").cast("binary").alias("content"))
+        fit = codetree.visible(sized, rules).filter(codetree.fits(F.col("size"), most))
+        return codetree.described(fit).withColumn("fileHash", text.file_hash(F.col("content")))
+
     def ingest(self, path: str, name: str, respect_gitignore: bool = True, tell: Tell = _silent) -> dict[str, Any]:
         """Replaces the codebase when everything is written; a failure leaves the old one. tell(phase, current, total) follows it.
 
         The tree is walked once and each supported file read once, into a staged table from which chunks, manifest and counts all come."""
-        began, name, timestamp = time.monotonic(), normalise(name), now_iso()
+        began = time.monotonic()
         tell("Scanning", 0, 0)
-        previous = self.store.count(name)
         with Staging(self.spark) as stage:
             found = self.listing(path, respect_gitignore, stage)
             counts = catalog.scan_statistics(found.files).first().asDict() | found.counts
-            total = counts["supportedFiles"]
-            with Progress(self.spark, "Reading", total, tell) as p:
+            with Progress(self.spark, "Reading", counts["supportedFiles"], tell) as p:
                 files = stage(p.counted(codetree.contents(found.files.filter("supported"), path, found.n)))
-            with Progress(self.spark, "Chunking and embedding", total, tell) as p:
-                rows = self.chunk_rows(files, name, path, timestamp, stage=stage, progress=p)
-            self.store.replace(name, rows, self._manifest(files), path)
+            return counts | self._replace(files, name, path, counts["supportedFiles"], stage, tell) | {"durationMs": round(1000 * (time.monotonic() - began))}
+
+    def ingest_files(self, files: DataFrame, name: str, path: str = "", rules: Ignore | None = None, tell: Tell = _silent) -> dict[str, Any]:
+        """As ingest, of a table of files (relativePath, content): hidden, ignored and large ones are left out, and the rest is written once."""
+        began = time.monotonic()
+        with Staging(self.spark) as stage:
+            every = self._described(files, self.config["ingestion"]["maxFileSize"], rules)
+            counts = catalog.scan_statistics(every).first().asDict()
+            return counts | self._replace(stage(every.filter("supported")), name, path, counts["supportedFiles"], stage, tell) | {"durationMs": round(1000 * (time.monotonic() - began))}
+
+    def _replace(self, files: DataFrame, name: str, path: str, total: int, stage: Staging, tell: Tell) -> dict[str, Any]:
+        name, timestamp = normalise(name), now_iso()
+        previous = self.store.count(name)
+        with Progress(self.spark, "Chunking and embedding", total, tell) as p:
+            rows = self.chunk_rows(files, name, path, timestamp, stage=stage, progress=p)
+        self.store.replace(name, rows, self._manifest(files), path)
         self.cache.clear()
         languages = [r.asDict() for r in catalog.ingest_language_stats(self.store.files(name), self.store.partials(name)).collect()]
         tell("Complete", total, total)
-        return counts | {"chunkCount": sum(x["chunkCount"] for x in languages), "previousChunkCount": previous, "languages": languages, "durationMs": round(1000 * (time.monotonic() - began))}
+        chunks = sum(x["chunkCount"] for x in languages)
+        return {"chunkCount": chunks, "previousChunkCount": previous, "chunkDelta": chunks - previous, "languages": languages}
 
     def rescan(self, name: str, path: str | None = None, tell: Tell = _silent) -> dict[str, Any]:
         """Reads again what changed; gitignore rules always hold here.
 
         Every file is hashed once, without its content leaving the task; the changed ones are then read, and the manifest has the hashes of what was read. Their chunks
         are appended and those of changed and deleted files named as deleted, in one change of the store: what is unchanged isn't written."""
-        began, info, timestamp = time.monotonic(), self.store.info(name), now_iso()
+        began, info = time.monotonic(), self.store.info(name)
         path = path or info["path"]
         tell("Scanning", 0, 0)
         with Staging(self.spark) as stage:
@@ -111,21 +132,39 @@ class Engine:
             supported = found.files.filter("supported")
             with Progress(self.spark, "Comparing", found.n, tell) as p:
                 hashed = stage(p.counted(codetree.contents(supported, path, found.n, keep=False)))
-            changes = stage(rescan.diff(self.store.files(name), self._manifest(hashed)))
-            counts = rescan.counters(changes).first().asDict() | {"chunksAdded": 0, "chunksDeleted": 0}
-            fresh = counts["filesAdded"] + counts["filesModified"]
-            if fresh + counts["filesDeleted"]:
-                gone = changes.filter(F.col("kind").isin("modified", "deleted")).select("filePath")
-                new = changes.filter(F.col("kind").isin("added", "modified")).select(F.col("filePath").alias("relativePath"))
-                with Progress(self.spark, "Reading", fresh, tell) as p:
-                    files = stage(p.counted(codetree.contents(supported.join(new, "relativePath", "left_semi"), path, fresh)))
-                manifest = self._manifest(hashed.join(new, "relativePath", "left_anti")).unionByName(self._manifest(files))
-                with Progress(self.spark, "Chunking and embedding", fresh, tell) as p:
-                    added = self.chunk_rows(files, name, path, timestamp, stage=stage, progress=p) if fresh else None
-                counts["chunksDeleted"], counts["chunksAdded"] = self.store.update(name, gone, added, manifest, path)
+
+            def read(new: DataFrame, n: int) -> DataFrame:
+                with Progress(self.spark, "Reading", n, tell) as p:
+                    return stage(p.counted(codetree.contents(supported.join(new, "relativePath", "left_semi"), path, n)))
+
+            return self._update(hashed, read, name, path, stage, tell) | {"durationMs": round(1000 * (time.monotonic() - began))}
+
+    def rescan_files(self, files: DataFrame, name: str, rules: Ignore | None = None, tell: Tell = _silent) -> dict[str, Any]:
+        """As rescan, of a table of files."""
+        began, info = time.monotonic(), self.store.info(name)
+        with Staging(self.spark) as stage:
+            every = self._described(files, self.config["ingestion"]["maxFileSize"], rules).filter("supported")
+            hashed = stage(every.drop("content"))
+            read = lambda new, _: stage(every.join(new, "relativePath", "left_semi"))
+            return self._update(hashed, read, name, info["path"], stage, tell) | {"durationMs": round(1000 * (time.monotonic() - began))}
+
+    def _update(self, hashed: DataFrame, read: Callable[[DataFrame, int], DataFrame], name: str, path: str, stage: Staging, tell: Tell) -> dict[str, Any]:
+        """hashed: all files without contents; read(relativePath, n): the n of these names with contents."""
+        timestamp = now_iso()
+        changes = stage(rescan.diff(self.store.files(name), self._manifest(hashed)))
+        counts = rescan.counters(changes).first().asDict() | {"chunksAdded": 0, "chunksDeleted": 0}
+        fresh = counts["filesAdded"] + counts["filesModified"]
+        if fresh + counts["filesDeleted"]:
+            gone = changes.filter(F.col("kind").isin("modified", "deleted")).select("filePath")
+            new = changes.filter(F.col("kind").isin("added", "modified")).select(F.col("filePath").alias("relativePath"))
+            files = read(new, fresh)
+            manifest = self._manifest(hashed.join(new, "relativePath", "left_anti")).unionByName(self._manifest(files))
+            with Progress(self.spark, "Chunking and embedding", fresh, tell) as p:
+                added = self.chunk_rows(files, name, path, timestamp, stage=stage, progress=p) if fresh else None
+            counts["chunksDeleted"], counts["chunksAdded"] = self.store.update(name, gone, added, manifest, path)
         self.cache.clear()
-        tell("Complete", found.n, found.n)
-        return counts | {"durationMs": round(1000 * (time.monotonic() - began))}
+        tell("Complete", fresh, fresh)
+        return counts
 
     def search(self, query: str, codebase: str | None = None, language: str | None = None, max_results: int = 0, exclude_tests: bool = False, exclude_libraries: bool = False) -> dict[str, Any]:
         began, k = time.monotonic(), max_results or self.config["search"]["defaultMaxResults"]

@@ -7,6 +7,7 @@ ingestion timestamps, labels are flags, embeddings are the vector table.
 
 from __future__ import annotations
 
+import copy
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -14,12 +15,13 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvella.config import DEFAULTS
 from corvella.functions import names, paths, text, vectors
 from corvella.operators import catalog, pivots, rescan, search
 from corvella.operators.chunker import ChunkFile
 from corvella.operators.embed import embed_column, hash_counts_column
 from corvella.operators.splitter import SplitChunk, split_sentences
-from corvella.plans.engine import gapless
+from corvella.plans.engine import Engine, gapless
 from corvella.sources import codetree
 from corvella.sources.files import Files
 from corvella.sources.gitignore import Ignore
@@ -497,3 +499,90 @@ def code_chunks(spark, sf_dir):
     view = f"_corvella_{uuid.uuid4().hex}"
     _sources(spark, sf_dir).select("doc_id", "language", F.encode("content", "UTF-8").alias("content")).createOrReplaceTempView(view)
     return spark.sql(f"SELECT f.doc_id, c.chunkType, c.startLine, c.endLine FROM {view} f, LATERAL chunk_file(f.content, f.language, 1000000000, 0) c")
+
+
+_LANGUAGES = "(['" + "', '".join(_CODE) + f"'])[doc_id % {len(_CODE)} + 1]"
+_PER_FILE = "case lang " + " ".join(f"when '{k}' then {len(v)}{' + n' if k == 'javascript' else ''}" for k, v in _CHUNKS.items()) + " end"
+_LINES_OF = "len(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 \n]', '', 'g'), chr(10)))"
+_EXTENSIONS = {"typescript": ".ts", "javascript": ".js", "java": ".java", "csharp": ".cs", "python": ".py"}
+
+
+def _code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, relativePath and content."""
+    extension = F.create_map(*[F.lit(x) for kv in _EXTENSIONS.items() for x in kv])[F.col("language")]
+    return _sources(spark, sf_dir).select("doc_id", F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), extension).alias("relativePath"), F.encode("content", "UTF-8").alias("content"))
+
+
+def _engine(spark: SparkSession, s: Store) -> Engine:
+    """Chunks are not split, so that SQL can tell their number; files of any size are read."""
+    config = copy.deepcopy(DEFAULTS)
+    config["ingestion"] |= {"maxChunkTokens": 1 << 30, "maxFileSize": 1 << 30}
+    return Engine(spark, s.root, config)
+
+
+@query(
+    f"""with d as (select doc_id, {_LINES_OF} n, {_LANGUAGES} lang from documents)
+select lang as "language", count(*) files, sum({_PER_FILE})::bigint chunks, sum({_PER_FILE})::bigint embedded, sum({_PER_FILE})::bigint hashed, (select sum({_PER_FILE}) from d)::bigint as "ids", (select sum({_PER_FILE}) - 1 from d)::bigint as "last" from d group by 1"""
+)
+def ingest_documents(spark, sf_dir):
+    """Documents as source files, ingested: parsed, embedded, numbered, stored and read back."""
+    files = _code_files(spark, sf_dir)
+    with store(spark) as (s, stage):
+        _engine(spark, s).ingest_files(files.drop("doc_id"), "documents")
+        c = s.chunks("documents")
+        number = F.regexp_extract("id", r"_(\d+)$", 1).cast("long")
+        whole = c.agg(F.countDistinct(number).alias("ids"), F.max(number).alias("last"))
+        hashes = s.files("documents").select("filePath", F.col("fileHash").alias("h"))
+        each = c.join(hashes, "filePath").groupBy("language").agg(F.countDistinct("filePath").alias("files"), F.count("*").alias("chunks"), F.count_if(F.size("vector") == 384).alias("embedded"), F.count_if(F.col("fileHash") == F.col("h")).alias("hashed"))
+        return stage(each.join(F.broadcast(whole)))
+
+
+@query(
+    f"""with d as (select doc_id, {_LINES_OF} n, {_LANGUAGES} lang, doc_id % 11 <> 0 was, doc_id % 13 <> 0 stays, doc_id % 7 = 0 edited from documents), c as (select *, ({_PER_FILE})::bigint k from d)
+select count(*) filter (where stays and not was) as "filesAdded", count(*) filter (where stays and was and edited) as "filesModified", count(*) filter (where stays and was and not edited) as "filesUnchanged", count(*) filter (where was and not stays) as "filesDeleted",
+ coalesce(sum(k) filter (where stays and (edited or not was)), 0)::bigint as "chunksAdded", coalesce(sum(k) filter (where was and (edited or not stays)), 0)::bigint as "chunksDeleted", coalesce(sum(k) filter (where stays), 0)::bigint as "chunks", count(*) filter (where stays) as "files" from c"""
+)
+def rescan_documents(spark, sf_dir):
+    """An ingest and a rescan of the documents as files: some go, some come, some have another end."""
+    files, i = _code_files(spark, sf_dir), F.col("doc_id")
+    later = files.filter(i % 13 != 0).select("relativePath", F.when(i % 7 == 0, F.concat("content", F.encode(F.lit("\n"), "UTF-8"))).otherwise(F.col("content")).alias("content"))
+    with store(spark) as (s, _):
+        engine = _engine(spark, s)
+        engine.ingest_files(files.filter(i % 11 != 0).drop("doc_id"), "documents")
+        counts = engine.rescan_files(later, "documents")
+        counts |= {"chunks": s.count("documents"), "files": s.files("documents").count()}
+    names = ("filesAdded", "filesModified", "filesUnchanged", "filesDeleted", "chunksAdded", "chunksDeleted", "chunks", "files")
+    return spark.createDataFrame([tuple(int(counts[k]) for k in names)], ", ".join(f"{k} long" for k in names))
+
+
+@query("select source, lang as \"language\", count(*) n, sum(length(text))::bigint size from documents where source <> 'src1' and not (source = 'src2' and lang = 'fr') and not (source = 'src3' and doc_id % 2 = 1) group by 1, 2")
+def store_life(spark, sf_dir):
+    """Codebases created, appended to, replaced and dropped; one is asked for by its name, an absent one has no rows."""
+    d = _documents(spark, sf_dir).filter("_codebaseName IS NOT NULL")
+    later = F.col("_codebaseName").isin("src2", "src3") & F.col("language").isin("fr", "de", "es")
+    with store(spark) as (s, stage):
+        s.replace_all(d.filter(~F.coalesce(later, F.lit(False))))
+        for name, languages in (("src2", ("de", "es")), ("src3", ("fr", "de", "es"))):
+            for language in languages:
+                s.append(name, d.filter((F.col("_codebaseName") == name) & (F.col("language") == language)))
+        if s.exists("src3"):
+            s.replace("src3", s.chunks("src3").filter(F.col("id").cast("long") % 2 == 0))
+        if s.exists("src1"):
+            s.drop("src1")
+        rest = s.chunks().filter("_codebaseName <> 'src3'")
+        left = rest.unionAll(s.chunks("src3")).unionAll(s.chunks("absent"))
+        return stage(left.groupBy(F.col("_codebaseName").alias("source"), "language").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("size")))
+
+
+@query(f"select case when x = '' then '(no extension)' else x end as \"extension\", p as \"path\" from (select lower(regexp_extract({_PATH}, '[^/]([.][^./]*)$', 1)) x, concat(doc_id, ':', {_PATH}) p from documents) where x not in ('.py', '.ts') union all select case x when '.py' then 'python' else 'typescript' end, p from (select lower(regexp_extract({_PATH}, '[^/]([.][^./]*)$', 1)) x, concat(doc_id, ':', {_PATH}) p from documents) where x in ('.py', '.ts')")
+def file_groups(spark, sf_dir):
+    """Unsupported files by extension and the others by language, a row for each."""
+    p = F.concat(F.col("doc_id").cast("string"), F.lit(":"), "p")
+    files = _paths(spark, sf_dir).select(p.alias("relativePath"), paths.classify(F.col("p")).alias("c")).select("relativePath", "c.*")
+    return catalog.unsupported_files(files).withColumnRenamed("relativePath", "path").unionAll(catalog.files_by_language(files).select(F.col("language"), F.col("relativePath")))
+
+
+@query(r"select page_id, printf('%.2f MB', strlen(html) / 1048576.0) size, url_encode(url) encoded, floor(100.0 * strlen(html) / 20000)::bigint percent, replace(url, chr(39), chr(39) || chr(39)) quoted from pages")
+def text_formats(spark, sf_dir):
+    n = F.octet_length("html")
+    return table(spark, sf_dir, "pages").select("page_id", text.memory_size(n).alias("size"), text.url_encode(F.col("url")).alias("encoded"), text.percentage(n, F.lit(20000)).cast("long").alias("percent"), F.replace("url", F.lit("'"), F.lit("''")).alias("quoted"))
