@@ -3,8 +3,9 @@
 Each round hangs every node's neighbours on the smallest of them; the number of
 rounds grows with the logarithm of a component's diameter. Links not done after `most`
 rounds are an error, never a partial result. Links stay distributed:
-the driver sees a count and a checksum for each round. Hub nodes are joined with
-their links, which AQE splits, and never collected into one row.
+the driver sees a count and a checksum for each round. A hub's links are rows, never collected into
+one; but they are joined with an aggregate, which AQE can't split, so those of one hub are
+one task's.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ the table is partitioned.
 
 Defined results: null, empty and blank texts have no words, a sum of 0 and a null
 mean. Very long texts are scored and learned from whole. Repeated rows, and ties of equal
-texts, have equal scores. Rows without id are scored and learned from. An empty table
+texts, have equal scores: scoring takes sums of doubles on a grid, without rounding. Rows without id are scored and learned from. An empty table
 gives no rows. Extra columns play no part.
 """
 
@@ -39,7 +39,9 @@ GROUPS, EACH = 32, 128
 OWN = (GROUPS - 1) * EACH
 TAIL = EACH
 UNITS = OWN + TAIL
-REACH, EMBED, HIDDEN = 2, 12, 24
+REACH, EMBED, HIDDEN = 2, 16, 32
+#: Binary places of weights and hidden values in scoring: products of two and their sums are whole multiples of 2**-(2 * GRID) below 2**53, so they have no rounding.
+GRID = 18
 ROUNDS = 2
 BATCH = 4096
 RATE = 0.01
@@ -149,10 +151,17 @@ def _exp(h: np.ndarray, w: np.ndarray, b: np.ndarray, small: bool) -> tuple[np.n
     if not small:
         z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    return z, z @ np.ones(z.shape[1], z.dtype)
+    return z, z.sum(1) if z.dtype == np.float64 else z @ np.ones(z.shape[1], z.dtype)
+
+
+def on_grid(x: np.ndarray) -> np.ndarray:
+    """Doubles between -16 and 16, rounded to GRID binary places."""
+    return np.rint(np.clip(x, -16, 16).astype(np.float64) * 2.0**GRID) / 2.0**GRID
 
 
 class Network:
+    rounded = False
+
     def __init__(self, weights: np.ndarray | None = None, mass: np.ndarray | None = None):
         """mass: counts of the units, where the biases begin."""
         if weights is None:
@@ -190,7 +199,15 @@ class Network:
         _, _, _, w2, b2, w3, b3 = self.w
         return max(np.abs(w2).sum(0).max() + np.abs(b2).max(), np.abs(w3).sum(1).max() + np.abs(b3).max()) < 60
 
+    def exact(self) -> Network:
+        """The network for scores: doubles on a grid, whose sums don't depend on their order, so that a position's score doesn't depend on those it is batched with."""
+        net = object.__new__(Network)
+        net.rounded = True
+        net.w = [on_grid(x) if i in (0, 1, 3, 5) else x.astype(np.float64) for i, x in enumerate(self.w)]
+        return net
+
     def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the targets; of exact() the same in any batch."""
         _, _, _, w2, b2, w3, b3 = self.w
         out, small = np.empty(len(target)), self._small()
         for lo in range(0, len(target), 2 * BATCH):
@@ -198,6 +215,8 @@ class Network:
             order = np.argsort(group.astype(np.uint8), kind="stable")
             group, unit = group[order], unit[order]
             h = self._hidden(context[lo : lo + 2 * BATCH][order])[1]
+            if self.rounded:
+                h = on_grid(h)
             q, total = _exp(h, w2, b2, small)
             p = q[np.arange(len(q)), group] / total
             for k, a, b in _groups(group):
@@ -368,11 +387,11 @@ def train(coded: DataFrame, words: Vocabulary, scratch: Scratch, rounds: int = R
     net = Network(mass=words.mass)
     total = coded.agg(F.sum("n_words")).first()[0] or 0
     if not total:
-        return net
+        return net.exact()
     trainers = min(TRAINERS, -(-total // POSITIONS))
     part = scratch.stage(pieces(coded, trainers))
-    here = F.octet_length("codes") / 2
-    copies = part.agg((F.sum(here * F.col("times")) / F.sum(here)).alias("c")).first()[0]
+    here = F.octet_length("codes").cast("long")
+    copies = part.agg((F.sum(here * F.col("times")) / F.sum(here)).alias("c")).first()[0]  # whole numbers: their sums don't depend on the partitions
     weights = net.flat()
     for turn in range(rounds):
         own = part.repartitionByRange(trainers, "trainer").sortWithinPartitions("trainer", "fp", "part").mapInArrow(freed(_train(weights, turn, rounds, copies)), "part int, trainer int, n double, w binary")
@@ -380,7 +399,7 @@ def train(coded: DataFrame, words: Vocabulary, scratch: Scratch, rounds: int = R
         mean = [(r["part"], np.frombuffer(r["w"], np.float64), r["n"]) for r in mean]
         weights = np.concatenate([w / n for _, w, n in sorted(mean, key=lambda x: x[0])]) if mean[0][2] else weights
     scratch.drop(part)
-    return Network(weights)
+    return Network(weights).exact()
 
 
 # ---------------------------------------------------------------- scores
