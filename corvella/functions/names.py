@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The form of a table's name, the substitutions of names, in their order, and the marks between words.
 def table_name(name: Column, version: str = "1.0.0") -> Column:
     return F.concat(F.lit("codebase_"), F.regexp_replace(name, "[^a-zA-Z0-9_-]", "_"), F.lit("_" + version.replace(".", "_")))
 

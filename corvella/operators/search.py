@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvella.functions import vectors
+from corvella.sources.scratch import Staging
 
 
 def filters(language: str | None = None, exclude_tests: bool = False, exclude_libraries: bool = False) -> Column:
@@ -96,14 +97,17 @@ def nearest_batch(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id"
     """query_key, key, d and rk (from 1) of the k nearest rows of each query, ties to the smaller key; keys are integers.
 
     Queries are taken in blocks of QUERIES, in the order of their keys, so that what a task
-    holds is bounded; each task returns k rows of a query. Vectors that are null or hold
+    holds is bounded; each task returns k rows of a query. Blocks are written to the shared folder and read by
+    one scan, so that the plan doesn't grow with their number. Vectors that are null or hold
     null or non-finite components take no part, nor do those without key; vectors of
     different lengths aren't compared. Of queries with the same key one is asked.
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("_row"), F.col(vector).alias("_v")).filter(_comparable("_v") & F.col("_row").isNotNull())
     asked = queries.select(F.col(query_key).cast("long").alias("_query"), F.col(query_vector).alias("_v")).filter(_comparable("_v") & F.col("_query").isNotNull()).dropDuplicates(["_query"])
-    found, after = spark.createDataFrame([], "_query long, _row long, d double"), None
+    schema, stage = "_query long, _row long, d double", Staging(spark)
+    root, after = stage.folder(), None
+    spark.createDataFrame([], schema).write.parquet(f"{root}/none")
     while True:
         block = (asked if after is None else asked.filter(F.col("_query") > after)).orderBy("_query").limit(QUERIES).toArrow().combine_chunks()
         if block.num_rows:
@@ -111,10 +115,11 @@ def nearest_batch(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id"
             lengths = np.diff(np.asarray(vectors_.offsets))
             for n in np.unique(lengths):
                 same = lengths == n
-                found = found.unionByName(rows.mapInArrow(_best(keys[same], _matrix(vectors_.filter(pa.array(same))), k), found.schema))
+                rows.mapInArrow(_best(keys[same], _matrix(vectors_.filter(pa.array(same))), k), schema).write.parquet(f"{root}/{keys[-1]}-{n}")
             after = int(keys[-1])
         if block.num_rows < QUERIES:
             break
+    found = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(root)
     w = Window.partitionBy("_query").orderBy("d", "_row")
     ranked = found.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
     return ranked.select(F.col("_query").alias(query_key), F.col("_row").alias(key), "d", "rk")

@@ -428,6 +428,44 @@ def embed_documents(spark, sf_dir):
     return d.select("doc_id", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dimension"), F.coalesce(F.col("vector").isNotNull() & same, F.lit(False)).alias("embedded"), F.md5(F.array_join(numbers, ",")).alias("digest"))
 
 
+def _packed(parts: str, glue: str) -> str:
+    """SQL of parts packed into texts of at most 512 tokens, in order."""
+    return f"""list_reduce(list_transform({parts}, lambda p: {{'out': []::varchar[], 'now': p}}), lambda a, x: case when a.now = '' then {{'out': a.out, 'now': x.now}} when (length(a.now) + {len(glue)} + length(x.now) + 3) // 4 > 512 then {{'out': list_append(a.out, a.now), 'now': x.now}} else {{'out': a.out, 'now': a.now || '{glue}' || x.now}} end, {{'out': []::varchar[], 'now': ''}})"""
+
+
+def _parts(packed: str) -> str:
+    return f"case when ({packed}).now = '' then ({packed}).out else list_append(({packed}).out, ({packed}).now) end"
+
+
+_STRIPPED = r"regexp_replace(x, '^\s+|\s+$', '', 'g')"
+_WORDS = r"list_filter(string_split_regex(s, '\s+'), lambda w: w <> '')"
+
+
+@query(
+    f"""with l as (select doc_id, coalesce(text, '') t, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) i from documents),
+q as (select *, case when (length(line) + 4) // 4 > 512 then list_transform(case when len(regexp_extract_all(line, '[^.!?]+[.!?]+|[^.!?]+$')) = 0 then [line] else regexp_extract_all(line, '[^.!?]+[.!?]+|[^.!?]+$') end, lambda x: {_STRIPPED}) else []::varchar[] end sentences from l),
+v as (select *, list_filter(flatten(list_transform(sentences, lambda s: case when (length(s) + 3) // 4 > 512 then {_parts(_packed(_WORDS, " "))} else [s] end)), lambda p: p <> '') pieces from q),
+k as (select *, {_packed("pieces", " ")} packed from v),
+e as (select doc_id, t, list({{'out': []::varchar[], 'now': [line], 'used': ((length(line) + 4) // 4)::bigint, 'parts': {_parts("packed")}}} order by i) e from k group by 1, 2),
+r as (select doc_id, t, list_reduce(e, lambda a, x: case
+  when x.used > 512 then {{'out': list_concat(case when len(a.now) > 0 then list_append(a.out, array_to_string(a.now, chr(10))) else a.out end, x.parts[1:len(x.parts) - 1]), 'now': x.parts[len(x.parts):len(x.parts)], 'used': case when len(x.parts) > 0 then ((length(x.parts[len(x.parts)]) + 3) // 4)::bigint else 0 end, 'parts': []::varchar[]}}
+  when len(a.now) > 0 and a.used + x.used > 512 then {{'out': list_append(a.out, array_to_string(a.now, chr(10))), 'now': list_append(a.now[len(a.now) + 1 - greatest(1, len(list_filter(range(1, len(a.now) + 1), lambda j: list_sum(list_transform(a.now[len(a.now) + 1 - j:], lambda y: (length(y) + 4) // 4)) <= 50))):], x.now[1]),
+   'used': ((length(array_to_string(list_append(a.now[len(a.now) + 1 - greatest(1, len(list_filter(range(1, len(a.now) + 1), lambda j: list_sum(list_transform(a.now[len(a.now) + 1 - j:], lambda y: (length(y) + 4) // 4)) <= 50))):], x.now[1]), chr(10))) + 3) // 4)::bigint, 'parts': []::varchar[]}}
+  else {{'out': a.out, 'now': list_append(a.now, x.now[1]), 'used': a.used + x.used, 'parts': []::varchar[]}} end, {{'out': []::varchar[], 'now': []::varchar[], 'used': 0::bigint, 'parts': []::varchar[]}}) f from e),
+o as (select doc_id, case when (length(t) + 3) // 4 <= 512 then [t] when len(f.now) > 0 then list_append(f.out, array_to_string(f.now, chr(10))) else f.out end parts from r),
+p as (select doc_id, len(parts) n, unnest(parts) c, generate_subscripts(parts, 1) i from o),
+w as (select *, sum(length(c) - length(replace(c, chr(10), '')) + 1) over (partition by doc_id order by i) upto from p)
+select doc_id, (i - 1)::int part, md5(c) digest, (upto - (length(c) - length(replace(c, chr(10), ''))))::int as "startLine", upto::int as "endLine", case when n > 1 then 'function_part_' || i else 'function' end as "chunkType" from w"""
+)
+def split_texts(spark, sf_dir):
+    """Whole texts as they are, with long lines, sentences and words over the bound, and parts that overlap by 50 tokens."""
+    spark.udtf.register("split_chunk", SplitChunk)
+    view = f"_corvella_{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT d.doc_id, c.part, md5(c.content) digest, c.startLine, c.endLine, c.chunkType FROM {view} d, LATERAL split_chunk(d.text, 1, 'function', 512, 50) c")
+
+
+
 #: Documents as files: folders by id, of which some are hidden, ignored, tests or libraries, and an extension in some cases.
 _FILE = "concat(case doc_id % 7 when 0 then '.cache/' when 1 then 'src/tests/' when 2 then 'app/node_modules/x/' when 3 then 'ignored/deep/' when 4 then 'src/_own/' when 5 then 'lib/vendor/' else '' end, case doc_id % 4 when 0 then 'test_' else 'm' end, doc_id, case doc_id % 9 when 0 then '.PY' when 1 then '.ts' when 2 then '.log' when 3 then '.java' when 4 then '.cs' when 5 then '.test.js' when 6 then '' when 7 then '.md' else '.tsx' end)"
 _RULES = "# of this tree\nignored/\n*.log\n!m1*.log\n"

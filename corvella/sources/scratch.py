@@ -35,9 +35,13 @@ class Staging:
         self.spark, self.paths = spark, []
         atexit.register(self.clear)
 
+    def folder(self) -> str:
+        """Path of a folder that isn't there yet and goes with the tables."""
+        self.paths.append(f"{shared_folder(self.spark)}/corvella-{uuid.uuid4().hex}")
+        return self.paths[-1]
+
     def __call__(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_folder(self.spark)}/corvella-{uuid.uuid4().hex}"
-        self.paths.append(path)
+        path = self.folder()
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
