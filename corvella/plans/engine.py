@@ -96,7 +96,7 @@ class Engine:
             found = self.listing(path, respect_gitignore, stage)
             counts = catalog.scan_statistics(found.files).first().asDict() | found.counts
             with Progress(self.spark, "Reading", counts["supportedFiles"], tell) as p:
-                files = stage(p.counted(codetree.contents(found.files.filter("supported"), path, found.n)))
+                files = stage(codetree.contents(found.files.filter("supported"), path, found.n, seen=p.seen))
             return counts | self._replace(files, name, path, counts["supportedFiles"], stage, tell) | {"durationMs": round(1000 * (time.monotonic() - began))}
 
     def ingest_files(self, files: DataFrame, name: str, path: str = "", rules: Ignore | None = None, tell: Tell = _silent) -> dict[str, Any]:
@@ -131,11 +131,11 @@ class Engine:
             found = self.listing(path, True, stage)
             supported = found.files.filter("supported")
             with Progress(self.spark, "Comparing", found.n, tell) as p:
-                hashed = stage(p.counted(codetree.contents(supported, path, found.n, keep=False)))
+                hashed = stage(codetree.contents(supported, path, found.n, keep=False, seen=p.seen))
 
             def read(new: DataFrame, n: int) -> DataFrame:
                 with Progress(self.spark, "Reading", n, tell) as p:
-                    return stage(p.counted(codetree.contents(supported.join(new, "relativePath", "left_semi"), path, n)))
+                    return stage(codetree.contents(supported.join(new, "relativePath", "left_semi"), path, n, seen=p.seen))
 
             return self._update(hashed, read, name, path, stage, tell) | {"durationMs": round(1000 * (time.monotonic() - began))}
 

@@ -221,7 +221,7 @@ def visible(files: DataFrame, rules: Ignore | None = None, skip_hidden: bool = T
     return files.filter(~rules.matches(p)) if rules else files
 
 
-def _read(root: str, keep: bool, at: int):
+def _read(root: str, keep: bool, at: int, seen=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs = file_system(root)
         for batch in batches:
@@ -234,15 +234,18 @@ def _read(root: str, keep: bool, at: int):
                 row = batch.slice(i, 1)
                 own = [pa.array([content], pa.binary())] if keep else []
                 yield pa.RecordBatch.from_arrays([*row.columns, pa.array([digest], pa.string()), *own], names=[*row.schema.names, "fileHash", *(["content"] if keep else [])])
+            if seen is not None:
+                seen.add(batch.num_rows)
 
     return run
 
 
-def contents(files: DataFrame, root: str, n: int, keep: bool = True) -> DataFrame:
-    """Rows of a listing (about n of them) with fileHash and, unless keep is false, content; each file is opened once. Null where a file can't be read."""
+def contents(files: DataFrame, root: str, n: int, keep: bool = True, seen=None) -> DataFrame:
+    """Rows of a listing (about n of them) with fileHash and, unless keep is false, content; each file is opened once. Null where a file can't be read. seen: an
+    accumulator of the files read."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema), "fileHash string", *(["content binary"] if keep else [])])
     dealt = files.repartition(max(1, -(-n // FILES_PER_PARTITION)))  # a number of its own: rows are small, what they name is not
-    return dealt.mapInArrow(_read(root, keep, files.columns.index("relativePath")), schema)
+    return dealt.mapInArrow(_read(root, keep, files.columns.index("relativePath"), seen), schema)
 
 
 def scan(spark: SparkSession, root: str, respect_gitignore: bool = True, skip_hidden: bool = True, max_file_size: int = MOST) -> DataFrame:

@@ -93,8 +93,8 @@ def test_pushed_filters():
 def test_an_ingest_opens_each_supported_file_once(spark, tree, tmp_path, monkeypatch):
     log, real = str(tmp_path / "opened"), codetree._read
 
-    def noted(root, keep, at):
-        inner = real(root, keep, at)
+    def noted(root, keep, at, seen=None):
+        inner = real(root, keep, at, seen)
 
         def run(batches):
             for batch in batches:
