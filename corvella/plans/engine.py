@@ -105,7 +105,8 @@ class Engine:
         with Staging(self.spark) as stage:
             every = self._described(files, self.config["ingestion"]["maxFileSize"], rules)
             counts = catalog.scan_statistics(every).first().asDict()
-            return counts | self._replace(stage(every.filter("supported")), name, path, counts["supportedFiles"], stage, tell) | {"durationMs": round(1000 * (time.monotonic() - began))}
+            dealt = stage(codetree.dealt(every.filter("supported"), counts["supportedFiles"]))  # parsing is the work, however the table is stored
+            return counts | self._replace(dealt, name, path, counts["supportedFiles"], stage, tell) | {"durationMs": round(1000 * (time.monotonic() - began))}
 
     def _replace(self, files: DataFrame, name: str, path: str, total: int, stage: Staging, tell: Tell) -> dict[str, Any]:
         name, timestamp = normalise(name), now_iso()
@@ -145,7 +146,7 @@ class Engine:
         with Staging(self.spark) as stage:
             every = self._described(files, self.config["ingestion"]["maxFileSize"], rules).filter("supported")
             hashed = stage(every.drop("content"))
-            read = lambda new, _: stage(every.join(new, "relativePath", "left_semi"))
+            read = lambda new, n: stage(codetree.dealt(every.join(new, "relativePath", "left_semi"), n))
             return self._update(hashed, read, name, info["path"], stage, tell) | {"durationMs": round(1000 * (time.monotonic() - began))}
 
     def _update(self, hashed: DataFrame, read: Callable[[DataFrame, int], DataFrame], name: str, path: str, stage: Staging, tell: Tell) -> dict[str, Any]:

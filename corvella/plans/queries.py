@@ -422,8 +422,11 @@ select doc_id, case when regexp_matches(text, '\S') then 384 end::int dimension,
 def embed_documents(spark, sf_dir):
     """Length and direction of each vector, and a digest of the whole numbers that it is made of."""
     d = table(spark, sf_dir, "documents").select("doc_id", embed_column(F.col("text")).alias("vector"), hash_counts_column(F.col("text")).alias("raw"))
-    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    same = F.forall(F.zip_with("vector", "raw", lambda x, y: F.abs(x - F.when(norm > 0, y / norm).otherwise(x)) < 1e-6), lambda x: x)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    norm = F.sqrt(total(F.transform("raw", lambda x: x.cast("double") * x.cast("double"))))
+    length = F.sqrt(total(F.transform("vector", lambda x: x.cast("double") * x.cast("double"))))
+    along = total(F.zip_with("vector", "raw", lambda x, y: x.cast("double") * y))
+    same = (F.abs(length - 1) < 1e-5) & ((norm == 0) | (F.abs(along - norm) < 1e-6 * norm))
     numbers = F.filter(F.transform("raw", lambda x, i: F.when(x != 0, F.concat_ws(":", i.cast("string"), x.cast("string")))), lambda x: x.isNotNull())
     return d.select("doc_id", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dimension"), F.coalesce(F.col("vector").isNotNull() & same, F.lit(False)).alias("embedded"), F.md5(F.array_join(numbers, ",")).alias("digest"))
 

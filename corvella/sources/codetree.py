@@ -240,12 +240,16 @@ def _read(root: str, keep: bool, at: int, seen=None):
     return run
 
 
+def dealt(files: DataFrame, n: int) -> DataFrame:
+    """About n rows in partitions of FILES_PER_PARTITION. A number of its own: rows are small, or what they cost is not their size."""
+    return files.repartition(max(1, -(-n // FILES_PER_PARTITION)))
+
+
 def contents(files: DataFrame, root: str, n: int, keep: bool = True, seen=None) -> DataFrame:
     """Rows of a listing (about n of them) with fileHash and, unless keep is false, content; each file is opened once. Null where a file can't be read. seen: an
     accumulator of the files read."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema), "fileHash string", *(["content binary"] if keep else [])])
-    dealt = files.repartition(max(1, -(-n // FILES_PER_PARTITION)))  # a number of its own: rows are small, what they name is not
-    return dealt.mapInArrow(_read(root, keep, files.columns.index("relativePath"), seen), schema)
+    return dealt(files, n).mapInArrow(_read(root, keep, files.columns.index("relativePath"), seen), schema)
 
 
 def scan(spark: SparkSession, root: str, respect_gitignore: bool = True, skip_hidden: bool = True, max_file_size: int = MOST) -> DataFrame:
