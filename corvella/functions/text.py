@@ -56,7 +56,8 @@ def duration(ms: Column) -> Column:
 
 
 def memory_size(n: Column) -> Column:
-    return F.format_string("%.2f MB", n / F.lit(1048576.0))
+    """As printf rounds: a size in the middle of two hundredths goes to the even one."""
+    return F.concat(F.bround((n / F.lit(1048576.0)).cast("decimal(38,20)"), 2).cast("string"), F.lit(" MB"))
 
 
 def fixed(x: Column, digits: int = 2) -> Column:
@@ -64,8 +65,13 @@ def fixed(x: Column, digits: int = 2) -> Column:
 
 
 def url_encode(x: Column) -> Column:
-    return F.regexp_replace(F.url_encode(x), r"\+", "%20")
+    """Letters, digits and -._~ stay; Spark's own is that of forms, with + for a space."""
+    out = F.url_encode(x)
+    for form, own in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(form), F.lit(own))
+    return out
 
 
 def percentage(current: Column, total: Column) -> Column:
-    return F.when(total > 0, F.floor(current / total * 100)).otherwise(0).cast("int")
+    """The product comes first: it is exact, and so the quotient of a whole percentage is whole."""
+    return F.when(total > 0, F.floor(current * F.lit(100.0) / total)).otherwise(0).cast("int")
