@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from corvella.session import BATCH_BYTES, BATCH_ROWS, READ_ROWS, bounded  # noqa: F401
 from corvella.sources.scratch import shared_folder
 
 #: Bytes of text that the array code handles at once; a single longer text is handled whole.
@@ -22,25 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows and bytes of an Arrow batch between the JVM and Python, so that a batch of long texts stays small; a single longer row is a batch.
-BATCH_ROWS = 2000
-BATCH_BYTES = 4 << 20
-#: Rows of a batch that Parquet columns are read in: all texts of a batch lie in one array, which grows by doubling.
-READ_ROWS = 512
-
-
-def bounded(df: DataFrame) -> DataFrame:
-    """Lowers the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES, and Parquet's to READ_ROWS; lower settings stay. Results don't depend on it."""
-    conf = df.sparkSession.conf
-    for key, most in (("execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("parquet.columnarReaderBatchSize", READ_ROWS)):
-        key = f"spark.sql.{key}"
-        now = conf.get(key).lower().removesuffix("b")
-        now = int(now) if now.lstrip("-").isdigit() else int(now[:-1]) << {"k": 10, "m": 20, "g": 30}[now[-1]]
-        if not 0 < now <= most:
-            conf.set(key, str(most))
-    return df
-
-
 def freed(run):
     """run, a function over the batches of a partition, that gives freed memory back to the system when it ends: workers stay for later stages."""
 

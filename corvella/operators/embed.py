@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import cache
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -34,7 +33,7 @@ class Embedder(Protocol):
 BASE, PRIME = 31, (1 << 31) - 1
 WORD, TRIGRAM = 10, 3
 #: Bytes of text whose tokens are held at once; a longer text is held whole.
-SLICE = 1 << 21
+SLICE = 1 << 18
 _CLASS = np.zeros(256, np.int8)  # 0: between words, 1: small letter, 2: capital, 3: digit, 4: part of a character beyond ASCII
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 4
 _GROUP = np.array([0, 1, 1, 2, 3])
@@ -86,7 +85,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def hash_counts(texts: list[str] | pa.Array, dimension: int = DIMENSION) -> np.ndarray:
     """Signed weights of each text's tokens by their hash, whole numbers; a null text has none."""
-    column = pa.array(texts, pa.large_string()).fill_null("")
+    column = (texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).fill_null("")
     out = np.zeros((len(column), dimension), np.int64)
     if not len(column):
         return out
@@ -191,35 +190,41 @@ def embed_column(text: Column, factory: Callable[[], Embedder] = HashEmbedder, k
     """`batch` texts are embedded at once. A batch that fails is tried row by row; rows that fail are null and others keep their places."""
     key = key or key_of(factory)
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = embedder_of(factory, key)
-        for texts in batches:
-            out = [None] * len(texts)
-            whole = [i for i, t in enumerate(texts) if t is not None and t.strip()]
-            for lo in range(0, len(whole), batch):
-                full = whole[lo : lo + batch]
-                try:
-                    for i, v in zip(full, model.embed([texts.iloc[i] for i in full]), strict=True):
-                        out[i] = v
-                except Exception:
-                    for i in full:
-                        try:
-                            out[i] = model.embed([texts.iloc[i]])[0]
-                        except Exception:
-                            out[i] = None
-            yield pd.Series(out, dtype=object)
+    @F.arrow_udf("array<float>")
+    def run(texts: pa.Array) -> pa.Array:
+        model, rows = embedder_of(factory, key), texts.to_pylist()
+        out: list[np.ndarray | None] = [None] * len(rows)
+        whole = [i for i, t in enumerate(rows) if t is not None and t.strip()]
+        for lo in range(0, len(whole), batch):
+            full = whole[lo : lo + batch]
+            try:
+                for i, v in zip(full, model.embed([rows[i] for i in full]), strict=True):
+                    out[i] = v
+            except Exception:
+                for i in full:
+                    try:
+                        out[i] = model.embed([rows[i]])[0]
+                    except Exception:
+                        out[i] = None
+        return _lists(out, np.float32)
 
     return run(text)
 
 
+def _lists(rows: list[np.ndarray | None], kind: type) -> pa.Array:
+    """The rows as one array of lists, without an object for each number."""
+    none = np.array([r is None for r in rows], bool)
+    offsets = np.cumsum([0, *(0 if r is None else len(r) for r in rows)]).astype(np.int32)
+    values = np.concatenate([np.zeros(0, kind), *(r for r in rows if r is not None)]).astype(kind, copy=False)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(none))
+
+
 def hash_counts_column(text: Column, dimension: int = DIMENSION) -> Column:
     """The whole numbers that HashEmbedder brings to length 1."""
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(list(hash_counts(texts.tolist(), dimension).astype(np.int32)), dtype=object)
+    @F.arrow_udf("array<int>")
+    def run(texts: pa.Array) -> pa.Array:
+        return _lists(list(hash_counts(texts, dimension)), np.int32)
 
     return run(text)
 
