@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvella.config import DEFAULTS, ConfigError
@@ -15,7 +14,7 @@ from corvella.functions import text
 from corvella.functions.names import normalise
 from corvella.operators import catalog, rescan
 from corvella.operators import search as search_ops
-from corvella.operators.chunker import ChunkFile
+from corvella.operators.chunker import chunk_table
 from corvella.operators.embed import HashEmbedder, embed_column, embed_text, served
 from corvella.sources import codetree
 from corvella.sources.gitignore import Ignore
@@ -31,12 +30,17 @@ def _silent(phase: str, current: int, total: int) -> None:
     pass
 
 
+def _heard(progress: Progress, tell: Tell) -> Progress | None:
+    """Rows are counted, which takes them through Python, only where somebody is told."""
+    return None if tell is _silent else progress
+
+
 class Engine:
     """embedder: makes the embedder, in each worker once; left out, it is the model that the configuration names, if its files are below its cachePath, else HashEmbedder.
     ranks: file of a tokenizer's ranks by which chunks are measured. cache: may be shared by engines of one store."""
 
     def __init__(self, spark: SparkSession, root: str, config: dict | None = None, embedder=None, ranks: str | None = None, cache: search_ops.Cache | None = None):
-        self.spark, self.config, self.ranks = spark, config or DEFAULTS, (ranks or "").replace("'", "\\'")
+        self.spark, self.config, self.ranks = spark, config or DEFAULTS, ranks or ""
         self.store = Store(spark, root)
         names = self.config["embedding"]
         self.embedder = embedder or served(names["modelName"], names["cachePath"]) or HashEmbedder
@@ -44,20 +48,18 @@ class Engine:
             raise ConfigError(f"embedding.modelName {model!r} isn't served: put its files below embedding.cachePath, pass an embedder of that name, or leave the setting at its default for {HashEmbedder.name}")
         self.cache = cache or search_ops.Cache(self.config["search"]["cacheTimeoutSeconds"])
 
-    def chunk_rows(self, files: DataFrame, name: str, path: str, timestamp: str, first: int = 0, stage: Staging | None = None, progress: Progress | None = None) -> DataFrame:
-        """files → embedded chunk rows with gapless ids in the order of path and chunk. Parsed and embedded once, written, then numbered: chunks without an embedding get no id."""
+    def chunk_rows(self, files: DataFrame, name: str, path: str, timestamp: str, first: int = 0, stage: Staging | None = None, progress: Progress | None = None, n: int | None = None) -> DataFrame:
+        """files (about n supported ones) → embedded chunk rows with gapless ids in the order of path and chunk: chunks without an embedding get no id.
+
+        The files are put in order, not the chunks, which are many and wide and follow their file's order as they are made; they are parsed, embedded and written once, then numbered."""
         stage = stage or Staging(self.spark)
-        self.spark.udtf.register("chunk_file", ChunkFile)
         c = self.config["ingestion"]
-        view = f"_corvella_{uuid.uuid4().hex}"  # jobs may run side by side
-        supported = files.filter("supported")
-        (progress.counted(supported) if progress else supported).createOrReplaceTempView(view)
-        rows = self.spark.sql(
-            f"SELECT f.relativePath AS filePath, f.language, f.isTestFile, f.isLibraryFile, f.fileHash, c.* FROM {view} f, LATERAL chunk_file(f.content, f.language, {c['maxChunkTokens']}, {c['chunkOverlapTokens']}, '{self.ranks}') c"
-        ).filter(F.col("content").rlike(r"\S"))
-        self.spark.catalog.dropTempView(view)
-        rows = stage(rows.withColumn("vector", embed_column(F.col("content"), self.embedder, batch=c["batchSize"]))).filter(F.col("vector").isNotNull())
-        rows = gapless(rows, ["filePath", "ordinal"], "_n", stage)
+        supported = codetree.in_order(files.filter("supported"), n)
+        named = (progress.counted(supported) if progress else supported).withColumnRenamed("relativePath", "filePath")
+        rows = chunk_table(named, ["filePath", "language", "isTestFile", "isLibraryFile", "fileHash"], c["maxChunkTokens"], c["chunkOverlapTokens"], self.ranks)
+        rows = rows.filter(F.col("content").rlike(r"\S"))
+        rows = rows.withColumn("vector", embed_column(F.col("content"), self.embedder, batch=c["batchSize"])).filter(F.col("vector").isNotNull())
+        rows = _numbered(stage(rows.withColumn("_at", F.monotonically_increasing_id())), "_n")
         return rows.select(
             F.concat(F.lit(f"{name}_{timestamp}_"), (F.col("_n") + first).cast("string")).alias("id"),
             *("vector", "content", "filePath", "startLine", "endLine", "language", "chunkType", "isTestFile", "isLibraryFile", "fileHash"),
@@ -79,12 +81,15 @@ class Engine:
         found = self.listing(path, respect_gitignore)
         return codetree.contents(found.files.filter("supported"), path, found.n)
 
-    @staticmethod
-    def _described(files: DataFrame, most: int, rules: Ignore | None) -> DataFrame:
-        """A table of files as a listing with content and hash."""
-        sized = files.select("relativePath", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("size"), F.col("content").cast("binary").alias("content"))
-        fit = codetree.visible(sized, rules).filter(codetree.fits(F.col("size"), most))
-        return codetree.described(fit).withColumn("fileHash", text.file_hash(F.col("content")))
+    def _described(self, files: DataFrame, rules: Ignore | None) -> DataFrame:
+        """A table of files as a listing with hash, and content where the file is supported and small enough. Large files are still there: a filter by
+        size would make each content once more, before the rows that pass it; filter what is written."""
+        sized = codetree.visible(files, rules).select("relativePath", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("size"), F.col("content").cast("binary").alias("content"))
+        read = F.col("supported") & self._fits()
+        return codetree.described(sized).withColumns({"fileHash": F.when(read, text.file_hash(F.col("content"))), "content": F.when(read, F.col("content"))})
+
+    def _fits(self) -> Column:
+        return codetree.fits(F.col("size"), self.config["ingestion"]["maxFileSize"])
 
     def ingest(self, path: str, name: str, respect_gitignore: bool = True, tell: Tell = _silent) -> dict[str, Any]:
         """Replaces the codebase when everything is written; a failure leaves the old one. tell(phase, current, total) follows it.
@@ -103,16 +108,15 @@ class Engine:
         """As ingest, of a table of files (relativePath, content): hidden, ignored and large ones are left out, and the rest is written once."""
         began = time.monotonic()
         with Staging(self.spark) as stage:
-            every = self._described(files, self.config["ingestion"]["maxFileSize"], rules)
+            every = stage(self._described(files, rules)).filter(self._fits())
             counts = catalog.scan_statistics(every).first().asDict()
-            dealt = stage(codetree.dealt(every.filter("supported"), counts["supportedFiles"]))  # parsing is the work, however the table is stored
-            return counts | self._replace(dealt, name, path, counts["supportedFiles"], stage, tell) | {"durationMs": round(1000 * (time.monotonic() - began))}
+            return counts | self._replace(every, name, path, counts["supportedFiles"], stage, tell) | {"durationMs": round(1000 * (time.monotonic() - began))}
 
     def _replace(self, files: DataFrame, name: str, path: str, total: int, stage: Staging, tell: Tell) -> dict[str, Any]:
         name, timestamp = normalise(name), now_iso()
         previous = self.store.count(name)
         with Progress(self.spark, "Chunking and embedding", total, tell) as p:
-            rows = self.chunk_rows(files, name, path, timestamp, stage=stage, progress=p)
+            rows = self.chunk_rows(files, name, path, timestamp, stage=stage, progress=_heard(p, tell), n=total)
         self.store.replace(name, rows, self._manifest(files), path)
         self.cache.clear()
         languages = [r.asDict() for r in catalog.ingest_language_stats(self.store.files(name), self.store.partials(name)).collect()]
@@ -141,13 +145,12 @@ class Engine:
             return self._update(hashed, read, name, path, stage, tell) | {"durationMs": round(1000 * (time.monotonic() - began))}
 
     def rescan_files(self, files: DataFrame, name: str, rules: Ignore | None = None, tell: Tell = _silent) -> dict[str, Any]:
-        """As rescan, of a table of files."""
+        """As rescan, of a table of files: what makes its contents may cost more than they do, so they are written once and hashed on the way."""
         began, info = time.monotonic(), self.store.info(name)
         with Staging(self.spark) as stage:
-            every = self._described(files, self.config["ingestion"]["maxFileSize"], rules).filter("supported")
-            hashed = stage(every.drop("content"))
-            read = lambda new, n: stage(codetree.dealt(every.join(new, "relativePath", "left_semi"), n))
-            return self._update(hashed, read, name, info["path"], stage, tell) | {"durationMs": round(1000 * (time.monotonic() - began))}
+            every = stage(self._described(files, rules).filter("supported")).filter(self._fits())
+            read = lambda new, n: stage(every.join(new, "relativePath", "left_semi"))
+            return self._update(every.drop("content"), read, name, info["path"], stage, tell) | {"durationMs": round(1000 * (time.monotonic() - began))}
 
     def _update(self, hashed: DataFrame, read: Callable[[DataFrame, int], DataFrame], name: str, path: str, stage: Staging, tell: Tell) -> dict[str, Any]:
         """hashed: all files without contents; read(relativePath, n): the n of these names with contents."""
@@ -161,7 +164,7 @@ class Engine:
             files = read(new, fresh)
             manifest = self._manifest(hashed.join(new, "relativePath", "left_anti")).unionByName(self._manifest(files))
             with Progress(self.spark, "Chunking and embedding", fresh, tell) as p:
-                added = self.chunk_rows(files, name, path, timestamp, stage=stage, progress=p) if fresh else None
+                added = self.chunk_rows(files, name, path, timestamp, stage=stage, progress=_heard(p, tell), n=fresh) if fresh else None
             counts["chunksDeleted"], counts["chunksAdded"] = self.store.update(name, gone, added, manifest, path)
         self.cache.clear()
         tell("Complete", fresh, fresh)
@@ -218,7 +221,11 @@ def gapless(df: DataFrame, order: list[str], out: str, stage: Staging | None = N
     partitions are merged by size at run time.
     """
     stage = stage or Staging(df.sparkSession)
-    placed = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    return _numbered(stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())), out)
+
+
+def _numbered(placed: DataFrame, out: str) -> DataFrame:
+    """Numbers from 0 by _at, the monotonic ids with which the table was written."""
     part = F.shiftright("_at", 33).alias("_part")
     sizes = placed.groupBy(part).agg(F.count("*").alias("_size"))
     offsets = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_from"))

@@ -31,6 +31,8 @@ from corvella.sources.gitignore import Ignore
 from corvella.sources.scratch import Staging
 
 FILES_PER_PARTITION = 256
+#: Of files that are read already; the bounds of ranges are held by the driver.
+FILES_PER_RANGE = 1024
 #: Folders that the driver reads itself, and names that a task reads before it hands the rest back.
 DRIVER_FOLDERS = 256
 TASK_ENTRIES = 20_000
@@ -245,6 +247,12 @@ def dealt(files: DataFrame, n: int) -> DataFrame:
     return files.repartition(max(1, -(-n // FILES_PER_PARTITION)))
 
 
+def in_order(files: DataFrame, n: int | None = None) -> DataFrame:
+    """About n rows in ranges of paths, sorted: partitions and rows follow the order of paths. n: left out, Spark takes its own number."""
+    parts = () if n is None else (max(1, -(-n // FILES_PER_RANGE)),)
+    return files.repartitionByRange(*parts, "relativePath").sortWithinPartitions("relativePath")
+
+
 def contents(files: DataFrame, root: str, n: int, keep: bool = True, seen=None) -> DataFrame:
     """Rows of a listing (about n of them) with fileHash and, unless keep is false, content; each file is opened once. Null where a file can't be read. seen: an
     accumulator of the files read."""
