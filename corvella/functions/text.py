@@ -22,6 +22,11 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(r"[^\s   -     　﻿]")
 
 
+def not_blank(text: Column) -> Column:
+    """Whether Python's strip() leaves anything."""
+    return text.rlike(r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
 def sentences(text: Column) -> Column:
     """Runs that end in marks, and an unmarked end; marks before the first run are dropped."""
     return F.regexp_extract_all(text, F.lit(SENTENCES), F.lit(0))

@@ -23,6 +23,8 @@ DIMENSION = 384
 
 
 class Embedder(Protocol):
+    """sure, where it is there and true: any text that isn't blank has a vector, so rows are counted before they are embedded; a failure ends the job."""
+
     dimension: int
     name: str
 
@@ -33,11 +35,11 @@ class Embedder(Protocol):
 BASE, PRIME = 31, (1 << 31) - 1
 WORD, TRIGRAM = 10, 3
 #: Bytes of text whose tokens are held at once; a longer text is held whole.
-SLICE = 1 << 18
-_CLASS = np.zeros(256, np.int8)  # 0: between words, 1: small letter, 2: capital, 3: digit, 4: part of a character beyond ASCII
+SLICE = 1 << 15
+_CLASS = np.zeros(256, np.uint8)  # 0: between words, 1: small letter, 2: capital, 3: digit, 4: part of a character beyond ASCII
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 4
-_GROUP = np.array([0, 1, 1, 2, 3])
-_LOWER = np.arange(256)
+_GROUP = np.array([0, 1, 1, 2, 3], np.uint8)[_CLASS]
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
@@ -53,15 +55,23 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, weight) of the words of each text and of the trigrams of the words in ASCII.
+@cache
+def _places(dimension: int) -> np.ndarray:
+    """Place of each trigram's hash, which is below PRIME as it stands, among 2 * dimension ones."""
+    h = np.arange(255 * (1 + BASE + BASE * BASE) + 1)
+    return (h % (2 * dimension)).astype(np.int32)
+
+
+def places(data: np.ndarray, offsets: np.ndarray, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words of each text and of the trigrams of the words in ASCII: text * 2 * dimension + hash % (2 * dimension).
 
     A word is a run of letters, of digits, or of characters beyond ASCII; letters are parted
     before a capital that follows a small one, and before the last of several capitals if a small one follows."""
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    c = _CLASS[data]
-    group = _GROUP[c]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    raw = data.tobytes()
+    c, group, small = (np.frombuffer(raw.translate(x.tobytes()), np.uint8) for x in (_CLASS, _GROUP, _LOWER))
+    small = small.astype(np.int32)
     cut = np.ones(len(data) + 1, bool)
     cut[1:-1] = (group[1:] != group[:-1]) | ((c[:-1] == 1) & (c[1:] == 2))
     begins = np.zeros(len(data) + 1, bool)
@@ -72,15 +82,15 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts, ends = edges[:-1], edges[1:]
     full = c[starts] > 0
     starts, ends = starts[full], ends[full]
-    small = _LOWER[data]
     up, down = _powers(max(10, len(data).bit_length()))
-    total = np.concatenate([[0], np.cumsum(small * up[: len(data)])])
+    total = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(small * up[: len(data)], out=total[1:])
     word = (total[ends] - total[starts]) % PRIME * down[starts] % PRIME
-    of = np.searchsorted(offsets, starts, "right") - 1
-    n = np.where(c[starts] < 4, np.maximum(ends - starts - 2, 0), 0)  # trigrams of each word
-    at = np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
-    three = (small[at] + BASE * small[at + 1] + BASE * BASE * small[at + 2]) % PRIME
-    return np.concatenate([of, np.repeat(of, n)]), np.concatenate([word, three]), np.repeat([WORD, TRIGRAM], [len(word), len(three)])
+    row = np.repeat(np.arange(len(offsets) - 1) * (2 * dimension), np.diff(offsets))
+    # a trigram begins where no word ends in the next two places
+    at = np.flatnonzero(~(cut[1:-2] | cut[2:-1]) & (group[:-2] > 0) & (c[:-2] < 4))
+    three = small[:-2] + BASE * small[1:-1] + BASE * BASE * small[2:]
+    return row[starts] + word % (2 * dimension), row[at] + _places(dimension)[three[at]]
 
 
 def hash_counts(texts: list[str] | pa.Array, dimension: int = DIMENSION) -> np.ndarray:
@@ -95,9 +105,10 @@ def hash_counts(texts: list[str] | pa.Array, dimension: int = DIMENSION) -> np.n
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE, "right")) - 1)
-        of, h, weight = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        sign = 1 - 2 * (h // dimension % 2)
-        out[lo:hi] = np.bincount(of * dimension + h % dimension, sign * weight, (hi - lo) * dimension).reshape(-1, dimension)
+        words, trigrams = places(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], dimension)
+        n = (hi - lo) * 2 * dimension
+        signed = (WORD * np.bincount(words, minlength=n) + TRIGRAM * np.bincount(trigrams, minlength=n)).reshape(hi - lo, 2, dimension)
+        np.subtract(signed[:, 0], signed[:, 1], out=out[lo:hi])
         lo = hi
     return out
 
@@ -105,7 +116,7 @@ def hash_counts(texts: list[str] | pa.Array, dimension: int = DIMENSION) -> np.n
 class HashEmbedder:
     """Hashed words and letter trigrams, brought to length 1; a text without any lies along the first dimension."""
 
-    name = "feature-hash"
+    name, sure = "feature-hash", True
 
     def __init__(self, dimension: int = DIMENSION):
         self.dimension = dimension
@@ -187,8 +198,8 @@ def embedder_of(factory: Callable[[], Embedder], key: str | None = None) -> Embe
 
 
 def embed_column(text: Column, factory: Callable[[], Embedder] = HashEmbedder, key: str | None = None, batch: int = 100) -> Column:
-    """`batch` texts are embedded at once. A batch that fails is tried row by row; rows that fail are null and others keep their places."""
-    key = key or key_of(factory)
+    """`batch` texts are embedded at once. A batch that fails is tried row by row, unless the embedder is sure; rows that fail are null and others keep their places."""
+    key, sure = key or key_of(factory), getattr(factory, "sure", False)
 
     @F.arrow_udf("array<float>")
     def run(texts: pa.Array) -> pa.Array:
@@ -201,6 +212,8 @@ def embed_column(text: Column, factory: Callable[[], Embedder] = HashEmbedder, k
                 for i, v in zip(full, model.embed([rows[i] for i in full]), strict=True):
                     out[i] = v
             except Exception:
+                if sure:
+                    raise
                 for i in full:
                     try:
                         out[i] = model.embed([rows[i]])[0]

@@ -51,15 +51,20 @@ class Engine:
     def chunk_rows(self, files: DataFrame, name: str, path: str, timestamp: str, first: int = 0, stage: Staging | None = None, progress: Progress | None = None, n: int | None = None) -> DataFrame:
         """files (about n supported ones) → embedded chunk rows with gapless ids in the order of path and chunk: chunks without an embedding get no id.
 
-        The files are put in order, not the chunks, which are many and wide and follow their file's order as they are made; they are parsed, embedded and written once, then numbered."""
+        The files are put in order, not the chunks, which are many and wide and follow their file's order as they are made; they are parsed and written once, then numbered.
+        Vectors are most of what is written: of an embedder that is sure they are made after that, by the job that writes the rows where they stay."""
         stage = stage or Staging(self.spark)
         c = self.config["ingestion"]
         supported = codetree.in_order(files.filter("supported"), n)
         named = (progress.counted(supported) if progress else supported).withColumnRenamed("relativePath", "filePath")
         rows = chunk_table(named, ["filePath", "language", "isTestFile", "isLibraryFile", "fileHash"], c["maxChunkTokens"], c["chunkOverlapTokens"], self.ranks)
-        rows = rows.filter(F.col("content").rlike(r"\S"))
-        rows = rows.withColumn("vector", embed_column(F.col("content"), self.embedder, batch=c["batchSize"])).filter(F.col("vector").isNotNull())
+        rows = rows.filter(text.not_blank(F.col("content")))
+        vector, sure = embed_column(F.col("content"), self.embedder, batch=c["batchSize"]), getattr(self.embedder, "sure", False)
+        if not sure:
+            rows = rows.withColumn("vector", vector).filter(F.col("vector").isNotNull())
         rows = _numbered(stage(rows.withColumn("_at", F.monotonically_increasing_id())), "_n")
+        if sure:
+            rows = rows.withColumn("vector", vector)
         return rows.select(
             F.concat(F.lit(f"{name}_{timestamp}_"), (F.col("_n") + first).cast("string")).alias("id"),
             *("vector", "content", "filePath", "startLine", "endLine", "language", "chunkType", "isTestFile", "isLibraryFile", "fileHash"),

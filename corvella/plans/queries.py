@@ -514,14 +514,12 @@ _ABOVE = {("csharp", 3)}
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, language and content of each document's file. The runs that stay are found, not the marks that go: Java looks for those a fifth as fast."""
     kept = F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9 \n]++"), F.lit(0)), "")
-    lines = F.split(kept, "\n")
     language = F.element_at(F.array(*[F.lit(x) for x in _CODE]), (F.col("doc_id") % len(_CODE) + 1).cast("int"))
-    content = None
+    content, named = None, lambda x: F.replace(F.lit(x), F.lit("{0}"), F.col("doc_id").cast("string"))
     for name, (head, tail, before, after) in _CODE.items():
-        own = F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: F.concat(F.lit(before), x, F.lit(after))), "\n"), F.lit("\n" + tail))  # noqa: B023
-        own = F.replace(own, F.lit("{0}"), F.col("doc_id").cast("string"))
+        own = F.concat(named(head + before), F.replace("t", F.lit("\n"), F.lit(f"{after}\n{before}")), named(f"{after}\n{tail}"))
         content = F.when(F.col("language") == name, own) if content is None else content.when(F.col("language") == name, own)
-    return table(spark, sf_dir, "documents").select("doc_id", lines.alias("l"), language.alias("language")).select("doc_id", "language", content.alias("content"))
+    return table(spark, sf_dir, "documents").select("doc_id", kept.alias("t"), language.alias("language")).select("doc_id", "language", content.alias("content"))
 
 
 def _chunk_rows() -> str:
