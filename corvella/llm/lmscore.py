@@ -19,7 +19,8 @@ the table is partitioned.
 
 Defined results: null, empty and blank texts have no words, a sum of 0 and a null
 mean. Very long texts are scored and learned from whole. Repeated rows, and ties of equal
-texts, have equal scores: scoring takes sums of doubles on a grid, without rounding. Rows without id are scored and learned from. An empty table
+texts, have equal scores: scoring takes sums of doubles on a grid, without rounding, and single exponentials and tangents of them, which follow from
+each sum alone. Rows without id are scored and learned from. An empty table
 gives no rows. Extra columns play no part.
 """
 
@@ -44,6 +45,8 @@ REACH, EMBED, HIDDEN = 2, 16, 32
 GRID = 18
 ROUNDS = 2
 BATCH = 4096
+#: Positions whose outputs in one group are held at once in scoring, so that they stay in the cache.
+HELD_ROWS = 1024
 RATE = 0.01
 #: Words whose counts every task holds; those of all others are joined.
 FREQUENT = 100_000
@@ -137,19 +140,23 @@ def _place(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(group, GROUPS - 1), unit
 
 
-def _groups(group: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Each group of sorted positions with its range, but for the last one, in which no network decides."""
-    edges = np.searchsorted(group, np.arange(GROUPS))
-    for k in np.flatnonzero(edges[1:] > edges[:-1]):
-        yield k, edges[k], edges[k + 1]
+def _groups(group: np.ndarray, most: int = BATCH) -> Iterator[tuple[int, int, int]]:
+    """Each group of sorted positions with its range, in parts of at most `most`, but for the last one, in which no network decides."""
+    edges = np.searchsorted(group, np.arange(GROUPS)).tolist()
+    for k in range(GROUPS - 1):
+        for lo in range(edges[k], edges[k + 1], most):
+            yield k, lo, min(lo + most, edges[k + 1])
 
 
-def _exp(h: np.ndarray, w: np.ndarray, b: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of the outputs, and their sums."""
+def _exp(h: np.ndarray, w: np.ndarray, b: np.ndarray, small: bool, single: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the outputs, and their sums. single: of outputs in doubles, at a third of the time; each follows from its output, and each sum from its row alone."""
     z = h @ w
     z += b
     if not small:
         z -= z.max(1, keepdims=True)
+    if single:
+        z = np.exp(z, dtype=np.float32, casting="same_kind")
+        return z, z.sum(1)
     np.exp(z, out=z)
     return z, z.sum(1) if z.dtype == np.float64 else z @ np.ones(z.shape[1], z.dtype)
 
@@ -191,8 +198,15 @@ class Network:
 
     def _hidden(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         e, w1, b1 = self.w[:3]
-        seen = e[x].reshape(len(x), -1)
-        return seen, np.tanh(seen @ w1 + b1)
+        seen = e.take(x.ravel(), axis=0).reshape(len(x), -1)
+        h = seen @ w1
+        h += b1
+        if not self.rounded:
+            return seen, np.tanh(h, out=h)
+        h = np.multiply(np.tanh(h, dtype=np.float32, casting="same_kind"), 2.0**GRID, dtype=np.float64)
+        np.rint(h, out=h)
+        h *= 2.0**-GRID
+        return seen, h
 
     def _small(self) -> bool:
         """Whether no output can reach a size at which its exponential overflows; the hidden layer lies within -1 and 1."""
@@ -215,12 +229,10 @@ class Network:
             order = np.argsort(group.astype(np.uint8), kind="stable")
             group, unit = group[order], unit[order]
             h = self._hidden(context[lo : lo + 2 * BATCH][order])[1]
-            if self.rounded:
-                h = on_grid(h)
-            q, total = _exp(h, w2, b2, small)
+            q, total = _exp(h, w2, b2, small, self.rounded)
             p = q[np.arange(len(q)), group] / total
-            for k, a, b in _groups(group):
-                q, total = _exp(h[a:b], w3[k], b3[k], small)
+            for k, a, b in _groups(group, HELD_ROWS):
+                q, total = _exp(h[a:b], w3[k], b3[k], small, self.rounded)
                 p[a:b] *= q[np.arange(b - a), unit[a:b]] / total
             out[lo + order] = np.log(np.maximum(p, 1e-37))
         return out
